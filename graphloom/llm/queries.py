@@ -38,8 +38,15 @@ FROM sets s JOIN lowest ON s.doc_id = lowest.a
 """
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality_rules import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup}
+    found = (op2_minhash_near_dedup, op9_quality_rules)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
