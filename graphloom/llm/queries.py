@@ -44,8 +44,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality_model import classify
+
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_minhash_near_dedup, op9_quality_rules)
+    found = (op2_minhash_near_dedup, op7_quality_classifier, op9_quality_rules)
     return {f.__name__: f for f in found}
 
 
