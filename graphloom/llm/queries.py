@@ -44,6 +44,35 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.url_rules import judge_urls, rule_table
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, URL_RULES))
+
+
+OP3_SQL = r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), rules(verdict, rule, rule_host, rule_path) AS (
+  VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+    ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
+), urls AS (SELECT DISTINCT host, path FROM parts),
+best AS (
+  SELECT u.host, u.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM urls u JOIN rules r ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path)
+  GROUP BY u.host, u.path
+)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+"""
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality_model import classify
 
@@ -51,9 +80,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_minhash_near_dedup, op7_quality_classifier, op9_quality_rules)
+    found = (op2_minhash_near_dedup, op3_url_filters, op7_quality_classifier, op9_quality_rules)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_url_filters": OP3_SQL}
