@@ -73,6 +73,12 @@ FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.secret_scan import labelled_samples, report, train
+
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(labelled_samples(spark)))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality_model import classify
 
@@ -80,7 +86,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_minhash_near_dedup, op3_url_filters, op7_quality_classifier, op9_quality_rules)
+    found = (op2_minhash_near_dedup, op3_url_filters, op5_secret_scans, op7_quality_classifier, op9_quality_rules)
     return {f.__name__: f for f in found}
 
 
