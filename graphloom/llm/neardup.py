@@ -15,8 +15,9 @@ How the work stays in proportion to the input:
   near copies, however large, by one check per class.
 * What is left are buckets that still span several components.  Their pairs
   between different components, close by size and sketch, are checked in
-  passes: twice the closest partner of each class, folding again, then all that
-  are still apart.  Before the last pass the classes that still have a close
+  passes: three times each class against one other class of each such bucket,
+  picked by a hash that changes with the pass, folding again, then all that are
+  still apart.  Before the last pass the classes that still have a close
   partner get 2048 coordinates of the same two permutations, as single bits, so
   that pairs well below the threshold need no check.  No partner is dropped by
   a cap.
@@ -33,7 +34,7 @@ answers; an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ from graphloom.llm.scratch import Scratch
 BANDS, ROWS, WIDTH = 32, 4, 5
 COORDINATES, SKETCH, APART = 256, 8, 78
 LONG, LONG_APART = 32, 328
+LAST = 4
 SIMILAR = 75
 #: Ids of candidates are sent to all executors up to this many (16 MB); beyond, the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
@@ -184,6 +186,21 @@ def _close(x: str, y: str) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR) & (_apart(f"s_{x}", f"s_{y}") <= APART)
 
 
+def _still_apart(placed: DataFrame, of: Callable[[str], DataFrame], texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b), a > b, of (key, id, c) rows that share a bucket, not a component, and may be similar."""
+    left = placed.withColumnsRenamed({"id": "a", "c": "c_a"}).join(of("a"), "a")
+    right = placed.withColumnsRenamed({"id": "b", "c": "c_b"}).join(of("b"), "b")
+    fits = (left["key"] == right["key"]) & (F.col("c_a") != F.col("c_b")) & _close("a", "b")
+    near = left.join(right, fits, "left_semi").select(F.col("a").alias("id"))
+    wide = _texts_of(near, texts, scratch, "wide").mapInArrow(_sign_long, "id long, wide array<long>")
+    wide = scratch.save(wide.dropDuplicates(["id"]), "wide")
+    left = left.join(wide.select(F.col("id").alias("a"), F.col("wide").alias("w_a")), "a")
+    right = right.join(wide.select(F.col("id").alias("b"), F.col("wide").alias("w_b")), "b")
+    apart = sum((F.bit_count(F.col("w_a")[k].bitwiseXOR(F.col("w_b")[k])) for k in range(LONG)), F.lit(0))
+    fits = (left["key"] == right["key"]) & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & _close("a", "b") & (apart <= LONG_APART)
+    return left.join(right, fits).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; see the module."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -203,31 +220,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct(_apart("s_a", "s_b"), "b")).alias("b"))
     pairs = tried = scratch.save(pairs, "tried-0")
     found = None
-    for step in range(4):
+    for step in range(LAST + 1):
         if step:
             placed = crowd.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
             placed = placed.select("key", "id", F.coalesce("component", "id").alias("c"))
-            mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-            placed = placed.join(mixed, "key")
-            left = placed.withColumnsRenamed({"id": "a", "c": "c_a"}).join(of("a"), "a")
-            right = placed.withColumnsRenamed({"id": "b", "c": "c_b"}).join(of("b"), "b")
-            fits = (left["key"] == right["key"]) & (F.col("c_a") != F.col("c_b")) & _close("a", "b")
-            if step == 3:
-                near = left.join(right, fits, "left_semi").select(F.col("a").alias("id"))
-                wide = _texts_of(near, texts, scratch, "wide").mapInArrow(_sign_long, "id long, wide array<long>")
-                wide = scratch.save(wide.dropDuplicates(["id"]), "wide")
-                left = left.join(wide.select(F.col("id").alias("a"), F.col("wide").alias("w_a")), "a")
-                right = right.join(wide.select(F.col("id").alias("b"), F.col("wide").alias("w_b")), "b")
-                apart = sum((F.bit_count(F.col("w_a")[k].bitwiseXOR(F.col("w_b")[k])) for k in range(LONG)), F.lit(0))
-                fits = (left["key"] == right["key"]) & (F.col("c_a") != F.col("c_b")) & _close("a", "b") & (apart <= LONG_APART)
-            pairs = left.join(right, fits & (F.col("a") > F.col("b")))
-            pairs = pairs.select("a", "b", _apart("s_a", "s_b").alias("d")).distinct().join(tried, ["a", "b"], "left_anti")
-            if step < 3:
-                ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("p"), "d")
+            mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(step))).alias("head"))
+            placed = placed.join(mixed.filter("low <> high").select("key", "head"), "key")
+            if step < LAST:
+                pairs = placed.filter("c <> head.c").select(F.greatest("id", "head.id").alias("a"), F.least("id", "head.id").alias("b")).distinct()
+                pairs = pairs.join(tried, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").filter(_close("a", "b"))
+                ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("p"), _apart("s_a", "s_b").alias("d"))
                 pairs = ends.groupBy("p").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("e")).select("e.*").distinct()
+            else:
+                pairs = _still_apart(placed.select("key", "id", "c"), of, texts, scratch).join(tried, ["a", "b"], "left_anti")
             pairs = scratch.save(pairs.select("a", "b"), f"tried-{step}")
-            if pairs.isEmpty():
-                break
             tried = tried.unionByName(pairs)
         links = _confirmed(pairs, texts, scratch, f"check-{step}")
         if found is None or not links.isEmpty():
