@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,19 @@ FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
 
+def sentencepiece_model(spark: SparkSession) -> bytes:
+    """The public model file of the tokenizers folder; GRAPHLOOM_PIECES names another."""
+    from graphloom.llm.pieces import read_model
+
+    return read_model(spark, os.environ.get("GRAPHLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pieces import encode
+
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), sentencepiece_model(spark))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.secret_scan import labelled_samples, report, train
 
@@ -86,7 +100,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_minhash_near_dedup, op3_url_filters, op5_secret_scans, op7_quality_classifier, op9_quality_rules)
+    found = (op2_minhash_near_dedup, op3_url_filters, op4_sentencepiece, op5_secret_scans, op7_quality_classifier, op9_quality_rules)
     return {f.__name__: f for f in found}
 
 
