@@ -6,6 +6,43 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Target weights by source; those not named weigh 1.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.mixing import mix
+
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), MIX_WEIGHTS, epochs=1.0, seed="mix-1")
+
+
+OP1_SQL = r"""
+WITH asked(name, weight) AS (VALUES ('src0', 4.0::DOUBLE), ('src1', 2.0), ('src2', 2.0), ('src3', 0.5)),
+sizes AS (
+  SELECT source, coalesce(sum(length(text)), 0)::DOUBLE AS size FROM documents GROUP BY source
+), found AS (
+  SELECT source, size, coalesce(weight, 1.0::DOUBLE) AS weight FROM sizes LEFT JOIN asked ON source = name
+), rates AS (
+  SELECT source, CASE WHEN weight <= 0 THEN 0 WHEN size = 0 THEN 1
+    ELSE (SELECT sum(size) FROM found) * (weight / (SELECT sum(weight) FROM found)) / size END AS rate
+  FROM found
+), terms AS (
+  SELECT source, k, CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) WHEN k = 0 THEN 1 ELSE 0 END AS p
+  FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM rates)
+), cdf AS (
+  SELECT source, list(c ORDER BY k) AS c
+  FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source
+), drawn AS (
+  SELECT d.*, len([x FOR x IN c.c IF x <= ('0x' || substr(md5('mix-1|count|' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0]) AS n
+  FROM documents d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source
+), copies AS (
+  SELECT * EXCLUDE (n), unnest(range(1, n + 1))::INTEGER AS copy_no FROM drawn
+)
+SELECT *, ('0x' || substr(md5('mix-1|order|' || doc_id || '|' || copy_no), 1, 13))::BIGINT AS order_key FROM copies
+"""
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,16 +130,51 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(labelled_samples(spark)))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.scratch import Scratch
+    from graphloom.llm.shards import shard_documents
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    store, version = shard_documents(docs, Scratch(spark, "shards").base)
+    name = F.substring_index("_metadata.file_path", "/", -2)
+    shards = spark.createDataFrame([(i, s.path, s.rows, s.bytes) for i, s in enumerate(store.shards(version))], "shard int, path string, shard_rows long, shard_bytes long")
+    rows = store.read(version).select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), name.alias("path"))
+    return rows.join(shards, "path").select("doc_id", "lang", "source", "n_chars", "text_md5", "shard", "shard_rows", "shard_bytes", F.lit(version).alias("version"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality_model import classify
 
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.neighbours import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+OP10_SQL = r"""
+WITH rows AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum([(q.v[i] - c.v[i]) * (q.v[i] - c.v[i]) FOR i IN range(1, len(q.v) + 1)])) AS score
+  FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM pairs
+WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_minhash_near_dedup, op3_url_filters, op4_sentencepiece, op5_secret_scans, op7_quality_classifier, op9_quality_rules)
+    found = (
+        op1_source_mixing, op2_minhash_near_dedup, op3_url_filters, op4_sentencepiece, op5_secret_scans, op6_sharding,
+        op7_quality_classifier, op9_quality_rules, op10_nearest_neighbours,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op3_url_filters": OP3_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_url_filters": OP3_SQL, "op10_nearest_neighbours": OP10_SQL}
