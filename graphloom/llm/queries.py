@@ -76,6 +76,12 @@ FROM sets s JOIN lowest ON s.doc_id = lowest.a
 """
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.html_text import main_text
+
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality_rules import judge
 
@@ -171,7 +177,7 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number()
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_source_mixing, op2_minhash_near_dedup, op3_url_filters, op4_sentencepiece, op5_secret_scans, op6_sharding,
-        op7_quality_classifier, op9_quality_rules, op10_nearest_neighbours,
+        op7_quality_classifier, op8_html_extraction, op9_quality_rules, op10_nearest_neighbours,
     )
     return {f.__name__: f for f in found}
 
