@@ -159,7 +159,7 @@ class Part:
 def merge(a: Part, b: Part, together: bool = False) -> Part:
     """Align two parts of one signature.  ``together``: both are of one page."""
     out = Part(a.sig, max(a.pages, b.pages) if together else a.pages + b.pages)
-    out.many, out.optional = a.many or b.many or together, a.optional or b.optional
+    out.many, out.optional = a.many or b.many or together and a.sig != "#", a.optional or b.optional
     out.chars, out.linked = a.chars + b.chars, a.linked + b.linked
     out.same = a.same if a.same == b.same and not together else None
     out.children = align(a.children, b.children, together)
