@@ -15,17 +15,16 @@ How the work stays in proportion to the input:
   near copies, however large, by one check per class.
 * What is left are buckets that still span several components.  Their pairs
   between different components, close by size and sketch, are checked in
-  passes: three times each class against one other class of each such bucket,
-  picked by a hash that changes with the pass, folding again, then all that are
-  still apart.  Before the last pass the classes that still have a close
-  partner get 2048 coordinates of the same two permutations, as single bits, so
+  two passes: each class against the closest of one other class of each such
+  bucket, picked by a hash, folding again, then all that are still apart.  Before the last pass the classes that still have a close
+  partner get 3072 coordinates of the same two permutations, as single bits, so
   that pairs well below the threshold need no check.  No partner is dropped by
   a cap.
 
 Bounds of error: with 32 bands of 4, a pair at 0.75 shares no band with
 probability 6e-6; the screen (at most 78 of 256 two-bit coordinates apart,
 where a pair at 0.75 has 48 on average) loses one with probability 1e-6, and so
-does the longer one (at most 328 of 2048 bits apart; 256 on average).
+does the longer one (at most 472 of 3072 bits apart; 384 on average).
 
 Defined results: null or blank texts have n_shingles 0 and link with nothing;
 rows of a null id get a null component and are kept; repeated rows get equal
@@ -47,8 +46,8 @@ from graphloom.llm.scratch import Scratch
 
 BANDS, ROWS, WIDTH = 32, 4, 5
 COORDINATES, SKETCH, APART = 256, 8, 78
-LONG, LONG_APART = 32, 328
-LAST = 4
+LONG, LONG_APART = 48, 472
+LAST = 2
 SIMILAR = 75
 #: Ids of candidates are sent to all executors up to this many (16 MB); beyond, the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
@@ -162,7 +161,7 @@ def _texts_of(ids: DataFrame, texts: DataFrame, scratch: Scratch, name: str) ->
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those (a, b) of a saved table whose texts' full sets are similar."""
-    own = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts, scratch, name)
+    own = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts, scratch, name)
     first = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     found = scratch.save(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long").distinct(), f"{name}-links")
