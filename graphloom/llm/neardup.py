@@ -16,10 +16,10 @@ How the work stays in proportion to the input:
 * What is left are buckets that still span several components.  Their pairs
   between different components, close by size and sketch, are checked in
   two passes: each class against the closest of one other class of each such
-  bucket, picked by a hash, folding again, then all that are still apart.  Before the last pass the classes that still have a close
-  partner get 3072 coordinates of the same two permutations, as single bits, so
-  that pairs well below the threshold need no check.  No partner is dropped by
-  a cap.
+  bucket, picked by a hash, folding again, then all that are still apart.
+  Before the last pass the classes that still have a close partner get 3072
+  coordinates of the same two permutations, as single bits, so that pairs well
+  below the threshold need no check.  No partner is dropped by a cap.
 
 Bounds of error: with 32 bands of 4, a pair at 0.75 shares no band with
 probability 6e-6; the screen (at most 78 of 256 two-bit coordinates apart,
@@ -185,18 +185,23 @@ def _close(x: str, y: str) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR) & (_apart(f"s_{x}", f"s_{y}") <= APART)
 
 
-def _still_apart(placed: DataFrame, of: Callable[[str], DataFrame], texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs (a, b), a > b, of (key, id, c) rows that share a bucket, not a component, and may be similar."""
+def _still_apart(placed: DataFrame, of: Callable[[str], DataFrame], classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b), a > b, of (key, id, c) rows that share a bucket, not a component, and may be similar.
+
+    A pair comes from the first bucket that it shares, not from each.
+    """
     left = placed.withColumnsRenamed({"id": "a", "c": "c_a"}).join(of("a"), "a")
     right = placed.withColumnsRenamed({"id": "b", "c": "c_b"}).join(of("b"), "b")
     fits = (left["key"] == right["key"]) & (F.col("c_a") != F.col("c_b")) & _close("a", "b")
     near = left.join(right, fits, "left_semi").select(F.col("a").alias("id"))
     wide = _texts_of(near, texts, scratch, "wide").mapInArrow(_sign_long, "id long, wide array<long>")
     wide = scratch.save(wide.dropDuplicates(["id"]), "wide")
-    left = left.join(wide.select(F.col("id").alias("a"), F.col("wide").alias("w_a")), "a")
-    right = right.join(wide.select(F.col("id").alias("b"), F.col("wide").alias("w_b")), "b")
+    more = wide.join(classes.select("id", "bands"), "id")
+    left = left.join(more.select(F.col("id").alias("a"), F.col("wide").alias("w_a"), F.col("bands").alias("bands_a")), "a")
+    right = right.join(more.select(F.col("id").alias("b"), F.col("wide").alias("w_b"), F.col("bands").alias("bands_b")), "b")
     apart = sum((F.bit_count(F.col("w_a")[k].bitwiseXOR(F.col("w_b")[k])) for k in range(LONG)), F.lit(0))
     fits = (left["key"] == right["key"]) & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & _close("a", "b") & (apart <= LONG_APART)
+    fits = fits & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == left["key"])
     return left.join(right, fits).select("a", "b").distinct()
 
 
@@ -231,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("p"), _apart("s_a", "s_b").alias("d"))
                 pairs = ends.groupBy("p").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("e")).select("e.*").distinct()
             else:
-                pairs = _still_apart(placed.select("key", "id", "c"), of, texts, scratch).join(tried, ["a", "b"], "left_anti")
+                pairs = _still_apart(placed.select("key", "id", "c"), of, classes, texts, scratch).join(tried, ["a", "b"], "left_anti")
             pairs = scratch.save(pairs.select("a", "b"), f"tried-{step}")
             tried = tried.unionByName(pairs)
         links = _confirmed(pairs, texts, scratch, f"check-{step}")
