@@ -11,7 +11,7 @@ from graphloom.functions.terms import Var
 from graphloom.operators import solutions as S
 from graphloom.operators.solutions import Solutions
 from graphloom.plans.agp import AGP
-from graphloom.plans.algebra import Expr
+from graphloom.plans.algebra import Expr, free
 
 
 def reduce_quads(spark: SparkSession, quads: DataFrame, agp: AGP, want: AGP, filters: list[Expr]) -> DataFrame:
@@ -38,11 +38,8 @@ def reduce_quads(spark: SparkSession, quads: DataFrame, agp: AGP, want: AGP, fil
                 own = own.filter(col == T.lit(x))
         s = Solutions(own.select(*(c.alias(S.column(v)) for v, c in bound.items())), {v: V.TERM_KIND for v in bound})
         for f in filters:
-            from graphloom.plans.algebra import free
-
             if free(f) <= set(s.kinds):
-                test = compiler.expressions(s.values()).test(f)
-                s = Solutions(s.df.filter(F.coalesce(test, F.lit(False))), s.kinds)
+                s = Solutions(s.df.filter(compiler.expressions(s.values()).test(f)), s.kinds)
         tables.append((t, s))
     whole = S.join_all([s for _, s in tables], spark)
     out = []

@@ -130,7 +130,7 @@ class Traversal:
             out = self.data.bgp((t,), self.spark)
             for f in filters:
                 if A.free(f) <= set(out.kinds):
-                    out = Solutions(out.df.filter(F.coalesce(compiler.expressions(out.values()).test(f), F.lit(False))), out.kinds)
+                    out = Solutions(out.df.filter(compiler.expressions(out.values()).test(f)), out.kinds)
             return out
 
         def within(out: Solutions, x: Term, known: Solutions | None) -> Solutions:

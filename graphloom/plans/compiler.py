@@ -116,7 +116,7 @@ class Compiler:
             if inner:
                 out = self._flagged(out, e, inner)
             else:
-                out = Solutions(out.df.filter(F.coalesce(self.expressions(out.values()).test(e), F.lit(False))), out.kinds)
+                out = Solutions(out.df.filter(self.expressions(out.values()).test(e)), out.kinds)
             for v in _bound_by(e):
                 if v in out.kinds:
                     out.kinds = out.kinds | {v: out.kinds[v].sure()}
@@ -142,7 +142,7 @@ class Compiler:
         parts = [(out, {})]
         for x in inner:
             parts = [(self._exists(s, x.pattern, x.negated == holds), known | {x: F.lit(holds)}) for s, known in parts for holds in (True, False)]
-        kept = [Solutions(s.df.filter(F.coalesce(self.expressions(s.values(), known).test(e), F.lit(False))), s.kinds) for s, known in parts]
+        kept = [Solutions(s.df.filter(self.expressions(s.values(), known).test(e)), s.kinds) for s, known in parts]
         return reduce(S.union, kept)
 
     def n_extend(self, n: A.Extend) -> Solutions:

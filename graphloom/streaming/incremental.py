@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.functions.expressions import Expressions
 from graphloom.operators import solutions as S
 from graphloom.plans.agp import AGP
 from graphloom.plans.compiler import shown
@@ -52,10 +53,8 @@ class IncrementalPattern:
         out = parts[0]
         for p in parts[1:]:
             out = S.union(out, p)
-        from graphloom.functions.expressions import Expressions, ebv
-
         for f in self.filters:
-            out = S.Solutions(out.df.filter(F.coalesce(ebv(*Expressions(out.values()).value(f)), F.lit(False))), out.kinds)
+            out = S.Solutions(out.df.filter(Expressions(out.values()).test(f)), out.kinds)
         found = out.df.select(*(shown(out.col(v), out.kinds[v]).alias(v) for v in self.vars))
         found.write.mode("overwrite").parquet(f"{self.base}/answers/{number:09d}")
 
