@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkernel as K
-from graphloom.llm.scratch import Scratch
+from graphloom.llm.scratch import Scratch, lean
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_shouts", "n_capital_runs", "n_symbol_words")
 BASE = MEASURES[:5]
@@ -208,6 +208,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Texts are measured twice, first for the counts, then to decide; the table of
     posteriors has one entry per pattern.
     """
+    lean(docs.sparkSession)
     found = posteriors(pattern_counts(measures(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")))))
     return docs.mapInArrow(_filter(found, text_col), docs.schema)
 

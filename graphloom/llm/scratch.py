@@ -1,35 +1,39 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Only where it is
-unset (tests, a laptop) a local folder is made and set as checkpoint folder.
-A table written here cuts the lineage: losing an executor afterwards costs no
+A table written there cuts the lineage: losing an executor afterwards costs no
 recomputation, since every task can read the files again.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.sources.store import children, delete, exists, filesystem, rename, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from the session; made and set only where unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        found = spark.sparkContext.getCheckpointDir()
-        path = found or tempfile.mkdtemp(prefix="graphloom-")
-        if not found:
-            spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["Scratch", "children", "delete", "exists", "filesystem", "lean", "rename", "shared_dir"]
+
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def lean(spark: SparkSession) -> None:
+    """Send rows to Python workers in small batches: texts are long, and two workers share an executor's memory.
+
+    The session's own settings stay where they are smaller.
+    """
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(name)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 class Scratch:
     """A folder of Parquet tables for one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        lean(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -43,31 +47,3 @@ class Scratch:
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         delete(self.spark, self.path(name))
-
-
-def _path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def filesystem(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def delete(spark: SparkSession, path: str) -> bool:
-    return filesystem(spark, path).delete(_path(spark, path), True)
-
-
-def rename(spark: SparkSession, source: str, target: str) -> bool:
-    return filesystem(spark, source).rename(_path(spark, source), _path(spark, target))
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    return filesystem(spark, path).exists(_path(spark, path))
-
-
-def children(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """(name, bytes) of a folder's files; empty if the folder is missing."""
-    if not exists(spark, path):
-        return []
-    found = filesystem(spark, path).listStatus(_path(spark, path))
-    return sorted((s.getPath().getName(), s.getLen()) for s in found)

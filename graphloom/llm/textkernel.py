@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -54,14 +54,16 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offs = np.frombuffer(offsets, kind)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
