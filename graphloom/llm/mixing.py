@@ -16,7 +16,8 @@ Defined results: a null text has size 0; a null source is a source of its own; a
 source without characters has rate ``epochs``; sources without a weight get
 ``default_weight``; a weight of 0 drops the source.  Repeated rows have the same
 id and therefore equal counts; rows of a null id share one draw.  An empty table
-gives an empty table.  Other columns are kept.
+gives an empty table.  Other columns are kept.  A rate above ``MAX_RATE`` is an
+error.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.scratch import Scratch
+
 BROADCAST_SOURCES = 100_000
+#: A table of probabilities is made for each source, as long as its rate.
+MAX_RATE = 10_000
 
 
 def hashed(*parts: Column | str) -> Column:
@@ -47,14 +52,19 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(source, size, rate) of every source."""
+    """(source, size, rate) of every source, over all documents; sizes are summed once and saved."""
     spark = docs.sparkSession
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("size"))
+    sizes = Scratch(spark, "mix").save(sizes, "sizes")
     asked = spark.createDataFrame(sorted((k, float(v)) for k, v in weights.items()), "name string, weight double")
     found = sizes.join(F.broadcast(asked), F.col("source") == F.col("name"), "left").select("source", "size", F.coalesce("weight", F.lit(default_weight)).alias("weight"))
     total = found.agg(F.sum("weight").alias("w"), F.sum("size").alias("s")).first()  # one row
     rate = F.lit(epochs) * F.lit(float(total["s"] or 0)) * (F.col("weight") / F.lit(float(total["w"] or 1))) / F.col("size")
-    return found.select("source", "size", F.when(F.col("weight") <= 0, 0.0).when(F.col("size") == 0, F.lit(epochs)).otherwise(rate).alias("rate"))
+    out = found.select("source", "size", F.when(F.col("weight") <= 0, 0.0).when(F.col("size") == 0, F.lit(epochs)).otherwise(rate).alias("rate"))
+    most = out.agg(F.max("rate")).first()[0] or 0
+    if most > MAX_RATE:
+        raise ValueError(f"a source would be repeated {most:.0f} times on average, above {MAX_RATE}; its weight does not fit its size")
+    return out
 
 
 def mix(
