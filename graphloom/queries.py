@@ -301,7 +301,7 @@ def _places(spark: SparkSession, sf_dir: str):
     from graphloom.sources.mapping import triples_of
     from graphloom.sources.triples import TripleStore
 
-    store = TripleStore(triples_of(tables.mapping(spark, sf_dir), [NS + "Region", NS + "Nation"]))
+    store = TripleStore(triples_of(tables.mapping(spark, sf_dir), [NS + "Region", NS + "Nation"]), disjoint=True)
     return Session(spark, store, prefixes=dict(tables.PREFIXES))
 
 

@@ -25,18 +25,23 @@ def frame(spark: SparkSession, triples: list[tuple[Term, Term, Term]], graph: st
 
 @dataclass
 class TripleStore:
-    """A dataset of triples; patterns are filtered scans joined on their variables."""
+    """A dataset of triples; patterns are filtered scans joined on their variables.
+
+    ``disjoint``: no triple stands twice, in one graph or in two; then a scan of
+    several graphs needs no shuffle to make a set of them.
+    """
 
     df: DataFrame
     graph: Term | None = None
     default: tuple[str, ...] | None = None  # the graphs that make up the default graph; None: all
     named: tuple[str, ...] | None = None
+    disjoint: bool = False
 
     def inside(self, name: Term) -> TripleStore:
-        return TripleStore(self.df, name, self.default, self.named)
+        return TripleStore(self.df, name, self.default, self.named, self.disjoint)
 
     def with_graphs(self, default: tuple[str, ...], named: tuple[str, ...]) -> TripleStore:
-        return TripleStore(self.df, self.graph, default, named)
+        return TripleStore(self.df, self.graph, default, named, self.disjoint)
 
     def _rows(self) -> DataFrame:
         if isinstance(self.graph, Iri):
@@ -76,5 +81,6 @@ class TripleStore:
             meet(self.graph, F.col("g"), V.FULL_IRI)
         cols = [c.alias(S.column(n)) for n, (c, _) in bound.items()]
         # A graph is a set: a triple that stands in several graphs is one triple of their union.
-        df = df.select("p", "s", "o", *(["g"] if isinstance(self.graph, Var) else [])).distinct()
+        if not self.disjoint:
+            df = df.select("p", "s", "o", *(["g"] if isinstance(self.graph, Var) else [])).distinct()
         return S.Solutions(df.select(*cols), {n: k for n, (_, k) in bound.items()})

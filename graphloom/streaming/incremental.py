@@ -43,7 +43,7 @@ class IncrementalPattern:
         new = new.join(old, ["s", "p", "o"], "left_anti")
         new.write.mode("overwrite").parquet(f"{self.base}/triples/{number:09d}")
         new = self.spark.read.schema(old.schema).parquet(f"{self.base}/triples/{number:09d}")
-        graph = lambda df: TripleStore(df.withColumn("g", F.lit(None).cast("string")))
+        graph = lambda df: TripleStore(df.withColumn("g", F.lit(None).cast("string")), disjoint=True)
         now, delta, before = graph(old.unionByName(new)), graph(new), graph(old)
         parts = []
         for i in range(len(self.agp.patterns)):
