@@ -16,19 +16,22 @@ import urllib.request
 from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark.sql import functions as F
+
 from graphloom.operators.paths import Navigator
 from graphloom.operators.vocabulary import Duplicate, NotFound, VocabularyError
 from graphloom.plans.agp import parse_agp
 from graphloom.plans.compiler import Compiler
 from graphloom.session import Session
+from graphloom.sources.fragments import ResourceCache
 from graphloom.sources.results import json_lines, quad_text
 
 
 class Service:
     """Answers requests for one session; ``start`` serves until ``stop``."""
 
-    def __init__(self, session: Session, host: str = "127.0.0.1", port: int = 0):
-        self.session = session
+    def __init__(self, session: Session, host: str = "127.0.0.1", port: int = 0, resources: ResourceCache | None = None):
+        self.session, self.resources = session, resources
         self.lock = threading.RLock()
         service = self
 
@@ -119,6 +122,13 @@ class Service:
                 text = args["query"] if "query" in args else f"SELECT * WHERE {args['agp']}"
                 style = args.get("format", "quad")
                 return ("text/n3" if style == "n3" else "text/plain"), (r[0] + "\n" for r in quad_text(s.fragment_quads(text), style, v.prefixes | s.prefixes).toLocalIterator())
+            case "GET", ["resources"] if self.resources:
+                return [r[0] for r in self.resources.table().select("gid").orderBy("gid").collect()]
+            case "GET", ["resources", gid] if self.resources:
+                found = self.resources.table().filter(F.col("gid") == gid).select("data").first()
+                if found is None:
+                    raise NotFound(gid)
+                return "text/turtle", found[0]
             case ("GET" | "POST"), ["plan"]:
                 return "text/turtle", s.planner.plan(parse_agp(args.get("agp") or body, v.prefixes | s.prefixes)).turtle()
             case "GET", ["vocabs"]:

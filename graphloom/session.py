@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.operators import solutions as S
 from graphloom.operators.traversal import Traversal
@@ -15,6 +17,7 @@ from graphloom.plans.agp import AGP, from_bgp
 from graphloom.plans.compiler import Compiler, Hook
 from graphloom.plans.parser import parse
 from graphloom.plans.planner import Plan, Planner
+from graphloom.sources.dereference import Loader, dereference
 from graphloom.sources.fragments import FragmentCache
 from graphloom.sources.mapping import Mapping
 from graphloom.sources.triples import TripleStore
@@ -31,6 +34,19 @@ class Session:
     functions: dict[str, Callable] = field(default_factory=dict)
     hooks: dict[str, Hook] = field(default_factory=dict)
     cache: FragmentCache | None = None
+    loader: Loader | None = None  # for FROM and FROM NAMED: graphs that the store does not have
+
+    @contextmanager
+    def cancellable(self, tag: str):
+        """Jobs started inside can be stopped by ``cancel(tag)`` from another thread."""
+        self.spark.addTag(tag)
+        try:
+            yield self
+        finally:
+            self.spark.removeTag(tag)
+
+    def cancel(self, tag: str) -> list[str]:
+        return self.spark.interruptTag(tag)
 
     @property
     def planner(self) -> Planner:
@@ -52,6 +68,10 @@ class Session:
             q.part = _beneath(q.part, given)
         data = self.data
         if q.default_graphs or q.named_graphs:
+            if self.loader:
+                wanted = self.spark.createDataFrame([(u,) for u in {*q.default_graphs, *q.named_graphs}], "uri string")
+                missing = wanted.join(data.df.select(F.col("g").alias("uri")).distinct(), "uri", "left_anti")
+                data = TripleStore(data.df.unionByName(dereference(missing, self.loader)))
             data = data.with_graphs(q.default_graphs, q.named_graphs)
         compiler = Compiler(self.spark, data, semantics, self.functions, self.hooks)
         if scope == "reachable":
@@ -85,10 +105,14 @@ class Session:
 
     def fragment_quads(self, text: str, seeds: dict[str, list[str]] | None = None) -> DataFrame:
         """(tp, s, p, o): every triple that takes part in a match reached from the seeds, with its pattern."""
+        # A kept fragment is stale when the seeds of any class have changed; seeds given here are a case of their own.
+        digest = self.vocab.digest(sorted(self.vocab.seeds.types())) if seeds is None else repr(sorted((t, sorted(u)) for t, u in seeds.items()))
         parts = []
         for agp, filters in self.agps(text):
             make = lambda agp=agp, filters=filters: Traversal(self.spark, self.data, self.vocab).quads(self.planner.plan(agp, seeds), filters)
-            parts.append(self.cache.get(agp, filters, make, self.vocab.digest(agp_types(self.vocab, agp))) if self.cache else make())
+            parts.append(self.cache.get(agp, filters, make, digest) if self.cache else make())
+        if not parts:
+            raise ValueError("the query has no graph pattern")
         out = parts[0]
         for i, p in enumerate(parts[1:], 1):
             out = out.unionByName(p.withColumn("tp", _tagged(i)))
@@ -103,22 +127,12 @@ class Session:
         return self.fragment_quads(text, seeds).toLocalIterator()
 
 
-def agp_types(vocab: Vocabulary, agp: AGP) -> list[str]:
-    """Classes with seeds: a fragment is stale when the seeds of any have changed."""
-    del agp
-    return sorted(vocab.seeds.types())
-
-
-def _tagged(i: int):
-    from pyspark.sql import functions as F
-
+def _tagged(i: int) -> Column:
     return F.concat(F.lit(f"{i}."), F.col("tp"))
 
 
 def _beneath(n: A.Node, given: A.Values) -> A.Node:
     """Join given bindings below the modifiers."""
     if isinstance(n, (A.Slice, A.Distinct, A.Reduced, A.Project, A.OrderBy)):
-        from dataclasses import replace
-
         return replace(n, part=_beneath(n.part, given))
     return A.Join(n, given)

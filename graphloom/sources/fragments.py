@@ -208,6 +208,10 @@ class ResourceCache:
         """Rewrite without what is over."""
         self._rewrite(self.table())
 
+    def published(self, base: str) -> DataFrame:
+        """(s, p, o) text: what is kept, as resources of a base."""
+        return self.table().select(F.lit(base).alias("s"), F.lit("urn:graphloom#hasResource").alias("p"), F.col("gid").alias("o"))
+
     def search(self, part: str) -> list[str]:
         return [r[0] for r in self.table().filter(F.contains("gid", F.lit(part))).select("gid").orderBy("gid").collect()]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
@@ -81,3 +81,10 @@ def _literal(c):
     for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\u0001", "\\")):
         lex = F.replace(lex, F.lit(a), F.lit(b))
     return T.make(T.LITERAL, lex, F.when(lang != "", F.lit(None)).when(dt == "", F.lit(XSD + "string")).otherwise(dt), F.when(lang != "", lang))
+
+
+def remote_quads(spark: SparkSession, url: str, query: str) -> DataFrame:
+    """(tp, s, p, o): the fragment that another engine's service has for a query."""
+    from graphloom.service import Client
+
+    return parse_quads(spark.createDataFrame([(x,) for x in Client(url).fragment(query)], "value string"))

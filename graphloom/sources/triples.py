@@ -84,3 +84,15 @@ class TripleStore:
         if not self.disjoint:
             df = df.select("p", "s", "o", *(["g"] if isinstance(self.graph, Var) else [])).distinct()
         return S.Solutions(df.select(*cols), {n: k for n, (_, k) in bound.items()})
+
+
+def save(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Keep triples as Parquet, a folder a predicate, so that a pattern reads its own predicate only."""
+    df.select("g", "s", "p", "o").write.mode(mode).partitionBy("p").parquet(path)
+
+
+def open_store(spark: SparkSession, path: str | None = None, disjoint: bool = False) -> TripleStore:
+    """The triples kept at a path; without one an empty store."""
+    if path is None:
+        return TripleStore(spark.createDataFrame([], SCHEMA), disjoint=True)
+    return TripleStore(spark.read.schema(SCHEMA).parquet(path).select("g", "s", "p", "o"), disjoint=disjoint)

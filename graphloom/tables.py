@@ -35,8 +35,12 @@ INVERSES = {"hasNation": "inRegion", "hasParty": "inNation", "placed": "placedBy
 
 
 def mapping(spark: SparkSession, sf_dir: str, read=None) -> Mapping:
+    known: dict[str, DataFrame] = {}
+
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name not in known:
+            known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return known[name]
 
     classes = {}
     for name, (source, key, columns, links) in _CLASSES.items():

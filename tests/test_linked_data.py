@@ -6,6 +6,9 @@ from graphloom.operators.vocabulary import Duplicate, NotFound, VocabularyError
 from graphloom.plans.agp import from_bgp
 from graphloom.service import Client, Service
 from graphloom.session import Session
+from graphloom.sources.fragments import ResourceCache
+from graphloom.sources.results import remote_quads
+from graphloom.sources.triples import open_store, save
 from graphloom.sources.dereference import ResourceWrapper, dereference, load, parse_rdf, parse_rdfxml
 from tests.test_engine import DATA, HEAD, QUERY, SENSORS, sensor_session, sensors
 
@@ -81,8 +84,32 @@ def test_crawl_collects_what_the_query_needs(spark):
     assert crawl.n_derefs == sum(crawl.levels) and found.df.filter("g = 'urn:d:c2'").count() == 0
 
 
-def test_service_and_client(spark):
-    service = Service(sensor_session(spark)).start()
+def test_from_loads_graphs(spark):
+    s = Session(spark, open_store(spark), sensors(), {"e": "urn:e#"}, loader=Pages())
+    got = s.sparql("SELECT ?n FROM <urn:d:v1> FROM NAMED <urn:d:k1> WHERE { ?v e:literalValue ?n . GRAPH ?g { ?k e:label ?l } }").collect()
+    assert [r.n for r in got] == ["5"]
+
+
+def test_store_on_disk_reads_one_predicate(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    save(sensor_session(spark).data.df, path)
+    s = Session(spark, open_store(spark, path), sensors(), {"e": "urn:e#"})
+    assert sorted(r.n for r in s.sparql(QUERY).collect()) == ["5", "7"]
+    df = s.sparql("SELECT ?n WHERE { ?v e:literalValue ?n }")
+    assert "PartitionFilters: [isnotnull(p" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cancel(spark):
+    s = sensor_session(spark)
+    with s.cancellable("t1"):
+        assert "t1" in spark.getTags()
+    assert "t1" not in spark.getTags() and s.cancel("t1") == []
+
+
+def test_service_and_client(spark, tmp_path):
+    cache = ResourceCache(spark, f"file://{tmp_path}/r", force=3600)
+    cache.create("urn:d:k1", lambda gid: Pages()(gid, "turtle"))
+    service = Service(sensor_session(spark), resources=cache).start()
     try:
         c = Client(service.url)
         assert c.get("vocabs") == ["e"] and len(c.get("types")) == 7 and c.get("prefixes")["e"] == "urn:e#"
@@ -90,6 +117,8 @@ def test_service_and_client(spark):
         assert sorted(b["n"]["value"] for b in c.query(QUERY)) == ["5", "7"]
         assert c.ask("ASK { ?s e:label 'CO2' }") and not c.ask("ASK { ?s e:label 'CO' }")
         assert len(c.fragment(QUERY)) == 5 and all(x.count("·") == 3 for x in c.fragment(QUERY, "quad-min"))
+        assert remote_quads(spark, service.url, QUERY).filter("o.lex = 'CO2'").count() == 1
+        assert c.get("resources") == ["urn:d:k1"] and "CO2" in c.get("resources/urn:d:k1") and cache.published("urn:me").first().o == "urn:d:k1"
         assert "SearchTree" in c.search_plan("{ ?s e:monitors ?c }")
         key = c.add_seed("urn:d:o9", "e:Hot")
         assert c.get_seed(key)["uri"] == "urn:d:o9" and c.seeds_of("e:Observation") == ["urn:d:o9"] and len(c.digest("e:Hot")) == 32
