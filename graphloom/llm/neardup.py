@@ -111,6 +111,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in fps), _lists(count, sketch), _lists(count, keys)],
                 names=["doc_id", "n_shingles", "fp_a", "fp_b", "sketch", "bands"],
             )
+        K.tidy()
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,6 +132,7 @@ def _sign_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(64 * LONG):
                     bits[some, k // 64] |= (sig[k] & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(np.ones(j - i, int), bits)], names=["id", "wide"])
+        K.tidy()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +152,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep[i] = len(x) and 100 * both >= SIMILAR * (len(x) + len(y) - both)
         yield batch.select([0, 1]).filter(pa.array(keep))
+        K.tidy()
 
 
 def _texts_of(ids: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:

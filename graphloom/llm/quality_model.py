@@ -73,6 +73,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, value, ends = _features(part, offs)
             lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *lists], names=["at", "label", "bucket", "value"])
+        K.tidy()
 
 
 def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> np.ndarray:
@@ -132,6 +133,7 @@ def _scorer(w: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 bucket, value, ends = _features(part, offs)
                 dots = np.add.reduceat(w[bucket] * value, ends[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(dots, -35, 35))))], names=["doc_id", "score"])
+            K.tidy()
 
     return run
 

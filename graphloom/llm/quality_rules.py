@@ -126,6 +126,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, part, offs in K.blocks(data, offsets):
             m = measure_block(part, offs)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(np.ascontiguousarray(c)) for c in m.T), pa.array(pattern(votes(m)))], names=["doc_id", *MEASURES, "pattern"])
+        K.tidy()
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,5 +226,6 @@ def _filter(found: dict[int, float], text_col: str) -> Callable[[Iterator[pa.Rec
                 words, repeats = m[:, 0], m[:, 4]
                 keep[i:j] = (words >= MIN_WORDS) & (100 * repeats <= MAX_REPEAT_PERCENT * words) & np.isin(pattern(votes(m)), good)
             yield batch.filter(pa.array(keep))
+            K.tidy()
 
     return run

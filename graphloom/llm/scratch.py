@@ -14,7 +14,7 @@ from graphloom.sources.store import children, delete, exists, filesystem, rename
 
 __all__ = ["Scratch", "children", "delete", "exists", "filesystem", "lean", "rename", "shared_dir"]
 
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 
 
 def lean(spark: SparkSession) -> None:
