@@ -6,6 +6,7 @@ recomputation, since every task can read the files again.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,17 @@ def lean(spark: SparkSession) -> None:
     """
     for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         name = f"spark.sql.execution.arrow.{key}"
-        now = int(str(spark.conf.get(name)).rstrip("b"))
+        now = _number(str(spark.conf.get(name)))
         if now <= 0 or now > most:
             spark.conf.set(name, str(most))
 
 
+def _number(text: str) -> int:
+    """A setting such as 2000, 64m or 67108864b."""
+    m = re.fullmatch(r"(-?[0-9]+)([kmgt]?)b?", text.strip().lower())
+    return int(m[1]) * 1024 ** " kmgt".index(m[2] or " ") if m else 0
+
+
 class Scratch:
     """A folder of Parquet tables for one run of an operator."""
 
