@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import tables
-from graphloom.functions.terms import RDF_TYPE, Literal, n3
+from graphloom.functions.terms import RDF_TYPE, XSD, Literal, n3
 from graphloom.tables import DATA, NS
 
 _CUST = "SELECT 'urn:data:customer/' || c_custkey"
@@ -572,9 +572,14 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "fragment_cached_generalised": (fragment_cached_generalised, _QUADS),
     "ttl_fresh": (ttl_fresh, "SELECT event_type, count(*) AS n, min(e) AS ttl FROM (SELECT event_type, floor(epoch(ts))::BIGINT + (event_id % 1000) * 60 AS e FROM events) WHERE e > floor(epoch(TIMESTAMP '2024-01-15 00:00:00'))::BIGINT GROUP BY 1"),
     "incremental_bgp": (incremental_bgp, "SELECT n_name AS n, r_name AS m, 'urn:data:region/' || n_regionkey AS r FROM nation JOIN region ON n_regionkey=r_regionkey"),
-    "sparql_json": (sparql_json, None),
+    "sparql_json": (sparql_json, """SELECT '{"r":{"type":"uri","value":"urn:data:region/' || r_regionkey || '"},"k":{"type":"typed-literal","value":"' || r_regionkey || '","datatype":"http://www.w3.org/2001/XMLSchema#integer"},"n":{"type":"literal","value":"' || r_name || '"}}' AS binding FROM region"""),
     "quad_text": (quad_text, f"SELECT 'tp_0' AS tp, 'urn:data:nation/' || n_nationkey AS s, '{_T}inRegion' AS p, 'urn:data:region/' || n_regionkey AS o FROM nation UNION SELECT 'tp_1', 'urn:data:region/' || r_regionkey, '{_T}r_name', r_name FROM region"),
-    "turtle_round_trip": (turtle_round_trip, None),
+    "turtle_round_trip": (
+        turtle_round_trip,
+        f"SELECT '{RDF_TYPE}' AS p, NULL::VARCHAR AS dt, count(*) AS n, 1::BIGINT AS d FROM supplier UNION ALL SELECT '{_T}inNation', NULL, count(*), count(DISTINCT s_nationkey) FROM supplier"
+        f" UNION ALL SELECT '{_T}s_suppkey', '{XSD}integer', count(*), count(DISTINCT s_suppkey) FROM supplier UNION ALL SELECT '{_T}s_nationkey', '{XSD}integer', count(*), count(DISTINCT s_nationkey) FROM supplier"
+        f" UNION ALL SELECT '{_T}s_name', '{XSD}string', count(*), count(DISTINCT s_name) FROM supplier UNION ALL SELECT '{_T}s_acctbal', '{XSD}double', count(*), count(DISTINCT s_acctbal) FROM supplier",
+    ),
     "plan_length": (plan_length, "SELECT 'Region' AS from_type, 'hasNation' AS steps, 7::INTEGER AS length"),
 }
 
