@@ -8,10 +8,12 @@ options, repetitions and slots without alternatives, which also counts, for each
 part, pages, characters and characters inside links.  The wrapper then says which
 parts hold the article; every page is cut along its host's parts.
 
-A part is the article if its element says so (article, main, a content class) and
-otherwise if most of the host's running text is below it; menus, asides, footers,
-forms, notices, adverts and comments are known by element and class, and where no
-element names the article also by texts that never change on the host.
+A part is the article if its element says so (article, main, a content class).
+Where none does, it is the innermost container beside which there is only known
+boilerplate or text inside links; nothing in it is left out for being short.
+Menus, asides, footers, forms, notices, adverts and comments are known by element
+and class, and where no element names the article also by texts that never change
+on the host.
 
 Distribution: each task folds its own pages into one wrapper a host and emits
 those, so a host that holds a third of all pages sends one small wrapper a task;
@@ -61,7 +63,8 @@ OUTER_WORDS = frozenset("header masthead".split())
 #: A class such as "has-sidebar" is about the page, not the element.
 ABOUT = frozenset("has with no without is not".split())
 MAIN_WORDS = frozenset("article content post entry story main".split())
-MOST = 0.8
+#: Elements of text, which hold a piece of an article and never the whole of it.
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li dt dd blockquote pre figure figcaption caption address summary".split())
 SAME_PAGES = 3
 BROADCAST_HOSTS = 200_000
 
@@ -242,8 +245,37 @@ def _running(p: Part) -> int:
     return 0 if boilerplate(tag, words) else sum(_running(c) for c in p.children)
 
 
+def _held(p: Part) -> int:
+    """Characters of text below a part, links too, without known boilerplate."""
+    if p.sig == "#":
+        return p.chars
+    tag, words = _split(p.sig)
+    return 0 if boilerplate(tag, words) else sum(_held(c) for c in p.children)
+
+
+def _content(at: Part) -> tuple[list[Part], list[Part]]:
+    """(children with text that may belong to the article, children to leave out).
+
+    Left out are site headers and, before or after all that is kept, containers
+    whose text is all inside links; headings, paragraphs and the like never are.
+    """
+    held = [c for c in at.children if _held(c)]
+
+    def outer(c: Part) -> bool:
+        return c.sig != "#" and boilerplate(*_split(c.sig), outside=True)
+
+    def edge(c: Part) -> bool:
+        return c.sig != "#" and _split(c.sig)[0] not in TEXT_LEVEL and not _running(c)
+
+    sure = [i for i, c in enumerate(held) if not outer(c) and not edge(c)]
+    if not sure:
+        return held, []
+    left = [c for i, c in enumerate(held) if outer(c) or not sure[0] <= i <= sure[-1]]
+    return [c for c in held if c not in left], left
+
+
 def decide(wrapper: Part) -> dict[str, list[str]]:
-    """{"roots": paths of the parts that hold the article, "drop": texts of the template to leave out}."""
+    """{"roots": paths of the parts that hold the article, "skip": paths to leave out, "drop": texts of the template to leave out}."""
     named: dict[int, list[str]] = {}
 
     def walk(p: Part, path: str) -> None:
@@ -262,13 +294,15 @@ def decide(wrapper: Part) -> dict[str, list[str]]:
         walk(c, c.sig)
     if named:
         paths = named[min(named)]
-        return {"roots": [p for p in paths if not any(p.startswith(q + ">") for q in paths)], "drop": []}
+        return {"roots": [p for p in paths if not any(p.startswith(q + ">") for q in paths)], "skip": [], "drop": []}
     at, path = wrapper, ""
     while True:
-        best = max((c for c in at.children if c.sig != "#"), key=_running, default=None)
-        if best is None or _running(best) == 0 or _running(best) < MOST * _running(at):
+        kept, left = _content(at)
+        if len(kept) != 1 or kept[0].sig == "#" or kept[0].many or _split(kept[0].sig)[0] in TEXT_LEVEL:
             break
-        at, path = best, f"{path}>{best.sig}" if path else best.sig
+        at = kept[0]
+        path = f"{path}>{at.sig}" if path else at.sig
+    skip = {p.sig for p in left} - {p.sig for p in kept}
     drop: list[str] = []
 
     def fixed(p: Part) -> None:
@@ -278,12 +312,12 @@ def decide(wrapper: Part) -> dict[str, list[str]]:
             fixed(c)
 
     fixed(at)
-    return {"roots": [path], "drop": sorted(set(drop))}
+    return {"roots": [path], "skip": sorted(f"{path}>{x}" if path else x for x in skip), "drop": sorted(set(drop))}
 
 
 def cut(page: str, decision: dict[str, list[str]]) -> tuple[str, bool]:
     """(text, whether a root was met) of a page."""
-    roots, drop = frozenset(decision["roots"]), frozenset(decision["drop"])
+    roots, skip, drop = frozenset(decision["roots"]), frozenset(decision["skip"]), frozenset(decision["drop"])
     anywhere = "" in roots
     path: list[str] = []
     inside, skipped, met = 1 if anywhere else 0, 0, anywhere
@@ -314,7 +348,9 @@ def cut(page: str, decision: dict[str, list[str]]) -> tuple[str, bool]:
                 mark = 0
                 if boilerplate(tag, words, outside=not inside) or tag == "article" and inside and words & SKIPPED_WORDS:
                     mark, skipped = 2, skipped + 1
-                elif not skipped and ">".join(path) in roots:
+                elif not skipped and (at := ">".join(path)) in skip:
+                    mark, skipped = 2, skipped + 1
+                elif not skipped and at in roots:
                     mark, inside, met = 1, inside + 1, True
                 marks.append(mark)
             else:

@@ -177,6 +177,26 @@ def test_article_without_a_name_is_the_running_text():
     assert html_text.cut(pages[1], html_text.decide(wrapper))[0].startswith("words words") and "Home" not in html_text.cut(pages[1], html_text.decide(wrapper))[0]
 
 
+def wrapper_of(pages):
+    wrapper = html_text.page_part(pages[0])
+    for p in pages[1:]:
+        wrapper = html_text.merge(wrapper, html_text.page_part(p))
+    return wrapper
+
+
+def test_nothing_beside_the_paragraphs_is_lost():
+    words = lambda n: " ".join(["words"] * n)
+    page = lambda i: f"<html><body><header>Site</header><div><a>Home</a></div><h1>Title {i}</h1><p>{words(90 + i)}</p><p>more {i}</p><ul><li>one {i}<li>two</ul><blockquote>quote {i}</blockquote><p>end {i}<table><tr><td>cell {i}</table></body></html>"
+    pages = [page(i) for i in range(2)]
+    decision = html_text.decide(wrapper_of(pages))
+    for i, p in enumerate(pages):
+        assert html_text.extract(p, decision).split("\n") == [f"Title {i}", words(90 + i), f"more {i}", f"one {i}", "two", f"quote {i}", f"end {i}", f"cell {i}"]
+    split = [f"<body><div class=a><div class=x><p>{words(200 + i)}</div><div class=y>short {i}</div></div><div class=b>last {i}</div></body>" for i in range(2)]
+    assert html_text.extract(split[1], html_text.decide(wrapper_of(split))).split("\n") == [words(201), "short 1", "last 1"]
+    linked = f"<body><h2><a>Linked title</a></h2><p>{words(90)}</p></body>"
+    assert html_text.extract(linked, None) == f"Linked title\n{words(90)}"
+
+
 def plain_nearest(rows, asks, k):
     good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = collections.Counter()
