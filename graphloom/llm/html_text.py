@@ -12,8 +12,10 @@ A part is the article if its element says so (article, main, a content class).
 Where none does, it is the innermost container beside which there is only known
 boilerplate or text inside links; nothing in it is left out for being short.
 Menus, asides, footers, forms, notices, adverts and comments are known by element
-and class, and where no element names the article also by texts that never change
-on the host.
+and class.  Where no element names the article, the host's template is left out
+as well: containers before or after the article that stand on every page with
+the same text, once SAME_PAGES pages differ and most of their text does.  Equal
+pages count once there, and a text below the article's root is always kept.
 
 Distribution: each task folds its own pages into one wrapper a host and emits
 those, so a host that holds a third of all pages sends one small wrapper a task;
@@ -30,11 +32,12 @@ browsers do for paragraphs and list items, others are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,7 +68,9 @@ ABOUT = frozenset("has with no without is not".split())
 MAIN_WORDS = frozenset("article content post entry story main".split())
 #: Elements of text, which hold a piece of an article and never the whole of it.
 TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li dt dd blockquote pre figure figcaption caption address summary".split())
+#: A template is told by as many different pages, and by this share of text that differs.
 SAME_PAGES = 3
+MOST = 0.8
 BROADCAST_HOSTS = 200_000
 
 
@@ -134,24 +139,30 @@ def events(page: str) -> Iterator[tuple[int, str, str]]:
 
 
 class Part:
-    """A node of a wrapper: an element or (signature "#") a text slot."""
+    """A node of a wrapper: an element or (signature "#") a text slot.
 
-    __slots__ = ("sig", "many", "optional", "pages", "chars", "linked", "same", "children")
+    ``same`` is the text that all pages have here, of a long text and of what is
+    below an element a digest, else None; ``seen`` are digests of different pages,
+    SAME_PAGES at most, and only the whole page has them.
+    """
+
+    __slots__ = ("sig", "many", "optional", "pages", "chars", "linked", "same", "seen", "children")
 
     def __init__(self, sig: str, pages: int = 1):
         self.sig, self.many, self.optional, self.pages = sig, False, False, pages
         self.chars = self.linked = 0
         self.same: str | None = None
+        self.seen: list[str] = []
         self.children: list[Part] = []
 
     def pack(self) -> list:
-        return [self.sig, int(self.many), int(self.optional), self.pages, self.chars, self.linked, self.same, [c.pack() for c in self.children]]
+        return [self.sig, int(self.many), int(self.optional), self.pages, self.chars, self.linked, self.same, self.seen, [c.pack() for c in self.children]]
 
     @staticmethod
     def unpack(x: list) -> Part:
         p = Part(x[0], x[3])
-        p.many, p.optional, p.chars, p.linked, p.same = bool(x[1]), bool(x[2]), x[4], x[5], x[6]
-        p.children = [Part.unpack(c) for c in x[7]]
+        p.many, p.optional, p.chars, p.linked, p.same, p.seen = bool(x[1]), bool(x[2]), x[4], x[5], x[6], x[7]
+        p.children = [Part.unpack(c) for c in x[8]]
         return p
 
     def expression(self) -> str:
@@ -160,12 +171,20 @@ class Part:
         return f"({body})" + ("*" if self.many and self.optional else "+" if self.many else "?") if self.many or self.optional else body
 
 
+def _digest(texts: Iterable[str]) -> str:
+    return hashlib.blake2b("\0".join(texts).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def merge(a: Part, b: Part, together: bool = False) -> Part:
     """Align two parts of one signature.  ``together``: both are of one page."""
     out = Part(a.sig, max(a.pages, b.pages) if together else a.pages + b.pages)
     out.many, out.optional = a.many or b.many or together and a.sig != "#", a.optional or b.optional
     out.chars, out.linked = a.chars + b.chars, a.linked + b.linked
-    out.same = a.same if a.same == b.same and not together else None
+    if together:
+        out.same = _digest([a.same, b.same]) if a.sig != "#" and None not in (a.same, b.same) else None
+    else:
+        out.same = a.same if a.same == b.same else None
+    out.seen = sorted({*a.seen, *b.seen})[:SAME_PAGES]
     out.children = align(a.children, b.children, together)
     return out
 
@@ -216,24 +235,31 @@ def fold(parts: list[Part]) -> list[Part]:
 def page_part(page: str) -> Part:
     """The wrapper of one page; inline elements belong to the text around them."""
     root = Part("")
-    stack, links = [root], 0
+    stack, texts, links = [root], [[]], 0  # texts: of each open element, without known boilerplate
     for kind, tag, more in events(page):
         if kind == 0:
             text = " ".join(more.split())
             if text:
                 p = Part("#")
-                p.chars, p.linked, p.same = len(text), len(text) if links else 0, text if len(text) <= 200 else None
+                p.chars, p.linked, p.same = len(text), len(text) if links else 0, text if len(text) <= 200 else _digest([text])
                 stack[-1].children.append(p)
+                texts[-1].append(p.same)
         elif tag in INLINE:
             links += kind if tag == "a" else 0
         elif kind > 0:
             p = Part(signature(tag, more)[0])
             stack[-1].children.append(p)
             stack.append(p)
+            texts.append([])
         else:
-            done = stack.pop()
+            done, own = stack.pop(), texts.pop()
             done.children = fold(done.children)
+            done.same = _digest(own) if own and not boilerplate(*_split(done.sig)) else ""
+            if done.same:
+                texts[-1].append(done.same)
     root.children = fold(root.children)
+    root.same = _digest(texts[0])
+    root.seen = [root.same]
     return root
 
 
@@ -253,19 +279,25 @@ def _held(p: Part) -> int:
     return 0 if boilerplate(tag, words) else sum(_held(c) for c in p.children)
 
 
-def _content(at: Part) -> tuple[list[Part], list[Part]]:
+def _content(at: Part, pages: int) -> tuple[list[Part], list[Part]]:
     """(children with text that may belong to the article, children to leave out).
 
     Left out are site headers and, before or after all that is kept, containers
-    whose text is all inside links; headings, paragraphs and the like never are.
+    whose text is all inside links and those of the template; headings, paragraphs
+    and the like never are.  ``pages``: how many different ones the host has.
     """
     held = [c for c in at.children if _held(c)]
 
     def outer(c: Part) -> bool:
         return c.sig != "#" and boilerplate(*_split(c.sig), outside=True)
 
+    fixed = [c for c in held if c.sig != "#" and not c.optional and c.same is not None and not outer(c)]
+    some = sum(_running(c) for c in held if not outer(c))
+    if pages < SAME_PAGES or some - sum(map(_running, fixed)) < MOST * some:
+        fixed = []
+
     def edge(c: Part) -> bool:
-        return c.sig != "#" and _split(c.sig)[0] not in TEXT_LEVEL and not _running(c)
+        return c.sig != "#" and _split(c.sig)[0] not in TEXT_LEVEL and (not _running(c) or c in fixed)
 
     sure = [i for i, c in enumerate(held) if not outer(c) and not edge(c)]
     if not sure:
@@ -275,7 +307,7 @@ def _content(at: Part) -> tuple[list[Part], list[Part]]:
 
 
 def decide(wrapper: Part) -> dict[str, list[str]]:
-    """{"roots": paths of the parts that hold the article, "skip": paths to leave out, "drop": texts of the template to leave out}."""
+    """{"roots": paths of the parts that hold the article, "skip": paths to leave out}."""
     named: dict[int, list[str]] = {}
 
     def walk(p: Part, path: str) -> None:
@@ -294,30 +326,21 @@ def decide(wrapper: Part) -> dict[str, list[str]]:
         walk(c, c.sig)
     if named:
         paths = named[min(named)]
-        return {"roots": [p for p in paths if not any(p.startswith(q + ">") for q in paths)], "skip": [], "drop": []}
+        return {"roots": [p for p in paths if not any(p.startswith(q + ">") for q in paths)], "skip": []}
     at, path = wrapper, ""
     while True:
-        kept, left = _content(at)
+        kept, left = _content(at, len(wrapper.seen))
         if len(kept) != 1 or kept[0].sig == "#" or kept[0].many or _split(kept[0].sig)[0] in TEXT_LEVEL:
             break
         at = kept[0]
         path = f"{path}>{at.sig}" if path else at.sig
     skip = {p.sig for p in left} - {p.sig for p in kept}
-    drop: list[str] = []
-
-    def fixed(p: Part) -> None:
-        if p.sig == "#" and p.same is not None and p.pages >= SAME_PAGES:
-            drop.append(p.same)
-        for c in p.children:
-            fixed(c)
-
-    fixed(at)
-    return {"roots": [path], "skip": sorted(f"{path}>{x}" if path else x for x in skip), "drop": sorted(set(drop))}
+    return {"roots": [path], "skip": sorted(f"{path}>{x}" if path else x for x in skip)}
 
 
 def cut(page: str, decision: dict[str, list[str]]) -> tuple[str, bool]:
     """(text, whether a root was met) of a page."""
-    roots, skip, drop = frozenset(decision["roots"]), frozenset(decision["skip"]), frozenset(decision["drop"])
+    roots, skip = frozenset(decision["roots"]), frozenset(decision["skip"])
     anywhere = "" in roots
     path: list[str] = []
     inside, skipped, met = 1 if anywhere else 0, 0, anywhere
@@ -329,7 +352,7 @@ def cut(page: str, decision: dict[str, list[str]]) -> tuple[str, bool]:
         if buffer:
             text = " ".join("".join(buffer).split())
             buffer.clear()
-            if text and text not in drop:
+            if text:
                 blocks.append(text)
 
     for kind, tag, more in events(page):

@@ -197,6 +197,24 @@ def test_nothing_beside_the_paragraphs_is_lost():
     assert html_text.extract(linked, None) == f"Linked title\n{words(90)}"
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, "http://c.org/", "<p>only this paragraph of text</p>") for i in range(3)]
+    rows += [(10 + i, f"http://d.org/{i}", "<body><h1>Copied</h1><p>short</p><h2>Part</h2><p>" + "words " * 60 + "</p></body>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "only this paragraph of text" for i in range(3))
+    assert all(got[10 + i] == "Copied\nshort\nPart\n" + " ".join(["words"] * 60) for i in range(4))
+
+
+def test_template_is_told_by_place():
+    notice, words = "All rights of this site " * 20, lambda i: f"words{i} " * 300
+    page = lambda i: f"<body><div class=x>{notice}</div><div class=y><h1>Title {i}</h1>{'<h2>Summary</h2>' if i else ''}<p>{words(i)}</p><p>end</p></div></body>"
+    want = lambda i: "\n".join([f"Title {i}", *(["Summary"] if i else []), words(i).strip(), "end"])
+    decision = html_text.decide(wrapper_of([page(i) for i in range(4)]))
+    assert [html_text.extract(page(i), decision) for i in range(4)] == [want(i) for i in range(4)]
+    two = html_text.decide(wrapper_of([page(i % 2) for i in range(6)]))  # two pages, three times each
+    assert html_text.extract(page(1), two) == f"{notice.strip()}\n{want(1)}"
+
+
 def plain_nearest(rows, asks, k):
     good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = collections.Counter()
