@@ -16,20 +16,26 @@ Defined results: a null text has size 0; a null source is a source of its own; a
 source without characters has rate ``epochs``; sources without a weight get
 ``default_weight``; a weight of 0 drops the source.  Repeated rows have the same
 id and therefore equal counts; rows of a null id share one draw.  An empty table
-gives an empty table.  Other columns are kept.  A rate above ``MAX_RATE`` is an
-error.
+gives an empty table.  Other columns are kept.  A rate may be of any size: above
+``TABLE_RATE`` the same number is inverted for each document over the counts about
+the rate, without a table, and its copies are made in blocks.  The number of a
+copy is a 32-bit integer; a document of more copies than that is an error.
 """
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.scratch import Scratch
 
 BROADCAST_SOURCES = 100_000
-#: A table of probabilities is made for each source, as long as its rate.
-MAX_RATE = 10_000
+#: Up to this rate a source has a table of probabilities, as long as the rate.
+TABLE_RATE = 1000
+#: Copies of a document that are made at once, where rates are above that.
+BLOCK = 1 << 16
 
 
 def hashed(*parts: Column | str) -> Column:
@@ -51,6 +57,27 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: s["out"])
 
 
+def poisson_count(rate: Column, draw: Column) -> Column:
+    """How many k have P(count <= k) <= draw, for a rate above TABLE_RATE.
+
+    Twelve deviations below the rate all probabilities together are below e^-60,
+    far below the smallest draw, so the sum starts there: at Stirling's series,
+    then each probability from the one before.
+    """
+    spread = F.lit(12) * F.sqrt(rate) + 30
+    low, high = F.floor(rate - spread), F.ceil(rate + spread)
+    n = low.cast("double")
+    series = 1 / (12 * n) - 1 / (360 * n * n * n) + 1 / (1260 * n * n * n * n * n)
+    first = F.exp(n - rate - n * F.log1p((n - rate) / rate) - series - 0.5 * F.log(2 * pi * n))
+    start = F.struct(first.alias("p"), first.alias("total"), low.alias("n"))
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * rate / k
+        return F.struct(p.alias("p"), (s["total"] + p).alias("total"), (s["n"] + F.when(s["total"] <= draw, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(F.sequence(low + 1, high), start, step, lambda s: s["n"])
+
+
 def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(source, size, rate) of every source, over all documents; sizes are summed once and saved."""
     spark = docs.sparkSession
@@ -60,11 +87,7 @@ def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.
     found = sizes.join(F.broadcast(asked), F.col("source") == F.col("name"), "left").select("source", "size", F.coalesce("weight", F.lit(default_weight)).alias("weight"))
     total = found.agg(F.sum("weight").alias("w"), F.sum("size").alias("s")).first()  # one row
     rate = F.lit(epochs) * F.lit(float(total["s"] or 0)) * (F.col("weight") / F.lit(float(total["w"] or 1))) / F.col("size")
-    out = found.select("source", "size", F.when(F.col("weight") <= 0, 0.0).when(F.col("size") == 0, F.lit(epochs)).otherwise(rate).alias("rate"))
-    most = out.agg(F.max("rate")).first()[0] or 0
-    if most > MAX_RATE:
-        raise ValueError(f"a source would be repeated {most:.0f} times on average, above {MAX_RATE}; its weight does not fit its size")
-    return out
+    return found.select("source", "size", F.when(F.col("weight") <= 0, 0.0).when(F.col("size") == 0, F.lit(epochs)).otherwise(rate).alias("rate"))
 
 
 def mix(
@@ -78,13 +101,24 @@ def mix(
     """
     spark = docs.sparkSession
     table = rates(docs, weights, default_weight, epochs, source_col, text_col)
-    table = table.select(F.col("source").alias("_of"), poisson_cdf(F.col("rate")).alias("_cdf"))
-    few = table.count() <= BROADCAST_SOURCES
+    known = table.agg(F.count("*").alias("n"), F.max("rate").alias("most")).first()  # one row
+    few, high = known["n"] <= BROADCAST_SOURCES, (known["most"] or 0) > TABLE_RATE
+    cdf = poisson_cdf(F.col("rate"))
+    table = table.select(F.col("source").alias("_of"), F.col("rate").alias("_rate"), (F.when(F.col("rate") <= TABLE_RATE, cdf) if high else cdf).alias("_cdf"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     draw = hashed(seed, "count", key) / F.lit(float(1 << 52))
     joined = docs.join(F.broadcast(table) if few else table, F.col(source_col).eqNullSafe(F.col("_of")))
     copies = F.size(F.filter("_cdf", lambda c: c <= draw))
-    out = joined.select(*(F.col(c) for c in docs.columns), F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias(copy_col))
+    own = [F.col(c) for c in docs.columns]
+    if high:
+        copies = F.when(F.col("_rate") <= TABLE_RATE, copies.cast("long")).otherwise(poisson_count(F.col("_rate"), draw))
+        drawn = joined.select(*own, copies.alias("_copies")).filter("_copies > 0")
+        blocks = drawn.select("*", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {BLOCK})")).alias("_block"))
+        out = blocks.select(*own, F.explode(F.expr(f"sequence(_block * {BLOCK} + 1, least((_block + 1) * {BLOCK}, _copies))")).alias("_copy"))
+        number = F.when(F.col("_copy") < 1 << 31, F.col("_copy").cast("int")).otherwise(F.raise_error(F.lit("a document has more copies than a 32-bit integer can number")))
+        out = out.select(*own, number.alias(copy_col))
+    else:
+        out = joined.select(*own, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias(copy_col))
     out = out.withColumn(order_col, hashed(seed, "order", key, F.col(copy_col).cast("string")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return out.repartitionByRange(parts, order_col, copy_col).sortWithinPartitions(order_col, copy_col)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, quality_model, quality_rules, secret_scan
 from tests.llm.data import documents, frame, prose
@@ -193,3 +194,18 @@ def test_mixing_equals_plain_draws(spark):
         share[r.source] += len(r.text or "")
     assert share["s1"] == 0 and abs(share["s0"] / sum(share.values()) - 3 / 5) < 0.08
     assert mixing.mix(frame(spark, []), weights).collect() == []
+
+
+def test_a_small_source_is_repeated_as_often_as_it_takes(spark):
+    rows = [(i, "x" * 5000, "big") for i in range(100)] + [(1000, "yy", "small"), (1001, "z", "small"), (1002, "abcd", None), (1003, "m" * 300, "mid")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter()
+    for r in mixing.mix(docs, {"big": 9.0}, seed="t").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("d"), F.max("copy_no").alias("m")).collect():
+        assert r.n == r.d == r.m
+        got[r.doc_id] = r.n
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(t)
+    rate = {s: sum(size.values()) * ((9.0 if s == "big" else 1.0) / 12.0) / size[s] for s in size}
+    assert rate["small"] > 10_000 and rate[None] > 10_000 and rate["mid"] < 1000
+    assert got == +collections.Counter({i: draws("t", i, rate[s]) for i, _, s in rows})
