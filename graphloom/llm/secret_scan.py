@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and Markov models of random and ordinary strings.
 
 Three patterns give base spans: a keyword with an assigned value, an access key
-id, a run of hexadecimal digits.  Other long tokens are judged by two first-order
-character models, one of random strings and one of ordinary identifiers, trained
-from labelled samples; a token whose log-likelihood ratio is above a margin adds
-a span of kind "random" unless it overlaps a base span.
+id, a run of hexadecimal digits.  Every other token of 12 characters or more is
+judged by two first-order character models, one of random strings and one of
+ordinary identifiers, words, numbers and rulers, trained from labelled samples; a
+token whose log-likelihood ratio is above a margin, which is higher for tokens
+under LONG characters, adds a span of kind "random" unless it overlaps a base span.
 
 Everything is DataFrame expressions over one row, so a scan never shuffles and a
 row's cost is that of a few passes over its text.  Positions follow from the
@@ -33,20 +34,33 @@ MAY_ASSIGN = r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
 #: A run of one class is matched whole or not at all, so its least length stands in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CLASSES = len(ALPHABET) + 1
 SMOOTHING = 0.5
 #: Natural logarithm of how much likelier random must be: one ordinary token in about 3,000 passes by chance.
 MARGIN = 8.0
+#: Added for each character under LONG: short ordinary tokens are many, and short random ones have less to show.
+SHORT, LONG = 0.5, 20
 SAMPLES = 4000
 
 _WORDS = "get set user name file path index value count list item node data load save read write open close start stop time date type size max min page view model table column row key map cache buffer string number config option default error message handler event request response server client session context module package version test main init update delete create insert select order group total average last first next previous".split()
 
+_PROSE = (
+    "international understanding responsibility development environmental particularly relationship significant independent communication characteristics throughout"
+    " knowledge neighbourhood straightforward thoughtfulness whatsoever nevertheless strengthening questionable temperature acknowledgement extraordinary philosophical"
+    " Geschwindigkeit Verantwortung Gesellschaft Entwicklung Wissenschaft selbstverständlich Zusammenarbeit Schwierigkeiten Aufmerksamkeit Bundesrepublik grundsätzlich"
+    " Möglichkeiten Lebensversicherung Rechtsanwalt Krankenhaus Pflichtverletzung unterschiedlich Herausforderung Wirtschaftlichkeit Einheitlichkeit Umweltschutz entsprechend"
+    " gouvernement développement particulièrement établissement connaissance malheureusement aujourd'hui environnement immédiatement responsabilité quelquefois nouveaux"
+    " travailleurs appartement heureusement administration renseignements bouleversement naturellement intellectuelle actuellement chevaux questionnaire lorsqu'elles"
+    " desarrollo conocimiento particularmente responsabilidad establecimiento universidad investigaciones acontecimientos trabajadores especialmente inmediatamente mejoramiento"
+    " desafortunadamente enriquecimiento aproximadamente independiente construcciones verdaderamente hispanoamericano ayuntamiento guerrillero izquierdo bachillerato"
+).split()
+
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(sample, random) rows: random strings of three alphabets, and identifiers of one to four words.
+    """(sample, random) rows: random strings of four alphabets; identifiers of one to four words, prose of four languages, numbers and rulers.
 
     Both are drawn from hashes of the row number, so that every run and every
     machine has the same ones.
@@ -56,7 +70,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     raw = F.concat(F.unhex(F.sha2(F.concat(F.lit("a"), F.col("id").cast("string")), 256)), F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")), 256)))
     full = F.regexp_replace(F.base64(raw), r"\s", "")
     plain = F.regexp_replace(full, "[+/=]", "")
-    made = F.substring(F.when(pick(0, 3) == 0, full).when(pick(0, 3) == 1, plain).otherwise(F.translate(full, "+/=", "-_")), 1, 40)
+    made = F.substring(F.when(pick(0, 4) == 0, full).when(pick(0, 4) == 1, plain).when(pick(0, 4) == 2, F.translate(full, "+/=", "-_")).otherwise(F.hex(raw)), 1, 40)
     random = rows.select(made.alias("sample"), F.lit(True).alias("random"))
     words = F.array(*(F.lit(w) for w in _WORDS))
     word = [F.element_at(words, pick(i, len(_WORDS)) + 1) for i in range(1, 5)]
@@ -66,7 +80,19 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     style = pick(8, 5)
     name = F.when(style == 0, join("_", word)).when(style == 1, join("", [word[0], *title[1:]])).when(style == 2, join("", title)).when(style == 3, F.upper(join("_", word))).otherwise(join("-", word))
     name = F.when(pick(9, 3) == 0, F.concat(name, pick(10, 100).cast("string"))).when(pick(9, 3) == 1, F.concat(join("/", word), F.lit("/"), name)).otherwise(name)
-    return random.unionByName(rows.select(name.alias("sample"), F.lit(False).alias("random")))
+    names = rows.select(name.alias("sample"), F.lit(False).alias("random"))
+    prose = F.array(*(F.lit(w) for w in _PROSE))
+    long = [F.element_at(prose, pick(i, len(_PROSE)) + 1) for i in (21, 22)]
+    style = pick(23, 6)
+    plain = F.when(style < 2, long[0]).when(style == 2, F.initcap(long[0])).when(style == 3, F.concat(long[0], F.lower(long[1]))).when(style == 4, F.concat_ws("-", *long)).otherwise(F.upper(long[0]))
+    digits = F.lpad(F.pmod(F.xxhash64("id", F.lit(24)), F.lit(10**15)).cast("string"), 15, "0")
+    date = F.concat_ws("-", F.concat(F.lit("20"), F.substring(digits, 1, 2)), F.substring(digits, 3, 2), F.substring(digits, 5, 2))
+    other = F.when(pick(26, 3) == 0, digits).when(pick(26, 3) == 1, date).otherwise(F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 3), F.substring(digits, 8, 6)))
+    more = rows.select(F.when(pick(27, 8) > 0, plain).otherwise(other).alias("sample"), F.lit(False).alias("random"))
+    signs = [a + b for a in "+/_=-" for b in "+/_=-" if a != b]
+    runs = " ".join([c * m for c in ALPHABET for m in range(28, 36)] + [x * m for x in signs for m in range(10, 14)])
+    rulers = spark.range(1).select(F.explode(F.split(F.lit(runs), " ")).alias("sample"), F.lit(False).alias("random"))
+    return random.unionByName(names).unionByName(more).unionByName(rulers)
 
 
 def _class(text: Column, at: Column) -> Column:
@@ -130,7 +156,7 @@ def scan(docs: DataFrame, table: Sequence[float], text_col: str = "text", out: s
     access = _spans(text, ACCESS, 1, F.contains(text, F.lit("AKIA")))
     hexes = _spans(text, HEX, 2, text.rlike("[0-9a-f]{16}"))
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    likely = lambda t: F.when(t.rlike("[0-9]") & t.rlike("[A-Za-z]"), log_ratio(t, table) > MARGIN).otherwise(F.lit(False))
+    likely = lambda t: log_ratio(t, table) > MARGIN + SHORT * F.greatest(LONG - F.length(t), F.lit(0))
     random = _spans(text, TOKEN, 3, text.rlike(TOKEN), F.transform(tokens, likely))
     with_base = docs.withColumn(out, F.struct(F.concat(assign, access, hexes).alias("base"), random.alias("more")))
     base, more = F.col(f"{out}.base"), F.col(f"{out}.more")

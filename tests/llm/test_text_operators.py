@@ -163,6 +163,20 @@ def test_markov_models_tell_random_from_names(spark):
     assert sum(r.random == r.hit for r in held) >= 0.97 * len(held)
 
 
+def test_random_tokens_need_no_digit_and_no_20_characters(spark):
+    table = secret_scan.train(secret_scan.labelled_samples(spark))
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    odd = ["".join(rng.choice(a) for _ in range(n)) for a in (letters, letters + "0123456789") for n in (12, 14, 16, 19, 20, 40) for _ in range(40)]
+    usual = "antidisestablishmentarianism Donaudampfschifffahrtsgesellschaft anticonstitutionnellement electroencefalografista HTTPServerErrorException state-of-the-art"
+    usual = [*usual.split(), "-" * 60, "=" * 12, "o" * 40, "2024-01-15T12", "1234567890123", "/usr/local/lib/python3/site-packages"]
+    docs = frame(spark, [(i, f"see {t} here") for i, t in enumerate(odd + usual)])
+    got = {r.doc_id: r.spans for r in secret_scan.report(docs, table).collect()}
+    hit = [bool(got[i]) for i in range(len(odd))]
+    assert sum(hit) >= 0.95 * len(odd) and all(h for h, t in zip(hit, odd, strict=True) if len(t) >= 20)
+    assert [t for i, t in enumerate(usual) if got[len(odd) + i]] == []
+
+
 def draws(seed, i, rate):
     u = int(hashlib.md5(f"{seed}|count|{'' if i is None else i}".encode()).hexdigest()[:13], 16) / (1 << 52)
     k, total = 0, math.exp(-rate)
