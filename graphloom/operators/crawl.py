@@ -1,7 +1,9 @@
 """Collecting linked data along a plan, a level of resources at a time.
 
 Each level is loaded in parallel, its triples go into a table in the shared
-folder, and the next level is what the plan's property leads to from it.  The
+folder, and the next level is what the plan's property leads to from it, round
+after round of a cycle until nothing new is reached; more than ``most_rounds``,
+where it is set, are an error, never a part of the result.  The
 result is a triple store over what was found, over which any query runs.
 """
 
@@ -9,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ class Crawl:
     spark: SparkSession
     vocab: Vocabulary
     loader: Loader | None = None
-    most_rounds: int = 1000
+    most_rounds: int | None = None
     base: str = ""
     n_derefs: int = 0
     levels: list[int] = field(default_factory=list)
@@ -86,7 +89,9 @@ class Crawl:
             at = store.checkpoint(self._follow(at, prop))
         for cycle in tree.cycles:
             reached = frontier = store.checkpoint(at)
-            for _ in range(self.most_rounds):
+            for done in count():
+                if done == self.most_rounds:
+                    raise RuntimeError(f"no end of the cycle after {done} rounds")
                 step = frontier
                 for _, prop in cycle:
                     self._load(step)

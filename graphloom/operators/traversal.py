@@ -8,6 +8,7 @@ cycle is a loop over the newly reached keys until there are none.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def _one(s: Solutions, var: str, name: str) -> Solutions:
 
 
 class Traversal:
-    def __init__(self, spark: SparkSession, data, vocab: Vocabulary, most_rounds: int = 1000):
+    def __init__(self, spark: SparkSession, data, vocab: Vocabulary, most_rounds: int | None = None):
         self.spark, self.data, self.vocab, self.most_rounds = spark, data, vocab, most_rounds
         self.rounds: list[int] = []  # newly reached resources of each round of a cycle
 
@@ -74,10 +75,15 @@ class Traversal:
         return at.distinct()
 
     def fixpoint(self, at: Solutions, props: list[str]) -> Solutions:
-        """Repeat the properties until nothing new is reached; each round is a join and a cut of the lineage."""
+        """Repeat the properties until nothing new is reached; each round is a join and a cut of the lineage.
+
+        More rounds than ``most_rounds``, where it is set, are an error.
+        """
         seen = Solutions(checkpoint(at.df.distinct()), at.kinds)
         frontier = seen
-        for _ in range(self.most_rounds):
+        for done in count():
+            if done == self.most_rounds:
+                raise RuntimeError(f"no end of the cycle after {done} rounds")
             step = frontier
             for p in props:
                 step = self.follow(step, p)
@@ -91,7 +97,6 @@ class Traversal:
                 return seen
             frontier = Solutions(new, seen.kinds)
             seen = Solutions(checkpoint(seen.df.unionByName(new)), seen.kinds)
-        raise RuntimeError(f"no end of the cycle after {self.most_rounds} rounds")
 
     def roots(self, plan: Plan) -> dict[str, Solutions]:
         """Root variable → what is reached in its place; a plan without trees reaches nothing."""

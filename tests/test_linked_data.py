@@ -84,6 +84,53 @@ def test_crawl_collects_what_the_query_needs(spark):
     assert crawl.n_derefs == sum(crawl.levels) and found.df.filter("g = 'urn:d:c2'").count() == 0
 
 
+class Keys(frozenset):
+    """What a loop to a fixpoint asks of a table of keys, without Spark."""
+
+    def join(self, other, _on, _how):
+        return Keys(self - other)
+
+    def unionByName(self, other):
+        return Keys(self | other)
+
+    def distinct(self):
+        return self
+
+    def isEmpty(self):
+        return not self
+
+    def count(self):
+        return len(self)
+
+
+def test_cycles_have_no_bound_of_rounds(monkeypatch):
+    from types import SimpleNamespace
+
+    from graphloom.functions.values import Kind
+    from graphloom.operators import crawl, traversal
+    from graphloom.operators.solutions import Solutions
+    from graphloom.plans.planner import Tree
+
+    monkeypatch.setattr(crawl.store, "checkpoint", lambda df: df)
+    monkeypatch.setattr(traversal, "checkpoint", lambda df: df)
+    n = 1500
+    after = lambda keys: Keys(k + 1 for k in keys if k < n)
+    tree = Tree("T", (0,), (), Iri("urn:r"), ((("x", "p"),),), 1)
+    c = Crawl(SimpleNamespace(createDataFrame=lambda rows, _: Keys(r[0] for r in rows if r)), None, base="-")
+    monkeypatch.setattr(c, "_load", lambda uris: None)
+    monkeypatch.setattr(c, "_follow", lambda uris, prop: after(uris))
+    assert c._reach(tree) == set(range(n + 1))
+    t = traversal.Traversal(None, None, None)
+    monkeypatch.setattr(t, "follow", lambda at, prop: Solutions(after(at.df), at.kinds))
+    seeds = Solutions(Keys([0]), {"at": Kind("iri", "urn:")})
+    assert t.fixpoint(seeds, ["p"]).df == set(range(n + 1))
+    c.most_rounds = t.most_rounds = 3
+    with pytest.raises(RuntimeError):
+        c._reach(tree)
+    with pytest.raises(RuntimeError):
+        t.fixpoint(seeds, ["p"])
+
+
 def test_from_loads_graphs(spark):
     s = Session(spark, open_store(spark), sensors(), {"e": "urn:e#"}, loader=Pages())
     got = s.sparql("SELECT ?n FROM <urn:d:v1> FROM NAMED <urn:d:k1> WHERE { ?v e:literalValue ?n . GRAPH ?g { ?k e:label ?l } }").collect()
