@@ -11,9 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.sources.store import children, delete, exists, filesystem, rename, shared_dir
+from graphloom.sources.store import children, delete, exists, filesystem, read_text, rename, shared_dir
 
-__all__ = ["Scratch", "children", "delete", "exists", "filesystem", "lean", "rename", "shared_dir"]
+__all__ = ["Scratch", "children", "delete", "exists", "filesystem", "lean", "read_text", "rename", "shared_dir"]
 
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 

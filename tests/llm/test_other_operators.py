@@ -56,34 +56,86 @@ def test_shard_store(spark):
     assert store.version() == 0 and store.shards() == []
     docs = frame(spark, rows)
     for part in range(5):
-        store.append(docs.filter(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(5)) == part).repartition(2))
+        store.append(docs.filter(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(5)) == part).repartition(2), rows_a_shard=4)
     assert store.version() == 5
     before = store.read().orderBy("doc_id", "text").collect()
     assert collections.Counter(before) == collections.Counter(docs.collect())
     many = len(store.shards())
-    version = store.compact(keep_old=True)
+    version = store.compact()
     assert version > 5 and len(store.shards()) < many
     assert collections.Counter(store.read().collect()) == collections.Counter(before)
     assert collections.Counter(store.read(5).collect()) == collections.Counter(before)
-    assert store.vacuum() > 0 and collections.Counter(store.read().collect()) == collections.Counter(before)
+    assert store.vacuum() == 0 and collections.Counter(store.read(5).collect()) == collections.Counter(before)
+    assert store.vacuum(older_than=0) >= many - len(store.shards()) and collections.Counter(store.read().collect()) == collections.Counter(before)
     tiers = collections.Counter(store.tier(s.bytes) for s in store.shards() if s.bytes < store.target // 2)
     assert all(n < 3 for n in tiers.values())
+    on_disk = collections.Counter(r.p for r in store.read().select(F.substring_index("_metadata.file_path", "/", -2).alias("p")).collect())
+    assert on_disk == {s.path: s.rows for s in store.shards()}
+    assert all(os.path.getsize(f"{store.base.removeprefix('file://')}/{s.path}") == s.bytes for s in store.shards())
     store.append(docs.limit(0))
     assert store.version() == version + 1 and store.read().count() == len(rows)
 
 
+def test_shards_by_arrivals_and_their_columns(spark):
+    docs = frame(spark, documents()).repartition(6)
+    parts = [docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == i) for i in range(3)]
+    store, version = shards.shard_documents(parts, Scratch(spark, "store").base)
+    assert version > 3 and len(store.shards()) == 1
+    assert collections.Counter(store.read(version).collect()) == collections.Counter(docs.collect())
+    store.append(docs.limit(2).select("doc_id", F.lit(1).alias("more")))
+    store.append(docs.limit(3))
+    assert store.read().count() == docs.count() + 5 and store.read().filter("more = 1 and text is null").count() == 2
+    with pytest.raises(ValueError):
+        store.append(docs.select(F.col("doc_id").cast("string").alias("doc_id")))
+    assert store.version() == version + 2
+
+
 def test_two_writers_commit_one_version_each(spark):
+    from pyspark.sql.types import StructType
+
     base = Scratch(spark, "store").base
     one, two = shards.ShardStore(spark, base), shards.ShardStore(spark, base)
-    schema = "{}"
-    one._commit(1, [], schema)
+    schema = StructType()
+    one._commit(1, [], set(), schema)
     with pytest.raises(shards.Conflict):
-        two._commit(1, [shards.Shard("x", 1, 1)], schema)
+        two._commit(1, [shards.Shard("x", 1, 1)], set(), schema)
     assert one.shards(1) == [] and not [p for p in glob.glob(f"{base.removeprefix('file://')}/manifests/_*")]
     with pytest.raises(shards.Conflict):
         two._update([], {"gone"}, schema)
 
 
+def test_a_late_writer_neither_loses_rows_nor_takes_an_old_version(spark, monkeypatch):
+    """A writes its files; B appends twice, merges and vacuums; then A commits."""
+    monkeypatch.setattr(shards, "SNAPSHOT_EVERY", 2)
+    docs = frame(spark, documents())
+    base = Scratch(spark, "store").base
+    a, b = (shards.ShardStore(spark, base, target_bytes=1 << 20, fanout=2) for _ in range(2))
+    a.append(docs)
+    late = a._write(docs.limit(7), "run")
+    for _ in range(2):
+        b.append(docs)
+    b.compact()
+    b.vacuum()
+    with pytest.raises(shards.Conflict):
+        a._commit(2, late, set(), docs.schema)
+    assert a._update(late, set(), docs.schema) == b.version()
+    assert b.read().count() == 3 * docs.count() + 7
+    lost = a._write(docs.limit(7), "run")
+    b.append(docs)
+    b.vacuum(older_than=0)
+    version = b.version()
+    with pytest.raises(shards.Conflict):  # its files are gone, and no version names them
+        a._update(lost, set(), docs.schema)
+    assert b.version() == version and b.read().count() == 4 * docs.count() + 7
+    merged = a._write(a.read().coalesce(1), "merged")
+    gone = {s.path for s in a.shards()}
+    b.append(docs)
+    assert b.compact() > version + 1
+    with pytest.raises(shards.Conflict):
+        a._update(merged, gone, docs.schema)
+    assert a.read().count() == 5 * docs.count() + 7
+
+
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="needs the public model file")
 def test_pieces_equal_sentencepiece(spark):
     import sentencepiece
