@@ -3,31 +3,46 @@
 A page is a stream of tags and texts.  Pages of one host are aligned one after
 the other, element by element: an element that only one side has becomes
 optional, neighbours of equal signature become one repeated group, texts that
-differ become a slot.  What comes out, the wrapper, is an expression of elements,
-options, repetitions and slots without alternatives, which also counts, for each
-part, pages, characters and characters inside links.  The wrapper then says which
-parts hold the article; every page is cut along its host's parts.
-
-A part is the article if its element says so (article, main, a content class).
-Where none does, it is the innermost container beside which there is only known
-boilerplate or text inside links; nothing in it is left out for being short.
-Menus, asides, footers, forms, notices, adverts and comments are known by element
-and class.  Where no element names the article, the host's template is left out
-as well: containers before or after the article that stand on every page with
-the same text, once SAME_PAGES pages differ and most of their text does.  Equal
-pages count once there, and a text below the article's root is always kept.
+differ become a slot, texts that all pages have stay constant.  What comes out, the
+wrapper, is an expression of elements, options, repetitions and slots without
+alternatives.  It then says what belongs to the article; every page is cut along it.
+
+What the markup itself says is taken from HTML's own elements and roles: nav, aside,
+footer, forms and the like never hold the article, an article inside an article is a
+comment, and an ``article`` or else ``main`` is where it stands.  No class name has a
+meaning.  The rest follows from the wrapper, of at least SAME_PAGES different pages:
+
+* Constant: a paragraph, container or text with the same words on every page that
+  has its part is template, as long as most of the text around it differs.
+* Few texts: a container with half as many different texts as pages or fewer
+  (adverts, notices) is template, on the same condition.
+* Optional and repeated: at the end of the article, a container that some pages
+  lack and that holds a repeated group of containers is a list of comments or links.
+* Where nothing names the article, it is the innermost container beside which there
+  are only such parts, site headers, and text inside links; nothing in it is left out
+  for being short, and headings, list items and cells never are.
+
+Pages that lack the article's part are cut along the next best, first of their host
+and then of the page alone, where nothing but the markup can tell.
+
+Bounds: a wrapper has MAX_DEPTH levels; what lies deeper counts for the element at
+that level, and is kept or left out with it.  A level of more than MAX_PARTS parts
+forgets class names, and if that is not enough the order of its elements, so that
+aligning costs the same however names and orders vary.
 
 Distribution: each task folds its own pages into one wrapper a host and emits
 those, so a host that holds a third of all pages sends one small wrapper a task;
 wrappers are merged in two steps, a square root of their number at a time.  Only
-the decision, a few paths a host, meets the pages again: by broadcast where the
-hosts are few, else by a join on the host.  Pages stay whole, and all of them
-count for the wrapper.
+the decision, a few paths a host, meets the pages again: by broadcast where all
+decisions together are small, else by a join on the host.  Pages stay whole, and all
+of them count for the wrapper.
 
 Defined results: a null page is an empty one and gives an empty text; a page
 without host, or with none of its host's parts, is judged by its own wrapper;
-repeated rows give equal rows; unclosed and misplaced tags are repaired as
-browsers do for paragraphs and list items, others are ignored.
+repeated rows give equal rows and count once as evidence; of several articles on a
+page those beside the one with most text are taken, single ones before repeated ones;
+unclosed and misplaced tags are repaired as browsers do for paragraphs and list
+items, others are ignored; other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +53,7 @@ import json
 import math
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,146 +63,289 @@ from graphloom.llm.textkernel import tidy
 from graphloom.llm.url_rules import host_of
 
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TOKEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|([^<]+)|<[a-zA-Z/!?][^>]*\Z|(<)""")
+_TOKEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|([^<]+)|<[a-zA-Z/!?][^>]*\Z|(<)""")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_DIGITS = re.compile(r"\d+")
+_HELD = re.compile(r"<(?:article|main|h1|h2)\b", re.I)
+_FORM_END = re.compile(r"</form\b", re.I)
 
+#: Elements and roles of the HTML and ARIA standards, by what they are for.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
+HEAD = frozenset("base link meta title style script noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table body html article section div".split())
-SKIPPED = frozenset("head nav aside footer form button select option dialog menu object audio video canvas".split())
-SKIPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner sidebar comment comments menu nav navbar navigation breadcrumb breadcrumbs footer"
-    " cookie cookies consent notice notices notification alert popup modal share sharing social related recommended newsletter subscribe signup login search"
-    " pagination pager toolbar widget disqus respond".split()
-)
-#: Only outside the article; a title may stand in a header of its own.
-OUTER_WORDS = frozenset("header masthead".split())
-#: A class such as "has-sidebar" is about the page, not the element.
-ABOUT = frozenset("has with no without is not".split())
-MAIN_WORDS = frozenset("article content post entry story main".split())
-#: Elements of text, which hold a piece of an article and never the whole of it.
-TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li dt dd blockquote pre figure figcaption caption address summary".split())
-#: A template is told by as many different pages, and by this share of text that differs.
-SAME_PAGES = 3
-MOST = 0.8
-BROADCAST_HOSTS = 200_000
-
-
-def _words(names: list[str]) -> frozenset[str]:
-    """The words of class names, ids and roles, except of those about the page."""
-    found: set[str] = set()
-    for n in names:
-        parts = [w.lower() for w in _PART.findall(n)]
-        if parts and parts[0] not in ABOUT:
-            found.update(parts)
-    return frozenset(found)
-
-
-def signature(tag: str, attrs: str) -> tuple[str, frozenset[str]]:
-    """(element with class, id and role, digits left out; the words of those)."""
-    if not attrs or "=" not in attrs:
-        return tag, frozenset()
-    names = re.sub(r"\d+", "", " ".join("".join(m[1:]) for m in _ATTR.findall(attrs)).replace(".", "-")).split()
-    return ".".join([tag, *names]), _words(names)
-
-
-def _split(sig: str) -> tuple[str, frozenset[str]]:
-    tag, *names = sig.split(".")
-    return tag, _words(names)
+NOT_CONTENT = frozenset("head nav aside footer form button select option dialog menu object audio video canvas".split())
+NOT_CONTENT_ROLES = frozenset("navigation complementary banner contentinfo search form dialog alertdialog alert status menu menubar toolbar tablist".split())
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl li dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption caption address summary details".split())
+CONTAINERS = frozenset("div section article".split())
+#: What may be template inside an article; headings, items and cells name what follows them.
+DROPPABLE = frozenset("p div section #".split())
+
+SAME_PAGES = 4
+#: Template may be this share of the text it stands in.
+TEMPLATE_SHARE = 0.5
+#: Of the host's text; see decide.
+LITTLE = 0.1
+SKETCH = 32
+MAX_DEPTH, MAX_PARTS = 100, 64
+BROADCAST_BYTES = 64 << 20
+ROOT, SKIP, DROP = 1, 2, 3
+
+
+@lru_cache(100_000)
+def _named(tag: str, attrs: str) -> tuple[str, bool]:
+    """(signature, whether its role says that it is no content) of an element."""
+    names, out = [], False
+    for m in _ATTR.findall(attrs):
+        value = "".join(m[1:])
+        if m[0].lower() == "role":
+            out = out or value.strip().lower() in NOT_CONTENT_ROLES
+            if value.strip().lower() in ("main", "article"):
+                names.append(f"role={value.strip().lower()}")
+        else:
+            names += _DIGITS.sub("", value.replace(".", "-")).split()
+    return (tag if tag in ("html", "body") else ".".join([tag, *names])), out and tag not in ("html", "body", "main", "article")
+
 
+def tag_of(sig: str) -> str:
+    return sig.partition(".")[0]
 
-def boilerplate(tag: str, words: frozenset[str], outside: bool = False) -> bool:
-    if tag in SKIPPED or outside and tag == "header":
-        return True
-    return bool(words & SKIPPED_WORDS or outside and words & OUTER_WORDS) and tag not in ("html", "body", "article", "main")
+
+def _is(sig: str, name: str) -> bool:
+    tag, *names = sig.split(".")
+    return tag == name or f"role={name}" in names
 
 
 def events(page: str) -> Iterator[tuple[int, str, str]]:
     """(1, tag, attributes) opens, (-1, tag, "") closes, (0, "", text): a balanced stream."""
     stack: list[str] = []
-    for m in _TOKEN.finditer(_RAW.sub("", page)):
+    places: dict[str, list[int]] = {}  # of each open element's tag in the stack
+    scopes = [-1]
+
+    def push(tag: str) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
+        stack.append(tag)
+
+    def pop() -> str:
+        tag = stack.pop()
+        places[tag].pop()
+        if tag in SCOPES:
+            scopes.pop()
+        return tag
+
+    page = _RAW.sub("", page)
+    form_end = held = -1  # next places found, looked for once
+    for m in _TOKEN.finditer(page):
         slash, tag, attrs, text = m[1], m[2], m[3], m[4] or m[5]
         if text:
             yield 0, "", text
         elif tag:
             tag = tag.lower()
             if slash:
-                if tag in stack:
-                    while (top := stack.pop()) != tag:
+                if places.get(tag):
+                    while (top := pop()) != tag:
                         yield -1, top, ""
                     yield -1, tag, ""
                 continue
+            if places.get("head") and tag not in HEAD:
+                while (top := pop()) != "head":
+                    yield -1, top, ""
+                yield -1, "head", ""
             if tag in VOID:
                 yield 1, tag, ""
                 yield -1, tag, ""
                 continue
-            if tag not in INLINE and "p" in stack and not any(s in SCOPES for s in stack[stack.index("p") :]):
-                while (top := stack.pop()) != "p":
+            if tag not in INLINE and (at := places.get("p")) and at[-1] > scopes[-1]:
+                while (top := pop()) != "p":
                     yield -1, top, ""
                 yield -1, "p", ""
             for closed in CLOSES.get(tag, ()):
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] == closed or stack[i] in SCOPES), -1)
-                if at >= 0 and stack[at] == closed:
-                    while len(stack) > at:
-                        yield -1, stack.pop(), ""
+                if (at := places.get(closed)) and at[-1] > scopes[-1]:
+                    least = at[-1]
+                    while len(stack) > least:
+                        yield -1, pop(), ""
+            if tag == "form" and not attrs.endswith("/"):
+                if form_end < m.end():
+                    form_end = end.start() if (end := _FORM_END.search(page, m.end())) else len(page)
+                if held < m.end():
+                    held = at.start() if (at := _HELD.search(page, m.end())) else len(page)
+                if held < form_end:
+                    tag = "div"  # a form around the whole page; its end tag then closes nothing
             if not attrs.endswith("/") or tag in INLINE:
-                stack.append(tag)
+                push(tag)
                 yield 1, tag, attrs
     while stack:
         yield -1, stack.pop(), ""
 
 
+def stream(page: str) -> Iterator[tuple[int, str, int]]:
+    """(1, signature, 0) and (-1, "", 0) of block elements, (0, text, characters in links) of blocks of text.
+
+    What HTML says is no content is left out; texts are decoded, with single spaces.
+    """
+    buffer: list[str] = []
+    linked = links = hidden = articles = 0
+    marks: list[tuple[bool, bool]] = []  # of each open block element: hidden, an article
+
+    def flush() -> tuple[int, str, int] | None:
+        nonlocal linked
+        text = " ".join("".join(buffer).split())
+        within, linked = min(linked, len(text)), 0
+        buffer.clear()
+        return (0, text, within) if text else None
+
+    for kind, tag, more in events(page):
+        if kind == 0:
+            if not hidden:
+                text = _html.unescape(more) if "&" in more else more
+                buffer.append(text)
+                if links:
+                    linked += len(" ".join(text.split()))
+        elif tag in INLINE:
+            if tag == "a":
+                links += kind
+            elif tag == "br" and kind > 0 and not hidden:
+                buffer.append(" ")
+        elif kind > 0:
+            if buffer and (block := flush()):
+                yield block
+            sig, out = _named(tag, more) if "=" in more else (tag, False)
+            article = tag == "article" or "role=article" in sig
+            hide = out or tag in NOT_CONTENT or article and articles > 0
+            marks.append((hide, article))
+            hidden += hide
+            articles += article
+            if not hidden:
+                yield 1, sig, 0
+        else:
+            if buffer and (block := flush()):
+                yield block
+            if not hidden:
+                yield -1, "", 0
+            hide, article = marks.pop()
+            hidden -= hide
+            articles -= article
+    if buffer and (block := flush()):
+        yield block
+
+
+def _digest(texts: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=7).digest())
+
+
+def _least(a: list[int], b: list[int]) -> list[int]:
+    return a if a == b else sorted({*a, *b})[:SKETCH]
+
+
+def _about(sketch: list[int]) -> float:
+    """How many different numbers were sketched; exact under SKETCH."""
+    return len(sketch) if len(sketch) < SKETCH else (SKETCH - 1) * 2.0**56 / max(1, sketch[-1])
+
+
 class Part:
-    """A node of a wrapper: an element or (signature "#") a text slot.
+    """A node of a wrapper: an element or (signature "#") a text.
 
-    ``same`` is the text that all pages have here, of a long text and of what is
-    below an element a digest, else None; ``seen`` are digests of different pages,
-    SAME_PAGES at most, and only the whole page has them.
+    ``same``: digests and lengths of the texts that every page has here (of a
+    repeated group, of its items); ``texts`` and ``pages`` are sketches (the
+    smallest digests) of the different texts here and of the pages that have it.
+    ``count`` is that of all pages, copies included.  ``mode`` is 1 if the children's
+    names are forgotten, 2 if their order is too.
     """
 
-    __slots__ = ("sig", "many", "optional", "pages", "chars", "linked", "same", "seen", "children")
+    __slots__ = ("sig", "many", "optional", "mode", "count", "chars", "linked", "same", "texts", "pages", "children")
 
-    def __init__(self, sig: str, pages: int = 1):
-        self.sig, self.many, self.optional, self.pages = sig, False, False, pages
+    def __init__(self, sig: str):
+        self.sig, self.many, self.optional, self.mode, self.count = sig, False, False, 0, 1
         self.chars = self.linked = 0
-        self.same: str | None = None
-        self.seen: list[str] = []
+        self.same: dict[int, int] = {}
+        self.texts: list[int] = []
+        self.pages: list[int] = []
         self.children: list[Part] = []
 
-    def pack(self) -> list:
-        return [self.sig, int(self.many), int(self.optional), self.pages, self.chars, self.linked, self.same, self.seen, [c.pack() for c in self.children]]
+    @property
+    def running(self) -> int:
+        """Characters outside links."""
+        return self.chars - self.linked
+
+    def walk(self) -> Iterator[Part]:
+        left = [self]
+        while left:
+            p = left.pop()
+            yield p
+            left += reversed(p.children)
+
+    def pack(self) -> str:
+        rows, left = [], [(self, -1)]
+        while left:
+            p, parent = left.pop()
+            rows.append([parent, p.sig, int(p.many), int(p.optional), p.mode, p.count, p.chars, p.linked, [x for kv in p.same.items() for x in kv], p.texts, p.pages])
+            left += [(c, len(rows) - 1) for c in reversed(p.children)]
+        return json.dumps(rows, ensure_ascii=False)
 
     @staticmethod
-    def unpack(x: list) -> Part:
-        p = Part(x[0], x[3])
-        p.many, p.optional, p.chars, p.linked, p.same, p.seen = bool(x[1]), bool(x[2]), x[4], x[5], x[6], x[7]
-        p.children = [Part.unpack(c) for c in x[8]]
-        return p
+    def unpack(packed: str) -> Part:
+        parts: list[Part] = []
+        for parent, sig, many, optional, mode, count, chars, linked, same, texts, pages in json.loads(packed):
+            p = Part(sig)
+            p.many, p.optional, p.mode, p.count, p.chars, p.linked, p.texts, p.pages = bool(many), bool(optional), mode, count, chars, linked, texts, pages
+            p.same = dict(zip(same[::2], same[1::2], strict=True))
+            if parent >= 0:
+                parts[parent].children.append(p)
+            parts.append(p)
+        return parts[0]
 
     def expression(self) -> str:
-        inner = "".join(c.expression() for c in self.children)
-        body = ("TEXT" if self.same is None else repr(self.same)) if self.sig == "#" else f"<{self.sig}>{inner}</>"
+        body = ("SAME" if self.same else "TEXT") if self.sig == "#" else f"<{self.sig}>{''.join(c.expression() for c in self.children)}</>"
         return f"({body})" + ("*" if self.many and self.optional else "+" if self.many else "?") if self.many or self.optional else body
 
 
-def _digest(texts: Iterable[str]) -> str:
-    return hashlib.blake2b("\0".join(texts).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
-
-
 def merge(a: Part, b: Part, together: bool = False) -> Part:
-    """Align two parts of one signature.  ``together``: both are of one page."""
-    out = Part(a.sig, max(a.pages, b.pages) if together else a.pages + b.pages)
-    out.many, out.optional = a.many or b.many or together and a.sig != "#", a.optional or b.optional
-    out.chars, out.linked = a.chars + b.chars, a.linked + b.linked
+    """Align two parts of one signature, in place of the first.  ``together``: both are of one page."""
+    a.many, a.optional = a.many or b.many or together and a.sig != "#", a.optional or b.optional
+    a.chars, a.linked = a.chars + b.chars, a.linked + b.linked
     if together:
-        out.same = _digest([a.same, b.same]) if a.sig != "#" and None not in (a.same, b.same) else None
+        a.same.update(b.same)
     else:
-        out.same = a.same if a.same == b.same else None
-    out.seen = sorted({*a.seen, *b.seen})[:SAME_PAGES]
-    out.children = align(a.children, b.children, together)
-    return out
+        a.count += b.count
+        a.same = {k: n for k, n in a.same.items() if k in b.same}
+    a.texts, a.pages = _least(a.texts, b.texts), _least(a.pages, b.pages)
+    if a.children or b.children:
+        mode = max(a.mode, b.mode)
+        for p in (a, b):
+            while p.mode < mode:
+                coarsen(p)
+        a.children = (bag if mode == 2 else align)(a.children, b.children, together)
+        while len(a.children) > MAX_PARTS and a.mode < 2:
+            coarsen(a)
+    return a
+
+
+def coarsen(p: Part) -> None:
+    """Let a level forget its elements' names, then their order."""
+    p.mode += 1
+    for c in p.children:
+        c.sig = tag_of(c.sig)
+    p.children = fold(p.children) if p.mode == 1 else bag(p.children, [], True)
+
+
+def bag(xs: list[Part], ys: list[Part], together: bool) -> list[Part]:
+    """One part for each element name; xs have one at most unless all are of one page."""
+    out: dict[str, Part] = {}
+    for p in xs:
+        out[p.sig] = merge(out[p.sig], p, True) if p.sig in out else p
+    own = set(out)
+    theirs: dict[str, Part] = {}
+    for p in ys:
+        theirs[p.sig] = merge(theirs[p.sig], p, True) if p.sig in theirs else p
+    for sig, p in theirs.items():
+        out[sig] = merge(out[sig], p, together) if sig in own else _option(p)
+    if ys:
+        for sig in own - set(theirs):
+            _option(out[sig])
+    return list(out.values())
 
 
 def _option(p: Part) -> Part:
@@ -201,21 +360,22 @@ def align(xs: list[Part], ys: list[Part], together: bool = False) -> list[Part]:
         i += 1
     head = [merge(x, y, together) for x, y in zip(xs[:i], ys[:i], strict=True)]
     xs, ys = xs[i:], ys[i:]
-    size = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for p in range(len(xs) - 1, -1, -1):
-        for q in range(len(ys) - 1, -1, -1):
-            size[p][q] = size[p + 1][q + 1] + 1 if xs[p].sig == ys[q].sig else max(size[p + 1][q], size[p][q + 1])
-    p = q = 0
-    while p < len(xs) or q < len(ys):
-        if p < len(xs) and q < len(ys) and xs[p].sig == ys[q].sig:
-            head.append(merge(xs[p], ys[q], together))
-            p, q = p + 1, q + 1
-        elif q == len(ys) or p < len(xs) and size[p + 1][q] >= size[p][q + 1]:
-            head.append(_option(xs[p]))
-            p += 1
-        else:
-            head.append(_option(ys[q]))
-            q += 1
+    if xs or ys:
+        size = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for p in range(len(xs) - 1, -1, -1):
+            for q in range(len(ys) - 1, -1, -1):
+                size[p][q] = size[p + 1][q + 1] + 1 if xs[p].sig == ys[q].sig else max(size[p + 1][q], size[p][q + 1])
+        p = q = 0
+        while p < len(xs) or q < len(ys):
+            if p < len(xs) and q < len(ys) and xs[p].sig == ys[q].sig:
+                head.append(merge(xs[p], ys[q], together))
+                p, q = p + 1, q + 1
+            elif q == len(ys) or p < len(xs) and size[p + 1][q] >= size[p][q + 1]:
+                head.append(_option(xs[p]))
+                p += 1
+            else:
+                head.append(_option(ys[q]))
+                q += 1
     return fold(head)
 
 
@@ -223,10 +383,8 @@ def fold(parts: list[Part]) -> list[Part]:
     """Neighbours of equal signature become one repeated group."""
     out: list[Part] = []
     for p in parts:
-        if out and out[-1].sig == p.sig and p.sig != "#":
-            out[-1] = merge(out[-1], p, together=True)
-        elif out and p.sig == "#" == out[-1].sig:
-            out[-1].chars, out[-1].linked, out[-1].same = out[-1].chars + p.chars, out[-1].linked + p.linked, None
+        if out and out[-1].sig == p.sig:
+            merge(out[-1], p, together=True)
         else:
             out.append(p)
     return out
@@ -235,170 +393,252 @@ def fold(parts: list[Part]) -> list[Part]:
 def page_part(page: str) -> Part:
     """The wrapper of one page; inline elements belong to the text around them."""
     root = Part("")
-    stack, texts, links = [root], [[]], 0  # texts: of each open element, without known boilerplate
-    for kind, tag, more in events(page):
+    stack, begins, texts, deep = [root], [0], [], 0
+    last = (-1, -1, 0)
+
+    def close(p: Part, begin: int) -> None:
+        nonlocal last
+        if begin < len(texts):
+            if last[:2] != (begin, len(texts)):
+                last = (begin, len(texts), _digest(texts[begin:]))
+            p.same, p.texts = {last[2]: sum(map(len, texts[begin:]))}, [last[2]]
+        p.children = fold(p.children)
+        while len(p.children) > MAX_PARTS and p.mode < 2:
+            coarsen(p)
+        p.chars, p.linked = sum(c.chars for c in p.children) + p.chars, sum(c.linked for c in p.children) + p.linked
+
+    for kind, what, within in stream(page):
         if kind == 0:
-            text = " ".join(more.split())
-            if text:
-                p = Part("#")
-                p.chars, p.linked, p.same = len(text), len(text) if links else 0, text if len(text) <= 200 else _digest([text])
+            if deep:
+                stack[-1].chars += len(what)
+                stack[-1].linked += within
+            else:
+                p, d = Part("#"), _digest([what])
+                p.chars, p.linked, p.same, p.texts = len(what), within, {d: len(what)}, [d]
                 stack[-1].children.append(p)
-                texts[-1].append(p.same)
-        elif tag in INLINE:
-            links += kind if tag == "a" else 0
+            texts.append(what)
         elif kind > 0:
-            p = Part(signature(tag, more)[0])
+            if len(stack) > MAX_DEPTH:
+                deep += 1
+                continue
+            p = Part(what)
             stack[-1].children.append(p)
             stack.append(p)
-            texts.append([])
+            begins.append(len(texts))
+        elif deep:
+            deep -= 1
         else:
-            done, own = stack.pop(), texts.pop()
-            done.children = fold(done.children)
-            done.same = _digest(own) if own and not boilerplate(*_split(done.sig)) else ""
-            if done.same:
-                texts[-1].append(done.same)
-    root.children = fold(root.children)
-    root.same = _digest(texts[0])
-    root.seen = [root.same]
+            close(stack.pop(), begins.pop())
+    close(root, 0)
+    own = root.texts or [_digest([])]
+    for p in root.walk():
+        p.pages = own
     return root
 
 
-def _running(p: Part) -> int:
-    """Characters of running text below a part, without links and known boilerplate."""
-    if p.sig == "#":
-        return p.chars - p.linked
-    tag, words = _split(p.sig)
-    return 0 if boilerplate(tag, words) else sum(_running(c) for c in p.children)
+def wrapper_of(pages: Iterable[str]) -> Part | None:
+    """The wrapper of some pages, one after the other."""
+    out: Part | None = None
+    for page in pages:
+        own = page_part(page)
+        out = own if out is None else merge(out, own)
+    return out
+
+
+def _template(p: Part) -> bool:
+    """A container with few texts for its many pages."""
+    pages = _about(p.pages)
+    return not p.many and pages >= SAME_PAGES and 2 * _about(p.texts) <= pages
 
 
-def _held(p: Part) -> int:
-    """Characters of text below a part, links too, without known boilerplate."""
-    if p.sig == "#":
-        return p.chars
-    tag, words = _split(p.sig)
-    return 0 if boilerplate(tag, words) else sum(_held(c) for c in p.children)
+def _listing(p: Part) -> bool:
+    """A container that some pages lack, of which or in which containers repeat."""
+    if not p.optional or tag_of(p.sig) not in CONTAINERS or _about(p.pages) < SAME_PAGES:
+        return False
+    return p.many or any(c.many and c.chars and tag_of(c.sig) in CONTAINERS for c in p.children)
 
 
-def _content(at: Part, pages: int) -> tuple[list[Part], list[Part]]:
-    """(children with text that may belong to the article, children to leave out).
+class Decision:
+    """Paths through a wrapper: roots of the article, parts to skip, constant items to drop.
 
-    Left out are site headers and, before or after all that is kept, containers
-    whose text is all inside links and those of the template; headings, paragraphs
-    and the like never are.  ``pages``: how many different ones the host has.
+    Parts of one signature below one parent are one node; it is skipped only if all are.
     """
-    held = [c for c in at.children if _held(c)]
-
-    def outer(c: Part) -> bool:
-        return c.sig != "#" and boilerplate(*_split(c.sig), outside=True)
-
-    fixed = [c for c in held if c.sig != "#" and not c.optional and c.same is not None and not outer(c)]
-    some = sum(_running(c) for c in held if not outer(c))
-    if pages < SAME_PAGES or some - sum(map(_running, fixed)) < MOST * some:
-        fixed = []
-
-    def edge(c: Part) -> bool:
-        return c.sig != "#" and _split(c.sig)[0] not in TEXT_LEVEL and (not _running(c) or c in fixed)
-
-    sure = [i for i, c in enumerate(held) if not outer(c) and not edge(c)]
-    if not sure:
-        return held, []
-    left = [c for i, c in enumerate(held) if outer(c) or not sure[0] <= i <= sure[-1]]
-    return [c for c in held if c not in left], left
-
-
-def decide(wrapper: Part) -> dict[str, list[str]]:
-    """{"roots": paths of the parts that hold the article, "skip": paths to leave out}."""
-    named: dict[int, list[str]] = {}
-
-    def walk(p: Part, path: str) -> None:
-        tag, words = _split(p.sig)
-        if p.sig == "#" or boilerplate(tag, words, outside=True):
-            return
-        rank = 0 if tag == "article" and not words & SKIPPED_WORDS else 1 if tag == "main" or "main" in words and tag != "body" else 2 if words & MAIN_WORDS and tag not in ("html", "body") else None
-        if rank is not None and _running(p):
-            named.setdefault(rank, []).append(path)
-            if rank == 0:
-                return
-        for c in p.children:
-            walk(c, f"{path}>{c.sig}")
-
-    for c in wrapper.children:
-        walk(c, c.sig)
-    if named:
-        paths = named[min(named)]
-        return {"roots": [p for p in paths if not any(p.startswith(q + ">") for q in paths)], "skip": []}
-    at, path = wrapper, ""
+
+    def __init__(self, wrapper: Part) -> None:
+        self.rows: list[list] = [[-1, "", wrapper.mode, 0, []]]  # parent, signature, mode, what, digests
+        self.at: dict[tuple[int, str], int] = {}
+
+    def add(self, path: list[Part], what: int, digests: Iterable[int] = ()) -> None:
+        node = 0
+        for p in path[1:]:
+            if (node, p.sig) not in self.at:
+                self.at[node, p.sig] = len(self.rows)
+                self.rows.append([node, p.sig, p.mode, 0, []])
+            node = self.at[node, p.sig]
+        row = self.rows[node]
+        row[2] = max(row[2], path[-1].mode)
+        row[3] = row[3] or what
+        row[4] = sorted({*row[4], *digests})
+
+    def skip(self, path: list[Part], skipped: list[Part]) -> None:
+        if all(c in skipped for c in path[-2].children if c.sig == path[-1].sig and c.chars):
+            self.add(path, SKIP)
+
+
+def _within(out: Decision, path: list[Part], left: list[Part]) -> None:
+    """Skip and drop what is template below an article's root."""
+    root = path[-1]
+    if _about(path[0].pages) < SAME_PAGES:
+        return
+    skips: list[list[Part]] = []
+    drops: list[list[Part]] = []
+    todo = [path]
+    while todo:
+        here = todo.pop()
+        at = here[-1]
+        held = [c for c in at.children if c.chars and c not in left]
+        steady = max((i for i, c in enumerate(held) if not c.optional), default=len(held))
+        for i, c in enumerate(held):
+            tag = tag_of(c.sig)
+            if at is root and i > steady and _listing(c) or tag in CONTAINERS and _template(c):
+                skips.append([*here, c])
+                continue
+            if tag in DROPPABLE and not (tag == "#" and tag_of(at.sig) in TEXT_LEVEL) and c.same and _about(c.pages) >= SAME_PAGES:
+                drops.append([*here, c])
+            todo.append([*here, c])
+    mass = sum(p[-1].running for p in skips if not _listing(p[-1])) + sum(sum(p[-1].same.values()) * p[-1].count for p in drops)
+    if mass <= TEMPLATE_SHARE * sum(c.running for c in root.children if c not in left):
+        for p in skips:
+            out.skip(p, [q[-1] for q in skips])
+        for p in drops:
+            out.add(p, DROP, p[-1].same)
+
+
+def _descend(path: list[Part], without: list[Part]) -> tuple[list[Part], list[Part]]:
+    """(path of the innermost container that holds the article, parts beside to leave out)."""
+    left: list[Part] = list(without)
     while True:
-        kept, left = _content(at, len(wrapper.seen))
-        if len(kept) != 1 or kept[0].sig == "#" or kept[0].many or _split(kept[0].sig)[0] in TEXT_LEVEL:
-            break
-        at = kept[0]
-        path = f"{path}>{at.sig}" if path else at.sig
-    skip = {p.sig for p in left} - {p.sig for p in kept}
-    return {"roots": [path], "skip": sorted(f"{path}>{x}" if path else x for x in skip)}
-
-
-def cut(page: str, decision: dict[str, list[str]]) -> tuple[str, bool]:
-    """(text, whether a root was met) of a page."""
-    roots, skip = frozenset(decision["roots"]), frozenset(decision["skip"])
-    anywhere = "" in roots
-    path: list[str] = []
-    inside, skipped, met = 1 if anywhere else 0, 0, anywhere
-    marks: list[int] = []  # what each open element added: 1 a root, 2 a skip, 0 nothing
+        at = path[-1]
+        held = [c for c in at.children if c.chars and c not in left]
+        few = [c for c in held if tag_of(c.sig) in CONTAINERS and _template(c)]
+        if sum(c.running for c in few) > TEMPLATE_SHARE * sum(c.running for c in held):
+            few = []
+
+        def beside(c: Part, few: list[Part] = few) -> bool:
+            tag = tag_of(c.sig)
+            return tag == "header" or c.sig != "#" and tag not in TEXT_LEVEL and (not c.running or _listing(c) or c in few)
+
+        sure = [i for i, c in enumerate(held) if not beside(c)]
+        if sure:
+            left += [c for i, c in enumerate(held) if tag_of(c.sig) == "header" or not sure[0] <= i <= sure[-1]]
+            held = [c for c in held if c not in left]
+        if len(held) != 1 or held[0].many or held[0].sig == "#" or tag_of(held[0].sig) in TEXT_LEVEL:
+            return path, left
+        path = [*path, held[0]]
+
+
+def decide(wrapper: Part) -> list[list[list]]:
+    """Decisions, best first: along the article, along main, along the running text."""
+    found: dict[str, list[list[Part]]] = {"article": [], "main": []}
+    todo, heads = [[wrapper]], []
+    while todo:
+        path = todo.pop()
+        for name in found:
+            if _is(path[-1].sig, name):
+                found[name].append(path)
+        for c in reversed(path[-1].children):
+            if tag_of(c.sig) != "header":
+                todo.append([*path, c])
+            elif tag_of(path[-1].sig) in ("", "html", "body"):
+                heads.append([*path, c])  # of the site
+    out: list[Decision] = []
+    articles = [p for p in found["article"] if not any(_is(x.sig, "article") for x in p[:-1])]
+    # One inside a section, of little text, is a comment rather than the article.
+    sure = [p for p in articles if not (any(tag_of(x.sig) == "section" for x in p) and p[-1].running < LITTLE * wrapper.running)]
+    sure.sort(key=lambda p: (_template(p[-1]), p[-1].many, -p[-1].running, len(p)))
+    groups: dict[int, list[list[Part]]] = {}
+    for p in sure:
+        groups.setdefault(id(p[-2]), []).append(p)
+    for group in groups.values():
+        one = Decision(wrapper)
+        for p in group:
+            if p is group[0] or not _template(p[-1]):
+                one.add(p, ROOT)
+                _within(one, p, [])
+        out.append(one)
+    starts = [max(found["main"], key=lambda p: p[-1].running)] if found["main"] else []
+    for start in [*starts, [wrapper]]:
+        path, left = _descend(start, [p[-1] for p in articles])
+        one = Decision(wrapper)
+        one.add(path, ROOT)
+        _within(one, path, left)
+        for n in range(len(start), len(path) + 1):
+            for c in path[n - 1].children:
+                if c in left:
+                    one.skip([*path[:n], c], left)
+        for p in articles:
+            if p not in sure:
+                one.skip(p, left)
+        for p in heads:
+            one.skip(p, [q[-1] for q in heads])
+        out.append(one)
+    return [d.rows for d in out]
+
+
+def cut(page: str, rows: list[list], template: bool = False) -> tuple[str, bool]:
+    """(text, whether a root was met) of a page along a decision; ``template``: constant items stay."""
+    kids: list[dict[str, int]] = [{} for _ in rows]
+    for i, r in enumerate(rows):
+        if i:
+            kids[r[0]][r[1]] = i
+    drops = [frozenset(() if template else r[4]) for r in rows]
+    met = rows[0][3] == ROOT
+    inside, skipped = int(met), 0
+    stack: list[tuple[int, int, int]] = [(0, 0, 0)]  # node or -1, what it did, first block
     blocks: list[str] = []
-    buffer: list[str] = []
-
-    def flush() -> None:
-        if buffer:
-            text = " ".join("".join(buffer).split())
-            buffer.clear()
-            if text:
-                blocks.append(text)
-
-    for kind, tag, more in events(page):
+    slots = {i: kids[i]["#"] for i in range(len(rows)) if "#" in kids[i]}
+    for kind, what, _ in stream(page):
+        node = stack[-1][0]
         if kind == 0:
             if inside and not skipped:
-                buffer.append(_html.unescape(more) if "&" in more else more)
-        elif tag in INLINE:
-            if tag == "br" and kind > 0 and inside and not skipped:
-                buffer.append(" ")
+                slot = slots.get(node)
+                if slot is None or _digest([what]) not in drops[slot]:
+                    blocks.append(what)
+        elif kind > 0:
+            child = -1
+            if node >= 0 and kids[node]:
+                child = kids[node].get(tag_of(what) if rows[node][2] else what, -1)
+            did = rows[child][3] if child >= 0 else 0
+            if did == ROOT:
+                inside, met = inside + 1, True
+            skipped += did == SKIP
+            stack.append((child, did, len(blocks)))
         else:
-            if inside:
-                flush()
-            if kind > 0:
-                sig, words = signature(tag, more)
-                path.append(sig)
-                mark = 0
-                if boilerplate(tag, words, outside=not inside) or tag == "article" and inside and words & SKIPPED_WORDS:
-                    mark, skipped = 2, skipped + 1
-                elif not skipped and (at := ">".join(path)) in skip:
-                    mark, skipped = 2, skipped + 1
-                elif not skipped and at in roots:
-                    mark, inside, met = 1, inside + 1, True
-                marks.append(mark)
-            else:
-                path.pop()
-                mark = marks.pop()
-                inside -= mark == 1
-                skipped -= mark == 2
-    flush()
+            child, did, begin = stack.pop()
+            inside -= did == ROOT
+            skipped -= did == SKIP
+            if did == DROP and begin < len(blocks) and _digest(blocks[begin:]) in drops[child]:
+                del blocks[begin:]
     return "\n".join(blocks), met
 
 
-def extract(page: str, decision: dict[str, list[str]] | None) -> str:
+def extract(page: str, decisions: list[list[list]] | None) -> str:
     """The page's article, along its host's parts or else its own."""
-    if decision is not None:
-        text, met = cut(page, decision)
-        if met:
-            return text
-    return cut(page, decide(page_part(page)))[0]
+    for own in (decisions or [], None):
+        for rows in decide(page_part(page)) if own is None else own:
+            text, met = cut(page, rows)
+            if met and not text:  # an article of nothing but template is kept
+                text = cut(page, rows, template=True)[0]
+            if met and (text or rows[0][3] != ROOT):
+                return text
+    return ""
 
 
 def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, Part] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(h, json.dumps(p.pack(), ensure_ascii=False)) for h, p in found.items()]
+        rows = [(h, p.pack()) for h, p in found.items()]
         found.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["host", "wrapper"])
 
@@ -412,16 +652,16 @@ def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_group(rows: pa.Table) -> pa.Table:
-    parts = [Part.unpack(json.loads(w)) for w in sorted(rows.column("wrapper").to_pylist())]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = merge(whole, p)
-    return pa.table({"host": rows.column("host").slice(0, 1), "wrapper": pa.array([json.dumps(whole.pack(), ensure_ascii=False)])})
+    whole: Part | None = None
+    for packed in sorted(rows.column("wrapper").to_pylist()):
+        part = Part.unpack(packed)
+        whole = part if whole is None else merge(whole, part)
+    return pa.table({"host": rows.column("host").slice(0, 1), "wrapper": pa.array([whole.pack()])})
 
 
 def _decide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        said = [json.dumps(decide(Part.unpack(json.loads(w))), ensure_ascii=False) for w in batch.column(1).to_pylist()]
+        said = [json.dumps(decide(Part.unpack(w)), ensure_ascii=False) for w in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], names=["host", "decision"])
 
 
@@ -435,7 +675,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str | None, dict | None] = {None: None}
+    known: dict[str | None, list | None] = {None: None}
     for batch in batches:
         texts = []
         for page, said in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -456,7 +696,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     scratch = Scratch(pages.sparkSession, "wrappers")
     said = scratch.save(wrappers(pages, url_col, html_col).mapInArrow(_decide_rows, "host string, decision string"), "decisions")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    few = said.count() <= BROADCAST_HOSTS
-    rows = rows.join(F.broadcast(said) if few else said, "host", "left").select("page_id", "url", "html", "decision")
+    size = said.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("decision")), F.lit(0))).first()[0]
+    rows = rows.join(F.broadcast(said) if size <= BROADCAST_BYTES else said, "host", "left").select("page_id", "url", "html", "decision")
     return rows.mapInArrow(_cutter, "page_id long, url string, text string, n_chars long")
-

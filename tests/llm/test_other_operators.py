@@ -197,7 +197,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head>
 def test_html_by_wrappers(spark):
     rng = random.Random(9)
     rows, want = [], {}
-    for i in range(120):
+    for i in range(600):
         blocks = [f"Title {i}"] + [" ".join(rng.choice(["alpha", "beta &amp; co", "gamma", "a<b>b</b>c", "d<br>e"]) for _ in range(rng.randint(5, 30))) for _ in range(rng.randint(1, 6))]
         body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}" + ("</p>" if rng.random() < 0.6 else "\n") for b in blocks[1:])
         if i % 3 == 0:
@@ -205,8 +205,8 @@ def test_html_by_wrappers(spark):
         named = i % 4 != 3
         rows.append((i, f"http://h{0 if i < 70 else i % 5}.org/{i}", PAGE.format(article=f"<article>{body}</article>" if named else f'<div class="post-content">{body}</div>')))
         want[i] = "\n".join(" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks)
-    rows += [(200, None, None), (201, "nothing", ""), (202, "http://h0.org/x", "<p>only this paragraph of text"), (203, "http://z.org/", "plain words"), (0, rows[0][1], rows[0][2])]
-    want |= {200: "", 201: "", 202: "only this paragraph of text", 203: "plain words"}
+    rows += [(700, None, None), (701, "nothing", ""), (702, "http://h0.org/x", "<p>only this paragraph of text"), (703, "http://z.org/", "plain words"), (0, rows[0][1], rows[0][2])]
+    want |= {700: "", 701: "", 702: "only this paragraph of text", 703: "plain words"}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")).repartition(5)
     got = html_text.main_text(pages).collect()
     assert len(got) == len(rows)
@@ -218,53 +218,149 @@ def test_html_by_wrappers(spark):
 def test_wrapper_has_options_repeats_and_slots():
     a = html_text.page_part("<div><h1>One</h1><p>x</p><p>y</p><b>z</b></div><span>Same</span>")
     b = html_text.page_part("<div><h1>Two</h1><ul><li>1<li>2</ul><p>w</p></div><span>Same</span>")
-    assert html_text.merge(a, b).expression() == "<><div><h1>TEXT</>(<ul>(<li>TEXT</>)+</>)?(<p>TEXT</>)+('z')?</>'Same'</>"
+    whole = html_text.merge(a, b)
+    assert whole.expression() == "<><div><h1>TEXT</>(<ul>(<li>SAME</>)+</>)?(<p>TEXT</>)+(SAME)?</>SAME</>"
+    assert html_text.Part.unpack(whole.pack()).pack() == whole.pack()
 
 
-def test_article_without_a_name_is_the_running_text():
-    pages = ["<body><div><a>Home</a></div><table><tr><td>" + " ".join(["words"] * n) + "</td></tr><tr><td>Site of the year</td></tr></table></body>" for n in (40, 50, 60)]
-    wrapper = html_text.page_part(pages[0])
-    for p in pages[1:]:
-        wrapper = html_text.merge(wrapper, html_text.page_part(p))
-    assert html_text.cut(pages[1], html_text.decide(wrapper))[0].startswith("words words") and "Home" not in html_text.cut(pages[1], html_text.decide(wrapper))[0]
+def texts_of(pages, order=None):
+    decisions = html_text.decide(html_text.wrapper_of(pages if order is None else [pages[i] for i in order]))
+    return [html_text.extract(p, decisions) for p in pages]
+
 
+def running(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
 
-def wrapper_of(pages):
-    wrapper = html_text.page_part(pages[0])
-    for p in pages[1:]:
-        wrapper = html_text.merge(wrapper, html_text.page_part(p))
-    return wrapper
+
+def test_article_without_a_name_is_the_running_text():
+    rng = random.Random(1)
+    body = [running(rng, n) for n in (40, 50, 60, 70)]
+    pages = [f"<body><div><a>Home</a></div><table><tr><td>{b}</td></tr><tr><td>Site of the year</td></tr></table></body>" for b in body]
+    assert texts_of(pages) == [f"{b}\nSite of the year" for b in body]
 
 
 def test_nothing_beside_the_paragraphs_is_lost():
     words = lambda n: " ".join(["words"] * n)
     page = lambda i: f"<html><body><header>Site</header><div><a>Home</a></div><h1>Title {i}</h1><p>{words(90 + i)}</p><p>more {i}</p><ul><li>one {i}<li>two</ul><blockquote>quote {i}</blockquote><p>end {i}<table><tr><td>cell {i}</table></body></html>"
-    pages = [page(i) for i in range(2)]
-    decision = html_text.decide(wrapper_of(pages))
-    for i, p in enumerate(pages):
-        assert html_text.extract(p, decision).split("\n") == [f"Title {i}", words(90 + i), f"more {i}", f"one {i}", "two", f"quote {i}", f"end {i}", f"cell {i}"]
+    for i, got in enumerate(texts_of([page(i) for i in range(6)])):
+        assert got.split("\n") == [f"Title {i}", words(90 + i), f"more {i}", f"one {i}", "two", f"quote {i}", f"end {i}", f"cell {i}"]
     split = [f"<body><div class=a><div class=x><p>{words(200 + i)}</div><div class=y>short {i}</div></div><div class=b>last {i}</div></body>" for i in range(2)]
-    assert html_text.extract(split[1], html_text.decide(wrapper_of(split))).split("\n") == [words(201), "short 1", "last 1"]
+    assert texts_of(split)[1].split("\n") == [words(201), "short 1", "last 1"]
     linked = f"<body><h2><a>Linked title</a></h2><p>{words(90)}</p></body>"
     assert html_text.extract(linked, None) == f"Linked title\n{words(90)}"
 
 
 def test_copies_of_a_page_are_no_template(spark):
-    rows = [(i, "http://c.org/", "<p>only this paragraph of text</p>") for i in range(3)]
-    rows += [(10 + i, f"http://d.org/{i}", "<body><h1>Copied</h1><p>short</p><h2>Part</h2><p>" + "words " * 60 + "</p></body>") for i in range(4)]
+    rows = [(i, "http://c.org/", "<p>only this paragraph of text</p>") for i in range(5)]
+    rows += [(10 + i, f"http://d.org/{i}", "<body><h1>Copied</h1><p>short</p><h2>Part</h2><p>" + "words " * 60 + "</p></body>") for i in range(6)]
+    rows += [(20 + i, f"http://e.org/{i}", f"<body><div class=ad>Buy {i}</div><article><p>short</p><p>" + "words " * 60 + "</p></article></body>") for i in range(6)]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == "only this paragraph of text" for i in range(3))
-    assert all(got[10 + i] == "Copied\nshort\nPart\n" + " ".join(["words"] * 60) for i in range(4))
-
-
-def test_template_is_told_by_place():
-    notice, words = "All rights of this site " * 20, lambda i: f"words{i} " * 300
-    page = lambda i: f"<body><div class=x>{notice}</div><div class=y><h1>Title {i}</h1>{'<h2>Summary</h2>' if i else ''}<p>{words(i)}</p><p>end</p></div></body>"
-    want = lambda i: "\n".join([f"Title {i}", *(["Summary"] if i else []), words(i).strip(), "end"])
-    decision = html_text.decide(wrapper_of([page(i) for i in range(4)]))
-    assert [html_text.extract(page(i), decision) for i in range(4)] == [want(i) for i in range(4)]
-    two = html_text.decide(wrapper_of([page(i % 2) for i in range(6)]))  # two pages, three times each
-    assert html_text.extract(page(1), two) == f"{notice.strip()}\n{want(1)}"
+    assert all(got[i] == "only this paragraph of text" for i in range(5))
+    assert all(got[10 + i] == "Copied\nshort\nPart\n" + " ".join(["words"] * 60) for i in range(6))
+    assert all(got[20 + i] == "short\n" + " ".join(["words"] * 60) for i in range(6))
+
+
+def test_template_is_told_by_constant_slots():
+    rng = random.Random(2)
+    body = [[running(rng, 30), running(rng, 20)] for _ in range(5)]
+    page = lambda b, more="": f"<body><article><p>Terms &amp; notes apply</p>{''.join(f'<p>{x}</p>' for x in b)}<h2>Summary</h2><p>{b[0][:9]}</p>{more}</article></body>"
+    want = lambda b: "\n".join([*b, "Summary", b[0][:9]])
+    assert texts_of([page(b) for b in body[:4]]) == [want(b) for b in body[:4]]  # a heading stays
+    assert texts_of([page(b) for b in body[:3]]) == ["Terms & notes apply\n" + want(b) for b in body[:3]]  # too few pages to tell
+    assert texts_of([page(body[i % 2]) for i in range(6)])[0] == "Terms & notes apply\n" + want(body[0])  # two pages, three times each
+    other = page(body[4]).replace("Terms &amp; notes apply", "Something else")
+    assert texts_of([*(page(b) for b in body[:4]), other])[0] == "Terms & notes apply\n" + want(body[0])  # not constant
+    notice = "All rights of this site " * 20
+    rows = [f"<body><div class=x>{notice}</div><div class=y><h1>Title {i}</h1>{'<h2>Summary</h2>' if i else ''}<p>{running(rng, 300)}</p><p>end</p><p>last {i}</p></div></body>" for i in range(5)]
+    assert all(notice.strip() not in t and t.startswith(f"Title {i}") and t.endswith(f"last {i}") for i, t in enumerate(texts_of(rows)))
+
+
+def test_few_texts_for_many_pages_are_adverts():
+    rng = random.Random(3)
+    body = [running(rng, 60) for _ in range(30)]
+    ads = [running(rng, 6) for _ in range(4)]
+    pages = [f"<body><div class=q>{ads[i % 4]}</div><div class=r><p>{b}</p><div class=s>{ads[i % 3]}</div><p>{b[::-1]}</p></div></body>" for i, b in enumerate(body)]
+    assert texts_of(pages) == [f"{b}\n{b[::-1]}" for b in body]
+
+
+def test_options_and_repeats_decide():
+    """Lists that some pages lack, at the end, are comments; altering either flag keeps them."""
+    rng = random.Random(4)
+    body = [running(rng, 60) for _ in range(8)]
+    comments = lambda i: f"<section>{''.join(f'<div><p>{running(rng, 5)}</p></div>' for _ in range(i % 3))}</section>" if i % 3 else ""
+    pages = [f"<body><article><h1>T {i}</h1><p>{b}</p>{comments(i)}</article></body>" for i, b in enumerate(body)]
+    wrapper = html_text.wrapper_of(pages)
+    assert [html_text.extract(p, html_text.decide(wrapper)) for p in pages] == [f"T {i}\n{b}" for i, b in enumerate(body)]
+    section = next(p for p in wrapper.walk() if p.sig == "section")
+    item = section.children[0]
+    assert section.optional and item.many
+    for part, flag in ((section, "optional"), (item, "many")):
+        setattr(part, flag, False)
+        assert len(html_text.extract(pages[2], html_text.decide(wrapper)).split("\n")) > 2
+        setattr(part, flag, True)
+
+
+def test_class_names_have_no_meaning():
+    rng = random.Random(5)
+    a, b, c = (running(rng, 20) for _ in range(3))
+    page = f'<body><article><p>{a}</p><div class="social-history">{b}</div><section class="login-guide">{c}</section></article></body>'
+    assert html_text.extract(page, None) == f"{a}\n{b}\n{c}" and texts_of([page] * 5)[4] == f"{a}\n{b}\n{c}"
+    pages = [f'<body><div class="story-list"><a>x{i}</a></div><div class="text"><p>{running(rng, 50)}</p><p>end {i}</p></div></body>' for i in range(5)]
+    assert all(t.endswith(f"end {i}") and not t.startswith("x") for i, t in enumerate(texts_of(pages)))
+
+
+def test_what_markup_says():
+    page = '<html><head><title>t</title><body><form action=x><div role=navigation>Menu</div><h1>Head</h1><p>a &lt; b<p>c<br>d<aside>side</aside><article>The <b>text</b>. <form>mail</form><article>comment</article><footer>by</footer></article></form>'
+    assert html_text.extract(page, None) == "The text ."[:8] + "."
+    assert html_text.extract("<body><div role=banner>x</div><main><h1>T</h1><p>y &amp;amp; z</p></main><div>other</div>", None) == "T\ny &amp; z"
+    assert html_text.extract("<body><form><h1>T</h1><p>y</p></form></body>", None) == "T\ny"
+    assert html_text.extract("<body><section class=c><article>Nice!</article></section><div><p>" + "words " * 40 + "</div>", None) == " ".join(["words"] * 40)
+
+
+def test_pages_without_end_and_names_without_number():
+    import time
+
+    rng = random.Random(6)
+    began = time.perf_counter()
+    deep = "<div>" * 10_000 + "inside" + "</div>" * 10_000 + "<p>after"
+    assert html_text.extract(deep, None) == "inside\nafter"
+    mixed = "".join(rng.choice(["<div>", "<p>", "<b>", "<li>", "<ul>", "<form>", "<a href=x>"]) for _ in range(20_000)) + "x"
+    html_text.extract(mixed, None)
+    body = [[running(rng, 12) for _ in range(20)] for _ in range(300)]
+    names = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    pages = ["<body><article>" + "".join(f'<div class="{names()}">{x}</div>' for x in b) + "</article></body>" for b in body]
+    wrapper = html_text.wrapper_of(pages)
+    assert sum(1 for _ in wrapper.walk()) < 200
+    assert [html_text.extract(p, html_text.decide(wrapper)) for p in pages] == ["\n".join(b) for b in body]
+    tags = ["div", "p", "blockquote", "ul", "table", "section", "h2", "h3", "pre", "address"]
+    pages = ["<body><article>" + "".join(f"<{t}>{x}</{t}>" for x in b for t in [rng.choice(tags)]) * 8 + "</article></body>" for b in body[:40]]
+    wrapper = html_text.wrapper_of(pages)
+    assert sum(1 for _ in wrapper.walk()) < 200
+    assert [html_text.extract(p, html_text.decide(wrapper)) for p in pages] == ["\n".join(b * 8) for b in body[:40]]
+    assert time.perf_counter() - began < 20
+
+
+def test_hosts_equal_wrappers_built_page_by_page(spark):
+    """Brute force: hosts of random templates, known texts, any order and number of tasks."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for h in range(6):
+        named, notice, ads = h % 2, running(rng, 8), [running(rng, 5) for _ in range(2)]
+        for i in range(12 + 40 * (h == 0)):
+            blocks = [f"Title {h} {i}", *(running(rng, rng.randint(20, 60)) for _ in range(rng.randint(1, 5)))]
+            inner = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+            body = f"<article><p>{notice}</p>{inner}</article>" if named else f"<div class=c><p>{notice}</p>{inner}</div>"
+            page = f"<html><body class=p{i}><nav>Menu</nav><div class=ad>{ads[i % 2]}</div>{body}<footer>f</footer></body></html>"
+            want[len(rows)] = "\n".join(blocks)
+            rows.append((len(rows), f"http://h{h}.org/{i}", page))
+    frame_ = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        got = {r.page_id: r.text for r in html_text.main_text(frame_.repartition(parts)).collect()}
+        assert got == want
+    for h in range(6):
+        own = [(i, p) for i, u, p in rows if f"h{h}.org" in u]
+        assert texts_of([p for _, p in own]) == [want[i] for i, _ in own]
+        assert texts_of([p for _, p in own], rng.sample(range(len(own)), len(own))) == [want[i] for i, _ in own]
 
 
 def plain_nearest(rows, asks, k):
