@@ -48,15 +48,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        tables = []
-        for b in (_BASE, _INVERSE):
-            t = np.full(size, b, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
+    """Powers of the base and of its inverse; longer tables than a block's are not kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    tables = []
+    for b in (_BASE, _INVERSE):
+        t = np.full(max(n, BLOCK_BYTES + 1), b, dtype=np.uint64)
+        t[0] = 1
+        np.multiply.accumulate(t, out=t)
+        tables.append(t)
+    if n <= BLOCK_BYTES + 1:
         _powers[:] = tables
-    return _powers
+    return tables
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

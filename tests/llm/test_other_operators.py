@@ -149,45 +149,99 @@ def test_pieces_equal_sentencepiece(spark):
     got = {r.doc_id: r for r in pieces.encode(rows, raw).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        assert got[i].ids == peer.encode(t or "") and got[i].parity and got[i].n_tokens == len(got[i].ids)
+        assert got[i].ids == peer.encode(t or "") and got[i].n_tokens == len(got[i].ids)
+        assert got[i].sample_parity == (True if pieces.chosen(t or "", pieces.VERIFY_EVERY) else None)
         assert got[i].round_trip == ("▁" not in (t or ""))
+    assert all(r.sample_parity for r in pieces.encode(rows, raw, verify_every=1).collect())
+    assert all(r.sample_parity is None for r in pieces.encode(rows, raw, verify_every=0).collect())
     back = {r.doc_id: r.text for r in pieces.decode(spark.createDataFrame([(i, r.ids) for i, r in got.items()] + [(-1, None)], "doc_id long, ids array<int>"), raw).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(texts)) and back[-1] == ""
     assert pieces.encode(rows.limit(0), raw).collect() == []
 
 
-def test_pieces_unigram_with_normaliser_and_fallback():
-    """A hand-made unigram model: whole texts, squeezed spaces, byte fallback."""
-    import struct
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="needs the public model file")
+def test_pieces_of_long_texts_and_runs(spark):
+    import time
+
+    raw = pieces.read_model(spark, MODEL)
+    codec = pieces.Codec(raw)
+    assert codec.runs.even
+    rng = random.Random(5)
+    odd = [" " * n for n in range(70)] + [" " * rng.randint(0, 200) + rng.choice(["", "the", "é", "😀", "'s"]) + " " * rng.randint(0, 40) + rng.choice(["", "a"]) for _ in range(500)]
+    flat, first = codec.encode(odd)
+    same, agree = codec.checked(odd, flat, first, 1)
+    assert all(same) and all(agree)
+    for w in (o.replace(" ", pieces.MARK) for o in odd):  # the general way gives the same
+        assert not w.startswith(pieces.MARK * 2) or pieces.MARK in w.lstrip(pieces.MARK) or codec.runs.encode(w) == pieces.merge_word(codec.model, w)
+    began = time.perf_counter()
+    codec.encode([" " * 1_000_000 + "x"])
+    assert time.perf_counter() - began < 1
+    pieces.merge_word(codec.model, pieces.MARK * 20_000)
+    assert time.perf_counter() - began < 3
+    long = ["ab cd  " * 1_500_000, "x" + " " * 10_000_000, "abcde" * 200_000]
+    rows = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert all(r.round_trip and r.sample_parity for r in pieces.encode(rows, raw, verify_every=1).select("round_trip", "sample_parity").collect())
 
-    import sentencepiece
 
-    def field(n, v):
-        return _tag(n, 2) + _size(len(v)) + v
+def message(*parts):
+    """A protobuf message of (field, value): bytes, floats or whole numbers."""
+    import struct
 
-    def _size(n):
+    def size(n):
         out = b""
         while n > 127:
             out += bytes([n & 127 | 128])
             n >>= 7
         return out + bytes([n])
 
-    def _tag(n, kind):
-        return _size(n << 3 | kind)
+    out = b""
+    for n, v in parts:
+        if isinstance(v, bytes):
+            out += size(n << 3 | 2) + size(len(v)) + v
+        elif isinstance(v, float):
+            out += size(n << 3 | 5) + struct.pack("<f", v)
+        else:
+            out += size(n << 3) + size(v)
+    return out
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="needs the public model file")
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_pieces_large_unigram_with_character_map(spark, squeeze):
+    """The public file's pieces as a unigram model, with the library's own NFKC map: scores, map, fallback."""
+    import sentencepiece
+
+    source = pieces.Model(pieces.read_model(spark, MODEL))
+    rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    charsmap = dict(pieces._fields(dict(pieces._fields(rule))[3]))[2]
+    assert len(charsmap) > 10_000
+    every = [message((1, message((1, p.encode()), (2, -(i + 1) ** 0.5 / 7), (3, kind)))) for i, (p, _, kind) in enumerate(source.pieces)]
+    raw = b"".join(every) + message((2, message((3, 1), (35, 1))), (3, message((1, b"nmt_nfkc"), (2, charsmap), (3, 1), (4, squeeze), (5, 1))))
+    peer = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    codec = pieces.Codec(raw)
+    assert codec.model.kind == "unigram" and codec.model.charsmap and not codec.by_word
+    texts = [t or "" for _, t in documents()] + ["ﬁne ½ Ⅷ ｆｕｌｌ", "a\u00a0b", "e\u0301", "①②", "the  cats", "日本語 😀", "tab\tnew\nline", "ÅÅ", "1 234,5"]
+    flat, first = codec.encode(texts)
+    got = [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert got == peer.encode(texts)
+    assert all(codec.checked(texts, flat, first, 1)[1])
+
 
-    def piece(p, score, kind):
-        return field(1, field(1, p.encode()) + _tag(2, 5) + struct.pack("<f", score) + _tag(3, 0) + _size(kind))
+def test_pieces_unigram_with_normaliser_and_fallback():
+    """A hand-made unigram model: whole texts, squeezed spaces, byte fallback."""
+    import sentencepiece
 
+    piece = lambda p, score, kind: message((1, message((1, p.encode()), (2, float(score)), (3, kind))))
     words = ["▁the", "▁cat", "▁c", "at", "▁", "the", "s", "a", "t", "h", "e", "c"]
     raw = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))
     raw += b"".join(piece(w, -1.5 - i / 3, 1) for i, w in enumerate(words))
-    raw += field(2, _tag(3, 0) + _size(1) + _tag(35, 0) + _size(1)) + field(3, field(1, b"identity") + _tag(3, 0) + _size(1) + _tag(4, 0) + _size(1) + _tag(5, 0) + _size(1))
+    raw += message((2, message((3, 1), (35, 1))), (3, message((1, b"identity"), (3, 1), (4, 1), (5, 1))))
     peer = sentencepiece.SentencePieceProcessor(model_proto=raw)
     codec = pieces.Codec(raw)
     assert codec.model.kind == "unigram" and codec.model.byte_fallback
     texts = ["the cat", "the  cats ", " cat é", "", "thecat", "ééé the"]
-    flat, first, _, agree = codec.encode(texts)
-    assert agree.all() and [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == peer.encode(texts)
+    flat, first = codec.encode(texts)
+    assert all(codec.checked(texts, flat, first, 1)[1]) and [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == peer.encode(texts)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a><li>News</ul></nav>
