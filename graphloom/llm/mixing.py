@@ -9,14 +9,17 @@ a recomputed task makes the same copies.
 
 Sizes by source are summed with partial aggregation, so a source that holds a
 third of all rows costs no more than others; documents meet their source's rate
-by a broadcast where the sources are few, and they are shuffled only once, by
-ranges of the order's hash, which are even whatever the sources are.
+by a broadcast where the sources are few, and they are shuffled only once, to the
+partition that the leading bits of the order's hash name, so that partitions are even
+whatever the sources are and stand in the global order, without sampling.
 
 Defined results: a null text has size 0; a null source is a source of its own; a
 source without characters has rate ``epochs``; sources without a weight get
 ``default_weight``; a weight of 0 drops the source.  Repeated rows have the same
-id and therefore equal counts; rows of a null id share one draw.  An empty table
-gives an empty table.  Other columns are kept.  A rate may be of any size: above
+id and therefore equal counts; rows of a null id are told apart by a hash of their
+text.  An empty table gives an empty table.  Other columns are kept, whatever their
+names: a new column whose name is taken, in either case, gets underscores at its end.
+Texts of any length are measured and kept whole.  A rate may be of any size: above
 ``TABLE_RATE`` the same number is inverted for each document over the counts about
 the rate, without a table, and its copies are made in blocks.  The number of a
 copy is a 32-bit integer; a document of more copies than that is an error.
@@ -29,7 +32,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.scratch import Scratch
+from graphloom.llm.scratch import Scratch, unused
 
 BROADCAST_SOURCES = 100_000
 #: Up to this rate a source has a table of probabilities, as long as the rate.
@@ -97,28 +100,35 @@ def mix(
     """``docs`` repeated to the target weights, in global order of ``order_col``.
 
     Two columns are added: the number of the copy from 1, and the order's hash.
-    Their names must be new.
     """
     spark = docs.sparkSession
     table = rates(docs, weights, default_weight, epochs, source_col, text_col)
     known = table.agg(F.count("*").alias("n"), F.max("rate").alias("most")).first()  # one row
     few, high = known["n"] <= BROADCAST_SOURCES, (known["most"] or 0) > TABLE_RATE
+    names = [*docs.columns]
+
+    def new(name: str) -> str:
+        names.append(unused(names, name))
+        return names[-1]
+
+    copy_no, order_key, of, rate, table_of, count, block, copy = map(new, (copy_col, order_col, "_of", "_rate", "_cdf", "_copies", "_block", "_copy"))
     cdf = poisson_cdf(F.col("rate"))
-    table = table.select(F.col("source").alias("_of"), F.col("rate").alias("_rate"), (F.when(F.col("rate") <= TABLE_RATE, cdf) if high else cdf).alias("_cdf"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    table = table.select(F.col("source").alias(of), F.col("rate").alias(rate), (F.when(F.col("rate") <= TABLE_RATE, cdf) if high else cdf).alias(table_of))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     draw = hashed(seed, "count", key) / F.lit(float(1 << 52))
-    joined = docs.join(F.broadcast(table) if few else table, F.col(source_col).eqNullSafe(F.col("_of")))
-    copies = F.size(F.filter("_cdf", lambda c: c <= draw))
+    joined = docs.join(F.broadcast(table) if few else table, F.col(source_col).eqNullSafe(F.col(of)))
+    copies = F.size(F.filter(table_of, lambda c: c <= draw))
     own = [F.col(c) for c in docs.columns]
     if high:
-        copies = F.when(F.col("_rate") <= TABLE_RATE, copies.cast("long")).otherwise(poisson_count(F.col("_rate"), draw))
-        drawn = joined.select(*own, copies.alias("_copies")).filter("_copies > 0")
-        blocks = drawn.select("*", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {BLOCK})")).alias("_block"))
-        out = blocks.select(*own, F.explode(F.expr(f"sequence(_block * {BLOCK} + 1, least((_block + 1) * {BLOCK}, _copies))")).alias("_copy"))
-        number = F.when(F.col("_copy") < 1 << 31, F.col("_copy").cast("int")).otherwise(F.raise_error(F.lit("a document has more copies than a 32-bit integer can number")))
-        out = out.select(*own, number.alias(copy_col))
+        copies = F.when(F.col(rate) <= TABLE_RATE, copies.cast("long")).otherwise(poisson_count(F.col(rate), draw))
+        drawn = joined.select(*own, copies.alias(count)).filter(F.col(count) > 0)
+        blocks = drawn.select("*", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {BLOCK})")).alias(block))
+        out = blocks.select(*own, F.explode(F.expr(f"sequence({block} * {BLOCK} + 1, least(({block} + 1) * {BLOCK}, {count}))")).alias(copy))
+        number = F.when(F.col(copy) < 1 << 31, F.col(copy).cast("int")).otherwise(F.raise_error(F.lit("a document has more copies than a 32-bit integer can number")))
+        out = out.select(*own, number.alias(copy_no))
     else:
-        out = joined.select(*own, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias(copy_col))
-    out = out.withColumn(order_col, hashed(seed, "order", key, F.col(copy_col).cast("string")))
+        out = joined.select(*own, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias(copy_no))
+    out = out.withColumn(order_key, hashed(seed, "order", key, F.col(copy_no).cast("string")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(parts, order_col, copy_col).sortWithinPartitions(order_col, copy_col)
+    place = F.floor(F.col(order_key) / F.lit(float(1 << 52)) * parts).cast("int")
+    return out.repartitionById(parts, place).sortWithinPartitions(order_key, copy_no)

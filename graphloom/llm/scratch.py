@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.sources.store import children, delete, exists, filesystem, read_text, rename, shared_dir
 
-__all__ = ["Scratch", "children", "delete", "exists", "filesystem", "lean", "read_text", "rename", "shared_dir"]
+__all__ = ["Scratch", "children", "delete", "exists", "filesystem", "lean", "read_text", "rename", "shared_dir", "unused"]
 
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 
@@ -30,6 +30,14 @@ def lean(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, or the name with underscores, that no column has in either case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _number(text: str) -> int:
     """A setting such as 2000, 64m or 67108864b."""
     m = re.fullmatch(r"(-?[0-9]+)([kmgt]?)b?", text.strip().lower())
