@@ -10,22 +10,27 @@ under LONG characters, adds a span of kind "random" unless it overlaps a base sp
 Everything is DataFrame expressions over one row, so a scan never shuffles and a
 row's cost is that of a few passes over its text.  Positions follow from the
 lengths between and of the matches (``split`` and ``regexp_extract_all`` with the
-same pattern), counted in code points.  The trained table has one number for
-each pair of the 68 character classes, whatever the samples.
+same pattern), counted in code points.  Running sums, maxima and minima over a row's
+matches are made by doubling, a logarithm of passes over them, so that a text of
+very many matches costs little more a match than others.  The trained table has one
+number for each pair of the 68 character classes, whatever the samples.
 
 Defined results: a null text counts as empty and has no spans; kinds may overlap
-one another, spans of one kind never do; repeated rows get equal answers; other
-columns are untouched and may have any names.
+one another, spans of one kind never do; repeated rows get equal answers; texts and
+tokens of any length are scanned whole; an empty table gives an empty table; other
+columns are untouched and may have any names (``scan`` replaces one called ``out``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.scratch import unused
+
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed values of the base patterns and their least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -44,6 +49,8 @@ MARGIN = 8.0
 #: Added for each character under LONG: short ordinary tokens are many, and short random ones have less to show.
 SHORT, LONG = 0.5, 20
 SAMPLES = 4000
+#: Code points of the pieces of a text that is redacted.
+CHUNK = 4096
 
 _WORDS = "get set user name file path index value count list item node data load save read write open close start stop time date type size max min page view model table column row key map cache buffer string number config option default error message handler event request response server client session context module package version test main init update delete create insert select order group total average last first next previous".split()
 
@@ -123,33 +130,45 @@ def train(samples: DataFrame) -> list[float]:
 def log_ratio(token: Column, table: Sequence[float]) -> Column:
     """Sum of the table over the pairs of neighbouring characters."""
     ratios = F.expr("array(" + ",".join(f"{x!r}D" for x in table) + ")")
-    at = F.sequence(F.lit(1), F.length(token) - 1)
-    return F.aggregate(at, F.lit(0.0), lambda s, i: s + F.element_at(ratios, _class(token, i) * CLASSES + _class(token, i + 1) + 1))
+    codes = F.transform(F.split(token, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last"))
+
+    def step(s: Column, c: Column) -> Column:
+        more = F.when(s["last"] < 0, 0.0).otherwise(F.element_at(ratios, s["last"] * CLASSES + c + 1))
+        return F.struct((s["sum"] + more).alias("sum"), c.alias("last"))
+
+    return F.aggregate(codes, start, step, lambda s: s["sum"])
+
+
+def _scanned(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Each value joined with all before it, by doubling; ``join`` gets null where nothing is before."""
+    rounds = F.ceil(F.log2(F.size(values).cast("double"))).cast("int")
+
+    def double(acc: Column, k: Column) -> Column:
+        return F.transform(acc, lambda x, i: join(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k))))
+
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), values, double))
+
+
+def _zipped(*arrays: tuple[str, Column]) -> Column:
+    """One array of structs of equally long arrays."""
+    return F.arrays_zip(*(a.alias(n) for n, a in arrays))
 
 
 def _spans(text: Column, pattern: str, kind: int, may: Column, keep: Column | None = None) -> Column:
     """Array of (start, kind, end) of a pattern's matches; ``keep``: an array of flags, one for each match."""
-    p = F.lit(pattern)
-    found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.zip_with(F.transform(F.slice(gaps, 1, F.size(found)), F.length), F.transform(found, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    flags = keep if keep is not None else F.transform(found, lambda _: F.lit(True))
-    items = F.zip_with(lengths, flags, lambda x, f: F.struct(x["g"].alias("g"), x["m"].alias("m"), f.alias("f")))
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    span = lambda s, x: F.struct((s["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), (s["at"] + x["g"] + x["m"]).alias("end"))
-    walk = F.aggregate(
-        items,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, x: F.struct((s["at"] + x["g"] + x["m"]).alias("at"), F.when(x["f"], F.concat(s["out"], F.array(span(s, x)))).otherwise(s["out"]).alias("out")),
-        lambda s: s["out"],
-    )
-    return F.when(may, walk).otherwise(empty)
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    sizes = F.transform(found, F.length)
+    steps = F.zip_with(F.transform(F.slice(gaps, 1, F.size(found)), F.length), sizes, lambda g, m: g + m)
+    ends = _scanned(steps, lambda x, y: x + F.coalesce(y, F.lit(0)))
+    spans = F.zip_with(ends, sizes, lambda e, m: F.struct((e - m).alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
+    if keep is not None:
+        spans = F.filter(F.zip_with(spans, keep, lambda s, f: F.when(f, s)), lambda s: s.isNotNull())
+    return F.when(may, spans).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
 
 
 def scan(docs: DataFrame, table: Sequence[float], text_col: str = "text", out: str = "secrets") -> DataFrame:
-    """``docs`` with one more column: the array of (start, kind, end), by start, then kind.
-
-    ``out`` must be a new name; ``kind`` is a place in KINDS.
-    """
+    """``docs`` with the column ``out``: the array of (start, kind, end), by start, then kind; ``kind`` is a place in KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     assign = _spans(text, ASSIGN, 0, text.rlike(MAY_ASSIGN), F.transform(values, lambda v: F.length(v) >= ASSIGN_VALUE))
@@ -158,10 +177,15 @@ def scan(docs: DataFrame, table: Sequence[float], text_col: str = "text", out: s
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     likely = lambda t: log_ratio(t, table) > MARGIN + SHORT * F.greatest(LONG - F.length(t), F.lit(0))
     random = _spans(text, TOKEN, 3, text.rlike(TOKEN), F.transform(tokens, likely))
-    with_base = docs.withColumn(out, F.struct(F.concat(assign, access, hexes).alias("base"), random.alias("more")))
-    base, more = F.col(f"{out}.base"), F.col(f"{out}.more")
-    more = F.filter(more, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return with_base.withColumn(out, F.array_sort(F.concat(base, more)))
+    found = docs.withColumn(out, F.array_sort(F.concat(assign, access, hexes, random)))
+    # Random spans that a base span overlaps go: one that starts no later, or one that starts before their end.
+    spans = F.col(out)
+    left = _scanned(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["end"])), F.greatest)
+    right = F.reverse(_scanned(F.transform(F.reverse(spans), lambda s: F.when(s["kind"] < 3, s["start"])), F.least))
+    apart = lambda x: (x["span"]["kind"] < 3) | (F.coalesce(x["left"], F.lit(0)) <= x["span"]["start"]) & (F.coalesce(x["right"], x["span"]["end"]) >= x["span"]["end"])
+    clean = F.transform(F.filter(_zipped(("span", spans), ("left", left), ("right", right)), apart), lambda x: x["span"])
+    mixed = F.exists(spans, lambda s: s["kind"] == 3) & F.exists(spans, lambda s: s["kind"] < 3)
+    return found.withColumn(out, F.when(mixed, clean).otherwise(spans))
 
 
 def as_text(spans: Column) -> Column:
@@ -179,18 +203,31 @@ def report(docs: DataFrame, table: Sequence[float], id_col: str = "doc_id", text
 
 
 def redact(docs: DataFrame, table: Sequence[float], text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span replaced by a mark; overlapping spans become one.  A null text stays null."""
-    out = "_secrets"
-    while out in docs.columns:
-        out += "_"
-    text = F.col(text_col)
-    cut = F.aggregate(
-        F.col(out),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("s")),
-        lambda a, x: F.when(x["end"] <= a["at"], a)
-        .when(x["start"] < a["at"], F.struct(x["end"].alias("at"), a["s"].alias("s")))
-        .otherwise(F.struct(x["end"].alias("at"), F.concat(a["s"], text.substr(a["at"] + 1, x["start"] - a["at"]), F.lit(mark)).alias("s"))),
-        lambda a: F.concat(a["s"], text.substr(a["at"] + 1, F.length(text))),
-    )
-    found = scan(docs, table, text_col, out)
-    return found.withColumn(text_col, F.when(F.size(out) > 0, cut).otherwise(text)).select(*docs.columns)
+    """``docs`` with every span replaced by a mark; overlapping spans become one.  A null text stays null.
+
+    The text is cut into chunks of CHUNK code points, so that a piece between two
+    spans is found without counting from the text's start.
+    """
+    names = [*docs.columns]
+    spans, cuts, chunks = (unused(names, n) for n in ("_spans", "_cuts", "_chunks"))
+    found, text = scan(docs, table, text_col, spans), F.col(text_col)
+    # A span that starts where all before have ended opens a cut; a cut ends where its last span does.
+    reach = _scanned(F.transform(spans, lambda s: s["end"]), F.greatest)
+    before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
+    edges = F.filter(_zipped(("span", F.col(spans)), ("before", before)), lambda x: x["span"]["start"] >= x["before"])
+    starts = F.transform(edges, lambda x: x["span"]["start"])
+    ends = F.concat(F.slice(F.transform(edges, lambda x: x["before"]), 2, F.size(edges)), F.array(F.array_max(F.transform(spans, lambda s: s["end"]))))
+    cutting = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(starts, F.array(F.length(text))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    some = F.size(spans) > 0
+    found = found.withColumn(cuts, F.when(some, cutting)).withColumn(chunks, F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    chunk = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    of = lambda x: F.floor(x / CHUNK).cast("int")
+
+    def piece(c: Column) -> Column:
+        a, b = c["a"], c["b"]
+        within = F.substring(chunk(of(a)), a % CHUNK + 1, b - a)
+        across = F.concat(F.substring(chunk(of(a)), a % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, of(a) + 2, F.greatest(of(b) - of(a) - 1, F.lit(0))), ""), F.substring(chunk(of(b)), F.lit(1), b % CHUNK))
+        return F.when(of(a) == of(b), within).otherwise(across)
+
+    clean = F.array_join(F.transform(cuts, piece), mark)
+    return found.withColumn(text_col, F.when(some, clean).otherwise(text)).select(*names)

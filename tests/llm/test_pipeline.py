@@ -9,7 +9,7 @@ from graphloom.llm import quality_rules, secret_scan
 from graphloom.llm.queries import MIX_WEIGHTS
 from tests.llm.data import documents, frame
 from tests.llm.test_neardup import brute
-from tests.llm.test_text_operators import draws, plain_spans
+from tests.llm.test_text_operators import draws, key_of, plain_spans
 
 MODEL = os.environ.get("GRAPHLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="needs the public model file")
@@ -57,7 +57,7 @@ def test_every_stage_equals_plain_python(spark, tmp_path):
         size[s] += len(t)
     weight = {s: MIX_WEIGHTS.get(s, 1.0) for s in size}
     rate = {s: sum(size.values()) * (weight[s] / sum(weight.values())) / size[s] for s in size}
-    mixed = collections.Counter({(i, t): draws("pipeline", i, rate[s]) for (i, t), s in clean.items()})
+    mixed = collections.Counter({(i, t): draws("pipeline", key_of(i, t), rate[s]) for (i, t), s in clean.items()})
     out = P.STAGES[3][1](spark, out, str(tmp_path))
     assert out.columns == columns and collections.Counter((r.doc_id, r.text) for r in out.collect()) == +mixed
 

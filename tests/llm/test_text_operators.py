@@ -120,7 +120,7 @@ def plain_spans(text, table):
     for m in PATTERNS[3].finditer(t):
         g = m.group()
         ratio = sum(table[index(a) * secret_scan.CLASSES + index(b)] for a, b in zip(g, g[1:], strict=False))
-        if re.search("[0-9]", g) and re.search("[A-Za-z]", g) and ratio > secret_scan.MARGIN and not any(a < m.end() and m.start() < b for a, _, b in out if _ < 3):
+        if ratio > secret_scan.MARGIN + secret_scan.SHORT * max(0, secret_scan.LONG - len(g)) and not any(a < m.end() and m.start() < b for a, _, b in out if _ < 3):
             out.append((m.start(), 3, m.end()))
     return sorted(out)
 
@@ -154,6 +154,35 @@ def test_secret_scan_equals_plain_python(spark):
     assert secret_scan.report(frame(spark, []), table).collect() == []
 
 
+def test_secret_scan_of_many_and_long_matches(spark):
+    """100,000 spans in one text, and tokens of a million characters, in seconds; many overlaps at chunk ends."""
+    import time
+
+    table = secret_scan.train(secret_scan.labelled_samples(spark))
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    token = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    runs = " ".join("0123456789abcdef" for _ in range(100_000))
+    mixed = "".join(rng.choice([" é ", " token=", " ", "\n", "=", "\U0001f600"]) + rng.choice(["0123456789abcdef" * rng.randint(1, 3), token(rng.randint(10, 40)), "AKIA" + "A1B2C3D4E5F6G7", "plain words"]) for _ in range(1500))
+    rows = [(1, runs), (2, "o" * 1_000_000), (3, token(1_000_000)), (4, mixed), (5, "x" * 4095 + " " + "0123456789abcdef" * 2), (6, "0123456789abcdef" * 600), (7, None)]
+    docs = spark.createDataFrame([(i, t, "s", "x") for i, t in rows], "doc_id long, text string, _Spans string, secrets string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secret_scan.report(docs, table).collect()}
+    clean = secret_scan.redact(docs, table)
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert time.perf_counter() - began < 90 and clean.columns == docs.columns
+    assert got[1].n_hex == 100_000 and got[1].spans.endswith("hex:1699983:1699999")
+    assert got[2].spans == "" and got[3].spans == "random:0:1000000"
+    assert got[4].spans == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in plain_spans(mixed, table))
+    assert text[1] == " ".join(["[secret]"] * 100_000) and text[2] == rows[1][1] and text[3] == "[secret]" and text[7] is None
+    assert text[5] == "x" * 4095 + " [secret]" and text[6] == "[secret]"
+    out, at = "", 0
+    for a, _, b in plain_spans(mixed, table):
+        if b > at:
+            out, at = (out if a < at else out + mixed[at:a] + "[secret]"), b
+    assert text[4] == out + mixed[at:]
+
+
 def test_markov_models_tell_random_from_names(spark):
     samples = secret_scan.labelled_samples(spark)
     table = secret_scan.train(samples.filter("crc32(sample) % 2 = 0"))
@@ -177,8 +206,12 @@ def test_random_tokens_need_no_digit_and_no_20_characters(spark):
     assert [t for i, t in enumerate(usual) if got[len(odd) + i]] == []
 
 
+def key_of(i, text):
+    return f"null|{hashlib.md5((text or '').encode()).hexdigest()}" if i is None else i
+
+
 def draws(seed, i, rate):
-    u = int(hashlib.md5(f"{seed}|count|{'' if i is None else i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+    u = int(hashlib.md5(f"{seed}|count|{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
     k, total = 0, math.exp(-rate)
     while total <= u:
         k += 1
@@ -199,7 +232,7 @@ def test_mixing_equals_plain_draws(spark):
     rate = {s: 2.0 * sum(sizes.values()) * (weight[s] / sum(weight.values())) / sizes[s] for s in sizes}
     want = collections.Counter()
     for r in data:
-        for c in range(draws("t", r.doc_id, rate[r.source]) if rate[r.source] else 0):
+        for c in range(draws("t", key_of(r.doc_id, r.text), rate[r.source]) if rate[r.source] else 0):
             want[r.doc_id, c + 1] += 1
     assert collections.Counter((r.doc_id, r.copy_no) for r in got) == want
     assert [r.order_key for r in got] == sorted(r.order_key for r in got)
@@ -208,6 +241,20 @@ def test_mixing_equals_plain_draws(spark):
         share[r.source] += len(r.text or "")
     assert share["s1"] == 0 and abs(share["s0"] / sum(share.values()) - 3 / 5) < 0.08
     assert mixing.mix(frame(spark, []), weights).collect() == []
+    parts = mixing.mix(docs, weights, epochs=2.0, seed="t").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 2 * min(r["count"] for r in parts)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = frame(spark, [(i, "x" * 9) for i in range(50)])
+    names = ["copy_no", "Order_Key", "_of", "_cdf", "_rate", "_copies", "_block", "_copy", "rate", "size", "name", "weight"]
+    clash = docs.select("*", *(F.lit(-1).alias(n) for n in names))
+    for weights in ({}, {"s0": 1e6}):
+        got = mixing.mix(clash, weights, seed="t")
+        assert got.columns == [*clash.columns, "copy_no_", "order_key_"]
+        plain = mixing.mix(docs, weights, seed="t")
+        assert collections.Counter(r[:len(docs.columns)] + r[-2:] for r in got.collect()) == collections.Counter(map(tuple, plain.collect()))
+        assert all(r[len(docs.columns) + j] == -1 for r in got.limit(5).collect() for j in range(len(names)))
 
 
 def test_a_small_source_is_repeated_as_often_as_it_takes(spark):
