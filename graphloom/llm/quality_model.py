@@ -5,16 +5,19 @@ tokens and pairs are hashed to ``1 << BITS`` buckets, and a token that follows
 itself also counts as the pair of any token and its repeat.  A text is the vector of
 1 + log of its counts, scaled to length 1, plus a constant.  Weights come from
 follow-the-regularised-leader updates (per-coordinate, with L1 and L2), over at
-most ``max_rows`` labelled texts in the order of a hash of their id; scoring is
-a sparse dot product over whole texts where they lie, with weights of 2 MB.
+most ``max_rows`` labelled texts, and as many of them as have ``max_values`` vector
+entries together, in the order of a hash of their id; scoring is a sparse dot
+product over whole texts where they lie, with weights of 2 MB.
 
 Only the fit is bounded: its sample is the labelled rows with the smallest id
-hashes.  It happens in one task that reads sparse vectors, never texts, so that
-a lost executor costs one short task.
+hashes.  It happens in one task that reads sparse vectors of 160 MB at most, never
+texts, so that a lost executor costs one short task.
 
 Defined results: a null or blank text scores by the constant alone; labels that
 are null or without a document are ignored, repeated ones count as often as
-they occur; with no labels every score is 0.5; other columns are not read.
+they occur; with no labels every score is 0.5; texts of any length are read whole;
+rows of equal text score equally; an empty table gives an empty table; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from graphloom.llm import textkernel as K
 from graphloom.llm.scratch import Scratch
 
 BITS = 18
-MAX_ROWS = 20_000
+MAX_ROWS, MAX_VALUES = 20_000, 20_000_000
+#: Labels are broadcast up to this many (16 MB); beyond, they meet their texts by a shuffled join.
+BROADCAST_LABELS = 1_000_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 PREDICT_AT = 0.3
 
@@ -84,7 +89,8 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     for _ in range(epochs):
-        for label, at, x in rows:
+        for label, at, values in rows:
+            x = values.astype(np.float64)
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
@@ -94,18 +100,23 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -
     return weights(z, n)
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for batch in batches:
-        for at, label, bucket, value in zip(*(batch.column(i) for i in range(4)), strict=True):
-            rows.append((at.as_py(), label.as_py(), bucket.values.to_numpy(), value.values.to_numpy().astype(np.float64)))
-    rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-    w = ftrl([r[1:] for r in rows])
-    at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], names=["bucket", "weight"])
+def _trainer(max_values: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, values = [], 0
+        for batch in batches:
+            for label, bucket, value in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                values += len(bucket.values)
+                if values > max_values and rows:
+                    break
+                rows.append((label.as_py(), bucket.values.to_numpy(), value.values.to_numpy()))
+        w = ftrl(rows)
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], names=["bucket", "weight"])
+
+    return run
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray:
+def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_values: int = MAX_VALUES) -> np.ndarray:
     """Weights from (id, label, text); rows with null label are ignored."""
     spark = labelled.sparkSession
     scratch = Scratch(spark, "quality")
@@ -115,9 +126,11 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray:
         cut = int(-(1 << 63) + (1 << 64) * min(1.0, 1.05 * max_rows / n + 200 / n))
         rows = rows.filter(F.col("at") < min(cut, (1 << 63) - 1))
     vectors = scratch.save(rows.mapInArrow(_vectors, "at long, label int, bucket array<int>, value array<float>"), "vectors")
+    order = ["at", "label", F.size("bucket"), "bucket", "value"]
     if n > max_rows:
-        vectors = vectors.orderBy("at", "label", F.size("bucket")).limit(max_rows)
-    found = vectors.repartition(1).mapInArrow(_train, "bucket int, weight double").collect()  # 1 << BITS rows at most
+        vectors = vectors.orderBy(*order).limit(max_rows)
+    vectors = vectors.repartition(1).sortWithinPartitions(*order)
+    found = vectors.mapInArrow(_trainer(max_values), "bucket int, weight double").collect()  # 1 << BITS rows at most
     scratch.drop("vectors")
     w = np.zeros(1 << BITS)
     for bucket, weight in found:
@@ -154,8 +167,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = known.count()
     if n > MAX_ROWS:  # cut before the join, so that few texts move; rows of a cut id stay together
         share = min(1.0, 2.0 * MAX_ROWS / n)
-        known = known.filter(F.xxhash64("doc_id") < int(-(1 << 63) + (1 << 64) * share))
-    few = F.broadcast(known) if n <= 50 * MAX_ROWS else known
+        known = known.filter(F.xxhash64("doc_id") < min(int(-(1 << 63) + (1 << 64) * share), (1 << 63) - 1))
+        n = known.count()
+    few = F.broadcast(known) if n <= BROADCAST_LABELS else known
     labelled = docs.select("doc_id", "text").join(few, "doc_id").select(F.col("doc_id").alias("id"), "label", "text")
     out = score(docs, fit(labelled))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))

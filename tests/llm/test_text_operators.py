@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.llm import mixing, quality_model, quality_rules, secret_scan
+from graphloom.llm import mixing, quality_model, quality_rules, secret_scan, textkernel
 from tests.llm.data import documents, frame, prose
 
 
@@ -45,30 +45,31 @@ def test_quality_rules_on_nothing(spark):
     assert quality_rules.keep_good(frame(spark, [])).collect() == []
 
 
-def plain_em(counts, rules):
-    """The same model, one document pattern and one rule at a time."""
-    rel = [[[0.05, 0.2, 0.75] for _ in range(rules)], [[0.038, 0.002, 0.96] for _ in range(rules)]]
-    share = 0.8
+def plain_em(counts, rules, kinds):
+    """The same model, one document pattern, class and rule at a time."""
+    n_classes = len(kinds) + 1
+    own = [[c > 0 and j in kinds[c - 1] for j in range(rules)] for c in range(n_classes)]
+    rel = [[[0.05, 0.6, 0.35] if own[c][j] else [0.038, 0.002, 0.96] for j in range(rules)] for c in range(n_classes)]
+    share = [0.9] + [0.1 / len(kinds)] * len(kinds)
     for _ in range(500):
         post = {}
         for p in counts:
-            a, b = share, 1 - share
-            for j, v in enumerate(quality_rules.votes_of(p, rules)):
-                a, b = a * rel[1][j][v + 1], b * rel[0][j][v + 1]
-            post[p] = a / (a + b)
-        for c in (0, 1):
-            total = sum(n * (post[p] if c else 1 - post[p]) for p, n in counts.items())
+            each = list(share)
+            for c in range(n_classes):
+                for j, v in enumerate(quality_rules.votes_of(p, rules)):
+                    each[c] *= rel[c][j][v + 1]
+            post[p] = [x / sum(each) for x in each]
+        for c in range(n_classes):
+            total = sum(n * post[p][c] for p, n in counts.items())
             for j in range(rules):
-                for k in range(3):
-                    own = sum(n * (post[p] if c else 1 - post[p]) for p, n in counts.items() if quality_rules.votes_of(p, rules)[j] + 1 == k)
-                    rel[c][j][k] = (own + 0.5) / (total + 1.5)
-        for j in range(rules):
-            if rel[1][j][1] > rel[0][j][1]:
-                both = [(x + y) / 2 for x, y in zip(rel[0][j], rel[1][j], strict=True)]
-                rel[0][j], rel[1][j] = both, list(both)
+                rel[c][j] = [(sum(n * post[p][c] for p, n in counts.items() if quality_rules.votes_of(p, rules)[j] + 1 == k) + 0.5) / (total + 1.5) for k in range(3)]
+        for c in range(1, n_classes):
+            for j in range(rules):
+                if own[c][j] and rel[0][j][1] > rel[c][j][1]:
+                    rel[c][j] = list(rel[0][j])
         n = sum(counts.values())
-        share = (sum(counts[p] * post[p] for p in counts) + 1) / (n + 2)
-    return post
+        share = [(sum(counts[p] * post[p][c] for p in counts) + 1) / (n + n_classes) for c in range(n_classes)]
+    return {p: x[0] for p, x in post.items()}
 
 
 def test_em_equals_plain_loops():
@@ -77,12 +78,28 @@ def test_em_equals_plain_loops():
     for _ in range(3000):
         bad = rng.random() < 0.15
         kind = rng.randrange(2)
-        votes = [(0 if rng.random() < 0.9 else -1) if bad and j // 2 == kind else (1 if rng.random() < 0.97 else rng.choice([-1, 0])) for j in range(4)]
+        votes = [(0 if rng.random() < 0.9 else -1) if bad and j // 3 == kind else (1 if rng.random() < 0.97 else rng.choice([-1, 0])) for j in range(7)]
         counts[int(quality_rules.pattern(np.array([votes]))[0])] += 1
-    got, want = quality_rules.posteriors(dict(counts), 4), plain_em(counts, 4)
+    kinds = ((0, 1, 2), (3, 4, 5))
+    got, want = quality_rules.posteriors(dict(counts), 7, kinds), plain_em(counts, 7, kinds)
     assert all(abs(got[p] - want[p]) < 1e-3 for p in counts)
 
 
+def test_one_defect_counts_once():
+    """However many copies of a rule there are, a document of one odd vote by another rule stays good."""
+    for copies in (3, 6):
+        counts = collections.Counter()
+        rng = random.Random(3)
+        for i in range(5000):
+            symbols = 0 if i % 10 == 0 else 1
+            votes = [symbols] * copies + [0 if rng.random() < 0.02 else 1 for _ in range(2)]
+            counts[int(quality_rules.pattern(np.array([votes]))[0])] += 1
+        post = quality_rules.posteriors(dict(counts), copies + 2, (tuple(range(copies)),))
+        for p, x in post.items():
+            v = quality_rules.votes_of(p, copies + 2)
+            assert (x < 0.01) if v[0] == 0 else (x > 0.99)
+
+
 def test_classifier_learns_and_holds_out(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 80) if i % 3 else prose(rng, 80).replace(" ", "### ").upper()) for i in range(600)] + [(600, None), (601, ""), (602, "a " * 50000), (None, "x")]
@@ -99,6 +116,77 @@ def test_classifier_learns_and_holds_out(spark):
     assert all(r.score == 0.5 for r in none)
 
 
+def plain_hash(word):
+    """The text kernel's hash of a span, one byte at a time."""
+    mask, total, power = (1 << 64) - 1, 0, 1
+    for b in word.encode():
+        total = (total + int(textkernel._BYTE[b]) * power) & mask
+        power = power * int(textkernel._BASE) & mask
+    return plain_mix((total + len(word.encode()) * int(textkernel._MUL[15])) & mask)
+
+
+def plain_mix(x):
+    for _ in range(2):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+    return x ^ x >> 32
+
+
+def plain_vector(text):
+    """{bucket: value} of a text by a regular expression and dictionaries."""
+    tokens = re.findall(r"[0-9A-Za-z_\u0080-\U0010ffff]+|[^0-9A-Za-z_\u0080-\U0010ffff\x20\x09-\x0D]+", text or "")
+    h = [plain_hash(t) for t in tokens]
+    bits = 64 - quality_model.BITS
+    count = collections.Counter(x >> bits for x in h)
+    for a, b in zip(h, h[1:], strict=False):
+        count[plain_mix((a * int(textkernel._MUL[0]) + b * int(textkernel._MUL[1])) & (1 << 64) - 1) >> bits] += 1
+        if a == b:
+            count[1] += 1
+    count[0] += 1
+    value = {k: 1 + math.log(n) for k, n in count.items()}
+    size = math.sqrt(sum(x * x for x in value.values()))
+    return {k: float(np.float32(x / size)) for k, x in value.items()}
+
+
+def plain_ftrl(rows):
+    """{bucket: weight}: one coordinate at a time."""
+    q, z, n = quality_model, collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= q.L1 else -(z[i] - math.copysign(q.L1, z[i])) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+
+    for _ in range(q.EPOCHS):
+        for label, vector in rows:
+            w = {i: weight(i) for i in vector}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in vector.items())))
+            for i, x in vector.items():
+                g = (p - label) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / q.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_classifier_equals_plain_python(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 30) + (" !!! ### go go go" if i % 2 else " naïve, café") * (i % 4)) for i in range(120)] + [(120, None), (121, "  "), (122, "x\ny"), (7, "another text of an id")]
+    labels = [(i, i % 2) for i in range(100)] + [(3, 0), (120, 0)]
+    docs = frame(spark, rows)
+    got = {(r.doc_id, r.score) for r in quality_model.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    text = collections.defaultdict(list)
+    for i, t in rows:
+        text[i].append(t)
+    known = [(i, y, t) for i, y in labels if zlib.crc32(str(i).encode()) % 5 for t in text[i]]
+    at = {r.i: r.at for r in spark.createDataFrame([(i,) for i in text], "i long").select("i", F.xxhash64("i").alias("at")).collect()}
+    vectors = [(at[i], y, plain_vector(t)) for i, y, t in known]
+    vectors.sort(key=lambda v: (v[0], v[1], len(v[2]), sorted(v[2])))
+    w = plain_ftrl([v[1:] for v in vectors])
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, []).append(1 / (1 + math.exp(-sum(w.get(k, 0.0) * x for k, x in plain_vector(t).items()))))
+    assert len({round(s, 9) for _, s in got}) > 50
+    assert all(min(abs(s - x) for x in want[i]) < 1e-6 for i, s in got) and len(got) >= len(want)
+
+
 def test_classifier_sample_is_bounded(spark):
     rng = random.Random(4)
     rows = [(i, i % 2, prose(rng, 20) + ("!!! " * 9 if i % 2 else "")) for i in range(300)]
@@ -106,6 +194,35 @@ def test_classifier_sample_is_bounded(spark):
     weights = quality_model.fit(df, max_rows=40)
     assert 0 < (weights != 0).sum() <= 40 * 60
     assert (quality_model.fit(df, max_rows=40) == weights).all()
+    few = quality_model.fit(df, max_values=200)
+    assert 0 < (few != 0).sum() <= 200 and (quality_model.fit(df.repartition(7), max_values=200) == few).all()
+
+
+def test_classifier_joins_many_labels(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = frame(spark, [(i, prose(rng, 20)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    want = collections.Counter(quality_model.classify(docs, labels).collect())
+    monkeypatch.setattr(quality_model, "BROADCAST_LABELS", 0)
+    assert collections.Counter(quality_model.classify(docs, labels).collect()) == want
+
+
+def test_texts_of_ten_megabytes(spark):
+    """Whole long texts: measures, scores and signatures without more memory than a few times their length."""
+    from graphloom.llm import neardup
+
+    words = [f"w{i % 1009}x{i % 733}" for i in range(1_200_000)]
+    long = " ".join(words)
+    assert len(long) > 10_000_000
+    rows = [(0, long), (1, long + " end"), (2, "a " * 5_000_000), (3, "b" * 10_000_000), (4, "\n" * 10_000_000)]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert [got[i].n_words for i in range(5)] == [1_200_000, 1_200_001, 5_000_000, 1, 0]
+    assert got[2].n_repeat_words == 5_000_000 and got[3].word_chars == 10_000_000
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
+    assert len(quality_model.classify(docs, labels).collect()) == 5
+    found = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
+    assert [found[i].component_id for i in range(5)] == [0, 0, 2, 3, 4] and [found[i].n_shingles for i in (2, 3, 4)] == [1, 1, 0]
 
 
 PATTERNS = (re.compile(secret_scan.ASSIGN), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+"), re.compile(secret_scan.TOKEN))
