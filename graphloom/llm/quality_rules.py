@@ -2,11 +2,15 @@
 
 Each rule votes good, bad or abstains on measures of the whole text.  The votes
 are evidence of unknown reliability: expectation-maximisation over the counts
-of vote patterns estimates how each rule votes on good and on bad documents
-and the share of good ones, and a document is kept if its posterior probability of being good
-reaches a threshold.  The patterns of R rules number 3^R at most, whatever the
-corpus, so that their counts, made with partial aggregation over all documents,
-fit on the driver.
+of vote patterns estimates how each rule votes on good documents and on those of
+each kind of defect, and how many there are of each; a document is kept if its
+posterior probability of being good reaches a threshold.  Rules that measure one
+defect in several ways agree because of it, so they are independent only given its
+kind: that is why bad documents are not one class but one a kind (KINDS), and a
+defect counts once however many rules see it.  A kind needs three rules to be told
+from their errors; the other rules only lend weight.  The patterns of R rules number
+3^R at most, whatever the corpus, so that their counts, made with partial aggregation
+over all documents, fit on the driver.
 
 Defined results: null counts as an empty text; a text without words has zero in
 every measure and fails the base rules; repeated rows get equal answers; over an
@@ -16,20 +20,22 @@ equality of 64-bit hashes.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from graphloom.llm import textkernel as K
-from graphloom.llm.scratch import Scratch, lean
+from graphloom.llm.scratch import Scratch, unused
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_shouts", "n_capital_runs", "n_symbol_words")
 BASE = MEASURES[:5]
 RULES = ("length", "symbols", "symbol_words", "symbol_share", "capitals", "capital_runs", "shouts", "dup_lines", "repeats", "stops")
+#: Kinds of defect, as places of the rules that see them: symbols, shouting.
+KINDS = ((1, 2, 3), (4, 5, 6))
 KEEP_AT = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -135,43 +141,45 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measured, schema)
 
 
-def fit(counts: dict[int, int], rules: int = len(RULES), rounds: int = 500) -> tuple[np.ndarray, float]:
-    """(reliability, share of good documents) by expectation-maximisation.
+def fit(counts: dict[int, int], rules: int = len(RULES), kinds: tuple[tuple[int, ...], ...] = KINDS, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """(reliability, shares) by expectation-maximisation over the classes good, then each kind.
 
-    ``reliability[c, j, k]`` is the probability that rule j abstains (k = 0),
-    votes bad (1) or good (2) on a document of class c (0 bad, 1 good).  It
-    starts from rules that seldom fail a good document and each catch a fifth of
-    the bad ones, is smoothed by a few counts, and a rule is never let to vote
-    bad more often on good documents than on bad ones, which pins the meaning of
-    the classes.  Each kind of defect has several rules: they agree on it, and
-    that agreement is what tells a defect from a rule's error.
+    ``reliability[c, j, k]`` is the probability that rule j abstains (k = 0), votes
+    bad (1) or good (2) on a document of class c.  It starts from rules that seldom
+    fail a document but catch most of their own kind of defect, and is smoothed by
+    a few counts; a rule is never let to vote bad more often on good documents than
+    on those of its kind, which pins the meaning of the classes.
     """
-    rel = np.empty((2, rules, 3))
-    rel[0], rel[1] = (0.05, 0.2, 0.75), (0.038, 0.002, 0.96)
-    share = 0.8
+    own = np.zeros((len(kinds) + 1, rules), bool)
+    for c, places in enumerate(kinds, 1):
+        own[c, list(places)] = True
+    rel = np.where(own[:, :, None], np.array([0.05, 0.6, 0.35]), np.array([0.038, 0.002, 0.96]))
+    shares = np.array([0.9] + [0.1 / max(1, len(kinds))] * len(kinds))
+    shares /= shares.sum()
     if not counts:
-        return rel, share
-    v = np.array([votes_of(p, rules) for p in counts]) + 1
+        return rel, shares
+    v = np.array([votes_of(p, rules) for p in counts])
     n = np.array(list(counts.values()), np.float64)
     for _ in range(rounds):
-        p = posterior(v - 1, rel, share)
-        old, old_share = rel.copy(), share
-        for c, w in enumerate((n * (1 - p), n * p)):
-            for k in range(3):
-                rel[c, :, k] = ((w[:, None] * (v == k)).sum(0) + 0.5) / (w.sum() + 1.5)
-        swapped = rel[1, :, 1] > rel[0, :, 1]
-        rel[:, swapped, :] = rel[:, swapped, :].mean(axis=0)
-        share = float((n @ p + 1) / (n.sum() + 2))
-        if abs(rel - old).max() + abs(share - old_share) < 1e-10:
+        w = n[:, None] * classes(v, rel, shares)
+        total = w.sum(axis=0)
+        new = np.stack([(w.T @ (v + 1 == k) + 0.5) / (total[:, None] + 1.5) for k in range(3)], axis=2)
+        for c in range(1, len(new)):
+            swapped = own[c] & (new[0, :, 1] > new[c, :, 1])
+            new[c, swapped] = new[0, swapped]
+        mine = (total + 1) / (n.sum() + len(total))
+        moved = np.abs(new - rel).max() + np.abs(mine - shares).max()
+        rel, shares = new, mine
+        if moved < 1e-10:
             break
-    return rel, share
+    return rel, shares
 
 
-def posterior(v: np.ndarray, rel: np.ndarray, share: float) -> np.ndarray:
-    """Probability of good, given votes."""
-    log = np.log(rel)
-    score = math.log(share / (1 - share)) + sum(log[1, j, v[:, j] + 1] - log[0, j, v[:, j] + 1] for j in range(v.shape[1]))
-    return 1 / (1 + np.exp(-np.clip(score, -700, 700)))
+def classes(v: np.ndarray, rel: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Probability of each class, given votes: shape (patterns, classes)."""
+    score = np.log(shares)[None, :] + sum(np.log(rel[:, j, :])[:, v[:, j] + 1].T for j in range(v.shape[1]))
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def pattern_counts(patterns: DataFrame) -> dict[int, int]:
@@ -179,13 +187,13 @@ def pattern_counts(patterns: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in patterns.groupBy("pattern").count().collect()}
 
 
-def posteriors(counts: dict[int, int], rules: int = len(RULES)) -> dict[int, float]:
-    """The posterior of every pattern that occurs."""
+def posteriors(counts: dict[int, int], rules: int = len(RULES), kinds: tuple[tuple[int, ...], ...] = KINDS) -> dict[int, float]:
+    """The posterior probability of good for every pattern that occurs."""
     ids = sorted(counts)
     if not ids:
         return {}
-    rel, share = fit({p: counts[p] for p in ids}, rules)
-    return dict(zip(ids, posterior(np.array([votes_of(p, rules) for p in ids]), rel, share).tolist(), strict=True))
+    rel, shares = fit({p: counts[p] for p in ids}, rules, kinds)
+    return dict(zip(ids, classes(np.array([votes_of(p, rules) for p in ids]), rel, shares)[:, 0].tolist(), strict=True))
 
 
 def _base_failed(n_words: Column, n_repeat: Column) -> Column:
@@ -206,26 +214,26 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns, without a shuffle.
 
-    Texts are measured twice, first for the counts, then to decide; the table of
-    posteriors has one entry per pattern.
+    Texts are measured once; the rows are saved with their pattern of votes, and the
+    table of posteriors, one entry a pattern, then says which stay.
     """
-    lean(docs.sparkSession)
-    found = posteriors(pattern_counts(measures(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")))))
-    return docs.mapInArrow(_filter(found, text_col), docs.schema)
+    pattern_col, failed_col = (unused(docs.columns, n) for n in ("_pattern", "_failed"))
+    schema = StructType([*docs.schema.fields, StructField(pattern_col, LongType()), StructField(failed_col, BooleanType())])
+    voted = Scratch(docs.sparkSession, "rules").save(docs.mapInArrow(_voter(text_col, pattern_col, failed_col), schema), "voted")
+    found = posteriors(pattern_counts(voted.select(F.col(pattern_col).alias("pattern"))))
+    good = [p for p, q in found.items() if q >= KEEP_AT]
+    return voted.filter(~F.col(failed_col) & F.col(pattern_col).isin(good)).select(*docs.columns)
 
 
-def _filter(found: dict[int, float], text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    good = np.array(sorted(p for p, q in found.items() if q >= KEEP_AT), np.int64)
-
+def _voter(text_col: str, pattern_col: str, failed_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.byte_view(batch.column(batch.schema.get_field_index(text_col)))
-            keep = np.zeros(batch.num_rows, bool)
+            patterns, failed = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
             for i, j, part, offs in K.blocks(data, offsets):
                 m = measure_block(part, offs)
-                words, repeats = m[:, 0], m[:, 4]
-                keep[i:j] = (words >= MIN_WORDS) & (100 * repeats <= MAX_REPEAT_PERCENT * words) & np.isin(pattern(votes(m)), good)
-            yield batch.filter(pa.array(keep))
+                patterns[i:j], failed[i:j] = pattern(votes(m)), (m[:, 0] < MIN_WORDS) | (100 * m[:, 4] > MAX_REPEAT_PERCENT * m[:, 0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(patterns), pa.array(failed)], names=[*batch.schema.names, pattern_col, failed_col])
             K.tidy()
 
     return run

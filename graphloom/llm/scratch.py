@@ -1,11 +1,15 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A table written there cuts the lineage: losing an executor afterwards costs no
-recomputation, since every task can read the files again.
+recomputation, since every task can read the files again.  Tables that no later step
+reads are dropped on the way; those that a result is still read from go when the
+Python process ends, with the folder.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import uuid
 
@@ -44,6 +48,11 @@ def _number(text: str) -> int:
     return int(m[1]) * 1024 ** " kmgt".index(m[2] or " ") if m else 0
 
 
+def _remove(fs, path) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        fs.delete(path, True)
+
+
 class Scratch:
     """A folder of Parquet tables for one run of an operator."""
 
@@ -51,6 +60,8 @@ class Scratch:
         lean(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        atexit.register(_remove, path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
