@@ -21,8 +21,8 @@ from graphloom.functions.terms import Iri, Literal
 from graphloom.operators.vocabulary import Vocabulary
 from graphloom.plans.planner import Plan, Tree
 from graphloom.sources import store
-from graphloom.sources.dereference import Loader, dereference
-from graphloom.sources.triples import SCHEMA, TripleStore
+from graphloom.sources.dereference import TTL_SCHEMA, Loader, dereference
+from graphloom.sources.triples import TripleStore
 
 
 @dataclass
@@ -41,7 +41,14 @@ class Crawl:
         self.seen: DataFrame = self.spark.createDataFrame([], "uri string")
 
     def _triples(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.base}/{i}" for i in range(self._n))) if self._n else self.spark.createDataFrame([], SCHEMA)
+        return self._rows().select("g", "s", "p", "o")
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(TTL_SCHEMA).parquet(*(f"{self.base}/{i}" for i in range(self._n))) if self._n else self.spark.createDataFrame([], TTL_SCHEMA)
+
+    def ttl(self) -> int:
+        """Seconds for which what was found may be kept: the least of its resources; 0 where none says."""
+        return self._rows().agg(F.coalesce(F.min("ttl"), F.lit(0))).first()[0]
 
     def _load(self, uris: DataFrame) -> None:
         """Load the resources that were not loaded yet."""
@@ -52,7 +59,7 @@ class Crawl:
             return
         self.n_derefs += n
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dereference(new.repartition(min(parts, n)), self.loader).write.parquet(f"{self.base}/{self._n}")
+        dereference(new.repartition(min(parts, n)), self.loader, with_ttl=True).write.parquet(f"{self.base}/{self._n}")
         self._n += 1
         self.seen = store.checkpoint(self.seen.unionByName(new))
 

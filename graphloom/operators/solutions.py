@@ -8,6 +8,7 @@ agrees with everything.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -118,27 +119,48 @@ def join(a: Solutions, b: Solutions, reference: bool = False) -> Solutions:
     return _out(df, merged(a, b, shared))
 
 
-def _split(a: Solutions, b: Solutions, v: str) -> Solutions:
-    """No shared variable is certain: cut both sides by whether one is bound, so that bound rows meet by an equi-join."""
+def _bound(x: Solutions, v: str) -> Solutions:
+    """The rows that bind a variable."""
+    return x if x.kinds[v].certain else Solutions(x.df.filter(x.col(v).isNotNull()), {n: k.sure() if n == v else k for n, k in x.kinds.items()})
+
+
+def _unbound(x: Solutions, v: str) -> Solutions | None:
+    """The rows that don't, without it; None if there can be none."""
+    return None if x.kinds[v].certain else _without(Solutions(x.df.filter(x.col(v).isNull()), x.kinds), v)
 
-    def bound(x: Solutions) -> Solutions:
-        return x if x.kinds[v].certain else Solutions(x.df.filter(x.col(v).isNotNull()), {n: k.sure() if n == v else k for n, k in x.kinds.items()})
 
-    def unbound(x: Solutions) -> Solutions | None:
-        return None if x.kinds[v].certain else Solutions(x.df.filter(x.col(v).isNull()).drop(column(v)), {n: k for n, k in x.kinds.items() if n != v})
+def _without(x: Solutions, v: str) -> Solutions:
+    return Solutions(x.df.drop(column(v)), {n: k for n, k in x.kinds.items() if n != v})
 
-    parts = [join(bound(a), bound(b))]
-    ua, ub = unbound(a), unbound(b)
+
+def _unsure(a: Solutions, b: Solutions, shared: list[str]) -> str | None:
+    """The variable to cut by where no shared one is certain on both sides: one that is on one side, if there is."""
+    if not shared or any(a.kinds[v].certain and b.kinds[v].certain for v in shared):
+        return None
+    return max(shared, key=lambda v: (a.kinds[v].certain + b.kinds[v].certain, -shared.index(v)))
+
+
+def _split(a: Solutions, b: Solutions, v: str) -> Solutions:
+    """No shared variable is certain: cut both sides by whether one is bound, so that bound rows meet by an equi-join."""
+    parts = [join(_bound(a, v), _bound(b, v))]
+    ua, ub = _unbound(a, v), _unbound(b, v)
     if ua is not None:
         parts.append(join(ua, b))
     if ub is not None:
-        parts.append(join(bound(a), ub))
+        parts.append(join(_bound(a, v), ub))
     return reduce(union, parts)
 
 
 def left_join(a: Solutions, b: Solutions, condition=None) -> Solutions:
     """OPTIONAL; ``condition`` makes a column of the merged row's values and stands in the ON clause."""
     a, b, shared = _meet(a, b)
+    if _unsure(a, b, shared):
+
+        def matched(x: Solutions) -> Solutions:
+            both = join(x, b)
+            return both if condition is None else Solutions(both.df.filter(F.coalesce(condition(both.values()), F.lit(False))), both.kinds)
+
+        return optional(a, b, matched)
     values = merged(a, b, shared)
     on = compatible(a, b, shared)
     if condition is not None:
@@ -147,18 +169,39 @@ def left_join(a: Solutions, b: Solutions, condition=None) -> Solutions:
     return _out(df, {v: (c, k if v in a.kinds and a.kinds[v].certain else k.maybe()) for v, (c, k) in values.items()})
 
 
+def optional(a: Solutions, b: Solutions, matched: Callable[[Solutions], Solutions]) -> Solutions:
+    """What ``matched`` makes of a (a's rows joined with b's), and a's rows of which it made nothing.
+
+    The variables that the join may bind keep a copy, so that a's rows are told by
+    all that they bound before; rows that bind the same have the same matches.
+    """
+    copies = {f"*{v}": v for v, k in a.kinds.items() if not k.certain and v in b.kinds}
+    own = Solutions(a.df.withColumns({column(c): a.col(v) for c, v in copies.items()}), a.kinds | {c: a.kinds[v] for c, v in copies.items()})
+    both = matched(own)
+    was = {v: k for k, v in copies.items()}
+    made = both.df.select(*(both.col(was.get(v, v)).alias(f"r_{column(v)}") for v in a.kinds)).distinct()
+    on = F.lit(True)
+    for v in a.kinds:
+        x, y = a.col(v), F.col(f"`r_{column(v)}`")
+        on = on & (x == y if a.kinds[v].certain else x.eqNullSafe(y))
+    rest = Solutions(a.df.join(made, on, "left_anti"), a.kinds)
+    return union(Solutions(both.df.drop(*(column(c) for c in copies)), {v: k for v, k in both.kinds.items() if v not in copies}), rest)
+
+
 def minus(a: Solutions, b: Solutions) -> Solutions:
     """Rows of a without a compatible row of b that shares a bound variable."""
     x, y, shared = _meet(a, b)
     if not shared:
         return a
-    on = compatible(x, y, shared)
-    if not any(x.kinds[v].certain and y.kinds[v].certain for v in shared):
-        some = F.lit(False)
-        for v in shared:
-            some = some | (F.col(f"`{column(v)}`").isNotNull() & F.col(f"`r_{column(v)}`").isNotNull())
-        on = on & some
-    return Solutions(x.df.join(_right(y, shared).select(*(f"`r_{column(v)}`" for v in shared)), on, "left_anti"), x.kinds)
+    v = _unsure(x, y, shared)
+    if v is None:
+        on = compatible(x, y, shared)
+        return Solutions(x.df.join(_right(y, shared).select(*(f"`r_{column(v)}`" for v in shared)), on, "left_anti"), x.kinds)
+    bound, free = minus(_bound(x, v), _bound(y, v)), _unbound(y, v)
+    if free is not None:
+        bound = minus(bound, free)
+    rest = _unbound(x, v)
+    return bound if rest is None else union(bound, minus(rest, _without(y, v))).to(x.kinds)
 
 
 def semi(a: Solutions, b: Solutions, anti: bool = False, condition=None) -> Solutions:
@@ -167,6 +210,16 @@ def semi(a: Solutions, b: Solutions, anti: bool = False, condition=None) -> Solu
     if not shared and condition is None:
         some = y.df.select(F.lit(True).alias("_some")).limit(1)
         return Solutions(x.df.join(some, F.lit(True), "left_anti" if anti else "left_semi"), x.kinds)
+    v = _unsure(x, y, shared)
+    if v is not None:
+        bound, free, rest = _bound(x, v), _unbound(y, v), _unbound(x, v)
+        left = semi(bound, _bound(y, v), True, condition)
+        if anti:
+            out = left if free is None else semi(left, free, True, condition)
+        else:
+            out = semi(bound, _bound(y, v), False, condition)
+            out = out if free is None else union(out, semi(left, free, False, condition))
+        return out.to(x.kinds) if rest is None else union(out, semi(rest, y, anti, condition)).to(x.kinds)
     on = compatible(x, y, shared)
     if condition is not None:
         on = on & F.coalesce(condition(merged(x, y, shared)), F.lit(False))

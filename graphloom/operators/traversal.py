@@ -65,17 +65,20 @@ class Traversal:
         found = [f for f in found if f.kinds]
         return reduce(S.union, found).distinct()
 
-    def reach(self, tree: Tree) -> Solutions:
-        """All resources in the root's place."""
-        at = self.seeds(tree)
-        for _, prop in tree.steps:
-            at = self.follow(at, prop)
-        for c in tree.cycles:
-            at = self.fixpoint(at, [p for _, p in c])
-        return at.distinct()
-
-    def fixpoint(self, at: Solutions, props: list[str]) -> Solutions:
-        """Repeat the properties until nothing new is reached; each round is a join and a cut of the lineage.
+    def reach(self, *trees: Tree) -> Solutions:
+        """All resources in the place of a root, by trees that share it and its cycles."""
+        found = []
+        for tree in trees:
+            at = self.seeds(tree)
+            for _, prop in tree.steps:
+                at = self.follow(at, prop)
+            found.append(at)
+        at = reduce(S.union, found)
+        cycles = trees[0].cycles
+        return (self.fixpoint(at, *([p for _, p in c] for c in cycles)) if cycles else at).distinct()
+
+    def fixpoint(self, at: Solutions, *cycles: list[str]) -> Solutions:
+        """Follow each list of properties until nothing new is reached; each round is one job that cuts the lineage.
 
         More rounds than ``most_rounds``, where it is set, are an error.
         """
@@ -84,9 +87,19 @@ class Traversal:
         for done in count():
             if done == self.most_rounds:
                 raise RuntimeError(f"no end of the cycle after {done} rounds")
-            step = frontier
-            for p in props:
-                step = self.follow(step, p)
+            ends = []
+            for props in cycles:
+                step = frontier
+                for p in props:
+                    step = self.follow(step, p)
+                    if not step.kinds:  # the property leads nowhere in this data
+                        break
+                else:
+                    ends.append(step)
+            if not ends:
+                self.rounds.append(0)
+                return seen
+            step = reduce(S.union, ends)
             if not step.kinds[AT].like(seen.kinds[AT]):
                 kind = V.meet(step.kinds[AT], seen.kinds[AT])
                 step, seen = step.to({AT: kind}), seen.to({AT: kind})
@@ -96,7 +109,7 @@ class Traversal:
             if not n:
                 return seen
             frontier = Solutions(new, seen.kinds)
-            seen = Solutions(checkpoint(seen.df.unionByName(new)), seen.kinds)
+            seen = Solutions(seen.df.unionByName(new), seen.kinds)  # of tables that are cut already; only the frontier is written
 
     def roots(self, plan: Plan) -> dict[str, Solutions]:
         """Root variable → what is reached in its place; a plan without trees reaches nothing."""
@@ -105,7 +118,11 @@ class Traversal:
             for root in space.agp.roots():
                 if not isinstance(root, Var):
                     continue
-                found = [_one(self.reach(t), AT, root.name) for t in space.trees if t.root == root]
+                groups: dict[tuple, list[Tree]] = {}
+                for t in space.trees:
+                    if t.root == root:
+                        groups.setdefault(t.cycles, []).append(t)
+                found = [_one(self.reach(*g), AT, root.name) for g in groups.values()]
                 out[root.name] = reduce(S.union, found).distinct() if found else S.nothing([root.name], self.spark)
         return out
 
@@ -124,7 +141,7 @@ class Traversal:
     def _space(self, space: Space, roots: dict[str, Solutions], filters: list[A.Expr]) -> list[DataFrame]:
         from graphloom.plans.compiler import Compiler
 
-        wire, names = space.agp.wire(), space.agp.names()
+        wire, names = space.agp.wire(), space.names
         compiler = Compiler(self.spark, self.data)
         reached: dict[Term, Solutions | None] = {}
         order: list[Term] = []

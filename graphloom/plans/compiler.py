@@ -85,6 +85,11 @@ class Compiler:
     # Joins and sets
 
     def n_join(self, n: A.Join) -> Solutions:
+        if not self.reference:
+            for given, other in ((n.right, n.left), (n.left, n.right)):
+                if isinstance(given, A.Values) and len(parts := _by_bound(given)) > 1:
+                    rest = self.compile(other)
+                    return reduce(S.union, (S.join(rest, self.compile(p)) for p in parts))
         return S.join(self.compile(n.left), self.compile(n.right), self.reference and not isinstance(n.right, A.BGP))
 
     def n_leftjoin(self, n: A.LeftJoin) -> Solutions:
@@ -92,7 +97,8 @@ class Compiler:
         if n.expr is None:
             return S.left_join(left, right)
         if any(isinstance(e, A.Exists) for e in _walk(n.expr)):
-            raise NotImplementedError("EXISTS inside the filter of an OPTIONAL")
+            left, right, _ = S._meet(left, right)
+            return S.optional(left, right, lambda x: self._filtered(S.join(x, right), n.expr))
         return S.left_join(left, right, lambda values: self.expressions(values).test(n.expr))
 
     def n_union(self, n: A.Union) -> Solutions:
@@ -102,9 +108,11 @@ class Compiler:
         return S.minus(self.compile(n.left), self.compile(n.right))
 
     def n_filter(self, n: A.Filter) -> Solutions:
-        out = self.compile(n.part)
+        return self._filtered(self.compile(n.part), n.expr)
+
+    def _filtered(self, out: Solutions, expr: A.Expr) -> Solutions:
         plain = []
-        for e in A.conjuncts(n.expr):
+        for e in A.conjuncts(expr):
             if isinstance(e, A.Exists):
                 out = self._exists(out, e.pattern, e.negated)
             elif isinstance(e, A.Call) and e.name == "!" and isinstance(e.args[0], A.Exists):
@@ -293,6 +301,14 @@ def _order(c: Column, k: Kind) -> list[Column]:
     return [V.iri_text(c, k)] if k.name == "iri" else [c]
 
 
+def _by_bound(n: A.Values) -> list[A.Values]:
+    """The rows of VALUES by which variables they bind, each with those variables only."""
+    groups: dict[tuple[int, ...], list[tuple]] = {}
+    for r in n.rows:
+        groups.setdefault(tuple(i for i, x in enumerate(r) if x is not None), []).append(r)
+    return [A.Values(tuple(n.vars[i] for i in at), tuple(tuple(r[i] for i in at) for r in rows)) for at, rows in groups.items()]
+
+
 def _walk(e: A.Expr):
     yield e
     if isinstance(e, A.Call):

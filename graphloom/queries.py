@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import tables
+from graphloom.linked_queries import QUERIES as LINKED
 from graphloom.functions.terms import RDF_TYPE, XSD, Literal, n3
 from graphloom.tables import DATA, NS
 
@@ -249,6 +250,33 @@ SPARQL: dict[str, tuple[str, str]] = {
         'SELECT ?conv ?t WHERE { ?b t:follows ?a ; t:role "assistant" ; t:conv_id ?conv ; t:turn ?t . ?a t:role "user" }',
         "SELECT b.conv_id AS conv, b.turn AS t FROM conversations b JOIN conversations a ON a.conv_id=b.conv_id AND a.turn=b.turn-1 WHERE b.role='assistant' AND a.role='user'",
     ),
+    "optional_maybe_unbound": (
+        "SELECT ?k ?c ?n WHERE { ?o t:o_orderkey ?k FILTER(?k < 100) OPTIONAL { ?o t:placedBy ?c . ?c t:c_acctbal ?b FILTER(?b > 5000) } OPTIONAL { ?c t:c_name ?n ; t:c_mktsegment 'BUILDING' } }",
+        "WITH x AS (SELECT o_orderkey, c_custkey FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey=c_custkey WHERE o_orderkey < 100), b AS (SELECT * FROM customer WHERE c_mktsegment='BUILDING')"
+        " SELECT o_orderkey AS k, 'urn:data:customer/' || b.c_custkey AS c, c_name AS n FROM x JOIN b ON x.c_custkey IS NULL OR x.c_custkey=b.c_custkey"
+        " UNION ALL SELECT o_orderkey, 'urn:data:customer/' || c_custkey, NULL FROM x WHERE c_custkey IS NOT NULL AND c_custkey NOT IN (SELECT c_custkey FROM b)"
+        " UNION ALL SELECT o_orderkey, NULL, NULL FROM x WHERE c_custkey IS NULL AND NOT EXISTS (FROM b)",
+    ),
+    "minus_maybe_unbound": (
+        "SELECT ?k WHERE { ?o t:o_orderkey ?k OPTIONAL { ?o t:placedBy ?c . ?c t:c_acctbal ?b FILTER(?b > 5000) } MINUS { ?c t:c_mktsegment 'BUILDING' } }",
+        "SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey=c_custkey WHERE NOT (c_acctbal > 5000 AND c_mktsegment='BUILDING')",
+    ),
+    "exists_maybe_unbound": (
+        "SELECT ?k WHERE { ?o t:o_orderkey ?k OPTIONAL { ?o t:placedBy ?c . ?c t:c_acctbal ?b FILTER(?b > 5000) } FILTER EXISTS { ?c t:c_mktsegment 'BUILDING' } }",
+        "SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey=c_custkey WHERE CASE WHEN c_acctbal > 5000 THEN c_mktsegment='BUILDING' ELSE EXISTS (FROM customer WHERE c_mktsegment='BUILDING') END",
+    ),
+    "not_exists_maybe_unbound": (
+        "SELECT ?k WHERE { ?o t:o_orderkey ?k OPTIONAL { ?o t:placedBy ?c . ?c t:c_acctbal ?b FILTER(?b > 5000) } FILTER NOT EXISTS { ?c t:c_mktsegment 'BUILDING' } }",
+        "SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey=c_custkey WHERE CASE WHEN c_acctbal > 5000 THEN c_mktsegment<>'BUILDING' ELSE NOT EXISTS (FROM customer WHERE c_mktsegment='BUILDING') END",
+    ),
+    "optional_exists_filter": (
+        "SELECT ?k ?seg WHERE { ?c t:c_custkey ?k ; t:inNation ?n OPTIONAL { ?c t:c_mktsegment ?seg FILTER(EXISTS { ?s t:inNation ?n ; t:s_acctbal ?a FILTER(?a > 5000) }) } }",
+        "SELECT c_custkey AS k, CASE WHEN c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) THEN c_mktsegment END AS seg FROM customer",
+    ),
+    "optional_not_exists_or": (
+        "SELECT ?k ?seg WHERE { ?c t:c_custkey ?k OPTIONAL { ?c t:c_mktsegment ?seg ; t:c_acctbal ?b FILTER(?b < 0 || NOT EXISTS { ?o t:placedBy ?c ; t:o_orderstatus 'P' }) } }",
+        "SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 OR c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='P') THEN c_mktsegment END AS seg FROM customer",
+    ),
 }
 
 
@@ -333,14 +361,23 @@ def _shown(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
     return df.select(*(F.replace(c, F.lit(NS), F.lit("")).alias(c) for c in df.columns))
 
 
-def _values(names: str, rows: list[tuple[str, ...]]) -> str:
-    body = ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {body}) v({names})"
-
-
-_LINKS = [("inRegion", "Nation", "Region"), ("placedBy", "Order", "Customer"), ("ofOrder", "LineItem", "Order"), ("ofPart", "LineItem", "Part"), ("suppliedBy", "LineItem", "Supplier"), ("byUser", "Event", "User"), ("about", "Label", "Document"), ("follows", "Turn", "Turn")]
-_PARTIES = ["Party", "Customer", "Supplier"]
-_BACK = {"inRegion": "hasNation", "placedBy": "placed", "ofOrder": "hasItem", "ofPart": "partOf", "suppliedBy": "supplies", "byUser": "triggered", "follows": "followedBy"}
+#: What follows from the tables' ontology, written out: links with the classes at their ends, subclasses of Party included.
+_EDGES = """Nation inRegion Region, Region hasNation Nation, Order placedBy Customer, Customer placed Order, LineItem ofOrder Order, Order hasItem LineItem, LineItem ofPart Part, Part partOf LineItem,
+LineItem suppliedBy Supplier, Supplier supplies LineItem, Event byUser User, User triggered Event, Turn follows Turn, Turn followedBy Turn, Label about Document,
+Party inNation Nation, Customer inNation Nation, Supplier inNation Nation, Nation hasParty Party, Nation hasParty Customer, Nation hasParty Supplier"""
+_COLUMNS = """Region r_regionkey, Region r_name, Nation n_nationkey, Nation n_name, Customer c_custkey, Customer c_name, Customer c_nationkey, Customer c_acctbal, Customer c_mktsegment, Supplier s_suppkey, Supplier s_name,
+Supplier s_nationkey, Supplier s_acctbal, Part p_partkey, Part p_name, Part p_brand, Part p_type, Part p_size, Part p_retailprice, Order o_orderkey, Order o_orderstatus, Order o_totalprice, Order o_orderdate,
+Order o_orderpriority, LineItem l_linenumber, LineItem l_quantity, LineItem l_extendedprice, LineItem l_discount, LineItem l_tax, LineItem l_returnflag, LineItem l_linestatus, LineItem l_shipdate, Event event_id, Event ts,
+Event event_type, Event value, Event props, Document doc_id, Document text, Document lang, Document source, Document n_chars, Label quality, Label toxic, Page page_id, Page url, Page html, Turn conv_id, Turn turn, Turn role,
+Turn text, Item item_id, Item text, Vector vec_id, Vector label"""
+_SPLIT_EDGES = f"SELECT string_split(trim(unnest(string_split(replace('{_EDGES}', chr(10), ' '), ','))), ' ') AS e"
+_SPLIT_COLUMNS = f"SELECT string_split(trim(unnest(string_split(replace('{_COLUMNS}', chr(10), ' '), ','))), ' ') AS e"
+_CYCLES = f"""WITH RECURSIVE e AS (SELECT e[1] AS a, e[2] AS p, e[3] AS b FROM ({_SPLIT_EDGES})),
+w(start, here, seen, cycle, closed) AS (
+  SELECT a, b, [a], p, a = b FROM e WHERE b >= a
+  UNION ALL
+  SELECT start, e.b, list_append(seen, here), cycle || ' ' || p, e.b = start FROM w JOIN e ON e.a = here WHERE NOT closed AND e.b >= start AND NOT list_contains(seen[2:], e.b) AND e.b <> here
+) SELECT cycle FROM w WHERE closed"""
 
 
 def vocab_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,8 +385,7 @@ def vocab_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = _shown(spark, sf_dir, "kinds").filter("kind = 'object'")
-    return _shown(spark, sf_dir, "domains").join(kinds, "property", "left_semi")
+    return _shown(spark, sf_dir, "domains")
 
 
 def vocab_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,7 +412,7 @@ def vocab_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators.paths import Navigator
 
     s = tables.session(spark, sf_dir)
-    rows = [(" ".join(p.removeprefix(NS) for _, p in c),) for c in Navigator(s.vocab).cycles() if len(c) == 1]
+    rows = [(" ".join(p.removeprefix(NS) for _, p in c),) for c in Navigator(s.vocab).cycles()]
     return spark.createDataFrame(rows, "cycle string")
 
 
@@ -391,7 +427,7 @@ def seed_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reach_seed_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tables.session(spark, sf_dir, {"Region": [f"{DATA}region/2"]})
-    return s.sparql('SELECT ?k WHERE { ?o t:placedBy ?c ; t:o_orderkey ?k . ?c t:c_mktsegment "BUILDING" . ?c t:inNation ?n . ?n t:inRegion <urn:data:region/2> }', scope="dataset")
+    return s.sparql('SELECT ?k WHERE { ?o t:placedBy ?c ; t:o_orderkey ?k . ?c t:c_mktsegment "BUILDING" . ?c t:inNation ?n . ?n t:inRegion <urn:data:region/2> }', scope="reachable")
 
 
 def reach_seed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,30 +465,18 @@ def _short(quads: DataFrame) -> DataFrame:
 
 
 def fragment_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = tables.session(spark, sf_dir)
-    return _short(_whole_fragment(s, f"SELECT * WHERE {_FRAGMENT}"))
+    return _short(_everywhere(spark, sf_dir).fragment_quads(f"SELECT * WHERE {_FRAGMENT}"))
 
 
-def _whole_fragment(s, text: str) -> DataFrame:
-    """The fragment with every subject in the root's place reached."""
-    from graphloom.operators.traversal import Traversal
-    from graphloom.plans.planner import Plan, Space
-
-    parts = []
-    for agp, filters in s.agps(text):
-        t = Traversal(s.spark, s.data, s.vocab)
-        plan = Plan([Space(a) for a in agp.components()])
-        t.roots = lambda plan: {}  # every resource is taken as reached
-        parts.append(t.quads(plan, filters))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _everywhere(spark: SparkSession, sf_dir: str):
+    """A session whose seeds are all regions, from which all nations, customers and orders are reached."""
+    keys = [r[0] for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey").collect()]
+    return tables.session(spark, sf_dir, {"Region": [f"{DATA}region/{k}" for k in keys]})
 
 
 def fragment_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = tables.session(spark, sf_dir)
-    return _short(_whole_fragment(s, "SELECT * WHERE { ?o t:placedBy ?c ; t:o_totalprice ?p . ?c t:c_acctbal ?b FILTER(?p > 300000) FILTER(?b < 0) }"))
+    s = _everywhere(spark, sf_dir)
+    return _short(s.fragment_quads("SELECT * WHERE { ?o t:placedBy ?c ; t:o_totalprice ?p . ?c t:c_acctbal ?b FILTER(?p > 300000) FILTER(?b < 0) }"))
 
 
 def fragment_from_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,13 +489,11 @@ def fragment_cached_generalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A kept fragment of a general pattern answers a more special one."""
     from graphloom.sources.fragments import FragmentCache
 
-    s = tables.session(spark, sf_dir)
-    cache = FragmentCache(spark)
-    for agp, filters in s.agps("SELECT * WHERE { ?a t:placedBy ?b . ?b t:c_mktsegment ?seg }"):
-        cache.put(agp, filters, _whole_fragment(s, "SELECT * WHERE { ?a t:placedBy ?b . ?b t:c_mktsegment ?seg }"))
-    agp, filters = s.agps(f"SELECT * WHERE {_FRAGMENT}")[0]
-    found = cache.find(agp, filters)
-    if found is None:
+    s = _everywhere(spark, sf_dir)
+    s.cache = FragmentCache(spark)
+    s.fragment_quads("SELECT * WHERE { ?a t:placedBy ?b . ?b t:c_mktsegment ?seg }")
+    found = s.fragment_quads(f"SELECT * WHERE {_FRAGMENT}")
+    if s.cache.hits != 1:
         raise RuntimeError("the kept fragment was not found")
     return _short(found)
 
@@ -486,20 +508,20 @@ def ttl_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_bgp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers to a pattern over nations that arrive in batches, by a stream."""
+    """Answers to a pattern over customers and orders whose triples arrive in three batches, by a stream."""
     from graphloom.plans.agp import parse_agp
     from graphloom.sources.mapping import triples_of
     from graphloom.sources.store import shared_dir
     from graphloom.streaming.incremental import IncrementalPattern
 
     base = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
-    triples = triples_of(tables.mapping(spark, sf_dir), [NS + "Region", NS + "Nation"]).withColumn("tp", F.lit("tp_0")).select("tp", "s", "p", "o")
+    triples = triples_of(tables.mapping(spark, sf_dir), [NS + "Order", NS + "Customer"]).withColumn("tp", F.lit("tp_0")).select("tp", "s", "p", "o")
     for i in range(3):
         triples.filter(F.pmod(F.xxhash64("s.lex", "p"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    pattern = IncrementalPattern(spark, parse_agp("{ ?x t:inRegion ?r ; t:n_name ?n . ?r t:r_name ?m }", tables.PREFIXES), f"{base}/state")
+    pattern = IncrementalPattern(spark, parse_agp("{ ?x t:placedBy ?c ; t:o_orderpriority ?p . ?c t:c_name ?n }", tables.PREFIXES), f"{base}/state")
     stream = spark.readStream.schema(triples.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     pattern.start(stream, f"{base}/checkpoint").awaitTermination()
-    return pattern.answers().select("n", "m", "r")
+    return pattern.answers().select("n", "p", "x")
 
 
 def sparql_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -513,7 +535,7 @@ def quad_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.sources.results import parse_quads
     from graphloom.sources.results import quad_text as write
 
-    lines = write(_whole_fragment(tables.session(spark, sf_dir), "SELECT * WHERE { ?x t:inRegion ?y . ?y t:r_name ?z }"))
+    lines = write(_everywhere(spark, sf_dir).fragment_quads("SELECT * WHERE { ?x t:inRegion ?y . ?y t:r_name ?z }"))
     return parse_quads(lines).select("tp", F.col("s.lex").alias("s"), "p", F.col("o.lex").alias("o"))
 
 
@@ -533,7 +555,7 @@ def plan_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search trees for a pattern, with the class they start from and their length."""
     s = tables.session(spark, sf_dir, {"Region": [f"{DATA}region/2"]})
     plan = s.search_plan('SELECT * WHERE { ?n t:n_name ?name ; t:hasParty ?c . ?c t:c_mktsegment "BUILDING" }')[0]
-    rows = [(t.from_type.removeprefix(NS), " ".join(p.removeprefix(NS) for _, p in t.steps), t.length) for sp in plan.spaces for t in sp.trees if len(t.steps) == 1]
+    rows = [(t.from_type.removeprefix(NS), " ".join(p.removeprefix(NS) for _, p in t.steps), t.length) for sp in plan.spaces for t in sp.trees]
     return spark.createDataFrame(rows, "from_type string, steps string, length int")
 
 
@@ -555,14 +577,18 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "graph_from": (graph_from, "SELECT 4*count(*) AS n FROM nation"),
     "triples_join": (triples_join, "SELECT n_name AS n, n_nationkey::VARCHAR AS k FROM nation JOIN region ON n_regionkey=r_regionkey WHERE r_name='EUROPE' AND n_nationkey>3"),
     "variable_predicate": (variable_predicate, f"SELECT p, count(*) AS n FROM (SELECT unnest(['{RDF_TYPE}','{_T}r_regionkey','{_T}r_name']) AS p FROM region UNION ALL SELECT unnest(['{RDF_TYPE}','{_T}n_nationkey','{_T}n_name','{_T}inRegion']) FROM nation) GROUP BY p"),
-    "vocab_types": (vocab_types, _values("type", [(c,) for c in (*tables._CLASSES, "Party", "User")])),
-    "vocab_domains": (vocab_domains, _values("property, class", [(p, d) for p, d, _ in _LINKS] + [(_BACK[p], r) for p, _, r in _LINKS if p in _BACK] + [("inNation", c) for c in _PARTIES] + [("hasParty", "Nation")])),
-    "vocab_ranges": (vocab_ranges, _values("property, class", [(p, r) for p, _, r in _LINKS] + [(_BACK[p], d) for p, d, _ in _LINKS if p in _BACK] + [("inNation", "Nation")] + [("hasParty", c) for c in _PARTIES])),
+    "vocab_types": (vocab_types, "SELECT unnest(string_split('Region Nation Customer Supplier Part Order LineItem Event Document Label Page Turn Item Vector Party User', ' ')) AS type"),
+    "vocab_domains": (vocab_domains, f"SELECT DISTINCT e[2] AS property, e[1] AS class FROM ({_SPLIT_EDGES}) UNION ALL SELECT e[2], e[1] FROM ({_SPLIT_COLUMNS})"),
+    "vocab_ranges": (vocab_ranges, f"SELECT DISTINCT e[2] AS property, e[3] AS class FROM ({_SPLIT_EDGES})"),
     "vocab_closure": (vocab_closure, "SELECT * FROM (VALUES ('Customer','Party'),('Supplier','Party')) v(class, super)"),
-    "vocab_inverses": (vocab_inverses, _values("property, inverse", [x for p, q in {**_BACK, "inNation": "hasParty"}.items() for x in ((p, q), (q, p))])),
+    "vocab_inverses": (
+        vocab_inverses,
+        "WITH x(p, q) AS (VALUES ('inRegion', 'hasNation'), ('placedBy', 'placed'), ('ofOrder', 'hasItem'), ('ofPart', 'partOf'), ('suppliedBy', 'supplies'), ('byUser', 'triggered'), ('follows', 'followedBy'), ('inNation', 'hasParty'))"
+        " SELECT p AS property, q AS inverse FROM x UNION ALL SELECT q, p FROM x",
+    ),
     "vocab_paths": (vocab_paths, "SELECT path, 1::INTEGER AS seeds FROM (VALUES ('Region.hasNation Nation.hasParty Customer.placed'), ('Region.hasNation Nation.hasParty Supplier.supplies LineItem.ofOrder')) v(path)"),
-    "vocab_cycles": (vocab_cycles, "SELECT * FROM (VALUES ('follows'),('followedBy')) v(cycle)"),
-    "seed_digest": (seed_digest, "SELECT 'Region' AS type, md5(string_agg('urn:data:region/' || r_regionkey, '' ORDER BY 'urn:data:region/' || r_regionkey)) AS digest FROM region"),
+    "vocab_cycles": (vocab_cycles, _CYCLES),
+    "seed_digest": (seed_digest, "SELECT 'Region' AS type, to_base64(from_hex(md5(string_agg('urn:data:region/' || r_regionkey, '' ORDER BY 'urn:data:region/' || r_regionkey)))) AS digest FROM region"),
     "reach_seed_region": (reach_seed_region, "SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey=2 AND c_mktsegment='BUILDING'"),
     "reach_seed_orders": (reach_seed_orders, "SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey=2"),
     "reach_fixpoint_turns": (reach_fixpoint_turns, "WITH RECURSIVE r(conv_id,turn) AS (SELECT conv_id, max(turn) FROM conversations GROUP BY 1 UNION SELECT c.conv_id, c.turn FROM r JOIN conversations c ON c.conv_id=r.conv_id AND c.turn=r.turn-1) SELECT conv_id AS conv, turn FROM r"),
@@ -571,7 +597,7 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "fragment_from_seed": (fragment_from_seed, _NATION),
     "fragment_cached_generalised": (fragment_cached_generalised, _QUADS),
     "ttl_fresh": (ttl_fresh, "SELECT event_type, count(*) AS n, min(e) AS ttl FROM (SELECT event_type, floor(epoch(ts))::BIGINT + (event_id % 1000) * 60 AS e FROM events) WHERE e > floor(epoch(TIMESTAMP '2024-01-15 00:00:00'))::BIGINT GROUP BY 1"),
-    "incremental_bgp": (incremental_bgp, "SELECT n_name AS n, r_name AS m, 'urn:data:region/' || n_regionkey AS r FROM nation JOIN region ON n_regionkey=r_regionkey"),
+    "incremental_bgp": (incremental_bgp, "SELECT c_name AS n, o_orderpriority AS p, 'urn:data:orders/' || o_orderkey AS x FROM orders JOIN customer ON o_custkey=c_custkey"),
     "sparql_json": (sparql_json, """SELECT '{"r":{"type":"uri","value":"urn:data:region/' || r_regionkey || '"},"k":{"type":"typed-literal","value":"' || r_regionkey || '","datatype":"http://www.w3.org/2001/XMLSchema#integer"},"n":{"type":"literal","value":"' || r_name || '"}}' AS binding FROM region"""),
     "quad_text": (quad_text, f"SELECT 'tp_0' AS tp, 'urn:data:nation/' || n_nationkey AS s, '{_T}inRegion' AS p, 'urn:data:region/' || n_regionkey AS o FROM nation UNION SELECT 'tp_1', 'urn:data:region/' || r_regionkey, '{_T}r_name', r_name FROM region"),
     "turtle_round_trip": (
@@ -585,11 +611,11 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _run(q) for k, (q, _) in SPARQL.items()} | {k: f for k, (f, _) in MORE.items()}
+    return {k: _run(q) for k, (q, _) in SPARQL.items()} | {k: f for k, (f, _) in (MORE | LINKED).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in SPARQL.items()} | {k: sql for k, (_, sql) in MORE.items() if sql}
+    return {k: sql for k, (_, sql) in SPARQL.items()} | {k: sql for k, (_, sql) in (MORE | LINKED).items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

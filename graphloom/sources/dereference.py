@@ -15,6 +15,7 @@ from urllib.parse import parse_qs, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as ST
 
 from graphloom.functions import terms
 from graphloom.functions.terms import RDF, RDF_TYPE, BNode, Iri, Literal, Term
@@ -22,6 +23,7 @@ from graphloom.sources.fragments import ttl_of
 from graphloom.sources.triples import SCHEMA
 from graphloom.sources.turtle import parse_turtle
 
+TTL_SCHEMA = ST.StructType([*SCHEMA.fields, ST.StructField("ttl", ST.LongType())])
 FORMATS = {"turtle": "text/turtle", "xml": "application/rdf+xml"}
 TIMEOUT = 30
 XML = "{http://www.w3.org/XML/1998/namespace}"
@@ -170,10 +172,12 @@ class ResourceWrapper:
         return None
 
 
-def dereference(uris: DataFrame, loader: Loader | None = None) -> DataFrame:
+def dereference(uris: DataFrame, loader: Loader | None = None, with_ttl: bool = False) -> DataFrame:
     """(g, s, p, o) of the resources named in the first column, loaded in parallel; g is the resource.
 
     Blank nodes are told apart by resource; what can't be loaded has no rows.
+    ``with_ttl`` adds the seconds for which the resource may be kept, null if its
+    headers don't say.
     """
     column = uris.columns[0]
 
@@ -182,10 +186,11 @@ def dereference(uris: DataFrame, loader: Loader | None = None) -> DataFrame:
         for pdf in batches:
             rows = []
             for uri in pdf[column]:
-                triples, _, worked = load(uri, loader, first)
+                triples, ttl, worked = load(uri, loader, first)
                 first = worked or first
                 own = lambda x, uri=uri: BNode(f"{x.label}_{uri.encode().hex()}") if isinstance(x, BNode) else x
-                rows += [{"g": uri, "s": dict(zip(names, terms.row(own(s)), strict=True)), "p": p.value, "o": dict(zip(names, terms.row(own(o)), strict=True))} for s, p, o in triples]
-            yield pd.DataFrame(rows, columns=["g", "s", "p", "o"])
+                rows += [{"g": uri, "s": dict(zip(names, terms.row(own(s)), strict=True)), "p": p.value, "o": dict(zip(names, terms.row(own(o)), strict=True)), "ttl": ttl} for s, p, o in triples]
+            out = pd.DataFrame(rows, columns=["g", "s", "p", "o", "ttl"]).astype({"ttl": "Int64"})
+            yield out if with_ttl else out.drop(columns="ttl")
 
-    return uris.select(column).distinct().mapInPandas(run, SCHEMA)
+    return uris.select(column).distinct().mapInPandas(run, TTL_SCHEMA if with_ttl else SCHEMA)

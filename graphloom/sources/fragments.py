@@ -61,19 +61,31 @@ def say(e: Expr, names: dict[str, str] | None = None) -> str:
 
 
 class FragmentCache:
-    """Fragments as Parquet folders with one catalog file."""
+    """Fragments as Parquet folders, each with an entry of its own in a catalog folder, so that writers never meet.
+
+    ``observers`` are told (pattern, quads) of each fragment that is kept.
+    """
 
     def __init__(self, spark: SparkSession, base: str | None = None, ttl: float = 3600, clock: Callable[[], float] = time.time):
         self.spark, self.ttl, self.clock = spark, ttl, clock
         self.base = base or f"{store.shared_dir(spark)}/fragments-{uuid.uuid4().hex}"
         self.hits = 0
+        self.observers: list[Callable[[AGP, DataFrame], None]] = []
 
     def catalog(self) -> list[dict]:
-        path = f"{self.base}/catalog.json"
-        return json.loads(store.read_text(self.spark, path)) if store.exists(self.spark, path) else []
-
-    def _save(self, rows: list[dict]) -> None:
-        store.write_text(self.spark, f"{self.base}/catalog.json", json.dumps(rows))
+        """Entries by name; the name goes along as ``id``."""
+        folder = f"{self.base}/catalog"
+        names = [n for n, _ in store.children(self.spark, folder) if n.endswith(".json")]
+        found = self.spark.read.text([f"{folder}/{n}" for n in names], wholetext=True).collect() if names else []
+        return sorted((json.loads(r[0]) for r in found), key=lambda r: (r["made_at"], r["id"]))
+
+    def watch(self, observer: Callable[[AGP, DataFrame], None]) -> None:
+        """Replay the fragments that are kept, then tell of each new one."""
+        now = self.clock()
+        for r in self.catalog():
+            if r["expires_at"] > now:
+                observer(parse_agp(r["pattern"]), self.spark.read.schema(QUAD).parquet(r["path"]))
+        self.observers.append(observer)
 
     def get(self, agp: AGP, filters: list[Expr], make: Callable[[], DataFrame], digest: str = "", ttl: float | None = None) -> DataFrame:
         """Quads of the pattern, from a kept fragment if one serves, else collected and kept."""
@@ -122,19 +134,21 @@ class FragmentCache:
         quads.select("tp", "s", "p", "o").write.parquet(path)
         took = self.clock() - began
         keep = min(max(self.ttl if ttl is None else ttl, took, LEAST_TTL), MOST_TTL)
-        rows = [r for r in self.catalog() if r["expires_at"] > self.clock()]
-        rows.append({"pattern": str(agp), "filters": [say(f) for f in filters], "path": path, "expires_at": self.clock() + keep, "digest": digest})
-        self._save(rows)
-        return self.spark.read.schema(QUAD).parquet(path)
-
-    def purge(self) -> int:
-        """Delete fragments whose time is over; how many went."""
-        now, rows = self.clock(), self.catalog()
-        gone = [r for r in rows if r["expires_at"] <= now]
-        if gone:
-            self._save([r for r in rows if r["expires_at"] > now])
-            for r in gone:
-                store.delete(self.spark, r["path"])
+        key = path.rpartition("/")[2]
+        entry = {"id": key, "pattern": str(agp), "filters": [say(f) for f in filters], "path": path, "made_at": self.clock(), "expires_at": self.clock() + keep, "digest": digest}
+        store.write_text(self.spark, f"{self.base}/catalog/{key}.json", json.dumps(entry))
+        out = self.spark.read.schema(QUAD).parquet(path)
+        for tell in self.observers:
+            tell(agp, out)
+        return out
+
+    def purge(self, grace: float = 0, digest: str | None = None) -> int:
+        """Delete fragments whose time has been over for ``grace`` seconds, and with a digest those of other seeds; how many went."""
+        now = self.clock()
+        gone = [r for r in self.catalog() if r["expires_at"] + grace <= now or digest is not None and r["digest"] != digest]
+        for r in gone:
+            store.delete(self.spark, f"{self.base}/catalog/{r['id']}.json")
+            store.delete(self.spark, r["path"])
         return len(gone)
 
 
@@ -171,42 +185,74 @@ class FragmentStream:
 
 
 class ResourceCache:
-    """Documents by resource, each until its time is over: (gid, data, expires_at)."""
+    """Documents by resource, each until its time is over: (gid, data, expires_at).
 
-    SCHEMA = "gid string, data string, expires_at double"
+    Rows are appended with the time they were written, in one of BUCKETS folders by a
+    hash of the resource, so that one resource's lookup reads one folder; the newest
+    row of a resource counts, and one without data is its end.  A purge writes the
+    next generation of the whole table beside the old one, which readers use until it
+    is complete.  Documents read lately are also kept in memory, MEMO of them.
+    """
 
-    def __init__(self, spark: SparkSession, base: str, least: float = LEAST_CACHE, force: float | None = None, clock: Callable[[], float] = time.time):
-        self.spark, self.base, self.least, self.force, self.clock = spark, base, least, force, clock
+    SCHEMA = "gid string, data string, expires_at double, at double, b int"
+    BUCKETS, MEMO = 64, 5000
 
-    def table(self) -> DataFrame:
-        """The newest version of each resource whose time is not over."""
-        if not store.exists(self.spark, self.base):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        df = fresh(self.spark.read.schema(self.SCHEMA).parquet(self.base), self.clock())
-        return df.groupBy("gid").agg(F.max_by("data", "expires_at").alias("data"), F.max("expires_at").alias("expires_at"))
+    def __init__(self, spark: SparkSession, base: str, least: float = LEAST_CACHE, force: float | None = None, clock: Callable[[], float] = time.time):
+        self.spark, self.base, self.least, self.force, self.clock = spark, base.rstrip("/"), least, force, clock
+        self.memo: dict[str, tuple[str, float]] = {}
+
+    def _generations(self) -> list[int]:
+        names = [n for n, _ in store.children(self.spark, self.base) if n.startswith("gen-")]
+        return sorted(int(n[4:]) for n in names if store.exists(self.spark, f"{self.base}/{n}/_SUCCESS"))
+
+    def _bucket(self, gid: Column) -> Column:
+        return F.pmod(F.xxhash64(gid), F.lit(self.BUCKETS)).cast("int")
+
+    def table(self, gid: str | None = None) -> DataFrame:
+        """The newest version of each resource, or of one, whose time is not over."""
+        have = self._generations()
+        if not have:
+            return self.spark.createDataFrame([], self.SCHEMA).select("gid", "data", "expires_at")
+        df = self.spark.read.schema(self.SCHEMA).parquet(f"{self.base}/gen-{have[-1]}")
+        if gid is not None:
+            bucket = self.spark.range(1).select(self._bucket(F.lit(gid))).first()[0]
+            df = df.filter((F.col("b") == bucket) & (F.col("gid") == gid))
+        newest = df.groupBy("gid").agg(F.max_by(F.struct("data", "expires_at"), "at").alias("x")).select("gid", "x.data", "x.expires_at")
+        return fresh(newest.filter("data is not null"), self.clock())
+
+    def _write(self, gid: str, data: str | None, expires_at: float) -> None:
+        row = self.spark.createDataFrame([(gid, data, expires_at, self.clock())], "gid string, data string, expires_at double, at double")
+        generation = (self._generations() or [0])[-1]
+        row.withColumn("b", self._bucket(F.col("gid"))).write.mode("append").partitionBy("b").parquet(f"{self.base}/gen-{generation}")
 
     def create(self, gid: str, loader: Callable[[str], tuple[str, dict[str, str]]]) -> str:
         """The kept document, or the loader's, which is kept for as long as its headers say."""
-        found = self.table().filter(F.col("gid") == gid).select("data").first()
-        if found:
-            return found[0]
-        data, headers = loader(gid)
-        keep = self.force if self.force is not None else max(ttl_of(headers, self.clock()) or 0, self.least)
-        self.spark.createDataFrame([(gid, data, self.clock() + keep)], self.SCHEMA).write.mode("append").parquet(self.base)
-        return data
-
-    def _rewrite(self, df: DataFrame) -> None:
-        part = f"{self.base}.{uuid.uuid4().hex}"
-        df.write.parquet(part)
-        store.delete(self.spark, self.base)
-        store.rename(self.spark, part, self.base)
+        if gid in self.memo and self.memo[gid][1] > self.clock():
+            return self.memo[gid][0]
+        found = self.table(gid).first()
+        if found is None:
+            data, headers = loader(gid)
+            keep = self.force if self.force is not None else max(ttl_of(headers, self.clock()) or 0, self.least)
+            found = (gid, data, self.clock() + keep)
+            self._write(*found)
+        self.memo[gid] = (found[1], found[2])
+        while len(self.memo) > self.MEMO:
+            self.memo.pop(next(iter(self.memo)))
+        return found[1]
 
     def expire(self, gid: str) -> None:
-        self._rewrite(self.table().filter(F.col("gid") != gid))
+        """End a resource's time."""
+        self.memo.pop(gid, None)
+        self._write(gid, None, 0.0)
 
     def purge(self) -> None:
-        """Rewrite without what is over."""
-        self._rewrite(self.table())
+        """Write the next generation without what is over, then delete the older ones."""
+        have = self._generations()
+        if have:
+            rows = self.table().withColumn("at", F.lit(self.clock())).withColumn("b", self._bucket(F.col("gid")))
+            rows.write.partitionBy("b").parquet(f"{self.base}/gen-{have[-1] + 1}")
+            for n in have:
+                store.delete(self.spark, f"{self.base}/gen-{n}")
 
     def published(self, base: str) -> DataFrame:
         """(s, p, o) text: what is kept, as resources of a base."""
@@ -214,4 +260,3 @@ class ResourceCache:
 
     def search(self, part: str) -> list[str]:
         return [r[0] for r in self.table().filter(F.contains("gid", F.lit(part))).select("gid").orderBy("gid").collect()]
-

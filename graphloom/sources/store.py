@@ -1,21 +1,25 @@
 """Files in the folder that driver and executors share, through Spark's file systems.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Only where it is unset
-(tests, a laptop) a local folder is made and set.
+``spark.checkpoint.dir`` names that folder on a cluster.  Where it is unset, a folder
+of this machine is made and set only if all executors are on it (local mode).
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from the session; made and set only where unset."""
+    """The shared folder, from the session; made and set only where unset, in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         found = spark.sparkContext.getCheckpointDir()
+        if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = found or tempfile.mkdtemp(prefix="graphloom-")
         if not found:
             spark.sparkContext.setCheckpointDir(path)
@@ -60,15 +64,18 @@ def children(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside, then move into place."""
-    part = f"{path}.part"
+    """Write beside, then move into place in one step: a reader sees the old text or the new one."""
+    part = f"{path}.{uuid.uuid4().hex}"
     stream = filesystem(spark, part).create(_path(spark, part), True)
     try:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    delete(spark, path)
-    rename(spark, part, path)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    context = jvm.FileContext.getFileContext(filesystem(spark, path).getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    options[0] = jvm.Options.Rename.OVERWRITE
+    context.rename(_path(spark, part), _path(spark, path), options)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -88,15 +88,33 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([{"g": g, "s": dict(zip(names, s, strict=True)), "p": p, "o": dict(zip(names, o, strict=True))} for g, s, p, o in rows], columns=["g", "s", "p", "o"])
 
 
+_NTRIPLE = r'''^\s*(?:<([^<>"{}|^`\\]*)>|_:([^\s<"]+))\s*<([^<>"{}|^`\\]*)>\s*(?:<([^<>"{}|^`\\]*)>|_:([^\s<"]+?)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'''
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """(g, s, p, o) of N-Triples files, parsed line by line in parallel; g is the file."""
+    """(g, s, p, o) of N-Triples files, matched line by line in parallel; g is the file.
+
+    Blank nodes are told apart by file.  A line without escapes in it is taken apart
+    by one pattern, others by the parser; a line that is no triple is an error.
+    """
     lines = spark.read.text(path).withColumn("g", F.input_file_name()).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    return lines.select("g", "value").mapInPandas(_lines, SCHEMA)
+    plain = F.col("value").rlike(_NTRIPLE) & ~F.contains("value", F.lit("\\"))
+    part = lambda i: F.regexp_extract("value", _NTRIPLE, i)
+    s = F.when(part(2) != "", terms.make(terms.BNODE, part(2))).otherwise(terms.make(terms.IRI, part(1)))
+    literal = terms.make(terms.LITERAL, part(6), F.when(part(7) != "", part(7)).when(part(8) == "", F.lit(terms.XSD + "string")), F.when(part(8) != "", F.lower(part(8))))
+    o = F.when(part(5) != "", terms.make(terms.BNODE, part(5))).when(part(4) != "", terms.make(terms.IRI, part(4))).otherwise(literal)
+    matched = lines.filter(plain).select("g", s.alias("s"), part(3).alias("p"), o.alias("o"))
+    parsed = lines.filter(~plain).select("g", "value").mapInPandas(_lines, SCHEMA)
+    return _apart(matched.unionByName(parsed))
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     """(g, s, p, o) of Turtle files, a file a row; blank nodes are told apart by file."""
     files = spark.read.text(path, wholetext=True).withColumn("g", F.input_file_name()).select("g", "value")
-    out = files.mapInPandas(_lines, SCHEMA)
+    return _apart(files.mapInPandas(_lines, SCHEMA))
+
+
+def _apart(out: DataFrame) -> DataFrame:
+    """Blank nodes by file."""
     own = lambda c: F.when(F.col(f"{c}.kind") == terms.BNODE, F.col(c).withField("lex", F.concat(F.sha1("g"), F.lit("_"), F.col(f"{c}.lex")))).otherwise(F.col(c))
     return out.select("g", own("s").alias("s"), "p", own("o").alias("o"))
