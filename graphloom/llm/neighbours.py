@@ -8,14 +8,17 @@ survives if its lower bound is not above the query's k-th best, and only
 survivors are computed from the original vectors in double precision.  Each cell
 keeps k for a query in a heap; the cells' heaps are merged by rank.
 
-The result is exact: bounds decide what is computed, never what is returned.
+The result is exact: bounds decide what is computed, never what is returned; where a
+bound is no number, the pair is computed.  Components of any finite size are scaled
+before they are squared.
 The work is the number of queries times the number of vectors by nature; a block
 of candidates travels once for each block of queries.
 
 Defined results: distance is Euclidean, ties go to the smaller id.  Vectors that
 are null, empty, zero, or hold null or non-finite components take no part; only
 vectors of equal length are compared; a row is not its own neighbour, nor is one
-of the same id.  A query has as many neighbours as there are, up to k.
+of the same id.  A query has as many neighbours as there are, up to k; rows that
+repeat an id are candidates each.  A distance above the largest double is infinite.
 """
 
 from __future__ import annotations
@@ -60,16 +63,26 @@ def bounds(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
 
 def _distances(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Euclidean distances in double precision, components summed in order."""
-    return np.sqrt(np.cumsum((rows - x) ** 2, axis=1)[:, -1])
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        diff = rows - x
+        most = np.abs(diff).max(axis=1)
+        out = np.sqrt(np.cumsum(diff**2, axis=1)[:, -1])
+        odd = np.flatnonzero((most > 1e150) | (most < 1e-150) & (most > 0))  # squares would not fit
+        if len(odd):
+            scaled = diff[odd] / most[odd, None]
+            out[odd] = np.where(np.isfinite(most[odd]), most[odd] * np.sqrt(np.cumsum(scaled**2, axis=1)[:, -1]), np.inf)
+        return out
 
 
 def best_in_cell(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
     """For each query its k nearest candidates as (distance, id), nearest first."""
     heaps: list[list[tuple[float, int]]] = [[] for _ in qid]  # of (-distance, -id): the worst is first
-    queries = quantise(qv)
+    most = max(np.abs(qv).max(), np.abs(cv).max())
+    unit = most if most > 1e100 else 1.0  # bounds are in this unit
+    queries = quantise(qv / unit)
     for j in range(0, len(cid), TILE):
         ids, rows = cid[j : j + TILE], cv[j : j + TILE]
-        tile = quantise(rows)
+        tile = quantise(rows / unit)
         for i in range(0, len(qid), TILE):
             low, high = bounds(tuple(x[i : i + TILE] for x in queries), tile)
             own = qid[i : i + TILE, None] == ids[None, :]
@@ -77,8 +90,8 @@ def best_in_cell(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarra
             limit = np.partition(high, min(k, high.shape[1]) - 1, axis=1)[:, min(k, high.shape[1]) - 1]
             for r in range(len(low)):
                 heap = heaps[i + r]
-                worst = min(limit[r], -heap[0][0] if len(heap) == k else np.inf)
-                keep = np.flatnonzero((low[r] <= worst) & ~own[r])
+                worst = min(limit[r], -heap[0][0] / unit * (1 + 1e-12) if len(heap) == k else np.inf)
+                keep = np.flatnonzero(~(low[r] > worst) & ~own[r])
                 if not len(keep):
                     continue
                 for d, c in zip(_distances(qv[i + r], rows[keep]).tolist(), ids[keep].tolist(), strict=True):
