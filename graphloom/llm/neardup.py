@@ -17,6 +17,8 @@ How the work stays in proportion to the input:
   between different components, close by size and sketch, are checked in
   two passes: each class against the closest of one other class of each such
   bucket, picked by a hash, folding again, then all that are still apart.
+  A bucket of more than CELL classes is cut into a square of cells for that, so that
+  no task meets more than CELL by CELL of its pairs.
   Before the last pass the classes that still have a close partner get 3072
   coordinates of the same two permutations, as single bits, so that pairs well
   below the threshold need no check.  No partner is dropped by a cap.
@@ -42,12 +44,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textkernel as K
 from graphloom.llm.components import components
-from graphloom.llm.scratch import Scratch
+from graphloom.llm.scratch import Scratch, unused
 
 BANDS, ROWS, WIDTH = 32, 4, 5
 COORDINATES, SKETCH, APART = 256, 8, 78
 LONG, LONG_APART = 48, 472
 LAST = 2
+CELL = 2000
 SIMILAR = 75
 #: Ids of candidates are sent to all executors up to this many (16 MB); beyond, the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
@@ -189,13 +192,16 @@ def _close(x: str, y: str) -> Column:
 
 
 def _still_apart(placed: DataFrame, of: Callable[[str], DataFrame], classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs (a, b), a > b, of (key, id, c) rows that share a bucket, not a component, and may be similar.
+    """All pairs (a, b), a > b, of (key, size, id, c) rows that share a bucket, not a component, and may be similar.
 
     A pair comes from the first bucket that it shares, not from each.
     """
-    left = placed.withColumnsRenamed({"id": "a", "c": "c_a"}).join(of("a"), "a")
-    right = placed.withColumnsRenamed({"id": "b", "c": "c_b"}).join(of("b"), "b")
-    fits = (left["key"] == right["key"]) & (F.col("c_a") != F.col("c_b")) & _close("a", "b")
+    across = F.ceil(F.col("size") / CELL).cast("int")
+    own, every = F.pmod(F.xxhash64("id"), across).cast("int"), F.explode(F.sequence(F.lit(0), across - 1))
+    left = placed.select("key", own.alias("row"), every.alias("col"), F.col("id").alias("a"), F.col("c").alias("c_a")).join(of("a"), "a")
+    right = placed.select("key", every.alias("row"), own.alias("col"), F.col("id").alias("b"), F.col("c").alias("c_b")).join(of("b"), "b")
+    meet = (left["key"] == right["key"]) & (left["row"] == right["row"]) & (left["col"] == right["col"])
+    fits = meet & (F.col("c_a") != F.col("c_b")) & _close("a", "b")
     near = left.join(right, fits, "left_semi").select(F.col("a").alias("id"))
     wide = _texts_of(near, texts, scratch, "wide").mapInArrow(_sign_long, "id long, wide array<long>")
     wide = scratch.save(wide.dropDuplicates(["id"]), "wide")
@@ -203,7 +209,8 @@ def _still_apart(placed: DataFrame, of: Callable[[str], DataFrame], classes: Dat
     left = left.join(more.select(F.col("id").alias("a"), F.col("wide").alias("w_a"), F.col("bands").alias("bands_a")), "a")
     right = right.join(more.select(F.col("id").alias("b"), F.col("wide").alias("w_b"), F.col("bands").alias("bands_b")), "b")
     apart = sum((F.bit_count(F.col("w_a")[k].bitwiseXOR(F.col("w_b")[k])) for k in range(LONG)), F.lit(0))
-    fits = (left["key"] == right["key"]) & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & _close("a", "b") & (apart <= LONG_APART)
+    meet = (left["key"] == right["key"]) & (left["row"] == right["row"]) & (left["col"] == right["col"])
+    fits = meet & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & _close("a", "b") & (apart <= LONG_APART)
     fits = fits & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == left["key"])
     return left.join(right, fits).select("a", "b").distinct()
 
@@ -231,15 +238,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if step:
             placed = crowd.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
             placed = placed.select("key", "id", F.coalesce("component", "id").alias("c"))
-            mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(step))).alias("head"))
-            placed = placed.join(mixed.filter("low <> high").select("key", "head"), "key")
+            mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(step))).alias("head"), F.count("*").alias("size"))
+            placed = placed.join(mixed.filter("low <> high").select("key", "head", "size"), "key")
             if step < LAST:
                 pairs = placed.filter("c <> head.c").select(F.greatest("id", "head.id").alias("a"), F.least("id", "head.id").alias("b")).distinct()
                 pairs = pairs.join(tried, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").filter(_close("a", "b"))
                 ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("p"), _apart("s_a", "s_b").alias("d"))
                 pairs = ends.groupBy("p").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("e")).select("e.*").distinct()
             else:
-                pairs = _still_apart(placed.select("key", "id", "c"), of, classes, texts, scratch).join(tried, ["a", "b"], "left_anti")
+                pairs = _still_apart(placed.select("key", "size", "id", "c"), of, classes, texts, scratch).join(tried, ["a", "b"], "left_anti")
             pairs = scratch.save(pairs.select("a", "b"), f"tried-{step}")
             tried = tried.unionByName(pairs)
         links = _confirmed(pairs, texts, scratch, f"check-{step}")
@@ -256,7 +263,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, one for each id; rows of a null id all stay."""
+    """The rows of ``docs`` that are kept, one for each id and text; rows of a null id all stay."""
     kept = near_duplicates(docs, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    out = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    same = unused(docs.columns, "_same")
+    out = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").withColumn(same, F.md5(text_col)).dropDuplicates([id_col, same])
     return out.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -97,3 +97,22 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()
     assert dict(got) == {**{i: 0 for i in range(51)}, 100: 100, 101: 100, 200: 200, 201: 200, 202: 200} and len(got) == 56
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").collect() == []
+
+
+def test_hot_buckets_are_cut_into_cells(spark, monkeypatch):
+    """Many classes that share a passage, most of them too far apart: cells of any size give the same."""
+    rng = random.Random(12)
+    shared = prose(rng, 100).split()
+    rows = [(i, " ".join(shared + prose(rng, rng.choice([20, 40, 60])).split())) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more words at the end") for i in range(20)]
+    for cell in (3, 2000):
+        monkeypatch.setattr(neardup, "CELL", cell)
+        check(spark, rows)
+
+
+def test_texts_of_one_id_are_kept(spark):
+    rng = random.Random(13)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, a), (None, a)]
+    kept = neardup.deduplicate(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, b), (0, a), (0, a)])

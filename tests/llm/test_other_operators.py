@@ -442,6 +442,19 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 10 == 0).collect() == []
 
 
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) * 10.0**e for _ in range(6)]) for i, e in enumerate([200] * 30 + [-200] * 30 + [0] * 30)] + [(200, [1.7e308] * 6), (210, [-1.7e308] * 6)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).collect()
+    vectors = dict(rows)
+    for q in [i for i in vectors if i % 10 == 0]:
+        own = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        best = sorted(math.dist(vectors[q], v) for i, v in rows if i != q)[:10]
+        assert len({i for _, i, _ in own}) == 10 == len(own)
+        assert all(a == d or abs(a - d) <= 1e-12 * d for (_, _, a), d in zip(own, best, strict=True))
+        assert all(a == (d := math.dist(vectors[q], vectors[i])) or abs(a - d) <= 1e-12 * d for _, i, a in own)
+
+
 def test_bounds_hold():
     import numpy as np
 
