@@ -128,26 +128,33 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def log_ratio(token: Column, table: Sequence[float]) -> Column:
-    """Sum of the table over the pairs of neighbouring characters."""
-    ratios = F.expr("array(" + ",".join(f"{x!r}D" for x in table) + ")")
-    codes = F.transform(F.split(token, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last"))
+    """Sum of the table over the pairs of neighbouring characters; a token's characters are coded once."""
+    place = [ALPHABET.find(chr(c)) + 1 for c in range(128)]
+    ratios = F.expr("array(" + ",".join(f"{table[a * CLASSES + b]!r}D" for a in place for b in place) + ")")
+    codes = F.transform(F.split(token, ""), lambda c: F.least(F.ascii(c), F.lit(127)))
 
-    def step(s: Column, c: Column) -> Column:
-        more = F.when(s["last"] < 0, 0.0).otherwise(F.element_at(ratios, s["last"] * CLASSES + c + 1))
-        return F.struct((s["sum"] + more).alias("sum"), c.alias("last"))
+    def total(c: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda s, i: s + F.get(ratios, F.get(c, i - 1) * 128 + F.get(c, i)))
 
-    return F.aggregate(codes, start, step, lambda s: s["sum"])
+    return F.when(F.length(token) < 2, 0.0).otherwise(_with(codes, total))
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def _scanned(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     """Each value joined with all before it, by doubling; ``join`` gets null where nothing is before."""
-    rounds = F.ceil(F.log2(F.size(values).cast("double"))).cast("int")
 
     def double(acc: Column, k: Column) -> Column:
         return F.transform(acc, lambda x, i: join(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k))))
 
-    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), values, double))
+    def all_of(v: Column) -> Column:
+        rounds = F.ceil(F.log2(F.size(v).cast("double"))).cast("int")
+        return F.when(F.size(v) < 2, v).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), v, double))
+
+    return _with(values, all_of)
 
 
 def _zipped(*arrays: tuple[str, Column]) -> Column:
@@ -155,28 +162,31 @@ def _zipped(*arrays: tuple[str, Column]) -> Column:
     return F.arrays_zip(*(a.alias(n) for n, a in arrays))
 
 
-def _spans(text: Column, pattern: str, kind: int, may: Column, keep: Column | None = None) -> Column:
-    """Array of (start, kind, end) of a pattern's matches; ``keep``: an array of flags, one for each match."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.transform(found, F.length)
-    steps = F.zip_with(F.transform(F.slice(gaps, 1, F.size(found)), F.length), sizes, lambda g, m: g + m)
-    ends = _scanned(steps, lambda x, y: x + F.coalesce(y, F.lit(0)))
-    spans = F.zip_with(ends, sizes, lambda e, m: F.struct((e - m).alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
-    if keep is not None:
-        spans = F.filter(F.zip_with(spans, keep, lambda s, f: F.when(f, s)), lambda s: s.isNotNull())
-    return F.when(may, spans).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
+def _spans(text: Column, pattern: str, kind: int, may: Column, keep: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
+    """Array of (start, kind, end) of a pattern's matches; ``keep`` says of a match's group whether it counts."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(x: Column) -> Column:
+        steps = F.zip_with(F.slice(x["gaps"], 1, F.size(x["found"])), x["found"], lambda g, m: F.length(g) + F.length(m))
+        ends = _scanned(steps, lambda a, b: a + F.coalesce(b, F.lit(0)))
+        spans = F.zip_with(ends, x["found"], lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
+        if keep is None:
+            return spans
+        said = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else x["found"]
+        return F.filter(F.zip_with(spans, said, lambda s, v: F.when(keep(v), s)), lambda s: s.isNotNull())
+
+    return F.when(may, _with(parts, placed)).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
 
 
 def scan(docs: DataFrame, table: Sequence[float], text_col: str = "text", out: str = "secrets") -> DataFrame:
     """``docs`` with the column ``out``: the array of (start, kind, end), by start, then kind; ``kind`` is a place in KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    assign = _spans(text, ASSIGN, 0, text.rlike(MAY_ASSIGN), F.transform(values, lambda v: F.length(v) >= ASSIGN_VALUE))
+    assign = _spans(text, ASSIGN, 0, text.rlike(MAY_ASSIGN), lambda v: F.length(v) >= ASSIGN_VALUE, 2)
     access = _spans(text, ACCESS, 1, F.contains(text, F.lit("AKIA")))
     hexes = _spans(text, HEX, 2, text.rlike("[0-9a-f]{16}"))
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     likely = lambda t: log_ratio(t, table) > MARGIN + SHORT * F.greatest(LONG - F.length(t), F.lit(0))
-    random = _spans(text, TOKEN, 3, text.rlike(TOKEN), F.transform(tokens, likely))
+    random = _spans(text, TOKEN, 3, text.rlike(TOKEN), likely)
     found = docs.withColumn(out, F.array_sort(F.concat(assign, access, hexes, random)))
     # Random spans that a base span overlaps go: one that starts no later, or one that starts before their end.
     spans = F.col(out)
@@ -213,11 +223,16 @@ def redact(docs: DataFrame, table: Sequence[float], text_col: str = "text", mark
     found, text = scan(docs, table, text_col, spans), F.col(text_col)
     # A span that starts where all before have ended opens a cut; a cut ends where its last span does.
     reach = _scanned(F.transform(spans, lambda s: s["end"]), F.greatest)
-    before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
+    before = _with(reach, lambda r: F.concat(F.array(F.lit(0)), F.slice(r, 1, F.size(r) - 1)))
     edges = F.filter(_zipped(("span", F.col(spans)), ("before", before)), lambda x: x["span"]["start"] >= x["before"])
-    starts = F.transform(edges, lambda x: x["span"]["start"])
-    ends = F.concat(F.slice(F.transform(edges, lambda x: x["before"]), 2, F.size(edges)), F.array(F.array_max(F.transform(spans, lambda s: s["end"]))))
-    cutting = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(starts, F.array(F.length(text))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+
+    def cut(e: Column) -> Column:
+        starts = F.transform(e, lambda x: x["span"]["start"])
+        ends = F.concat(F.slice(F.transform(e, lambda x: x["before"]), 2, F.size(e)), F.array(last))
+        return F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(starts, F.array(F.length(text))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    cutting = _with(edges, cut)
     some = F.size(spans) > 0
     found = found.withColumn(cuts, F.when(some, cutting)).withColumn(chunks, F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
     chunk = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
