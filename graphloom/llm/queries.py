@@ -179,13 +179,44 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number()
 """
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontamination import contaminated
+
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), iw AS (
+  SELECT item_id::VARCHAR AS item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), places AS (
+  SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM iw WHERE len(ws) > 0
+), windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS size, array_to_string(ws[i:i + 9], ' ') AS w FROM places
+), spots AS (
+  SELECT r, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM dw, (SELECT DISTINCT size FROM windows) WHERE len(ws) >= size
+), hits AS (
+  SELECT s.r, s.i, w.size, w.item_id FROM (SELECT r, i, size, array_to_string(ws[i:i + size - 1], ' ') AS w FROM spots) s JOIN windows w USING (w, size)
+), covered AS (
+  SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_source_mixing, op2_minhash_near_dedup, op3_url_filters, op4_sentencepiece, op5_secret_scans, op6_sharding,
-        op7_quality_classifier, op8_html_extraction, op9_quality_rules, op10_nearest_neighbours,
+        op7_quality_classifier, op8_html_extraction, op9_quality_rules, op10_nearest_neighbours, op12_benchmark_decontamination,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_url_filters": OP3_SQL, "op6_sharding": OP6_SQL, "op10_nearest_neighbours": OP10_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_url_filters": OP3_SQL, "op6_sharding": OP6_SQL, "op10_nearest_neighbours": OP10_SQL, "op12_benchmark_decontamination": OP12_SQL}

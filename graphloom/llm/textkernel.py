@@ -120,6 +120,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     return span_hashes(data, start, stop), start, stop, first
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words`` with A-Z lower-cased, for words of the bytes that a table of 256 flags names."""
+    data = _LOWER[data]
+    start, stop = _runs(inside[data], offsets)
+    return span_hashes(data, start, stop), start, stop, np.searchsorted(start, offsets)
+
+
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, stop) of every line (texts split at U+000A), and each text's first line index (with an end)."""
     n = len(offsets) - 1
