@@ -210,13 +210,59 @@ FROM dw LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.collocations import collocations
+
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+), p AS (
+  SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), totals AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), sizes AS (
+  SELECT lang, ws, unnest(range(1, least(len(ws), 5) + 1)) AS m FROM w WHERE len(ws) > 0
+), places AS (
+  SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM sizes
+), known AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*)::BIGINT AS a FROM places GROUP BY ALL HAVING count(*) >= 100
+), several AS (
+  SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM known WHERE m > 1
+), inner_sizes AS (
+  SELECT lang, ws, m, a, unnest(range(2, m)) AS s FROM several WHERE m > 2
+), inner_places AS (
+  SELECT lang, ws, a, s, unnest(range(1, m - s + 2)) AS i FROM inner_sizes
+), longer AS (
+  SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(a) AS most FROM inner_places GROUP BY ALL
+), own AS (
+  SELECT c.* FROM several c LEFT JOIN longer b ON c.lang = b.lang AND c.phrase = b.phrase WHERE b.most IS NULL OR 100 * b.most < 100 * c.a
+), cuts AS (
+  SELECT lang, phrase, a, ws, m, unnest(range(1, m)) AS k FROM own
+), halves AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:m], ' ') AS tail FROM cuts
+), scored AS (
+  SELECT h.lang, h.phrase, h.a, h.k, x.a AS l, y.a AS r, n, ((1000::HUGEINT * h.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM halves h JOIN known x ON h.lang = x.lang AND h.head = x.phrase JOIN known y ON h.lang = y.lang AND h.tail = y.phrase JOIN totals t ON h.lang = t.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM best
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_source_mixing, op2_minhash_near_dedup, op3_url_filters, op4_sentencepiece, op5_secret_scans, op6_sharding,
-        op7_quality_classifier, op8_html_extraction, op9_quality_rules, op10_nearest_neighbours, op12_benchmark_decontamination,
+        op7_quality_classifier, op8_html_extraction, op9_quality_rules, op10_nearest_neighbours, op12_benchmark_decontamination, op13_phrase_collocations,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_url_filters": OP3_SQL, "op6_sharding": OP6_SQL, "op10_nearest_neighbours": OP10_SQL, "op12_benchmark_decontamination": OP12_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_url_filters": OP3_SQL, "op6_sharding": OP6_SQL, "op10_nearest_neighbours": OP10_SQL, "op12_benchmark_decontamination": OP12_SQL, "op13_phrase_collocations": OP13_SQL}

@@ -1,10 +1,11 @@
+import collections
 import hashlib
 import random
 import re
 
 import pytest
 
-from graphloom.llm import decontamination
+from graphloom.llm import collocations, decontamination
 from tests.llm.data import documents, frame, prose
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -79,3 +80,46 @@ def test_decontamination_of_a_window_that_fills_a_text(spark):
     text = "a b c " * 60_000
     got = decontamination.contaminated(frame(spark, [(1, text)]), spark.createDataFrame([("x", "a b c a b c a b c a b"), ("y", "b"), ("z", "c c")], "item_id string, text string")).collect()
     assert [(r.n_words, r.n_hit, r.n_items) for r in got] == [(180_000, 179_999, 2)]  # no window ends with the last c
+
+
+def mined(rows, least, longest, top, subsume):
+    f, n = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + m]) for m in range(1, longest + 1) for i in range(len(w) - m + 1))
+    many = {k: a for k, a in f.items() if len(k) > 2 and a >= least}
+    out = collections.defaultdict(list)
+    for (lang, *w), a in many.items():
+        inside = lambda x, w=w: any(list(x[i : i + len(w)]) == w for i in range(1, len(x) - len(w) + 1))
+        if any(len(x) > len(w) + 1 and x[0] == lang and 100 * b >= subsume * a and inside(x) for x, b in many.items()):
+            continue
+        cuts = [(1000 * a * n[lang] // (f[lang, *w[:k]] * f[lang, *w[k:]]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        out[lang].append((-score, -a, " ".join(w).encode(), f[lang, *w[:k]], f[lang, *w[k:]]))
+    return sorted((lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, own in out.items() for i, (s, a, p, l, r) in enumerate(sorted(own)[:top]))
+
+
+@pytest.mark.parametrize(("least", "longest", "top", "subsume"), [(3, 5, 40, 100), (6, 3, 2000, 80), (300, 5, 2000, 100)])
+def test_collocations_equal_brute_force(spark, least, longest, top, subsume):
+    odd = ["New  York\tcity a b. New York, new york city", "c\x0bd\x0cé ü\xa0x é ü\xa0x é ü\xa0x", "x y z w v " * 40, "", None, "lone", ". , ;"]
+    rows = [("de" if i % 3 else None, t) for i, (_, t) in enumerate(documents()) if len(t or "") < 20000] + [("en", t) for t in odd * 3] + [("und", "x y z")]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = collocations.collocations(docs, least, longest, top, subsume)
+    assert sorted(map(tuple, got.collect())) == mined(rows, least, longest, top, subsume)
+
+
+def test_a_small_sketch_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "MOST_CELLS", 1 << 6)
+    rows = [("en", t) for _, t in documents() if len(t or "") < 20000]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(map(tuple, collocations.collocations(docs, 5).collect())) == mined(rows, 5, 5, 2000, 100)
+    assert collocations.collocations(docs.limit(0)).collect() == []
+
+
+def test_collocations_score_exactly_beyond_64_bits(spark):
+    rows = [("en", "rare pair, " * 3 + "common " * 200_000)]
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), 3, 2).collect()
+    assert [(r.phrase, r.a, r.score) for r in got] == [("rare pair", 3, 1000 * 200_006 // 3), ("common common", 199_999, 1000 * 199_999 * 200_006 // 200_000**2)]
