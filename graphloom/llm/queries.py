@@ -179,6 +179,19 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number()
 """
 
 
+def byte_tokenizer(spark: SparkSession) -> str:
+    """The public byte-level BPE file of the tokenizers folder; GRAPHLOOM_BYTES names another."""
+    from graphloom.llm.pieces import read_model
+
+    return read_model(spark, os.environ.get("GRAPHLOOM_BYTES", "/opt/tokenizers/byte_bpe_50k.json")).decode()
+
+
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.alignment import align
+
+    return align(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_tokenizer(spark), sentencepiece_model(spark))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.decontamination import contaminated
 
@@ -259,7 +272,7 @@ WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_source_mixing, op2_minhash_near_dedup, op3_url_filters, op4_sentencepiece, op5_secret_scans, op6_sharding,
-        op7_quality_classifier, op8_html_extraction, op9_quality_rules, op10_nearest_neighbours, op12_benchmark_decontamination, op13_phrase_collocations,
+        op7_quality_classifier, op8_html_extraction, op9_quality_rules, op10_nearest_neighbours, op11_tokenizer_alignment, op12_benchmark_decontamination, op13_phrase_collocations,
     )
     return {f.__name__: f for f in found}
 
