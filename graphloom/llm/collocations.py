@@ -8,12 +8,12 @@ words.  A candidate is a phrase of 2 to ``longest`` words within a piece that a
   on Spark, and all that is kept of the merged sketch is one bit a cell: whether it reaches ``least``.
   A cell counts all phrases that fall into it, so no frequent phrase can miss its bits.
 * Second pass: only phrases whose two bits are set, and whose first and last words but one survived too,
-  are counted, exactly, by their own words: in the task first, then by a shuffled aggregate.
+  are counted, exactly, by their own words: in the task first, then by language and part, a part for 4 MB of text.
 * Scores and subsumption are joins of the table of frequent phrases with itself, each part of a
   candidate being at least as frequent as the candidate.  Ranks come from a window in salted parts, then one over the parts' first rows.
 
-The sketch grows with the input, a cell for 16 phrases, up to MOST_CELLS a row (two rows are 128 MB of bits for
-every task).  An input of over some 15 GB of text loads the cells more, and above some 80 GB most of them are
+The sketch grows with the input, a cell for 24 phrases, up to MOST_CELLS a row (two rows are 128 MB of bits for
+every task).  An input of over some 20 GB of text loads the cells more, and above some 80 GB most of them are
 full: results stay the same, but the sketch spares the exact aggregate less and less.
 
 Defined results: a null language is ``und``; null texts are empty; repeated rows count again; an empty table, or one
@@ -24,6 +24,7 @@ one 64-bit hash would be taken for one (a chance of 1e-8).
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,10 +38,12 @@ from graphloom.llm.scratch import Scratch
 
 ROWS = 2
 MOST_CELLS = 1 << 29
-PHRASES_A_CELL = 16
+PHRASES_A_CELL = 24
 #: Phrases that a task sorts at once, and those that it counts before it hands them on.
-SORTED, COUNTED = 3_000_000, 400_000
-RUN_BITS = 18
+SORTED, COUNTED = 10_000_000, 400_000
+#: Cells that are packed together, and bytes of text for a part of the exact counts.
+RUN = 1 << 18
+PART_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
 #: Parts in which each language is ranked first.
 SALTS = 64
@@ -90,8 +93,9 @@ class Phrases:
         return out
 
 
-def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((K.mix(h ^ K._MUL[13]) if row else h) >> np.uint64(64 - bits)).astype(np.uint32)
+def _cells(h: np.ndarray, row: int, cells: int) -> np.ndarray:
+    h = K.mix(h ^ K._MUL[13]) if row else h
+    return (((h >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.uint32)
 
 
 def _seeds(langs: list[str]) -> np.ndarray:
@@ -121,45 +125,46 @@ def _unpack(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.int64), counts
 
 
-def _sketch(bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    low = min(bits, RUN_BITS)
-
-    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate(held)
-        held.clear()
-        for row in range(ROWS):
-            cells = np.sort(_cells(h, row, bits))
-            at = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-            counts, cells = np.diff(np.append(at, len(cells))), cells[at]
-            edges = np.searchsorted(cells >> np.uint32(low), np.arange((1 << (bits - low)) + 1))
-            runs = [x for x in range(len(edges) - 1) if edges[x + 1] > edges[x]]
-            each = [(edges[x], edges[x + 1]) for x in runs]
-            data = [_pack(cells[a:b] & np.uint32((1 << low) - 1), counts[a:b]) for a, b in each]
-            yield pa.RecordBatch.from_arrays([pa.array([row] * len(runs), pa.int32()), pa.array(runs, pa.int32()), pa.array([int(b - a) for a, b in each], pa.int32()), pa.array(data, pa.binary())], names=["row", "run", "n", "data"])
+def _sketch(cells: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def packed(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for row, own in enumerate(held):
+            every = np.concatenate(own)
+            own.clear()
+            every.sort()
+            edges = np.searchsorted(every, np.arange(0, cells + 1, RUN, dtype=np.int64))
+            runs = np.flatnonzero(np.diff(edges)).tolist()
+            parts = []
+            for x in runs:
+                part = every[edges[x] : edges[x + 1]]
+                at = np.flatnonzero(np.diff(part, prepend=part[0] - np.uint32(1)))
+                parts.append((len(at), _pack(part[at] - np.uint32(x * RUN), np.diff(np.append(at, len(part))))))
+            yield pa.RecordBatch.from_arrays([pa.array([row] * len(runs), pa.int32()), pa.array(runs, pa.int32()), pa.array([n for n, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], names=["row", "run", "n", "data"])
+            del every
         K.tidy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         for _, x in _texts(batches):
-            held += [x.hash(x.whole(n), n) for n in range(1, longest + 1)]
-            if sum(map(len, held)) >= SORTED:
+            for n in range(1, longest + 1):
+                h = x.hash(x.whole(n), n)
+                for row in range(ROWS):
+                    held[row].append(_cells(h, row, cells))
+            if sum(map(len, held[0])) >= SORTED:
                 yield from packed(held)
-        if sum(map(len, held)):
+        if sum(map(len, held[0])):
             yield from packed(held)
 
     return run
 
 
-def _merge(bits: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _merge(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sums of equal runs, which come one after another, as flags of the cells that reach ``least``."""
-    low = min(bits, RUN_BITS)
-
     def flags(key: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
         full = np.packbits(total >= least, bitorder="little").tobytes()
         return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([full], pa.binary())], names=["row", "run", "full"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total = None, np.zeros(1 << low, np.int64)
+        key, total = None, np.zeros(RUN, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
                 if key != (row["row"], row["run"]):
@@ -175,15 +180,12 @@ def _merge(bits: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def sketch(rows: DataFrame, least: int, longest: int, cells: int) -> np.ndarray:
-    """(ROWS, cells / 8) bytes: a bit for each cell of the merged sketch that reaches ``least``."""
-    bits = cells.bit_length() - 1
-    low = min(bits, RUN_BITS)
-    parts = rows.mapInArrow(_sketch(bits, longest), "row int, run int, n int, data binary").repartition("row", "run").sortWithinPartitions("row", "run")
-    out = np.zeros((ROWS, max(1, cells // 8)), np.uint8)
-    size = max(1, (1 << low) // 8)
-    found = parts.mapInArrow(_merge(bits, least), "row int, run int, full binary").toArrow()
+    """(ROWS, cells / 8) bytes: a bit for each cell of the merged sketch that reaches ``least``; cells is a multiple of RUN."""
+    parts = rows.mapInArrow(_sketch(cells, longest), "row int, run int, n int, data binary").repartition("row", "run").sortWithinPartitions("row", "run")
+    out = np.zeros((ROWS, cells // 8), np.uint8)
+    found = parts.mapInArrow(_merge(least), "row int, run int, full binary").toArrow()
     for row, run, full in zip(found["row"].to_pylist(), found["run"].to_pylist(), found["full"], strict=True):
-        out[row, run * size : (run + 1) * size] = np.frombuffer(full.as_buffer(), np.uint8)
+        out[row, run * RUN // 8 : (run + 1) * RUN // 8] = np.frombuffer(full.as_buffer(), np.uint8)
     return out
 
 
@@ -191,7 +193,7 @@ def _set(flags: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (flags[cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def _survivors(x: Phrases, flags: np.ndarray, bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _survivors(x: Phrases, flags: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(words, first words, hashes) of phrases that may be frequent."""
     before: np.ndarray | None = None
     for n in range(1, longest + 1):
@@ -200,55 +202,94 @@ def _survivors(x: Phrases, flags: np.ndarray, bits: int, longest: int) -> Iterat
             at = at[before[at] & before[at + 1]]
         h = x.hash(at, n)
         for row in range(ROWS):
-            keep = _set(flags[row], _cells(h, row, bits))
+            keep = _set(flags[row], _cells(h, row, 8 * flags.shape[1]))
             at, h = at[keep], h[keep]
         before = np.zeros(len(x.piece) + 1, bool)
         before[at] = True
         yield n, at, h
 
 
-def _exact(flags: np.ndarray, bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the survivors, and the number of words of each language (words 0)."""
+def _exact(flags: np.ndarray, longest: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of a task's survivors, packed by language and part; the empty phrase stands for the language's words."""
 
-    def told(counts: dict[tuple[str, int, bytes], int]) -> Iterator[pa.RecordBatch]:
-        keys, values = list(counts), list(counts.values())
-        for i in range(0, len(keys), 20_000):
-            part = keys[i : i + 20_000]
-            columns = [pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part], pa.int32()), pa.array([k[2] for k in part], pa.binary()).cast(pa.string()), pa.array(values[i : i + 20_000], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "n"])
+    def told(counts: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            dealt: dict[int, list[bytes]] = {}
+            for phrase in own:
+                dealt.setdefault(zlib.crc32(phrase) % parts, []).append(phrase)
+            data = [_pack_phrases(x, [own[p] for p in x]) for x in dealt.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(dealt), pa.string()), pa.array(list(dealt), pa.int32()), pa.array(data, pa.binary())], names=["lang", "part", "data"])
         counts.clear()
         K.tidy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int, bytes], int] = {}
+        counts: dict[str, dict[bytes, int]] = {}
         for langs, x in _texts(batches):
             for lang, n in zip(langs, np.diff(x.first).tolist(), strict=True):
-                counts[lang, 0, b""] = counts.get((lang, 0, b""), 0) + n
-            found = list(_survivors(x, flags, bits, longest))
+                own = counts.setdefault(lang, {})
+                own[b""] = own.get(b"", 0) + n
+            found = list(_survivors(x, flags, longest))
             at = np.concatenate([a for _, a, _ in found])
             size = np.concatenate([np.full(len(a), n, np.int64) for n, a, _ in found])
             _, where, often = np.unique(np.concatenate([h for _, _, h in found]), return_index=True, return_counts=True)
             at, size = at[where], size[where]
-            for t, n, phrase, c in zip(x.text[at].tolist(), size.tolist(), x.strings(at, size), often.tolist(), strict=True):
-                key = (langs[t], n, phrase)
-                counts[key] = counts.get(key, 0) + c
-            if len(counts) >= COUNTED:
+            for t, phrase, c in zip(x.text[at].tolist(), x.strings(at, size), often.tolist(), strict=True):
+                own = counts[langs[t]]
+                own[phrase] = own.get(phrase, 0) + c
+            if sum(map(len, counts.values())) >= COUNTED:
                 yield from told(counts)
         yield from told(counts)
 
     return run
 
 
+def _pack_phrases(phrases: list[bytes], counts: list[int]) -> bytes:
+    """Phrases hold no line feed, so lines of them are followed by as many counts."""
+    raw = np.array([len(phrases), *counts], "<i8").tobytes() + b"\n".join(phrases)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack_phrases(data: bytes) -> tuple[list[bytes], list[int]]:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    return raw[8 * n + 8 :].split(b"\n"), np.frombuffer(raw[8 : 8 * n + 8], "<i8").tolist()
+
+
+def _add_up(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of equal phrases of a language and part, whose rows come one after another; those below ``least`` go."""
+
+    def told(lang: str, counts: dict[bytes, int]) -> pa.RecordBatch:
+        kept = [(p, n) for p, n in counts.items() if n >= least or not p]
+        columns = [pa.array([lang] * len(kept), pa.string()), pa.array([p.count(b" ") + 1 if p else 0 for p, _ in kept], pa.int32()), pa.array([p for p, _ in kept], pa.binary()).cast(pa.string()), pa.array([n for _, n in kept], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, counts = None, {}
+        for batch in batches:
+            for lang, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (lang, part):
+                    if key is not None:
+                        yield told(key[0], counts)
+                    key, counts = (lang, part), {}
+                for phrase, n in zip(*_unpack_phrases(data), strict=True):
+                    counts[phrase] = counts.get(phrase, 0) + n
+        if key is not None:
+            yield told(key[0], counts)
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, words, phrase, n), saved: every phrase of 1 to ``longest`` words with n >= ``least``, and each language's number of words as words 0."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     asked = int(size) // 8 * longest // PHRASES_A_CELL  # eight bytes are about a word
-    cells = min(MOST_CELLS, 1 << max(16, asked.bit_length()))
+    cells = RUN * max(1, min(MOST_CELLS, asked) // RUN)
     flags = sketch(rows, least, longest, cells)
-    counted = rows.mapInArrow(_exact(flags, cells.bit_length() - 1, longest), "lang string, words int, phrase string, n long")
-    counted = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return scratch.save(counted.filter((F.col("words") == 0) | (F.col("n") >= least)), "frequent")
+    parts = 1 + int(size) // PART_BYTES
+    counted = rows.mapInArrow(_exact(flags, longest, parts), "lang string, part int, data binary")
+    counted = counted.repartition("lang", "part").sortWithinPartitions("lang", "part")
+    return scratch.save(counted.mapInArrow(_add_up(least), "lang string, words int, phrase string, n long"), "frequent")
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, subsume: int = 100, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

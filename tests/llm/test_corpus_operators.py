@@ -112,6 +112,7 @@ def test_collocations_equal_brute_force(spark, least, longest, top, subsume):
 
 
 def test_a_small_sketch_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "RUN", 1 << 6)  # one run, whatever is asked for
     monkeypatch.setattr(collocations, "MOST_CELLS", 1 << 6)
     rows = [("en", t) for _, t in documents() if len(t or "") < 20000]
     docs = spark.createDataFrame(rows, "lang string, text string")
