@@ -30,7 +30,7 @@ does the longer one (at most 472 of 3072 bits apart; 384 on average).
 
 Defined results: null or blank texts have n_shingles 0 and link with nothing;
 rows of a null id get a null component and are kept; repeated rows get equal
-answers; an empty table gives an empty table; other columns are not read.
+answers; of several texts under one id each goes by its own set; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,7 +55,9 @@ SIMILAR = 75
 #: Ids of candidates are sent to all executors up to this many (16 MB); beyond, the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
-_SIGNED = "doc_id long, n_shingles long, fp_a long, fp_b long, sketch array<long>, bands array<long>"
+_SIGNED = "doc_id long, body long, n_shingles long, fp_a long, fp_b long, sketch array<long>, bands array<long>"
+#: A class of equal sets goes by a document and a hash of its text, since one id may have several texts.
+_NODE = "struct<doc_id: bigint, body: bigint>"
 
 
 def _order(x: np.ndarray) -> np.ndarray:
@@ -107,19 +109,19 @@ def _lists(count: np.ndarray, rows: np.ndarray) -> pa.ListArray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = K.byte_view(batch.column(1))
+        data, offsets = K.byte_view(batch.column(2))
         for i, j, part, offs in K.blocks(data, offsets):
             count, fps, sketch, keys = _sign_block(part, offs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in fps), _lists(count, sketch), _lists(count, keys)],
-                names=["doc_id", "n_shingles", "fp_a", "fp_b", "sketch", "bands"],
+                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(count.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in fps), _lists(count, sketch), _lists(count, keys)],
+                names=["doc_id", "body", "n_shingles", "fp_a", "fp_b", "sketch", "bands"],
             )
         K.tidy()
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, set size, set digest, sketch, band keys."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sign, _SIGNED)
+    """One row per document: id, hash of the text, set size, set digest, sketch, band keys."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).mapInArrow(_sign, _SIGNED)
 
 
 def _sign_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +144,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     for batch in batches:
         sides, keep = [K.byte_view(batch.column(2)), K.byte_view(batch.column(3))], np.zeros(batch.num_rows, bool)
-        ids, sets = [batch.column(0).to_pylist(), batch.column(1).to_pylist()], ({}, {})
+        ids, sets = [[(*x.values(),) for x in batch.column(k).to_pylist()] for k in (0, 1)], ({}, {})
         for i in range(batch.num_rows):
             own = []
             for (data, offs), names, known in zip(sides, ids, sets, strict=True):
@@ -170,7 +172,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str)
     own = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts, scratch, name)
     first = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = scratch.save(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long").distinct(), f"{name}-links")
+    found = scratch.save(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, f"a {_NODE}, b {_NODE}").distinct(), f"{name}-links")
     scratch.drop(f"{name}-texts")
     scratch.drop(f"{name}-ids")
     return found
@@ -203,7 +205,7 @@ def _still_apart(placed: DataFrame, of: Callable[[str], DataFrame], classes: Dat
     meet = (left["key"] == right["key"]) & (left["row"] == right["row"]) & (left["col"] == right["col"])
     fits = meet & (F.col("c_a") != F.col("c_b")) & _close("a", "b")
     near = left.join(right, fits, "left_semi").select(F.col("a").alias("id"))
-    wide = _texts_of(near, texts, scratch, "wide").mapInArrow(_sign_long, "id long, wide array<long>")
+    wide = _texts_of(near, texts, scratch, "wide").mapInArrow(_sign_long, f"id {_NODE}, wide array<long>")
     wide = scratch.save(wide.dropDuplicates(["id"]), "wide")
     more = wide.join(classes.select("id", "bands"), "id")
     left = left.join(more.select(F.col("id").alias("a"), F.col("wide").alias("w_a"), F.col("bands").alias("bands_a")), "a")
@@ -217,12 +219,16 @@ def _still_apart(placed: DataFrame, of: Callable[[str], DataFrame], classes: Dat
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; see the module."""
+    return _judged(docs, id_col, text_col).drop("body")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "neardup")
     signed = scratch.save(signatures(docs, id_col, text_col), "signed")
     same = ["n_shingles", "fp_a", "fp_b"]
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*same)
-    classes = scratch.save(classes.agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    classes = scratch.save(classes.agg(F.min(F.struct("doc_id", "body")).alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+    texts = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("body")).alias("id"), F.col(text_col).alias("text"))
     of = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
 
     # Classes that share a bucket, each with the smallest class of that bucket.
@@ -256,15 +262,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop("crowd")
 
     placed = classes.select(*same, "id").join(found.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select(*same, F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", *same).join(placed, same, "left")
+    placed = placed.select(*same, F.coalesce("component", "id")["doc_id"].alias("component_id"))
+    out = signed.select("doc_id", "body", *same).join(placed, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "body", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, one for each id and text; rows of a null id all stay."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
     same = unused(docs.columns, "_same")
-    out = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").withColumn(same, F.md5(text_col)).dropDuplicates([id_col, same])
+    kept = _judged(docs, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_col), F.col("body").alias(same)).distinct()
+    out = docs.filter(F.col(id_col).isNotNull()).withColumn(same, F.xxhash64(text_col)).join(kept, [id_col, same], "left_semi").dropDuplicates([id_col, same])
     return out.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -116,3 +116,35 @@ def test_texts_of_one_id_are_kept(spark):
     rows = [(1, a), (1, b), (1, a), (2, a), (None, a), (None, a)]
     kept = neardup.deduplicate(frame(spark, rows)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, b), (0, a), (0, a)])
+
+
+def test_different_texts_of_one_id(spark):
+    rng = random.Random(9)
+    words = lambda: [f"{rng.choice('bcdfg')}{rng.randrange(10**6)}" for _ in range(60)]
+    a, b = words(), words()
+    near = lambda w: " ".join([*w[:-1], "last"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (9, near(b)), (4, near(near(b).split()))]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(4, 4, True), (5, 4, False), (5, 5, True), (7, 5, False), (9, 4, False)]
+
+
+def test_random_tables_with_repeated_ids(spark):
+    rng = random.Random(21)
+    base = [[f"{rng.choice('bcdfg')}{rng.randrange(10**6)}" for _ in range(50)] for _ in range(4)]
+    rows = []
+    for _ in range(60):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(50)] = f"x{rng.randrange(40)}"
+        rows.append((rng.randrange(25), " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    low = list(range(len(rows)))
+    for _ in rows:
+        for x, y in itertools.combinations(range(len(rows)), 2):
+            if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                low[x] = low[y] = min(low[x], low[y])
+    least = {c: min(rows[i][0] for i in range(len(rows)) if low[i] == c) for c in set(low)}
+    want = sorted((rows[i][0], len(sets[i]), least[low[i]]) for i in range(len(rows)))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows)).collect()) == want
+    kept = sorted((r.doc_id, r.text) for r in neardup.deduplicate(frame(spark, rows)).collect())
+    assert kept == sorted({(rows[i][0], rows[i][1]) for i in range(len(rows)) if rows[i][0] == least[low[i]]})
