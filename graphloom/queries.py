@@ -508,7 +508,7 @@ def ttl_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_bgp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers to a pattern over customers and orders whose triples arrive in three batches, by a stream."""
+    """Answers to a pattern over customers and orders whose triples arrive in six batches, by a stream."""
     from graphloom.plans.agp import parse_agp
     from graphloom.sources.mapping import triples_of
     from graphloom.sources.store import shared_dir
@@ -516,14 +516,36 @@ def incremental_bgp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
     triples = triples_of(tables.mapping(spark, sf_dir), [NS + "Order", NS + "Customer"]).withColumn("tp", F.lit("tp_0")).select("tp", "s", "p", "o")
-    for i in range(3):
-        triples.filter(F.pmod(F.xxhash64("s.lex", "p"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    triples.repartition(6, F.xxhash64("s.lex", "p")).write.parquet(f"{base}/in")
     pattern = IncrementalPattern(spark, parse_agp("{ ?x t:placedBy ?c ; t:o_orderpriority ?p . ?c t:c_name ?n }", tables.PREFIXES), f"{base}/state")
     stream = spark.readStream.schema(triples.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     pattern.start(stream, f"{base}/checkpoint").awaitTermination()
     return pattern.answers().select("n", "p", "x")
 
 
+TTL, REPLAYED = 21_600, 1_705_000_000
+
+
+def live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which user did what, told at most once in six hours: replayed up to an offset, then by a stream."""
+    from graphloom.functions import terms as T
+    from graphloom.sources.fragments import FragmentStream
+    from graphloom.sources.store import shared_dir
+
+    base = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_timestamp("ts").alias("ts"), F.col("user_id").cast("string").alias("u"), "event_type")
+    quads = events.select(F.lit("tp_0").alias("tp"), T.make(T.IRI, F.concat(F.lit(f"{DATA}user/"), "u")).alias("s"), F.lit(NS + "did").alias("p"), T.make(T.LITERAL, F.col("event_type"), XSD + "string").alias("o"), "ts")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    kept = FragmentStream(spark, f"{base}/quads")
+    for i in range(3):  # arrivals in order of time
+        begin, end = (low + (high + 1 - low) * k // 3 for k in (i, i + 1))
+        kept.append(quads.filter((F.col("ts") >= begin) & (F.col("ts") < end)))
+    live = kept.tail(REPLAYED, TTL).writeStream.format("parquet").option("path", f"{base}/told").option("checkpointLocation", f"{base}/checkpoint")
+    live.trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema(kept.SCHEMA).parquet(f"{base}/told").unionByName(kept.get(REPLAYED))
+    return told.select(F.replace("s.lex", F.lit(f"{DATA}user/"), F.lit("")).cast("long").alias("user_id"), F.col("o.lex").alias("event_type"), "ts")
+
+
 def sparql_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.plans.compiler import Compiler
     from graphloom.sources.results import json_rows
@@ -598,6 +620,12 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "fragment_cached_generalised": (fragment_cached_generalised, _QUADS),
     "ttl_fresh": (ttl_fresh, "SELECT event_type, count(*) AS n, min(e) AS ttl FROM (SELECT event_type, floor(epoch(ts))::BIGINT + (event_id % 1000) * 60 AS e FROM events) WHERE e > floor(epoch(TIMESTAMP '2024-01-15 00:00:00'))::BIGINT GROUP BY 1"),
     "incremental_bgp": (incremental_bgp, "SELECT c_name AS n, o_orderpriority AS p, 'urn:data:orders/' || o_orderkey AS x FROM orders JOIN customer ON o_custkey=c_custkey"),
+    "live_tail": (
+        live_tail,
+        "WITH RECURSIVE e AS (SELECT user_id, event_type, floor(epoch(ts))::BIGINT AS s FROM events), told(user_id, event_type, s) AS (SELECT user_id, event_type, min(s) FROM e GROUP BY 1, 2 UNION ALL"
+        f" SELECT t.user_id, t.event_type, min(e.s) FROM told t JOIN e ON e.user_id=t.user_id AND e.event_type=t.event_type AND e.s>t.s+{TTL} GROUP BY t.user_id, t.event_type, t.s)"
+        f" SELECT user_id, event_type, s AS ts FROM told WHERE s>{REPLAYED} UNION ALL SELECT user_id, event_type, min(s) FROM e WHERE s<={REPLAYED} GROUP BY 1, 2",
+    ),
     "sparql_json": (sparql_json, """SELECT '{"r":{"type":"uri","value":"urn:data:region/' || r_regionkey || '"},"k":{"type":"typed-literal","value":"' || r_regionkey || '","datatype":"http://www.w3.org/2001/XMLSchema#integer"},"n":{"type":"literal","value":"' || r_name || '"}}' AS binding FROM region"""),
     "quad_text": (quad_text, f"SELECT 'tp_0' AS tp, 'urn:data:nation/' || n_nationkey AS s, '{_T}inRegion' AS p, 'urn:data:region/' || n_regionkey AS o FROM nation UNION SELECT 'tp_1', 'urn:data:region/' || r_regionkey, '{_T}r_name', r_name FROM region"),
     "turtle_round_trip": (

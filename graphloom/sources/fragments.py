@@ -18,12 +18,14 @@ from email.utils import parsedate_to_datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from graphloom.functions import terms as T
 from graphloom.functions.terms import Term, Var
 from graphloom.plans.agp import AGP, parse_agp
 from graphloom.plans.algebra import Call, Const, Expr, Ref
 from graphloom.sources import store
+from graphloom.streaming.runs import Runs
 
 QUAD = ST.StructType([ST.StructField("tp", ST.StringType()), ST.StructField("s", T.TERM), ST.StructField("p", ST.StringType()), ST.StructField("o", T.TERM)])
 LEAST_TTL, MOST_TTL = 1, 10_000_000
@@ -157,31 +159,89 @@ def _rename(said: str, names: dict[str, str]) -> str:
 
 
 class FragmentStream:
-    """Quads in order of arrival, each once."""
+    """Quads in order of arrival, each once; ``ts`` is the second of arrival.
+
+    ``put`` tells new quads from kept ones by lookups in runs of their hashes, so a batch reads what it
+    asks for and not the whole history.  ``append`` takes arrivals as they are.  Both are read by ``get`` (each quad
+    with its first arrival) and by ``tail``.
+    """
 
     SCHEMA = ST.StructType([*QUAD.fields, ST.StructField("ts", ST.LongType())])
 
     def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base
+        self.spark, self.base = spark, base.rstrip("/")
+        self._index = Runs(spark, f"{self.base}-index", "tp string, s_ string, p string, o_ string")
 
     def put(self, quads: DataFrame, ts: int) -> int:
-        """Append quads not yet there; how many were new."""
-        new = quads.select("tp", "s", "p", "o").distinct()
-        if store.exists(self.spark, self.base):
-            new = new.join(self.get().drop("ts"), ["tp", "s", "p", "o"], "left_anti")
-        new = store.checkpoint(new.withColumn("ts", F.lit(ts).cast("long")))
-        n = new.count()
+        """Append quads not yet there; how many were new.
+
+        Quads are written before their index: after a failure between the two they may stand
+        twice in the files, which no reader shows.
+        """
+        new = quads.select("tp", "s", "p", "o").distinct().withColumns({"s_": F.to_json("s"), "o_": F.to_json("o")})
+        new = new.withColumn("k", F.xxhash64("tp", "s_", "p", "o_")).persist()
+        runs, number = self._index.current(), self._index.last() + 1
+        same = ["k", "tp", "s_", "p", "o_"]
+        known = self._index.read(runs, new).select(*same)
+        on = [new[c].eqNullSafe(known[c]) for c in same[1:]]
+        fresh = new.join(known, [new["k"] == known["k"], *on], "left_anti").persist()
+        n = fresh.count()
         if n:
-            new.write.mode("append").parquet(self.base)
+            fresh.select("tp", "s", "p", "o", F.lit(ts).cast("long").alias("ts")).write.mode("append").parquet(self.base)
+            self._index.commit(number, [*runs, self._index.write(fresh.select(*same), n)])
+        new.unpersist(), fresh.unpersist()
         return n
 
+    def append(self, quads: DataFrame) -> None:
+        """Arrivals (tp, s, p, o, ts), repeats and all."""
+        quads.select("tp", "s", "p", "o", F.col("ts").cast("long").alias("ts")).write.mode("append").parquet(self.base)
+
     def get(self, until: int | None = None) -> DataFrame:
         df = self.spark.read.schema(self.SCHEMA).parquet(self.base)
+        df = df.groupBy("tp", "s", "p", "o").agg(F.min("ts").alias("ts"))
         return df if until is None else df.filter(F.col("ts") <= until).orderBy("ts")
 
-    def tail(self) -> DataFrame:
-        """A stream of all quads, those to come included."""
-        return self.spark.readStream.schema(self.SCHEMA).parquet(self.base)
+    def tail(self, after: int | None = None, ttl: int | None = None, late: int | None = None, files: int | None = None) -> DataFrame:
+        """A stream of quads as they arrive, those to come included.
+
+        With ``after``, what ``get(after)`` replays is not told again, nor are repeats of it that arrive
+        meanwhile.  A quad is told once, or with ``ttl`` (seconds) once more when it arrives over ``ttl`` after it
+        was last told; its state is dropped once all that may still come is later than that.  ``late``
+        (``ttl`` unless stated) is how far behind the newest arrival a quad may come; later ones are left out.
+        Quads are told apart by keyed state that survives restarts with the query's checkpoint.  Arrivals are
+        taken in the order of their files; ``files`` limits a trigger, so files of one append may come in any order.
+        """
+        stream = self.spark.readStream.schema(self.SCHEMA)
+        stream = (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(self.base)
+        rows = stream.select(F.to_json(F.struct("tp", "s", "p", "o")).alias("quad"), "ts", F.timestamp_seconds("ts").alias("at"))
+        if ttl is not None:
+            rows = rows.withWatermark("at", f"{ttl if late is None else late} seconds")
+        told = rows.groupBy("quad").applyInPandasWithState(
+            _teller(after, ttl), "quad string, ts long", "told long", "append", GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.EventTimeTimeout
+        )
+        return told.select(F.from_json("quad", QUAD).alias("q"), "ts").select("q.*", "ts")
+
+
+def _teller(after: int | None, ttl: int | None):
+    """Which arrivals of one quad are told, given when it was told last."""
+
+    def run(key, frames, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = (state.get[0] if state.exists else None), []
+        for t in sorted(int(t) for frame in frames for t in frame["ts"]):
+            if last is None or ttl is not None and t - last > ttl:
+                last = t
+                out.append(t)
+        state.update((last,))
+        if ttl is not None:
+            state.setTimeoutTimestamp(max((last + ttl) * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"quad": key[0], "ts": [t for t in out if after is None or t > after]}, columns=["quad", "ts"]).astype({"quad": "object", "ts": "int64"})
+
+    return run
 
 
 class ResourceCache:

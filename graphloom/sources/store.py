@@ -63,6 +63,17 @@ def children(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return sorted((s.getPath().getName(), s.getLen()) for s in found)
 
 
+def sizes(spark: SparkSession, path: str, before: str) -> dict[str, int]:
+    """Bytes of the files in each folder ``<before><name>`` below a path, by name."""
+    found, out = filesystem(spark, path).listFiles(_path(spark, path), True), {}
+    while found.hasNext():
+        f = found.next()
+        folder = f.getPath().getParent().getName()
+        if folder.startswith(before) and not f.getPath().getName().startswith(("_", ".")):
+            out[folder[len(before) :]] = out.get(folder[len(before) :], 0) + f.getLen()
+    return out
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write beside, then move into place in one step: a reader sees the old text or the new one."""
     part = f"{path}.{uuid.uuid4().hex}"

@@ -57,7 +57,11 @@ class TripleStore:
     def bgp(self, triples: tuple[Triple, ...], spark: SparkSession) -> S.Solutions:
         return S.join_all([self._scan(t) for t in sorted(triples, key=lambda t: sum(isinstance(x, Var) for x in t))], spark)
 
-    def _scan(self, t: Triple) -> S.Solutions:
+    def matching(self, t: Triple) -> DataFrame:
+        """The triples that a pattern's constants and repeated variables allow."""
+        return self._matched(t)[0]
+
+    def _matched(self, t: Triple) -> tuple[DataFrame, dict[str, tuple[Column, Kind]]]:
         df = self._rows()
         bound: dict[str, tuple[Column, Kind]] = {}
 
@@ -79,6 +83,10 @@ class TripleStore:
         meet(t.o, F.col("o"), V.TERM_KIND)
         if isinstance(self.graph, Var):
             meet(self.graph, F.col("g"), V.FULL_IRI)
+        return df, bound
+
+    def _scan(self, t: Triple) -> S.Solutions:
+        df, bound = self._matched(t)
         cols = [c.alias(S.column(n)) for n, (c, _) in bound.items()]
         # A graph is a set: a triple that stands in several graphs is one triple of their union.
         if not self.disjoint:
