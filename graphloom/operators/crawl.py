@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,11 @@ class Crawl:
     def __post_init__(self) -> None:
         self.base = self.base or f"{store.shared_dir(self.spark)}/crawl-{uuid.uuid4().hex}"
         self._n = 0
-        self.seen: DataFrame = self.spark.createDataFrame([], "uri string")
+
+    @property
+    def seen(self) -> DataFrame:
+        """The resources that were loaded."""
+        return self.spark.read.schema("uri string").parquet(f"{self.base}/seen") if self._n else self.spark.createDataFrame([], "uri string")
 
     def _triples(self) -> DataFrame:
         return self._rows().select("g", "s", "p", "o")
@@ -60,8 +65,8 @@ class Crawl:
         self.n_derefs += n
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dereference(new.repartition(min(parts, n)), self.loader, with_ttl=True).write.parquet(f"{self.base}/{self._n}")
+        new.write.mode("append").parquet(f"{self.base}/seen")
         self._n += 1
-        self.seen = store.checkpoint(self.seen.unionByName(new))
 
     def _follow(self, uris: DataFrame, prop: str) -> DataFrame:
         """Objects of the property, and subjects of its inverses."""
@@ -94,18 +99,22 @@ class Crawl:
         for _, prop in tree.steps:
             self._load(at)
             at = store.checkpoint(self._follow(at, prop))
-        for cycle in tree.cycles:
-            reached = frontier = store.checkpoint(at)
-            for done in count():
-                if done == self.most_rounds:
-                    raise RuntimeError(f"no end of the cycle after {done} rounds")
+        if not tree.cycles:
+            return at
+        # All cycles together: what one of them reaches, another may lead on from.
+        reached = frontier = store.checkpoint(at)
+        for done in count():
+            if done == self.most_rounds:
+                raise RuntimeError(f"no end of the cycles after {done} rounds")
+            ends = []
+            for cycle in tree.cycles:
                 step = frontier
                 for _, prop in cycle:
                     self._load(step)
                     step = store.checkpoint(self._follow(step, prop))
-                frontier = store.checkpoint(step.join(reached, "uri", "left_anti"))
-                if frontier.isEmpty():
-                    break
-                reached = store.checkpoint(reached.unionByName(frontier))
-            at = reached
-        return at
+                ends.append(step)
+            frontier = store.checkpoint(reduce(DataFrame.unionByName, ends).distinct().join(reached, "uri", "left_anti"))
+            if frontier.isEmpty():
+                return reached
+            both = reached.unionByName(frontier)
+            reached = store.checkpoint(both) if done % 8 == 7 else both

@@ -2,7 +2,8 @@
 
 What a crawler does one resource after the other is a chain of joins here: the
 seeds are a table, following a property is an equi-join with its pairs, and a
-cycle is a loop over the newly reached keys until there are none.
+cycle is a loop over the newly reached keys until there are none.  A long chain
+along functional properties is reached by pointer doubling, in as many rounds as its length has binary digits.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from graphloom.plans.planner import Plan, Space, Tree
 from graphloom.sources.store import checkpoint
 
 AT, TO = "at", "to"
+#: Rounds of a cycle before doubling is tried, and between two rewrites of what was reached.
+PATIENCE = 8
 
 
 def _one(s: Solutions, var: str, name: str) -> Solutions:
@@ -54,17 +57,33 @@ class Traversal:
         full = Solutions(df.select(F.col("k").alias(S.column(AT))), {AT: V.FULL_IRI})
         return full if isinstance(self.data, Mapping) else full.to({AT: V.TERM_KIND})
 
-    def follow(self, at: Solutions, prop: str) -> Solutions:
-        """What the property, or an inverse of it, leads to."""
+    def _ways(self, prop: str) -> list[Triple]:
+        """A property and the inverses of it that the data does not turn around by itself."""
         ways = [Triple(Var(AT), Iri(prop), Var(TO))]
         stored = getattr(self.data, "inverses", {})
         for q in sorted(self.vocab.facts.inverses(prop)):
             if stored.get(prop) != q and stored.get(q) != prop:
                 ways.append(Triple(Var(TO), Iri(q), Var(AT)))
-        found = [_one(S.semi(self.data.bgp((t,), self.spark), at), TO, AT) for t in ways]
+        return ways
+
+    def follow(self, at: Solutions, prop: str) -> Solutions:
+        """What the property, or an inverse of it, leads to."""
+        found = [_one(S.semi(self.data.bgp((t,), self.spark), at), TO, AT) for t in self._ways(prop)]
         found = [f for f in found if f.kinds]
         return reduce(S.union, found).distinct()
 
+    def _turn(self, props: list[str]) -> Solutions:
+        """(at, to) over the whole data: where following these properties leads from each resource."""
+        out = None
+        for p in props:
+            step = reduce(S.union, [self.data.bgp((t,), self.spark) for t in self._ways(p)])
+            if out is None:
+                out = step
+            else:
+                both = S.join(_renamed(out, {TO: "between"}), _renamed(step, {AT: "between"}))
+                out = Solutions(both.df.select(both.col(AT), both.col(TO)), {v: both.kinds[v] for v in (AT, TO)})
+        return out
+
     def reach(self, *trees: Tree) -> Solutions:
         """All resources in the place of a root, by trees that share it and its cycles."""
         found = []
@@ -83,10 +102,12 @@ class Traversal:
         More rounds than ``most_rounds``, where it is set, are an error.
         """
         seen = Solutions(checkpoint(at.df.distinct()), at.kinds)
-        frontier = seen
+        frontier, parts = seen, 1
         for done in count():
             if done == self.most_rounds:
                 raise RuntimeError(f"no end of the cycle after {done} rounds")
+            if done == PATIENCE and (pairs := self._functional(cycles, seen.kinds[AT])) is not None:
+                return self._doubled(seen, pairs)
             ends = []
             for props in cycles:
                 step = frontier
@@ -108,8 +129,36 @@ class Traversal:
             self.rounds.append(n)
             if not n:
                 return seen
-            frontier = Solutions(new, seen.kinds)
-            seen = Solutions(seen.df.unionByName(new), seen.kinds)  # of tables that are cut already; only the frontier is written
+            frontier, parts = Solutions(new, seen.kinds), parts + 1
+            both = seen.df.unionByName(new)  # of tables that are cut already; only the frontier is written
+            seen = Solutions(checkpoint(both) if parts % PATIENCE == 0 else both, seen.kinds)
+
+    def _functional(self, cycles: tuple[list[str], ...], kind: Kind) -> Solutions | None:
+        """One turn of any cycle as saved pairs, if every resource has one way on at most."""
+        pairs = reduce(S.union, [self._turn(props) for props in cycles])
+        if set(pairs.kinds) != {AT, TO}:
+            return None
+        kind = reduce(V.meet, (pairs.kinds[AT], pairs.kinds[TO], kind)).sure()
+        pairs = pairs.to({AT: kind, TO: kind})
+        pairs = Solutions(checkpoint(pairs.df.distinct()), pairs.kinds)
+        more = pairs.df.groupBy(S.column(AT)).count().filter("count > 1")
+        return pairs if more.isEmpty() else None
+
+    def _doubled(self, seen: Solutions, pairs: Solutions) -> Solutions:
+        """After k rounds the pairs lead 2^k turns on, and all within 2^k turns of the start is reached."""
+        a, b = S.column(AT), S.column(TO)
+        kind = pairs.kinds[AT]
+        reached, jump = checkpoint(seen.to({AT: kind}).df), pairs.df
+        while True:
+            step = jump.join(reached, a, "left_semi").select(F.col(b).alias(a))
+            new = checkpoint(step.join(reached, a, "left_anti").distinct())
+            n = new.count()
+            self.rounds.append(n)
+            if not n:
+                return Solutions(reached, {AT: kind})
+            reached = checkpoint(reached.unionByName(new))
+            on = jump.select(F.col(a).alias(b), F.col(b).alias("next"))
+            jump = checkpoint(jump.join(on, b).select(a, F.col("next").alias(b)))
 
     def roots(self, plan: Plan) -> dict[str, Solutions]:
         """Root variable → what is reached in its place; a plan without trees reaches nothing."""
@@ -135,10 +184,15 @@ class Traversal:
         subject stays if all its patterns have an answer and, where a pattern
         leads on, its object stays as well.
         """
-        parts = [q for space in plan.spaces for q in self._space(space, self.roots(plan), filters or [])]
+        roots = {v: self._saved(x) for v, x in self.roots(plan).items()}
+        parts = [q for space in plan.spaces for q in self._space(space, roots, filters or [])]
         return reduce(DataFrame.unionByName, parts).distinct()
 
+    def _saved(self, x: Solutions) -> Solutions:
+        return Solutions(checkpoint(x.df), x.kinds) if x.kinds else x
+
     def _space(self, space: Space, roots: dict[str, Solutions], filters: list[A.Expr]) -> list[DataFrame]:
+        """Each node's set is saved once on the way down and once on the way up, so no plan holds more than its own step."""
         from graphloom.plans.compiler import Compiler
 
         wire, names = space.agp.wire(), space.names
@@ -164,10 +218,9 @@ class Traversal:
             reached[x] = known
             order.append(x)
             for t, o in wire.get(x, []):
-                rows[t] = within(rows[t], x, known)
                 if o in wire and wire[o] and o not in reached and isinstance(o, Var):
                     tree[t] = o
-                    down(o, _one(rows[t], o.name, o.name))
+                    down(o, self._saved(_one(within(rows[t], x, known), o.name, o.name)))
 
         for root in space.agp.roots():
             if root not in reached:
@@ -180,11 +233,17 @@ class Traversal:
             for t in own:
                 if t in tree:
                     rows[t] = within(rows[t], tree[t], reached[tree[t]])
-            if isinstance(x, Var):
-                kept = reduce(lambda a, b: S.semi(a, b), [_one(rows[t], x.name, x.name) for t in own])
-                for t in own:
-                    rows[t] = within(rows[t], x, kept)
-                reached[x] = kept
+            if not isinstance(x, Var):
+                continue
+            stands = [within(rows[t], x, reached[x]) for t in own]
+            parent = x in tree.values()
+            if len(own) == 1 and not parent:
+                rows[own[0]] = stands[0]
+                continue
+            kept = self._saved(reduce(S.semi, [_one(r, x.name, x.name) for r in stands]))
+            for t in own:
+                rows[t] = within(rows[t], x, kept)
+            reached[x] = kept
         out = []
         for t, s in rows.items():
             side = lambda x, s=s: V.as_term(s.col(x.name), s.kinds[x.name]) if isinstance(x, Var) else _const(x)
@@ -193,6 +252,11 @@ class Traversal:
         return out
 
 
+def _renamed(x: Solutions, names: dict[str, str]) -> Solutions:
+    kinds = {names.get(v, v): k for v, k in x.kinds.items()}
+    return Solutions(x.df.select(*(x.col(v).alias(S.column(names.get(v, v))) for v in x.kinds)), kinds)
+
+
 def _const(x: Iri | Literal):
     from graphloom.functions.terms import lit
 

@@ -65,6 +65,15 @@ class BGP(Node):
     triples: tuple[Triple, ...] = ()
 
 
+@dataclass(frozen=True)
+class Path(Node):
+    """``way``: ("p", IRI), ("^", way), ("/" or "|", ways...), ("+", "*" or "?", way)."""
+
+    s: Term
+    way: tuple
+    o: Term
+
+
 @dataclass(frozen=True)
 class Join(Node):
     left: Node
@@ -180,6 +189,10 @@ def visible(n: Node) -> list[str]:
                 for x in t:
                     if isinstance(x, Var) and not x.name.startswith("_"):
                         out[x.name] = None
+        elif isinstance(n, Path):
+            for x in (n.s, n.o):
+                if isinstance(x, Var) and not x.name.startswith("_"):
+                    out[x.name] = None
         elif isinstance(n, (Join, LeftJoin, Union)):
             walk(n.left)
             walk(n.right)

@@ -21,6 +21,7 @@ from graphloom.functions import values as V
 from graphloom.functions.terms import BNode, Term, Var
 from graphloom.functions.values import Kind
 from graphloom.operators import solutions as S
+from graphloom.operators.closure import AT, TO, Paths, renamed, swapped
 from graphloom.operators.solutions import Solutions, column
 from graphloom.plans import algebra as A
 
@@ -58,6 +59,38 @@ class Compiler:
             self.memo[key] = self.data.bgp(n.triples, self.spark)
         return self.memo[key]
 
+    def n_path(self, n: A.Path, other: Solutions | None = None) -> Solutions:
+        """The pairs of a path, from the end that is a constant or that ``other`` binds."""
+        paths, names = Paths(self.spark, self.data), {AT: "_path_s", TO: "_path_o"}
+
+        def bound(x: Term) -> Solutions | None:
+            if not isinstance(x, Var):
+                if isinstance(x, BNode):
+                    return None
+                c, k = E.constant(x)
+                return self._like_data(Solutions(self.spark.range(1).select(c.alias(column(AT))), {AT: k.sure()}))
+            if other is None or x.name not in other.kinds or not other.kinds[x.name].certain:
+                return None
+            return Solutions(other.df.select(other.col(x.name).alias(column(AT))).distinct(), {AT: other.kinds[x.name]})
+
+        starts, ends = bound(n.s), bound(n.o)
+        if starts is None and ends is not None:
+            out = swapped(paths.pairs(("^", n.way) if n.way[0] not in "+*?" else (n.way[0], ("^", n.way[1])), ends))
+        else:
+            out = paths.pairs(n.way, starts)
+        out = renamed(out, names)
+        for x, name in ((n.s, names[AT]), (n.o, names[TO])):
+            if not isinstance(x, Var):
+                out = Solutions(out.df.filter(E.equal((out.col(name), out.kinds[name]), E.constant(x))), out.kinds)
+        if n.s == n.o:
+            out = Solutions(out.df.filter(V.as_term(out.col(names[AT]), out.kinds[names[AT]]) == V.as_term(out.col(names[TO]), out.kinds[names[TO]])), out.kinds)
+        return renamed(out, {name: x.name for x, name in ((n.s, names[AT]), (n.o, names[TO])) if isinstance(x, Var) and not (x == n.s and name == names[TO])})
+
+    def _like_data(self, s: Solutions) -> Solutions:
+        from graphloom.sources.mapping import Mapping
+
+        return s if isinstance(self.data, Mapping) else s.to({v: V.TERM_KIND for v in s.kinds})
+
     def n_graph(self, n: A.Graph) -> Solutions:
         return self.within(self.data.inside(n.name)).compile(n.part)
 
@@ -85,6 +118,9 @@ class Compiler:
     # Joins and sets
 
     def n_join(self, n: A.Join) -> Solutions:
+        if isinstance(n.right, A.Path):
+            left = self.compile(n.left)
+            return S.join(left, self.n_path(n.right, left))
         if not self.reference:
             for given, other in ((n.right, n.left), (n.left, n.right)):
                 if isinstance(given, A.Values) and len(parts := _by_bound(given)) > 1:

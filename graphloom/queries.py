@@ -586,6 +586,65 @@ _QUADS = "SELECT 'tp_0' AS tp, 'orders/' || o_orderkey AS s, 'customer/' || o_cu
 _T = "urn:tables#"
 _NATION_CONSTRUCT = f"SELECT '<urn:data:nation/' || n_nationkey || '>' AS s, '<{_T}inRegion>' AS p, '<urn:data:region/' || n_regionkey || '>' AS o FROM nation"
 
+_CLOSURES = {
+    "path_closure": (
+        'SELECT ?a ?b WHERE { ?a t:role "assistant" ; t:follows+ ?b }',
+        "WITH RECURSIVE r(a, c, t) AS (SELECT conv_id || '_' || turn, conv_id, turn - 1 FROM conversations WHERE role='assistant' AND turn>0 UNION SELECT r.a, x.conv_id, x.turn - 1 FROM r JOIN conversations x ON x.conv_id=r.c AND x.turn=r.t WHERE x.turn>0)"
+        " SELECT 'urn:data:conversations/' || a AS a, 'urn:data:conversations/' || c || '_' || t AS b FROM r",
+    ),
+    "path_closure_backward": (
+        "SELECT ?a ?b WHERE { ?a t:turn 1 . ?b t:follows* ?a }",
+        "WITH RECURSIVE r(a, c, t) AS (SELECT conv_id || '_' || turn, conv_id, turn FROM conversations WHERE turn=1 UNION SELECT r.a, x.conv_id, x.turn FROM r JOIN conversations x ON x.conv_id=r.c AND x.turn=r.t+1)"
+        " SELECT 'urn:data:conversations/' || a AS a, 'urn:data:conversations/' || c || '_' || t AS b FROM r",
+    ),
+    "path_alternatives": (
+        "SELECT ?k ?r WHERE { ?x t:c_custkey ?k ; t:c_acctbal ?v ; t:inNation/(t:inRegion?|^t:inNation/t:inNation) ?r FILTER(?v < -900) }",
+        "WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_acctbal < -900), o AS (SELECT k, 'urn:data:nation/' || n AS r FROM c UNION ALL SELECT k, 'urn:data:region/' || n_regionkey FROM c JOIN nation ON n_nationkey=n"
+        " UNION ALL SELECT k, 'urn:data:nation/' || n FROM c JOIN (SELECT c_nationkey AS m FROM customer UNION ALL SELECT s_nationkey FROM supplier) ON m=n) SELECT k, r FROM o",
+    ),
+    "predicates_of_tables": (
+        "SELECT ?p (COUNT(*) AS ?n) WHERE { ?s ?p ?o } GROUP BY ?p",
+        "SELECT p, sum(n)::BIGINT AS n FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{RDF_TYPE}' AS p, count(*) AS n FROM {table}"
+            + "".join(f" UNION ALL SELECT '{NS}{c}', count({c}) FROM {table}" for c in columns.split())
+            + "".join(f" UNION ALL SELECT '{NS}{link}', {'count(*) FILTER (turn > 0)' if link == 'follows' else f'count({key})'} FROM {table}" for link, (key, _) in links.items())
+            for table, _, columns, links in tables._CLASSES.values()
+        )
+        + ") GROUP BY p",
+    ),
+    "predicates_to_resource": (
+        "SELECT ?s ?p WHERE { ?s ?p <urn:data:nation/3> }",
+        f"SELECT 'urn:data:customer/' || c_custkey AS s, '{NS}inNation' AS p FROM customer WHERE c_nationkey=3 UNION ALL SELECT 'urn:data:supplier/' || s_suppkey, '{NS}inNation' FROM supplier WHERE s_nationkey=3",
+    ),
+    "predicates_to_value": (
+        'SELECT ?s ?p WHERE { ?s ?p "MACHINERY" }',
+        f"SELECT 'urn:data:customer/' || c_custkey AS s, '{NS}c_mktsegment' AS p FROM customer WHERE c_mktsegment='MACHINERY'",
+    ),
+    "predicates_of_subject": (
+        "SELECT ?k ?p ?o WHERE { ?n t:n_nationkey ?k ; ?p ?o FILTER(?k < 4) }",
+        f"SELECT n_nationkey::BIGINT AS k, unnest(['{RDF_TYPE}', '{NS}n_nationkey', '{NS}n_name', '{NS}inRegion']) AS p, unnest(['{NS}Nation', n_nationkey::VARCHAR, n_name, 'urn:data:region/' || n_regionkey]) AS o FROM nation WHERE n_nationkey<4",
+    ),
+}
+SPARQL |= _CLOSURES
+
+
+def reach_event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first event along the next one's id: one chain as long as the table."""
+    from graphloom.functions.values import Kind
+    from graphloom.operators.solutions import Solutions
+    from graphloom.operators.traversal import Traversal
+    from graphloom.operators.vocabulary import Vocabulary
+    from graphloom.sources.mapping import Mapping, TableClass
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    own = TableClass(NS + "Event", "events", "event_id", f"{DATA}events/", {}, {NS + "then": ("event_id + 1", NS + "Event")})
+    kind = Kind("iri", own.prefix, True, "bigint")
+    first = Solutions(events.agg(F.min("event_id").alias("v_at")), {"at": kind})
+    found = Traversal(spark, Mapping({own.iri: own}, lambda _: events), Vocabulary()).fixpoint(first, [NS + "then"])
+    return found.df.select(F.col("v_at").cast("long").alias("event_id"))
+
+
 MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "union_ref_dedup": (union_ref_dedup, "SELECT c_nationkey::BIGINT AS nk FROM customer WHERE c_acctbal>9800 UNION ALL SELECT s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal>9800)"),
     "agg_reference_empty": (agg_reference_empty, "SELECT NULL::VARCHAR AS n, NULL::BIGINT AS c"),
@@ -614,6 +673,10 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "reach_seed_region": (reach_seed_region, "SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey=2 AND c_mktsegment='BUILDING'"),
     "reach_seed_orders": (reach_seed_orders, "SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey=2"),
     "reach_fixpoint_turns": (reach_fixpoint_turns, "WITH RECURSIVE r(conv_id,turn) AS (SELECT conv_id, max(turn) FROM conversations GROUP BY 1 UNION SELECT c.conv_id, c.turn FROM r JOIN conversations c ON c.conv_id=r.conv_id AND c.turn=r.turn-1) SELECT conv_id AS conv, turn FROM r"),
+    "reach_event_chain": (
+        reach_event_chain,
+        "WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) + (SELECT min(event_id) FROM events) - 1 AS n FROM (SELECT DISTINCT event_id FROM events)) SELECT event_id FROM e WHERE event_id=n UNION ALL SELECT max(event_id) + 1 FROM e WHERE event_id=n",
+    ),
     "fragment_quads": (fragment_quads, _QUADS),
     "fragment_filtered": (fragment_filtered, "WITH x AS (SELECT * FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_totalprice>300000 AND c_acctbal<0), y AS (SELECT DISTINCT o_custkey FROM orders), z AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal<0 AND c_custkey IN (SELECT o_custkey FROM orders)) SELECT 'tp_0' AS tp, 'orders/' || o_orderkey AS s, 'customer/' || o_custkey AS o FROM x UNION SELECT 'tp_1', 'orders/' || o_orderkey, o_totalprice::VARCHAR FROM x UNION SELECT 'tp_2', 'customer/' || c_custkey, c_acctbal::VARCHAR FROM z"),
     "fragment_from_seed": (fragment_from_seed, _NATION),

@@ -84,6 +84,8 @@ class Session:
         """Basic graph patterns are answered with their roots restricted to what seeds reach."""
 
         def hook(compiler: Compiler, n: A.Node):
+            if isinstance(n, A.Path):
+                raise NotImplementedError("closures in the reachable scope")
             if not isinstance(n, A.BGP) or not n.triples:
                 return None
             plan = self.planner.plan(from_bgp(n), seeds)

@@ -66,10 +66,10 @@ class Mapping:
 
     def bgp(self, triples: tuple[Triple, ...], spark) -> S.Solutions:
         stars: dict[Term, list[Triple]] = {}
+        free = [t for t in triples if not isinstance(t.p, Iri)]
         for t in map(self.direct, triples):
-            if not isinstance(t.p, Iri):
-                raise NotImplementedError("mapped tables need a bound predicate; load triples for others")
-            stars.setdefault(t.s, []).append(t)
+            if isinstance(t.p, Iri):
+                stars.setdefault(t.s, []).append(t)
         options = {s: self._tables(s, own) for s, own in stars.items()}
         # A link's class says which tables its object can be in; to a fixed point.
         changed = True
@@ -77,7 +77,7 @@ class Mapping:
             changed = False
             for s, own in stars.items():
                 for t in own:
-                    if t.o not in stars or t.p.value == RDF_TYPE:
+                    if t.o not in stars or t.p.value == RDF_TYPE or isinstance(t.o, Literal):
                         continue
                     targets = {c.links[t.p.value][1] for c in options[s] if t.p.value in c.links}
                     allowed = {x.iri for iri in targets for x in [self.classes.get(iri), *(self.classes.get(b) for b in self.subclasses.get(iri, ()))] if x}
@@ -85,8 +85,65 @@ class Mapping:
                     changed |= len(kept) < len(options[t.o])
                     options[t.o] = kept
         scans = [self._star(s, own, options[s], spark) for s, own in stars.items()]
+        # Predicates to be found: one scan of each class that the subject can be of.
+        scans += [self._any(t, options.get(t.s, list(self.classes.values())), spark) for t in free]
         return S.join_all(scans, spark)
 
+    def _any(self, t: Triple, tables: list[TableClass], spark) -> S.Solutions:
+        """All properties of a subject, turned into rows; what is known of subject and object keeps classes, columns and rows out."""
+        parts = [p for c in tables if (p := self._unpivot(t, c)) is not None]
+        if parts:
+            return reduce(S.union, parts)
+        return S.nothing([x.name for x in dict.fromkeys(t) if isinstance(x, Var)], spark)
+
+    def _unpivot(self, t: Triple, c: TableClass) -> S.Solutions | None:
+        if isinstance(t.s, Literal) or isinstance(t.s, Iri) and not t.s.value.startswith(c.prefix):
+            return None
+        df, key = self.frame(c), Kind("iri", c.prefix, True, self.key_type(c))
+        types = dict(df.dtypes)
+        if isinstance(t.s, Iri):
+            df = df.filter(F.expr(c.key) == F.lit(t.s.value.removeprefix(c.prefix)).try_cast(key.key))
+        found: list[tuple[str, Column, Kind]] = [(RDF_TYPE, F.lit(c.iri), V.FULL_IRI)]
+        for p, n in c.properties.items():
+            kind = V.of_sql(types[n])
+            found.append((p, V.native(F.col(n), kind), kind))
+        for p, (k, target) in c.links.items():
+            to = self.classes.get(target)
+            found.append((p, F.expr(k), Kind("iri", to.prefix if to else f"{target}/", True, df.select(F.expr(k).alias("k")).schema[0].dataType.simpleString())))
+        if not isinstance(t.o, Var):
+            found = [f for f in found if f[0] != RDF_TYPE or t.o == Iri(c.iri)]
+            tests = [(p, col, kind, x) for p, col, kind in found if (x := self._constant(t.o, col, kind)) is not None]
+            if not tests:
+                return None
+            if all(p != RDF_TYPE for p, *_ in tests):
+                df = df.filter(reduce(lambda a, b: a | b, (x for *_, x in tests)))  # reaches the scan
+            pairs = [F.when(x, F.lit(p)) for p, _, _, x in tests]
+            rows = df.select(F.expr(c.key).alias("_s"), F.explode(F.array(*pairs)).alias("_p"), F.lit(None).cast("string").alias("_o")).filter("_p is not null")
+        else:
+            pairs = [F.struct(F.lit(p).alias("p"), V.as_term(col, kind).alias("o")) for p, col, kind in found]
+            rows = df.select(F.expr(c.key).alias("_s"), F.explode(F.array(*pairs)).alias("e")).select("_s", F.col("e.p").alias("_p"), F.col("e.o").alias("_o")).filter("_o.lex is not null")
+        bound: dict[str, tuple[Column, Kind]] = {}
+        for x, col, kind in ((t.s, F.col("_s"), key), (t.p, F.col("_p"), V.FULL_IRI), (t.o, F.col("_o"), V.TERM_KIND)):
+            if not isinstance(x, Var):
+                continue
+            if x.name in bound:
+                rows = rows.filter(V.as_term(*bound[x.name]) == V.as_term(col, kind))
+            else:
+                bound[x.name] = (col, kind)
+        return S.Solutions(rows.select(*(col.alias(S.column(n)) for n, (col, _) in bound.items())), {n: k for n, (_, k) in bound.items()})
+
+    @staticmethod
+    def _constant(x: Term, col: Column, kind: Kind) -> Column | None:
+        """Whether a column holds a constant, or None if its kind cannot."""
+        if kind.name == "iri":
+            if not isinstance(x, Iri) or not x.value.startswith(kind.prefix):
+                return None
+            return col == F.lit(x.value.removeprefix(kind.prefix)).try_cast(kind.key)
+        if not isinstance(x, Literal):
+            return None
+        want, other = E.constant(x)
+        return col == want if other.name == kind.name or {other.name, kind.name} == {"int", "double"} else None
+
     def _tables(self, s: Term, own: list[Triple]) -> list[TableClass]:
         found: list[TableClass] | None = None
         for t in own:

@@ -121,6 +121,7 @@ def test_cycles_have_no_bound_of_rounds(monkeypatch):
     monkeypatch.setattr(c, "_follow", lambda uris, prop: after(uris))
     assert c._reach(tree) == set(range(n + 1))
     t = traversal.Traversal(None, None, None)
+    monkeypatch.setattr(t, "_functional", lambda *_: None)  # doubling has a test of its own
     monkeypatch.setattr(t, "follow", lambda at, prop: Solutions(after(at.df), at.kinds))
     seeds = Solutions(Keys([0]), {"at": Kind("iri", "urn:")})
     assert t.fixpoint(seeds, ["p"]).df == set(range(n + 1))
