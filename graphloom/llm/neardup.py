@@ -56,8 +56,6 @@ SIMILAR = 75
 BROADCAST_IDS = 1_000_000
 
 _SIGNED = "doc_id long, body long, n_shingles long, fp_a long, fp_b long, sketch array<long>, bands array<long>"
-#: A class of equal sets goes by a document and a hash of its text, since one id may have several texts.
-_NODE = "struct<doc_id: bigint, body: bigint>"
 
 
 def _order(x: np.ndarray) -> np.ndarray:
@@ -144,7 +142,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     for batch in batches:
         sides, keep = [K.byte_view(batch.column(2)), K.byte_view(batch.column(3))], np.zeros(batch.num_rows, bool)
-        ids, sets = [[(*x.values(),) for x in batch.column(k).to_pylist()] for k in (0, 1)], ({}, {})
+        ids, sets = [batch.column(0).to_pylist(), batch.column(1).to_pylist()], ({}, {})
         for i in range(batch.num_rows):
             own = []
             for (data, offs), names, known in zip(sides, ids, sets, strict=True):
@@ -160,19 +158,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.tidy()
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The texts of these ids, saved; ids are broadcast only where few enough."""
-    ids = scratch.save(ids.distinct(), f"{name}-ids")
+def _texts_of(ids: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """A text of each of these classes (id, text), saved; ids are broadcast only where few enough."""
+    ids = scratch.save(classes.select("id", "doc_id", "body").join(ids.distinct(), "id"), f"{name}-ids")
     known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return scratch.save(texts.join(known, "id", "left_semi"), f"{name}-texts")
+    return scratch.save(texts.join(known, ["doc_id", "body"]).select("id", "text"), f"{name}-texts")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those (a, b) of a saved table whose texts' full sets are similar."""
-    own = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts, scratch, name)
+    own = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), classes, texts, scratch, name)
     first = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = scratch.save(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, f"a {_NODE}, b {_NODE}").distinct(), f"{name}-links")
+    found = scratch.save(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long").distinct(), f"{name}-links")
     scratch.drop(f"{name}-texts")
     scratch.drop(f"{name}-ids")
     return found
@@ -205,7 +203,7 @@ def _still_apart(placed: DataFrame, of: Callable[[str], DataFrame], classes: Dat
     meet = (left["key"] == right["key"]) & (left["row"] == right["row"]) & (left["col"] == right["col"])
     fits = meet & (F.col("c_a") != F.col("c_b")) & _close("a", "b")
     near = left.join(right, fits, "left_semi").select(F.col("a").alias("id"))
-    wide = _texts_of(near, texts, scratch, "wide").mapInArrow(_sign_long, f"id {_NODE}, wide array<long>")
+    wide = _texts_of(near, classes, texts, scratch, "wide").mapInArrow(_sign_long, "id long, wide array<long>")
     wide = scratch.save(wide.dropDuplicates(["id"]), "wide")
     more = wide.join(classes.select("id", "bands"), "id")
     left = left.join(more.select(F.col("id").alias("a"), F.col("wide").alias("w_a"), F.col("bands").alias("bands_a")), "a")
@@ -227,8 +225,10 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     signed = scratch.save(signatures(docs, id_col, text_col), "signed")
     same = ["n_shingles", "fp_a", "fp_b"]
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*same)
-    classes = scratch.save(classes.agg(F.min(F.struct("doc_id", "body")).alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
-    texts = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("body")).alias("id"), F.col(text_col).alias("text"))
+    # Once saved, a class goes by a number of its own, since one id may have several texts.
+    classes = classes.agg(F.min(F.struct("doc_id", "body")).alias("d"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("id"), *same, "d.doc_id", "d.body", "sketch", "bands"), "classes")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
     of = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
 
     # Classes that share a bucket, each with the smallest class of that bucket.
@@ -255,14 +255,16 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 pairs = _still_apart(placed.select("key", "size", "id", "c"), of, classes, texts, scratch).join(tried, ["a", "b"], "left_anti")
             pairs = scratch.save(pairs.select("a", "b"), f"tried-{step}")
             tried = tried.unionByName(pairs)
-        links = _confirmed(pairs, texts, scratch, f"check-{step}")
+        links = _confirmed(pairs, classes, texts, scratch, f"check-{step}")
         if found is None or not links.isEmpty():
             star = links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
             found = scratch.save(components(star, scratch, f"fold-{step}"), f"components-{step}")
     scratch.drop("crowd")
 
-    placed = classes.select(*same, "id").join(found.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select(*same, F.coalesce("component", "id")["doc_id"].alias("component_id"))
+    own = classes.select("id", "doc_id").join(found.withColumnRenamed("node", "id"), "id")
+    least = own.groupBy("component").agg(F.min("doc_id").alias("least"))
+    placed = classes.select(*same, "id", "doc_id").join(own.join(least, "component").select("id", "least"), "id", "left")
+    placed = placed.select(*same, F.coalesce("least", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "body", *same).join(placed, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "body", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
