@@ -113,7 +113,7 @@ def join(a: Solutions, b: Solutions, reference: bool = False) -> Solutions:
     a, b, shared = _meet(a, b)
     unsure = [v for v in shared if not (a.kinds[v].certain and b.kinds[v].certain)]
     if unsure and len(unsure) == len(shared):
-        return _split(a, b, unsure[0])
+        return _by_masks(a, b, shared)
     on = compatible(a, b, shared) if shared else None
     df = a.df.join(_right(b, shared), on, "inner") if shared else a.df.crossJoin(b.df)
     return _out(df, merged(a, b, shared))
@@ -140,15 +140,40 @@ def _unsure(a: Solutions, b: Solutions, shared: list[str]) -> str | None:
     return max(shared, key=lambda v: (a.kinds[v].certain + b.kinds[v].certain, -shared.index(v)))
 
 
-def _split(a: Solutions, b: Solutions, v: str) -> Solutions:
-    """No shared variable is certain: cut both sides by whether one is bound, so that bound rows meet by an equi-join."""
-    parts = [join(_bound(a, v), _bound(b, v))]
-    ua, ub = _unbound(a, v), _unbound(b, v)
-    if ua is not None:
-        parts.append(join(ua, b))
-    if ub is not None:
-        parts.append(join(_bound(a, v), ub))
-    return reduce(union, parts)
+def _by_masks(a: Solutions, b: Solutions, shared: list[str]) -> Solutions:
+    """No shared variable is certain on both sides: rows meet by which shared variables each binds.
+
+    A row is repeated for each set of variables that the other side can bind, with the values that both
+    then have as its key; one equi-join does the rest, and each side is read once.
+    """
+
+    def masks(x: Solutions) -> list[int]:
+        out = [0]
+        for i, v in enumerate(shared):
+            out = [m | 1 << i for m in out] if x.kinds[v].certain else [y for m in out for y in (m, m | 1 << i)]
+        return out
+
+    def keyed(x: Solutions, own: str, other: str, others: list[int], name: Callable[[str], str]) -> DataFrame:
+        bound = reduce(lambda p, q: p + q, (F.when(x.col(v).isNotNull(), F.lit(1 << i)).otherwise(0) for i, v in enumerate(shared)))
+        df = x.df.withColumn(own, bound).withColumn(other, F.explode(F.array(*map(F.lit, others))))
+        both = F.col(own).bitwiseAND(F.col(other))
+        df = df.withColumns({f"{name('key')}{i}": F.when(both.bitwiseAND(F.lit(1 << i)) > 0, x.col(v)) for i, v in enumerate(shared)})
+        return df.withColumnsRenamed({column(v): name(column(v)) for v in shared})
+
+    left = keyed(a, "m_a", "m_b", masks(b), lambda c: c if c != "key" else "k_a")
+    right = keyed(b, "n_b", "n_a", masks(a), lambda c: f"r_{c}" if c != "key" else "k_b")
+    on = (F.col("m_a") == F.col("n_a")) & (F.col("m_b") == F.col("n_b"))
+    for i in range(len(shared)):
+        on = on & F.col(f"k_a{i}").eqNullSafe(F.col(f"k_b{i}"))
+    df = left.join(right, on)
+    values = {}
+    for v in [*a.kinds, *(v for v in b.kinds if v not in a.kinds)]:
+        c = F.col(f"`{column(v)}`")
+        k = a.kinds.get(v) or b.kinds[v]
+        if v in shared and not a.kinds[v].certain:
+            c, k = F.coalesce(c, F.col(f"`r_{column(v)}`")), (k.sure() if b.kinds[v].certain else k)
+        values[v] = (c, k)
+    return _out(df, values)
 
 
 def left_join(a: Solutions, b: Solutions, condition=None) -> Solutions:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import values as V
-from graphloom.functions.terms import Iri, Literal, Term, Var
+from graphloom.functions.terms import RDF_TYPE, Iri, Literal, Term, Var
 from graphloom.functions.values import Kind
 from graphloom.operators import solutions as S
 from graphloom.operators.solutions import Solutions
@@ -84,17 +84,44 @@ class Traversal:
                 out = Solutions(both.df.select(both.col(AT), both.col(TO)), {v: both.kinds[v] for v in (AT, TO)})
         return out
 
-    def reach(self, *trees: Tree) -> Solutions:
-        """All resources in the place of a root, by trees that share it and its cycles."""
+    def gate(self, at: Solutions, types: frozenset[str]) -> Solutions:
+        """Those that can be of one of these classes.
+
+        Over tables a resource's IRI tells its class.  Over triples its types do, subclasses and superclasses fitting; a
+        resource without any type passes.
+        """
+        from graphloom.sources.mapping import Mapping
+
+        if not types:
+            return at
+        wide = types | {s for t in types for s in self.vocab.facts.subtypes(t)}
+        kind = at.kinds[AT]
+        if isinstance(self.data, Mapping):
+            prefixes = sorted({c.prefix for c in self.data.classes.values() if c.iri in wide})
+            if not prefixes or kind.name != "iri":
+                return at
+            if kind.prefix:
+                return at if kind.prefix in prefixes else Solutions(at.df.filter(F.lit(False)), at.kinds)
+            return Solutions(at.df.filter(reduce(lambda a, b: a | b, (F.startswith(at.col(AT), F.lit(p)) for p in prefixes))), at.kinds)
+        wide |= {s for t in types for s in self.vocab.facts.supertypes(t)}
+        typed = self.data.bgp((Triple(Var(AT), Iri(RDF_TYPE), Var(TO)),), self.spark)
+        fits = Solutions(typed.df.filter(V.as_term(typed.col(TO), typed.kinds[TO])["lex"].isin(*sorted(wide))), typed.kinds)
+        return S.union(S.semi(at, _one(fits, AT, AT)), S.semi(at, _one(typed, AT, AT), anti=True))
+
+    def reach(self, *trees: Tree, types: frozenset[str] = frozenset()) -> Solutions:
+        """All resources in the place of a root, by trees that share it and its cycles.
+
+        On the way only resources of the class that a step expects are followed; ``types`` are the root's own.
+        """
         found = []
         for tree in trees:
             at = self.seeds(tree)
-            for _, prop in tree.steps:
-                at = self.follow(at, prop)
+            for expected, prop in tree.steps:
+                at = self.follow(self.gate(at, frozenset((expected,))), prop)
             found.append(at)
         at = reduce(S.union, found)
         cycles = trees[0].cycles
-        return (self.fixpoint(at, *([p for _, p in c] for c in cycles)) if cycles else at).distinct()
+        return self.gate(self.fixpoint(at, *([p for _, p in c] for c in cycles)) if cycles else at, types).distinct()
 
     def fixpoint(self, at: Solutions, *cycles: list[str]) -> Solutions:
         """Follow each list of properties until nothing new is reached; each round is one job that cuts the lineage.
@@ -171,7 +198,7 @@ class Traversal:
                 for t in space.trees:
                     if t.root == root:
                         groups.setdefault(t.cycles, []).append(t)
-                found = [_one(self.reach(*g), AT, root.name) for g in groups.values()]
+                found = [_one(self.reach(*g, types=space.types.get(root, frozenset())), AT, root.name) for g in groups.values()]
                 out[root.name] = reduce(S.union, found).distinct() if found else S.nothing([root.name], self.spark)
         return out
 

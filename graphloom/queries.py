@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import tables
 from graphloom.linked_queries import QUERIES as LINKED
+from graphloom.functions import values as V
 from graphloom.functions.terms import RDF_TYPE, XSD, Literal, n3
 from graphloom.tables import DATA, NS
 
@@ -457,6 +459,25 @@ def reach_fixpoint_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.df.select(part[0].cast("long").alias("conv"), part[1].cast("long").alias("turn"))
 
 
+def reach_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parties of one region's nations where a pattern expects customers; suppliers stand in the same place."""
+    from graphloom.operators.traversal import Traversal
+
+    s = tables.session(spark, sf_dir, {"Region": [f"{DATA}region/2"]})
+    space = s.search_plan("SELECT * WHERE { ?c t:inNation ?n ; t:c_acctbal ?b }")[0].spaces[0]
+    trees = [replace(t, cycles=()) for t in space.trees if [p for _, p in t.steps] == [NS + "hasNation", NS + "hasParty"]]
+    found = Traversal(spark, s.data, s.vocab).reach(*trees, types=space.types[trees[0].root])
+    return found.df.select(F.replace(V.lexical(found.col("at"), found.kinds["at"]), F.lit(DATA), F.lit("")).alias("c"))
+
+
+def fragment_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one pattern collected answers another one, which no seed reaches by itself."""
+    s = tables.session(spark, sf_dir, {"Label": [f"{DATA}labels/1"]})
+    query = """SELECT ?x (xsd:double(?b) AS ?bal) ?w WHERE {
+      { <urn:data:region/2> t:hasNation ?n . ?n t:hasParty ?c . ?c t:c_name ?x ; t:c_acctbal ?b BIND("own" AS ?w) } UNION { ?d t:c_acctbal ?b ; t:c_name ?x BIND("collected" AS ?w) } }"""
+    return s.sparql(query, scope="fragment")
+
+
 _FRAGMENT = '{ ?o t:placedBy ?c . ?c t:c_mktsegment "BUILDING" }'
 
 
@@ -677,6 +698,11 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         reach_event_chain,
         "WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) + (SELECT min(event_id) FROM events) - 1 AS n FROM (SELECT DISTINCT event_id FROM events)) SELECT event_id FROM e WHERE event_id=n UNION ALL SELECT max(event_id) + 1 FROM e WHERE event_id=n",
     ),
+    "reach_customers": (reach_customers, "SELECT 'customer/' || c_custkey AS c FROM customer JOIN nation ON n_nationkey=c_nationkey WHERE n_regionkey=2"),
+    "fragment_answers": (
+        fragment_answers,
+        "SELECT c_name AS x, c_acctbal AS bal, unnest(['own', 'collected']) AS w FROM customer JOIN nation ON n_nationkey=c_nationkey WHERE n_regionkey=2",
+    ),
     "fragment_quads": (fragment_quads, _QUADS),
     "fragment_filtered": (fragment_filtered, "WITH x AS (SELECT * FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_totalprice>300000 AND c_acctbal<0), y AS (SELECT DISTINCT o_custkey FROM orders), z AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal<0 AND c_custkey IN (SELECT o_custkey FROM orders)) SELECT 'tp_0' AS tp, 'orders/' || o_orderkey AS s, 'customer/' || o_custkey AS o FROM x UNION SELECT 'tp_1', 'orders/' || o_orderkey, o_totalprice::VARCHAR FROM x UNION SELECT 'tp_2', 'customer/' || c_custkey, c_acctbal::VARCHAR FROM z"),
     "fragment_from_seed": (fragment_from_seed, _NATION),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,10 @@ from graphloom.plans.compiler import Compiler, Hook
 from graphloom.plans.parser import parse
 from graphloom.plans.planner import Plan, Planner
 from graphloom.sources.dereference import Loader, dereference
-from graphloom.sources.fragments import FragmentCache
+from graphloom.sources.fragments import FragmentCache, say
 from graphloom.sources.mapping import Mapping
-from graphloom.sources.triples import TripleStore
+from graphloom.sources.store import checkpoint
+from graphloom.sources.triples import SCHEMA, TripleStore
 
 
 @dataclass
@@ -35,6 +37,7 @@ class Session:
     hooks: dict[str, Hook] = field(default_factory=dict)
     cache: FragmentCache | None = None
     loader: Loader | None = None  # for FROM and FROM NAMED: graphs that the store does not have
+    _memo: dict[tuple, DataFrame] = field(default_factory=dict)  # collected fragments
 
     @contextmanager
     def cancellable(self, tag: str):
@@ -59,8 +62,9 @@ class Session:
         """The answer as a DataFrame.
 
         ``scope="reachable"`` keeps only what is reached from the registered
-        seeds, or from ``seeds`` (class → IRIs).  ``bindings`` are variables with
-        a value given beforehand.
+        seeds, or from ``seeds`` (class → IRIs).  ``scope="fragment"`` first collects what the
+        query's patterns reach from them, then answers over all that was collected as one graph, so that what one pattern
+        reached can serve another.  ``bindings`` are variables with a value given beforehand.
         """
         q = self.parse(text)
         if bindings:
@@ -73,13 +77,33 @@ class Session:
                 missing = wanted.join(data.df.select(F.col("g").alias("uri")).distinct(), "uri", "left_anti")
                 data = TripleStore(data.df.unionByName(dereference(missing, self.loader)))
             data = data.with_graphs(q.default_graphs, q.named_graphs)
+        if scope == "fragment":
+            data = TripleStore(self._collected(q, seeds).withColumn("g", F.lit(None).cast("string")), disjoint=True)
         compiler = Compiler(self.spark, data, semantics, self.functions, self.hooks)
         if scope == "reachable":
             compiler.hooks = {**compiler.hooks, "reachable": self._reachable(seeds)}
-        elif scope != "dataset":
+        elif scope not in ("dataset", "fragment"):
             raise ValueError(scope)
         return {"select": compiler.select, "ask": compiler.ask, "construct": compiler.construct}[q.form](q)
 
+    def _collected(self, q: A.Query, seeds: dict[str, list[str]] | None) -> DataFrame:
+        """(s, p, o): the fragments of all patterns of a query as one set; equal ones up to names are collected once a session."""
+        parts, digest = [], self._digest(seeds)
+        for bgp, filters in A.bgps(q.part):
+            agp = from_bgp(bgp)
+            text, names = agp.canonical()
+            key = (text, tuple(sorted(say(f, {v.name: n for v, n in names.items()}) for f in filters)), digest, id(self.data))
+            if key not in self._memo:
+                quads = Traversal(self.spark, self.data, self.vocab).quads(self.planner.plan(agp, seeds), filters)
+                self._memo[key] = checkpoint(quads.select("s", "p", "o").distinct())
+            parts.append(self._memo[key])
+        if not parts:
+            return self.spark.createDataFrame([], SCHEMA).select("s", "p", "o")
+        return reduce(DataFrame.unionByName, parts).distinct()
+
+    def _digest(self, seeds: dict[str, list[str]] | None) -> str:
+        return self.vocab.digest(sorted(self.vocab.seeds.types())) if seeds is None else repr(sorted((t, sorted(u)) for t, u in seeds.items()))
+
     def _reachable(self, seeds: dict[str, list[str]] | None) -> Hook:
         """Basic graph patterns are answered with their roots restricted to what seeds reach."""
 
@@ -108,7 +132,7 @@ class Session:
     def fragment_quads(self, text: str, seeds: dict[str, list[str]] | None = None) -> DataFrame:
         """(tp, s, p, o): every triple that takes part in a match reached from the seeds, with its pattern."""
         # A kept fragment is stale when the seeds of any class have changed; seeds given here are a case of their own.
-        digest = self.vocab.digest(sorted(self.vocab.seeds.types())) if seeds is None else repr(sorted((t, sorted(u)) for t, u in seeds.items()))
+        digest = self._digest(seeds)
         parts = []
         for agp, filters in self.agps(text):
             make = lambda agp=agp, filters=filters: Traversal(self.spark, self.data, self.vocab).quads(self.planner.plan(agp, seeds), filters)
