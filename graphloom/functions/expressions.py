@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from graphloom.functions.terms import XSD, Iri, Literal
 from graphloom.functions.values import Kind
 from graphloom.plans.algebra import Call, Const, Exists, Expr, Ref
 
-BOOL, STR, INT, DOUBLE, TIME = (Kind(n) for n in ("bool", "str", "int", "double", "time"))
+BOOL, STR, INT, DEC, DOUBLE, TIME = (Kind(n) for n in ("bool", "str", "int", "dec", "double", "time"))
 Value = tuple[Column, Kind]
 
 
@@ -24,18 +25,52 @@ def constant(t: Iri | Literal) -> Value:
         return T.lit(t), V.TERM_KIND
     if t.dt in (XSD + "dateTime", XSD + "date"):
         return F.lit(t.lex).try_cast("timestamp"), TIME
+    if t.dt == XSD + "decimal" and (exact := decimal(t.lex)) is not None:
+        return F.lit(exact).cast(V.DECIMAL), DEC
     v = t.native()
     kind = BOOL if t.dt == XSD + "boolean" else STR if t.dt in (None, XSD + "string") else INT if isinstance(v, int) else DOUBLE
     return F.lit(v).cast(V.NATIVE[kind.name]), kind
 
 
+def decimal(text: str) -> Decimal | None:
+    """An exact value that decimal columns can hold."""
+    try:
+        d = Decimal(text)
+    except InvalidOperation:
+        return None
+    if not d.is_finite():
+        return None
+    _, digits, exponent = d.as_tuple()
+    return d if -exponent <= 18 and len(digits) + exponent <= 19 else None
+
+
+def plus(x: Column, y: Column, name: str) -> Column:
+    """Exact sums, differences and products; null beyond the digits that fit."""
+    x, y = x.cast(V.DECIMAL), y.cast(V.DECIMAL)
+    if name != "*":
+        return (F.try_add if name == "+" else F.try_subtract)(x, y).try_cast(V.DECIMAL)
+    # Factors of few digits, whose exact product has 18 digits after the point.
+    out = F.lit(None).cast(V.DECIMAL)
+    for left, right in (("decimal(27,18)", "decimal(10,0)"), ("decimal(10,0)", "decimal(27,18)"), ("decimal(19,9)", "decimal(18,9)")):
+        a, b = x.try_cast(left), y.try_cast(right)
+        out = F.coalesce(out, F.when((a == x) & (b == y), F.try_multiply(a, b).try_cast(V.DECIMAL)))
+    return F.coalesce(out, F.try_multiply(x, y).try_cast(V.DECIMAL))
+
+
+def ratio(x: Column, y: Column) -> Column:
+    """A quotient to 18 digits after the point, as far as both have nine at most; else to six."""
+    x, y = x.cast(V.DECIMAL), y.cast(V.DECIMAL)
+    a, b = x.try_cast("decimal(20,9)"), y.try_cast("decimal(19,9)")
+    return F.when((a == x) & (b == y), F.try_divide(a, b).try_cast(V.DECIMAL)).otherwise(F.try_divide(x, y).try_cast(V.DECIMAL))
+
+
 def ebv(c: Column, k: Kind) -> Column:
     """Effective boolean value; null if there is none."""
     if k.name == "bool":
         return c
     if k.name == "str":
         return F.length(c) > 0
-    if k.name in ("int", "double"):
+    if k.name in V.NUMBERS:
         return (c != 0) & ~F.isnan(c.cast("double"))
     if k.name == "term":
         number = V.numeric(c, k)
@@ -70,7 +105,7 @@ def _time(v: Value) -> Column:
 
 def equal(a: Value, b: Value) -> Column:
     (x, p), (y, q) = a, b
-    numbers = {"int", "double"}
+    numbers = set(V.NUMBERS)
     if p.name in numbers and q.name in numbers or p.like(q) and p.name != "term":
         return x == y
     if p.name == q.name == "iri":
@@ -87,7 +122,7 @@ def less(a: Value, b: Value, strict: bool) -> Column:
     """a < b or a <= b; null between values that have no order."""
     op: Callable[[Column, Column], Column] = (lambda x, y: x < y) if strict else (lambda x, y: x <= y)
     (x, p), (y, q) = a, b
-    numbers = {"int", "double"}
+    numbers = set(V.NUMBERS)
     if p.name in numbers and q.name in numbers or p.name == q.name and p.name in ("str", "bool", "time"):
         return op(x, y)
     if "term" in (p.name, q.name):
@@ -150,14 +185,16 @@ class Expressions:
             return V.as_term(*v[0]) == V.as_term(*v[1]), BOOL
         if name in ("+", "-", "*", "/"):
             x, y = V.numeric(*v[0]), V.numeric(*v[1])
-            whole = v[0][1].name == v[1][1].name == "int"
+            kinds = {v[0][1].name, v[1][1].name}
             if name == "/":
-                return F.try_divide(x.cast("double"), y.cast("double")), DOUBLE
+                return (ratio(x, y), DEC) if kinds <= {"int", "dec"} else (F.try_divide(x.cast("double"), y.cast("double")), DOUBLE)
+            if "dec" in kinds and kinds <= {"int", "dec"}:
+                return plus(x, y, name), DEC
             op = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[name]
-            return (op(x, y), INT) if whole else (op(x.cast("double"), y.cast("double")), DOUBLE)
+            return (op(x, y), INT) if kinds == {"int"} else (op(x.cast("double"), y.cast("double")), DOUBLE)
         if name == "neg":
             x = V.numeric(*v[0])
-            return -x, INT if v[0][1].name == "int" else DOUBLE
+            return (-x).cast(V.NATIVE[v[0][1].name]) if v[0][1].name == "dec" else -x, {"int": INT, "dec": DEC}.get(v[0][1].name, DOUBLE)
         if name in self.functions:
             return self.functions[name](*(V.lexical(c, k) if k.name in ("term", "iri") else c for c, k in v)), STR
         found = getattr(self, "f_" + name.lower(), None) if ":" not in name else None
@@ -185,10 +222,12 @@ class Expressions:
         if name == "boolean":
             number = V.numeric(c, k)
             return (c if k.name == "bool" else F.when(text.isin("true", "1"), F.lit(True)).when(text.isin("false", "0"), F.lit(False)).otherwise(number != 0)), BOOL
-        if name in ("double", "float", "decimal"):
-            return (c.cast("double") if k.name in ("int", "double", "bool") else text.try_cast("double")), DOUBLE
+        if name == "decimal":  # a double by its shortest text, so 0.1 is a tenth
+            return (c.cast("int") if k.name == "bool" else c if k.name in ("int", "dec") else F.trim(text)).try_cast(V.DECIMAL), DEC
+        if name in ("double", "float"):
+            return (c.cast("double") if k.name in ("int", "dec", "double", "bool") else text.try_cast("double")), DOUBLE
         if name in ("integer", "int", "long"):
-            if k.name in ("int", "double", "bool"):
+            if k.name in ("int", "dec", "double", "bool"):
                 return (c.cast("int") if k.name == "bool" else c).try_cast("bigint"), INT
             return F.when(F.trim(text).rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint")), INT
         if name in ("dateTime", "date"):
@@ -213,7 +252,7 @@ class Expressions:
 
     def f_isnumeric(self, v: Value) -> Value:
         c, k = v
-        return (V.numeric(c, k).isNotNull() & c.isNotNull() if k.name == "term" else F.when(c.isNotNull(), F.lit(k.name in ("int", "double")))), BOOL
+        return (V.numeric(c, k).isNotNull() & c.isNotNull() if k.name == "term" else F.when(c.isNotNull(), F.lit(k.name in V.NUMBERS))), BOOL
 
     def f_str(self, v: Value) -> Value:
         return V.lexical(*v), STR
@@ -306,6 +345,8 @@ class Expressions:
 
     def _keep(self, v: Value, f: Callable[[Column], Column]) -> Value:
         x = V.numeric(*v)
+        if v[1].name == "dec":
+            return f(x).try_cast(V.DECIMAL), DEC
         return (f(x).cast("bigint"), INT) if v[1].name == "int" else (f(x).cast("double"), DOUBLE)
 
     def f_abs(self, v: Value) -> Value:
@@ -318,7 +359,8 @@ class Expressions:
         return self._keep(v, F.floor)
 
     def f_round(self, v: Value) -> Value:
-        return self._keep(v, lambda x: F.floor(x + 0.5))
+        half = F.lit(Decimal("0.5")) if v[1].name == "dec" else 0.5
+        return self._keep(v, lambda x: F.floor(x + half))
 
     def f_rand(self) -> Value:
         return F.rand(), DOUBLE

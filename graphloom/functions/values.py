@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from graphloom.functions import terms as T
 from graphloom.functions.terms import XSD
 
-NATIVE = {"str": "string", "int": "bigint", "double": "double", "bool": "boolean", "time": "timestamp"}
-DATATYPE = {"str": XSD + "string", "int": XSD + "integer", "double": XSD + "double", "bool": XSD + "boolean", "time": XSD + "dateTime"}
+#: Exact decimals have 19 digits before the point and 18 after it; what does not fit is an error, or a double where a literal or column says so.
+DECIMAL = "decimal(37,18)"
+NATIVE = {"str": "string", "int": "bigint", "dec": DECIMAL, "double": "double", "bool": "boolean", "time": "timestamp"}
+NUMBERS = ("int", "dec", "double")
+DATATYPE = {"str": XSD + "string", "int": XSD + "integer", "dec": XSD + "decimal", "double": XSD + "double", "bool": XSD + "boolean", "time": XSD + "dateTime"}
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,10 @@ def of_sql(sql: str) -> Kind:
     """The kind of a table's column type."""
     if sql in ("tinyint", "smallint", "int", "bigint"):
         return Kind("int")
-    if sql in ("float", "double") or sql.startswith("decimal"):
+    if sql.startswith("decimal"):
+        p, d = map(int, sql[8:-1].split(","))
+        return Kind("dec" if d <= 18 and p - d <= 19 else "double")
+    if sql in ("float", "double"):
         return Kind("double")
     return Kind({"boolean": "bool", "timestamp": "time", "timestamp_ntz": "time", "date": "time"}.get(sql, "str"))
 
@@ -72,6 +78,8 @@ def lexical(c: Column, kind: Kind) -> Column:
         return iri_text(c, kind)
     if kind.name == "time":
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    if kind.name == "dec":
+        return F.regexp_replace(c.cast(DECIMAL).cast("string"), r"\.?0+$", "")
     return c.cast("string")
 
 
@@ -85,7 +93,7 @@ def as_term(c: Column, kind: Kind) -> Column:
 
 def numeric(c: Column, kind: Kind) -> Column:
     """A number, or null where the value is none."""
-    if kind.name in ("int", "double"):
+    if kind.name in NUMBERS:
         return c
     if kind.name == "term":
         return F.when(c["dt"].isin(*T.NUMERIC), c["lex"].try_cast("double"))
@@ -98,8 +106,8 @@ def meet(a: Kind, b: Kind) -> Kind:
         return a
     if a.name == b.name == "iri":
         return FULL_IRI if a.prefix != b.prefix else replace(a, key="string")
-    if {a.name, b.name} == {"int", "double"}:
-        return Kind("double")
+    if a.name in NUMBERS and b.name in NUMBERS:
+        return Kind(max(a.name, b.name, key=NUMBERS.index))
     return TERM_KIND
 
 

@@ -10,6 +10,7 @@ empty row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,7 @@ class Compiler:
             raise ValueError(semantics)
         self.spark, self.data, self.reference = spark, data, semantics == "reference"
         self.functions, self.hooks = functions or {}, hooks or {}
+        self.decimals = False  # whether results show decimals as they are
         self.memo: dict[tuple, Solutions] = {}
 
     def within(self, data) -> Compiler:
@@ -105,10 +107,10 @@ class Compiler:
             found = [E.constant(t)[1] if not isinstance(t, BNode) else V.TERM_KIND for t in own]
             kind = reduce(V.meet, found) if found else V.TERM_KIND
             kinds[v] = kind if len(own) == len(n.rows) and own else kind.maybe()
-            columns.append([None if t is None else T.row(t) if kind.name == "term" else t.value if kind.name == "iri" else t.lex if kind.name == "time" else t.native() for t in (r[i] for r in n.rows)])
+            columns.append([None if t is None else T.row(t) if kind.name == "term" else t.value if kind.name == "iri" else t.lex if kind.name == "time" else Decimal(t.lex) if kind.name == "dec" else t.native() for t in (r[i] for r in n.rows)])
         from pyspark.sql import types as ST
 
-        raw = [ST.StringType() if kinds[v].name in ("iri", "time") else T.TERM if kinds[v].name == "term" else {"str": ST.StringType(), "int": ST.LongType(), "double": ST.DoubleType(), "bool": ST.BooleanType()}[kinds[v].name] for v in n.vars]
+        raw = [ST.StringType() if kinds[v].name in ("iri", "time") else T.TERM if kinds[v].name == "term" else {"str": ST.StringType(), "int": ST.LongType(), "double": ST.DoubleType(), "dec": ST.DecimalType(37, 18), "bool": ST.BooleanType()}[kinds[v].name] for v in n.vars]
         schema = ST.StructType([ST.StructField(column(v), t) for v, t in zip(n.vars, raw, strict=True)])
         rows = [tuple(float(c[i]) if kinds[v].name == "double" and c[i] is not None else c[i] for v, c in zip(n.vars, columns, strict=True)) for i in range(len(n.rows))]
         df = self.spark.createDataFrame(rows, schema)
@@ -224,14 +226,20 @@ class Compiler:
         c, k = ex.value(a.arg)
         if a.name in ("SUM", "AVG"):
             x = V.numeric(c, k)
-            whole = k.name == "int"
             # One value that is no number makes the whole aggregate an error.
             wrong = F.count_if(c.isNotNull() & x.isNull()) if k.name == "term" else F.lit(0)
+            kind = {"int": E.INT, "dec": E.DEC.maybe()}.get(k.name, E.DOUBLE.maybe())
+            total = F.sum_distinct(x) if a.distinct else F.try_sum(x) if k.name == "dec" else F.sum(x)
+            if k.name == "dec":  # null beyond the digits that fit
+                total = total.try_cast(V.DECIMAL)
+            total = F.when(F.count(x) == 0, F.lit(0).cast(V.NATIVE[kind.name])).otherwise(total)
             if a.name == "SUM":
-                total = F.coalesce(F.sum_distinct(x) if a.distinct else F.sum(x), F.lit(0).cast("bigint" if whole else "double"))
-                return F.when(wrong == 0, total), E.INT if whole else E.DOUBLE.maybe()
-            mean = F.try_divide(F.sum_distinct(x.cast("double")), F.count_distinct(x)) if a.distinct else F.avg(x)
-            return F.when(wrong == 0, F.coalesce(mean.cast("double"), F.lit(0.0))), E.DOUBLE.maybe()
+                return F.when(wrong == 0, total), kind
+            n = F.count_distinct(x) if a.distinct else F.count(x)
+            if kind.name == "double":
+                mean = F.try_divide(F.sum_distinct(x.cast("double")), n) if a.distinct else F.avg(x)
+                return F.when(wrong == 0, F.coalesce(mean.cast("double"), F.lit(0.0))), kind
+            return F.when(n == 0, F.lit(0).cast(V.DECIMAL)).otherwise(E.ratio(total, n)), E.DEC.maybe()
         if a.name in ("MIN", "MAX"):
             pick = F.min_by if a.name == "MIN" else F.max_by
             if k.name in V.NATIVE:
@@ -300,7 +308,7 @@ class Compiler:
     def select(self, q: A.Query) -> DataFrame:
         """Columns named as the variables: IRIs and terms as text, other values as they are."""
         out = self.compile(q.part)
-        return out.df.select(*(shown(out.col(v), out.kinds[v]).alias(v) for v in q.vars))
+        return out.df.select(*(shown(out.col(v), out.kinds[v], self.decimals).alias(v) for v in q.vars))
 
     def ask(self, q: A.Query) -> DataFrame:
         return self.compile(q.part).df.select(F.lit(1).alias("one")).limit(1).agg((F.count("one") > 0).alias("answer"))
@@ -323,8 +331,10 @@ class Compiler:
         return made.filter(valid).distinct()
 
 
-def shown(c: Column, k: Kind) -> Column:
-    """How a value appears in a result: IRIs and literals by their text, blank nodes as _:label."""
+def shown(c: Column, k: Kind, decimals: bool = False) -> Column:
+    """How a value appears in a result: IRIs and literals by their text, blank nodes as _:label, decimals as doubles unless asked for."""
+    if k.name == "dec" and not decimals:
+        return c.cast("double")
     if k.name == "term":
         return F.when(c["kind"] == T.BNODE, F.concat(F.lit("_:"), c["lex"])).otherwise(c["lex"])
     return V.lexical(c, k) if k.name == "iri" else c

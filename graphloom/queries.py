@@ -647,7 +647,19 @@ _CLOSURES = {
         f"SELECT n_nationkey::BIGINT AS k, unnest(['{RDF_TYPE}', '{NS}n_nationkey', '{NS}n_name', '{NS}inRegion']) AS p, unnest(['{NS}Nation', n_nationkey::VARCHAR, n_name, 'urn:data:region/' || n_regionkey]) AS o FROM nation WHERE n_nationkey<4",
     ),
 }
-SPARQL |= _CLOSURES
+_DECIMALS = {
+    "decimal_sums": (
+        "SELECT ?f (STR(SUM(xsd:decimal(?p) * (1 - xsd:decimal(?d)) * (1 + xsd:decimal(?t)))) AS ?charge) (STR(SUM(xsd:decimal(?q)) / 8) AS ?eighth) (STR(MAX(xsd:decimal(?d) + 0.2)) AS ?high)"
+        " WHERE { ?l t:l_returnflag ?f ; t:l_extendedprice ?p ; t:l_discount ?d ; t:l_tax ?t ; t:l_quantity ?q } GROUP BY ?f",
+        "WITH x AS (SELECT l_returnflag AS f, sum(l_extendedprice::DECIMAL(15,2) * (1 - l_discount::DECIMAL(4,2)) * (1 + l_tax::DECIMAL(4,2))) AS c, sum(l_quantity::DECIMAL(12,3)) * 0.125 AS e, max(l_discount::DECIMAL(4,2)) + 0.2 AS h FROM lineitem GROUP BY 1)"
+        " SELECT f, regexp_replace(c::VARCHAR, '\\.?0+$', '') AS charge, regexp_replace(e::VARCHAR, '\\.?0+$', '') AS eighth, regexp_replace(h::VARCHAR, '\\.?0+$', '') AS high FROM x",
+    ),
+    "decimal_filter": (
+        "SELECT ?k ?r WHERE { ?o t:o_orderkey ?k ; t:o_totalprice ?p BIND(xsd:decimal(?p) / 3 AS ?third) FILTER(?third * 3 = xsd:decimal(?p) && ?k / 7 * 7 = ?k) BIND(STR(FLOOR(?third)) AS ?r) }",
+        "SELECT o_orderkey AS k, ((o_totalprice::DECIMAL(15,2) * 100)::BIGINT // 300)::VARCHAR AS r FROM orders WHERE (o_totalprice::DECIMAL(15,2) * 100)::BIGINT % 3 = 0 AND o_orderkey % 7 = 0",
+    ),
+}
+SPARQL |= _CLOSURES | _DECIMALS
 
 
 def reach_event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ class Session:
     hooks: dict[str, Hook] = field(default_factory=dict)
     cache: FragmentCache | None = None
     loader: Loader | None = None  # for FROM and FROM NAMED: graphs that the store does not have
+    decimals: bool = False  # whether results show decimals as such, not as doubles
     _memo: dict[tuple, DataFrame] = field(default_factory=dict)  # collected fragments
 
     @contextmanager
@@ -80,6 +81,7 @@ class Session:
         if scope == "fragment":
             data = TripleStore(self._collected(q, seeds).withColumn("g", F.lit(None).cast("string")), disjoint=True)
         compiler = Compiler(self.spark, data, semantics, self.functions, self.hooks)
+        compiler.decimals = self.decimals
         if scope == "reachable":
             compiler.hooks = {**compiler.hooks, "reachable": self._reachable(seeds)}
         elif scope not in ("dataset", "fragment"):

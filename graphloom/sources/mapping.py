@@ -142,7 +142,7 @@ class Mapping:
         if not isinstance(x, Literal):
             return None
         want, other = E.constant(x)
-        return col == want if other.name == kind.name or {other.name, kind.name} == {"int", "double"} else None
+        return col == V.convert(want, other, V.meet(other, kind)) if other.name == kind.name or {other.name, kind.name} <= set(V.NUMBERS) else None
 
     def _tables(self, s: Term, own: list[Triple]) -> list[TableClass]:
         found: list[TableClass] | None = None
@@ -187,8 +187,8 @@ class Mapping:
                     tests.append(F.lit(False))
             else:
                 want, other = E.constant(x)
-                fits = other.name == kind.name or {other.name, kind.name} == {"int", "double"}
-                tests.append(col == want if fits else F.lit(False))
+                fits = other.name == kind.name or {other.name, kind.name} <= set(V.NUMBERS)
+                tests.append(col == V.convert(want, other, V.meet(other, kind)) if fits else F.lit(False))
 
         meet(s, F.expr(c.key), key_kind)
         for t in own:
