@@ -92,7 +92,7 @@ class Crawl:
                         if isinstance(t.p, Iri) and o not in visited and not isinstance(o, Literal) and wire.get(o):
                             visited.add(o)
                             todo.append((o, store.checkpoint(self._follow(uris, t.p.value))))
-        return TripleStore(self._triples())
+        return TripleStore(self._triples(), ttl=self.ttl() or None)
 
     def _reach(self, tree: Tree) -> DataFrame:
         at = self.spark.createDataFrame([(s,) for s in tree.seeds], "uri string")

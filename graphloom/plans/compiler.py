@@ -203,9 +203,13 @@ class Compiler:
         out = self.compile(n.part)
         ex = self.expressions(out.values())
         keys = [(v, *ex.value(e)) for v, e in n.keys]
-        aggs = [(v, *self._aggregate(ex, out, a)) for v, a in n.aggs]
+        texts = [(v, a) for v, a in n.aggs if a.name == "GROUP_CONCAT"]
+        aggs = [(v, *self._aggregate(ex, out, a)) for v, a in n.aggs if a.name != "GROUP_CONCAT"]
         df = out.df.groupBy(*(c.alias(column(v)) for v, c, _ in keys))
         df = df.agg(*(c.alias(column(v)) for v, c, _ in aggs)) if aggs else df.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+        for v, a in texts:
+            df = self._with_text(df, out, [(k, c) for k, c, _ in keys], ex.value(a.arg), v, a)
+            aggs.append((v, None, E.STR))
         kinds = {v: k if isinstance(e, A.Ref) and e.var in out.kinds and out.kinds[e.var].certain else k.maybe() for (v, _, k), (_, e) in zip(keys, n.keys, strict=True)}
         made = Solutions(df, kinds | {v: k for v, _, k in aggs})
         if self.reference and keys:
@@ -248,12 +252,24 @@ class Compiler:
             return pick(c, F.when(c.isNotNull(), order)), k.maybe()
         if a.name == "SAMPLE":
             return F.any_value(c, F.lit(True)), k.maybe()
-        if a.name == "GROUP_CONCAT":
-            text = V.lexical(c, k)
-            # Sorted, so that the text does not depend on the order of arrival.
-            return F.array_join(F.array_sort(F.collect_set(text) if a.distinct else F.collect_list(text)), a.separator), E.STR
         raise NotImplementedError(a.name)
 
+    def _with_text(self, df: DataFrame, out: Solutions, keys: list[tuple[str, Column]], value: E.Value, name: str, a: A.Agg) -> DataFrame:
+        """GROUP_CONCAT beside other aggregates, sorted, so that the text does not depend on the order of arrival.
+
+        Values are dealt by ranges of (group, value): a large group is sorted and joined
+        in as many parts as it has ranges, and only the parts' texts meet in one place.
+        """
+        names = [column(k) for k, _ in keys]
+        rows = out.df.select(*(c.alias(column(k)) for k, c in keys), V.lexical(*value).alias("_text")).filter("_text is not null")
+        dealt = rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *names, "_text").withColumn("_part", F.spark_partition_id())
+        held = F.collect_set("_text") if a.distinct else F.collect_list("_text")
+        parts = dealt.groupBy(*names, "_part").agg(F.array_join(F.array_sort(held), a.separator).alias("_text"))
+        whole = parts.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_part", "_text"))).alias("_texts"))
+        whole = whole.select(*(F.col(n).alias(f"r_{n}") for n in names), F.array_join(F.transform("_texts", lambda x: x["_text"]), a.separator).alias("_text"))
+        on = reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"r_{n}")) for n in names), F.lit(True))
+        return df.join(whole, on, "left").select(*df.columns, F.coalesce("_text", F.lit("")).alias(column(name)))
+
     # Modifiers
 
     def n_project(self, n: A.Project) -> Solutions:

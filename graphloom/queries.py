@@ -647,6 +647,16 @@ _CLOSURES = {
         f"SELECT n_nationkey::BIGINT AS k, unnest(['{RDF_TYPE}', '{NS}n_nationkey', '{NS}n_name', '{NS}inRegion']) AS p, unnest(['{NS}Nation', n_nationkey::VARCHAR, n_name, 'urn:data:region/' || n_regionkey]) AS o FROM nation WHERE n_nationkey<4",
     ),
 }
+_TEXTS = {
+    "concat_hot_group": (
+        'SELECT ?hot (GROUP_CONCAT(DISTINCT STR(?p); SEPARATOR=",") AS ?prices) (COUNT(*) AS ?n) WHERE { ?l t:l_linenumber ?p ; t:l_returnflag ?f ; t:l_quantity ?q BIND(IF(?q > 5, "hot", ?f) AS ?hot) } GROUP BY ?hot',
+        "SELECT CASE WHEN l_quantity > 5 THEN 'hot' ELSE l_returnflag END AS hot, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS prices, count(*) AS n FROM lineitem GROUP BY 1",
+    ),
+    "concat_long": (
+        'SELECT ?s (GROUP_CONCAT(?k; SEPARATOR=" ") AS ?keys) WHERE { ?o t:o_orderstatus ?s ; t:o_orderkey ?k } GROUP BY ?s',
+        "SELECT o_orderstatus AS s, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey::VARCHAR) AS keys FROM orders GROUP BY 1",
+    ),
+}
 _DECIMALS = {
     "decimal_sums": (
         "SELECT ?f (STR(SUM(xsd:decimal(?p) * (1 - xsd:decimal(?d)) * (1 + xsd:decimal(?t)))) AS ?charge) (STR(SUM(xsd:decimal(?q)) / 8) AS ?eighth) (STR(MAX(xsd:decimal(?d) + 0.2)) AS ?high)"
@@ -659,7 +669,7 @@ _DECIMALS = {
         "SELECT o_orderkey AS k, ((o_totalprice::DECIMAL(15,2) * 100)::BIGINT // 300)::VARCHAR AS r FROM orders WHERE (o_totalprice::DECIMAL(15,2) * 100)::BIGINT % 3 = 0 AND o_orderkey % 7 = 0",
     ),
 }
-SPARQL |= _CLOSURES | _DECIMALS
+SPARQL |= _CLOSURES | _TEXTS | _DECIMALS
 
 
 def reach_event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

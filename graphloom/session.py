@@ -138,7 +138,7 @@ class Session:
         parts = []
         for agp, filters in self.agps(text):
             make = lambda agp=agp, filters=filters: Traversal(self.spark, self.data, self.vocab).quads(self.planner.plan(agp, seeds), filters)
-            parts.append(self.cache.get(agp, filters, make, digest) if self.cache else make())
+            parts.append(self.cache.get(agp, filters, make, digest, getattr(self.data, "ttl", None)) if self.cache else make())
         if not parts:
             raise ValueError("the query has no graph pattern")
         out = parts[0]

@@ -36,6 +36,7 @@ class TripleStore:
     default: tuple[str, ...] | None = None  # the graphs that make up the default graph; None: all
     named: tuple[str, ...] | None = None
     disjoint: bool = False
+    ttl: float | None = None  # seconds for which what was found may be kept, where its resources say so
 
     def inside(self, name: Term) -> TripleStore:
         return TripleStore(self.df, name, self.default, self.named, self.disjoint)

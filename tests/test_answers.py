@@ -84,3 +84,25 @@ def test_a_join_by_masks_reads_each_side_once(spark):
     ask = "SELECT * WHERE { { ?c t:c_custkey ?k OPTIONAL { ?c t:c_name ?n FILTER(?k < 50) } } { ?d t:c_acctbal ?b OPTIONAL { ?d t:c_name ?n FILTER(?b < 0) } } }"
     plan = s.sparql(ask)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 4
+
+
+def test_a_hot_group_is_joined_in_parts(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.functions.values import Kind
+    from graphloom.plans.algebra import Agg, Group, Ref, Values
+    from graphloom.plans.compiler import Compiler
+
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("v_g"), F.concat(F.lit("x"), F.col("id") % 1999).alias("v_t"))
+    given = S.Solutions(df, {"g": Kind("str").maybe(), "t": Kind("str")})
+    c = Compiler(spark, None, hooks={"given": lambda c, n: given if isinstance(n, Values) else None})
+    aggs = (("n", Agg("COUNT", None)), ("all", Agg("GROUP_CONCAT", Ref("t"), False, "|")), ("each", Agg("GROUP_CONCAT", Ref("t"), True, ",")))
+    out = c.compile(Group(Values((), ()), (("g", Ref("g")),), aggs))
+    rows = df.collect()
+    want = {}
+    for r in rows:
+        want.setdefault(r.v_g, []).append(r.v_t)
+    got = {r.v_g: r for r in out.df.collect()}
+    assert set(got) == set(want)
+    for g, own in want.items():
+        assert (got[g].v_n, got[g].v_all, got[g].v_each) == (len(own), "|".join(sorted(own)), ",".join(sorted(set(own))))
