@@ -62,8 +62,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.textkernel import tidy
 from graphloom.llm.url_rules import host_of
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TOKEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|([^<]+)|<[a-zA-Z/!?][^>]*\Z|(<)""")
+_RAW = re.compile(r"<(?:!--|(script|style|noscript|template|textarea|iframe|svg|title)\b)", re.I)
+_TOKEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|([^<]+)|<[a-zA-Z/!?][^>]*\Z|(<)""")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
 _HELD = re.compile(r"<(?:article|main|h1|h2)\b", re.I)
@@ -136,7 +136,7 @@ def events(page: str) -> Iterator[tuple[int, str, str]]:
             scopes.pop()
         return tag
 
-    page = _RAW.sub("", page)
+    page = _without_raw(page)
     form_end = held = -1  # next places found, looked for once
     for m in _TOKEN.finditer(page):
         slash, tag, attrs, text = m[1], m[2], m[3], m[4] or m[5]
@@ -181,6 +181,32 @@ def events(page: str) -> Iterator[tuple[int, str, str]]:
         yield -1, stack.pop(), ""
 
 
+@lru_cache(16)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
+def _without_raw(page: str) -> str:
+    """The page without comments, scripts and the like; one pass, however many of them stay open."""
+    kept, at, last = [], 0, page.rfind(">")
+    while m := _RAW.search(page, at):
+        begin = m.start()
+        if m[1] is None:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        elif last < m.end():  # no element begins any more
+            kept.append(page[at : m.end()])
+            at = m.end()
+            continue
+        else:
+            close = _closing(m[1].lower()).search(page, page.find(">", m.end()) + 1)
+            end = close.end() if close else len(page)
+        kept.append(page[at:begin])
+        at = end
+    kept.append(page[at:])
+    return "".join(kept)
+
+
 def stream(page: str) -> Iterator[tuple[int, str, int]]:
     """(1, signature, 0) and (-1, "", 0) of block elements, (0, text, characters in links) of blocks of text.
 

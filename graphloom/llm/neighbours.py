@@ -18,7 +18,7 @@ Defined results: distance is Euclidean, ties go to the smaller id.  Vectors that
 are null, empty, zero, or hold null or non-finite components take no part; only
 vectors of equal length are compared; a row is not its own neighbour, nor is one
 of the same id.  A query has as many neighbours as there are, up to k; rows that
-repeat an id are candidates each.  A distance above the largest double is infinite.
+repeat an id are candidates each, and queries of one id with different vectors are answered each.  A distance above the largest double is infinite.
 """
 
 from __future__ import annotations
@@ -108,17 +108,17 @@ def _table(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cell(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    names = ["query_id", "vec_id", "score"]
+    names = ["query_id", "body", "vec_id", "score"]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, int, float]] = []
         if left.num_rows and right.num_rows:
             size = key[0].as_py()
             (qid, qv), (cid, cv) = _table(left, size), _table(right, size)
-            for q, best in zip(qid.tolist(), best_in_cell(qid, qv, cid, cv, k), strict=True):
-                out += [(q, c, d) for d, c in best]
-        columns = zip(*out, strict=True) if out else ([], [], [])
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=names)
+            for q, body, best in zip(qid.tolist(), left.column("body").to_pylist(), best_in_cell(qid, qv, cid, cv, k), strict=True):
+                out += [(q, body, c, d) for d, c in best]
+        columns = zip(*out, strict=True) if out else ([], [], [], [])
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=names)
 
     return run
 
@@ -133,9 +133,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     down = max(-(-asking // QUERY_BLOCK), 1)
     deal = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    queries = rows.filter("asks").dropDuplicates(["id"]).select("dim", deal(down).alias("down"), every(across).alias("across"), "id", "v")
+    queries = rows.filter("asks").withColumn("body", F.xxhash64("v")).dropDuplicates(["id", "body"])
+    queries = queries.select("dim", deal(down).alias("down"), every(across).alias("across"), "id", "body", "v")
     candidates = rows.select("dim", every(down).alias("down"), deal(across).alias("across"), "id", "v")
     cell = ["dim", "down", "across"]
-    found = queries.groupBy(*cell).cogroup(candidates.groupBy(*cell)).applyInArrow(_cell(k), "query_id long, vec_id long, score double")
-    rank = F.expr("row_number() over (partition by query_id order by score, vec_id)")
+    found = queries.groupBy(*cell).cogroup(candidates.groupBy(*cell)).applyInArrow(_cell(k), "query_id long, body long, vec_id long, score double")
+    rank = F.expr("row_number() over (partition by query_id, body order by score, vec_id)")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -178,7 +178,8 @@ class ShardStore:
         df.write.option("maxRecordsPerFile", rows_a_shard).parquet(f"{self.base}/{folder}")
         found = self.spark.read.schema(df.schema).parquet(f"{self.base}/{folder}")
         # Row counts come from the files' footers; one row a shard.
-        counts = found.groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size")).count().collect()
+        file = found.metadataColumn("_metadata")  # the rows may have a column of that name
+        counts = found.groupBy(file["file_name"].alias("name"), file["file_size"].alias("size")).count().collect()
         return [Shard(f"{folder}/{r['name']}", r["count"], r["size"]) for r in sorted(counts)]
 
     def append(self, df: DataFrame, rows_a_shard: int = 0) -> int:

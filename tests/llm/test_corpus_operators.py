@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import collocations, decontamination
 from tests.llm.data import documents, frame, prose
@@ -124,3 +125,31 @@ def test_collocations_score_exactly_beyond_64_bits(spark):
     rows = [("en", "rare pair, " * 3 + "common " * 200_000)]
     got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), 3, 2).collect()
     assert [(r.phrase, r.a, r.score) for r in got] == [("rare pair", 3, 1000 * 200_006 // 3), ("common common", 199_999, 1000 * 199_999 * 200_006 // 200_000**2)]
+
+
+def test_queries_of_one_id_are_answered_each(spark):
+    from graphloom.llm.neighbours import nearest
+
+    rows = [(100, [0.0, 1.0]), (100, [9.0, 1.0]), (100, [9.0, 1.0]), (1, [0.0, 2.0]), (2, [9.0, 3.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100, 1)
+    assert sorted(map(tuple, got.collect())) == [(100, 1, 1, 1.0), (100, 1, 2, 2.0)]
+
+
+def test_shards_of_rows_with_a_metadata_column(spark, tmp_path):
+    from graphloom.llm.shards import ShardStore
+
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(spark.range(20).select("id", F.col("id").cast("string").alias("_metadata")))
+    assert store.read().count() == 20
+
+
+def test_open_elements_take_linear_time():
+    import time
+
+    from graphloom.llm.html_text import extract
+
+    for part in ("<script", "<title", "<svg ", "<!-- ", "<script>", "</script", "<textarea x"):
+        began = time.process_time()
+        extract(part * (400_000 // len(part)), None)
+        assert time.process_time() - began < 5, part
+    assert extract("<article><p>one</p><script <p>two</script  ><p>three</p><!-- <p>four</p></article>", None) == "one\nthree"
