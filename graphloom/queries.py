@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom import tables
 from graphloom.linked_queries import QUERIES as LINKED
+from graphloom.market_queries import QUERIES as MARKET
 from graphloom.functions import values as V
 from graphloom.functions.terms import RDF_TYPE, XSD, Literal, n3
 from graphloom.tables import DATA, NS
@@ -750,11 +751,11 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _run(q) for k, (q, _) in SPARQL.items()} | {k: f for k, (f, _) in (MORE | LINKED).items()}
+    return {k: _run(q) for k, (q, _) in SPARQL.items()} | {k: f for k, (f, _) in (MORE | LINKED | MARKET).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in SPARQL.items()} | {k: sql for k, (_, sql) in (MORE | LINKED).items() if sql}
+    return {k: sql for k, (_, sql) in SPARQL.items()} | {k: sql for k, (_, sql) in (MORE | LINKED | MARKET).items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,29 @@ def test_a_hot_group_is_joined_in_parts(spark):
     assert set(got) == set(want)
     for g, own in want.items():
         assert (got[g].v_n, got[g].v_all, got[g].v_each) == (len(own), "|".join(sorted(own)), ",".join(sorted(set(own))))
+
+
+def test_fact_tables_equal_the_facts_of_a_vocabulary(spark):
+    from graphloom.operators.facts import FactTables
+    from graphloom.operators.paths import Navigator
+    from graphloom.operators.vocabulary import Vocabulary, read_ontology
+    from graphloom.sources.triples import frame
+
+    text = tables.ontology()
+    v = Vocabulary()
+    v.add(text)
+    f, nav = v.facts, Navigator(v)
+    t = FactTables(spark, frame(spark, list(read_ontology(text)[0])))
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(t.types) == {(x,) for x in f.types()}
+    assert rows(t.properties) == {(p, "object" if f.is_object(p) else "data") for p in f.properties()}
+    assert rows(t.closure) == {(c, s) for c in f.types() for s in f.supertypes(c)}
+    assert rows(t.inverses) == {(p, q) for p in f.properties() for q in f.inverses(p)}
+    assert rows(t.domains()) == {(p, c) for p in f.properties() for c in f.domain(p)}
+    assert rows(t.ranges()) >= {(p, c) for p in f.properties() if f.is_object(p) for c in f.range(p)}
+    assert rows(t.members()) == {(c, p, "own" if p in f.type_properties(c, True) else "inherited") for c in f.types() for p in f.type_properties(c)}
+    assert rows(t.references()) == {(c, p, "own" if p in f.type_references(c, True) else "inherited") for c in f.types() for p in f.type_references(c)}
+    assert rows(t.edges()) == {(c, p, r) for c, own in nav.edges.items() for p, r in own}
+    some = sorted(f.types())[:6]
+    linked = rows(t.connected())
+    assert all(((a, b) in linked) == nav.connected(a, b) for a, b in itertools.product(some, some))
