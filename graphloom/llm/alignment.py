@@ -282,7 +282,7 @@ def _counts(entries: DataFrame, cells: int, scratch: Scratch) -> DataFrame:
         many = out.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
         if many <= 1:
             return out
-        dealt = out.withColumn("part", F.floor(F.rand(7) * math.ceil(many / FAN_IN))) if many > FAN_IN else out.withColumn("part", F.lit(0))
+        dealt = out.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(math.ceil(many / FAN_IN))))
         dealt = dealt.repartition("kind", "part").sortWithinPartitions("kind", "part").select("kind", "n", "data")
         step += 1
         out = scratch.save(dealt.mapInArrow(_counted(cells, False), kind), f"counts-{step}")
