@@ -161,7 +161,14 @@ class Traversal:
             seen = Solutions(checkpoint(both) if parts % PATIENCE == 0 else both, seen.kinds)
 
     def _functional(self, cycles: tuple[list[str], ...], kind: Kind) -> Solutions | None:
-        """One turn of any cycle as saved pairs, if every resource has one way on at most."""
+        """One turn of any cycle as saved pairs, if every resource has one way on at most.
+
+        Each property is looked at by itself first: where one leads to many, a whole turn may have far more pairs than the data.
+        """
+        for p in sorted({p for props in cycles for p in props}):
+            step = self._turn([p])
+            if set(step.kinds) != {AT, TO} or not step.df.groupBy(S.column(AT)).agg(F.count_distinct(S.column(TO)).alias("n")).filter("n > 1").isEmpty():
+                return None
         pairs = reduce(S.union, [self._turn(props) for props in cycles])
         if set(pairs.kinds) != {AT, TO}:
             return None
