@@ -146,3 +146,10 @@ def test_free_predicates_equal_those_of_triples(spark, query):
 def test_free_predicates_skip_rows_and_classes(spark):
     plan = tables.session(spark, SF).sparql("SELECT ?s ?p WHERE { ?s ?p <urn:data:nation/3> }")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and plan.count("EqualTo(c_nationkey,3)") + plan.count("EqualTo(s_nationkey,3)") == 2 and "c_name" not in plan
+
+
+def test_cycles_that_branch_are_not_doubled(spark):
+    rows = [(Iri(f"urn:n#{i}"), Iri("urn:e#a"), Iri(f"urn:n#{j}")) for i in range(12) for j in (i + 1, max(0, i - 1))]
+    t = Traversal(spark, TripleStore(frame(spark, rows)), Vocabulary())
+    got = t.reach(Tree("urn:T", ("urn:n#0",), (), Iri("urn:r"), ((("urn:T", "urn:e#a"),),), 1))
+    assert got.df.count() == 13 and len(t.rounds) == 13
