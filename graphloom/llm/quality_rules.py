@@ -6,9 +6,11 @@ of vote patterns estimates how each rule votes on good documents and on those of
 each kind of defect, and how many there are of each; a document is kept if its
 posterior probability of being good reaches a threshold.  Rules that measure one
 defect in several ways agree because of it, so they are independent only given its
-kind: that is why bad documents are not one class but one a kind (KINDS), and a
-defect counts once however many rules see it.  A kind needs three rules to be told
-from their errors; the other rules only lend weight.  The patterns of R rules number
+kind: that is why bad documents are not one class but one a kind, and a defect
+counts once however many rules see it.  The kinds are learnt: the rules that vote
+bad together most beyond what the classes so far explain propose the next one,
+which stays if the likelihood gains enough (see learn).  One rule alone is no kind;
+its odd votes only lend weight.  The patterns of R rules number
 3^R at most, whatever the corpus, so that their counts, made with partial aggregation
 over all documents, fit on the driver.
 
@@ -34,8 +36,8 @@ from graphloom.llm.scratch import Scratch, unused
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_shouts", "n_capital_runs", "n_symbol_words")
 BASE = MEASURES[:5]
 RULES = ("length", "symbols", "symbol_words", "symbol_share", "capitals", "capital_runs", "shouts", "dup_lines", "repeats", "stops")
-#: Kinds of defect, as places of the rules that see them: symbols, shouting.
-KINDS = ((1, 2, 3), (4, 5, 6))
+#: What a kind of defect must add to the log-likelihood per document, at any size of the corpus; small ones ask for more (BIC).
+LEAST_GAIN = 1e-3
 KEEP_AT = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -141,7 +143,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measured, schema)
 
 
-def fit(counts: dict[int, int], rules: int = len(RULES), kinds: tuple[tuple[int, ...], ...] = KINDS, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+def fit(counts: dict[int, int], rules: int, kinds: tuple[tuple[int, ...], ...], rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """(reliability, shares) by expectation-maximisation over the classes good, then each kind.
 
     ``reliability[c, j, k]`` is the probability that rule j abstains (k = 0), votes
@@ -175,24 +177,69 @@ def fit(counts: dict[int, int], rules: int = len(RULES), kinds: tuple[tuple[int,
     return rel, shares
 
 
+def _joint(v: np.ndarray, rel: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Log-probability of votes and class: shape (patterns, classes)."""
+    return np.log(shares)[None, :] + sum(np.log(rel[:, j, :])[:, v[:, j] + 1].T for j in range(v.shape[1]))
+
+
 def classes(v: np.ndarray, rel: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Probability of each class, given votes: shape (patterns, classes)."""
-    score = np.log(shares)[None, :] + sum(np.log(rel[:, j, :])[:, v[:, j] + 1].T for j in range(v.shape[1]))
+    score = _joint(v, rel, shares)
     p = np.exp(score - score.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
+def learn(counts: dict[int, int], rules: int = len(RULES)) -> tuple[tuple[int, ...], ...]:
+    """The kinds of defect, as places of the rules that propose them.
+
+    Step by step: of the sets of two rules or more that vote bad together, the one
+    whose count exceeds most what the classes so far lead to expect becomes a kind
+    and all is fitted anew.  It stays if the log-likelihood grows by LEAST_GAIN a
+    document and by BIC's price of a class, and if each kind still has two rules
+    that fail at least half of its documents; else it is set aside.
+    """
+    kinds: tuple[tuple[int, ...], ...] = ()
+    if not counts:
+        return kinds
+    v = np.array([votes_of(p, rules) for p in counts])
+    n = np.array(list(counts.values()), np.float64)
+    found: dict[tuple[int, ...], float] = {}
+    for row, k in zip(v, n, strict=True):
+        failing = tuple(np.flatnonzero(row == 0).tolist())
+        found[failing] = found.get(failing, 0.0) + k
+    left = sorted(s for s in found if len(s) > 1)
+    price = max(LEAST_GAIN * n.sum(), (2 * rules + 1) * np.log(n.sum()) / 2)
+    likelihood = lambda rel, shares: float(n @ np.logaddexp.reduce(_joint(v, rel, shares), axis=1))
+    rel, shares = fit(counts, rules, kinds)
+    best = likelihood(rel, shares)
+    while left:
+        fails = np.array([[j in s for j in range(rules)] for s in left])
+        seen = np.array([found[s] for s in left])
+        expected = n.sum() * sum(share * np.where(fails, r[:, 1], 1 - r[:, 1]).prod(axis=1) for share, r in zip(shares, rel, strict=True))
+        excess = seen * np.log(seen / expected)
+        at = int(excess.argmax())
+        if excess[at] < price:
+            break
+        trial = (*kinds, left.pop(at))
+        new = fit(counts, rules, trial)
+        gained = likelihood(*new)
+        if gained - best >= price and ((new[0][1:, :, 1] >= 0.5).sum(axis=1) > 1).all():
+            kinds, (rel, shares), best = trial, new, gained
+    return kinds
+
+
 def pattern_counts(patterns: DataFrame) -> dict[int, int]:
     """How many documents have each pattern: 3^R rows at most."""
     return {r[0]: r[1] for r in patterns.groupBy("pattern").count().collect()}
 
 
-def posteriors(counts: dict[int, int], rules: int = len(RULES), kinds: tuple[tuple[int, ...], ...] = KINDS) -> dict[int, float]:
-    """The posterior probability of good for every pattern that occurs."""
+def posteriors(counts: dict[int, int], rules: int = len(RULES), kinds: tuple[tuple[int, ...], ...] | None = None) -> dict[int, float]:
+    """The posterior probability of good for every pattern that occurs; kinds are learnt unless given."""
     ids = sorted(counts)
     if not ids:
         return {}
-    rel, shares = fit({p: counts[p] for p in ids}, rules, kinds)
+    ordered = {p: counts[p] for p in ids}
+    rel, shares = fit(ordered, rules, learn(ordered, rules) if kinds is None else kinds)
     return dict(zip(ids, classes(np.array([votes_of(p, rules) for p in ids]), rel, shares)[:, 0].tolist(), strict=True))
 
 

@@ -85,6 +85,33 @@ def test_em_equals_plain_loops():
     assert all(abs(got[p] - want[p]) < 1e-3 for p in counts)
 
 
+def pattern_of(*bad):
+    return int(quality_rules.pattern(np.array([[0 if j in bad else 1 for j in range(len(quality_rules.RULES))]]))[0])
+
+
+def test_kinds_of_defect_are_learnt():
+    """Whatever rules agree beyond chance make a kind, beside others or alone, at any size."""
+    for size in (1, 1000):
+        for others in (0, 500):
+            counts = {pattern_of(): 9500 - others, pattern_of(7, 8, 9): 500, pattern_of(1, 2, 3): others // 2, pattern_of(4, 5, 6): others - others // 2}
+            counts = {p: n * size for p, n in counts.items() if n}
+            assert set(quality_rules.learn(counts)) == ({(7, 8, 9), (1, 2, 3), (4, 5, 6)} if others else {(7, 8, 9)})
+            assert all((x > 0.99) if p == pattern_of() else (x < 0.01) for p, x in quality_rules.posteriors(counts).items())
+    assert quality_rules.learn({}) == () and quality_rules.posteriors({}) == {}
+
+
+def test_chance_and_single_rules_are_no_kind():
+    """Rules that err independently, and one rule's habit, leave every document good."""
+    rng = random.Random(8)
+    counts = collections.Counter()
+    for _ in range(20_000):
+        counts[pattern_of(*(j for j in range(10) if rng.random() < (0.15 if j == 9 else 0.03)))] += 1
+    for size in (1, 1000):
+        own = {p: n * size for p, n in counts.items()}
+        assert quality_rules.learn(own) == ()
+        assert all(x > 0.99 for x in quality_rules.posteriors(own).values())
+
+
 def test_one_defect_counts_once():
     """However many copies of a rule there are, a document of one odd vote by another rule stays good."""
     for copies in (3, 6):
