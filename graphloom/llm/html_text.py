@@ -15,9 +15,14 @@ meaning.  The rest follows from the wrapper, of at least SAME_PAGES different pa
 * Constant: a paragraph, container or text with the same words on every page that
   has its part is template, as long as most of the text around it differs.
 * Few texts: a container with half as many different texts as pages or fewer
-  (adverts, notices) is template, on the same condition.
+  (adverts, notices) is template, on the same condition; inside the article a text
+  must be met FEW_INSIDE times on average, and what follows the first heading is its lead.
 * Optional and repeated: at the end of the article, a container that some pages
-  lack and that holds a repeated group of containers is a list of comments or links.
+  lack and that holds a repeated group of containers is a list of comments or links
+  if these are made of elements, not of bare text, and no heading names the list; under
+  a heading, if each also holds a part that is all link or that never changes
+  (an author, "Reply").  It is less than TEMPLATE_SHARE of the article.  Steps,
+  questions and answers, and other text in containers stay.
 * Where nothing names the article, it is the innermost container beside which there
   are only such parts, site headers, and text inside links; nothing in it is left out
   for being short, and headings, list items and cells never are.
@@ -30,12 +35,15 @@ that level, and is kept or left out with it.  A level of more than MAX_PARTS par
 forgets class names, and if that is not enough the order of its elements, so that
 aligning costs the same however names and orders vary.
 
-Distribution: each task folds its own pages into one wrapper a host and emits
-those, so a host that holds a third of all pages sends one small wrapper a task;
-wrappers are merged in two steps, a square root of their number at a time.  Only
-the decision, a few paths a host, meets the pages again: by broadcast where all
-decisions together are small, else by a join on the host.  Pages stay whole, and all
-of them count for the wrapper.
+Distribution: each task folds those pages of a host that have the same outline
+(the expression without its texts), which needs no alignment and gives the same in
+any order.  Outlines are then aligned in the order of their digests, along a tree
+whose branches are the digests' leading bits: sorted partitions are folded as they
+stream by, so that a host of a third of all pages is spread over thousands of
+branches, and none is held whole.  Files, tasks and partitions, and so lost executors,
+make no difference.  Only the decision, a few paths a host, meets the pages again: by
+broadcast where all decisions together are small, else by a join on the host.  Pages
+stay whole, and all of them count for the wrapper.
 
 Defined results: a null page is an empty one and gives an empty text; a page
 without host, or with none of its host's parts, is judged by its own wrapper;
@@ -50,7 +58,6 @@ from __future__ import annotations
 import hashlib
 import html as _html
 import json
-import math
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -79,16 +86,23 @@ NOT_CONTENT = frozenset("head nav aside footer form button select option dialog
 NOT_CONTENT_ROLES = frozenset("navigation complementary banner contentinfo search form dialog alertdialog alert status menu menubar toolbar tablist".split())
 TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl li dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption caption address summary details".split())
 CONTAINERS = frozenset("div section article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: What may be template inside an article; headings, items and cells name what follows them.
 DROPPABLE = frozenset("p div section #".split())
 
 SAME_PAGES = 4
 #: Template may be this share of the text it stands in.
 TEMPLATE_SHARE = 0.5
+#: Pages to a text from which few texts are template: beside the article, and in it.
+FEW_BESIDE, FEW_INSIDE = 2, 5
 #: Of the host's text; see decide.
 LITTLE = 0.1
 SKETCH = 32
 MAX_DEPTH, MAX_PARTS = 100, 64
+#: Bits of an outline's digest that name its branch, level by level.
+BRANCH_BITS = (12, 6, 0)
+#: Parts that a task holds before it emits them.
+HELD_PARTS = 100_000
 BROADCAST_BYTES = 64 << 20
 ROOT, SKIP, DROP = 1, 2, 3
 
@@ -323,6 +337,16 @@ class Part:
             parts.append(p)
         return parts[0]
 
+    def outline(self) -> tuple[int, int]:
+        """(digest of all that alignment looks at, number of parts)."""
+        said, left, n = [], [self], 0
+        while left:
+            p = left.pop()
+            n += 1
+            said.append(f"{p.sig}\n{len(p.children)} {p.many:d}{p.optional:d}{p.mode}")
+            left += reversed(p.children)
+        return _digest(said), n
+
     def expression(self) -> str:
         body = ("SAME" if self.same else "TEXT") if self.sig == "#" else f"<{self.sig}>{''.join(c.expression() for c in self.children)}</>"
         return f"({body})" + ("*" if self.many and self.optional else "+" if self.many else "?") if self.many or self.optional else body
@@ -471,10 +495,10 @@ def wrapper_of(pages: Iterable[str]) -> Part | None:
     return out
 
 
-def _template(p: Part) -> bool:
+def _template(p: Part, few: int = FEW_BESIDE) -> bool:
     """A container with few texts for its many pages."""
     pages = _about(p.pages)
-    return not p.many and pages >= SAME_PAGES and 2 * _about(p.texts) <= pages
+    return not p.many and pages >= SAME_PAGES and few * _about(p.texts) <= pages
 
 
 def _listing(p: Part) -> bool:
@@ -484,6 +508,21 @@ def _listing(p: Part) -> bool:
     return p.many or any(c.many and c.chars and tag_of(c.sig) in CONTAINERS for c in p.children)
 
 
+def _comments(p: Part) -> bool:
+    """A listing whose items look like those of readers: made of elements, and under a heading with marks of their own."""
+    if not _listing(p):
+        return False
+    items = [p] if p.many else [c for c in p.children if c.many and c.chars and tag_of(c.sig) in CONTAINERS]
+    inside = [[x for c in item.children for x in c.walk() if x.chars] for item in items]
+    if any(not item.running for item in items):
+        return True  # links
+    if not all(any(x.sig != "#" for x in xs) for xs in inside):
+        return False
+    if not any(tag_of(x.sig) in HEADINGS for x in p.walk()):
+        return True
+    return all(any(not x.running or x.same and tag_of(x.sig) not in HEADINGS for x in xs) for xs in inside)
+
+
 class Decision:
     """Paths through a wrapper: roots of the article, parts to skip, constant items to drop.
 
@@ -518,26 +557,32 @@ def _within(out: Decision, path: list[Part], left: list[Part]) -> None:
         return
     skips: list[list[Part]] = []
     drops: list[list[Part]] = []
+    lists: list[list[Part]] = []
     todo = [path]
     while todo:
         here = todo.pop()
         at = here[-1]
         held = [c for c in at.children if c.chars and c not in left]
         steady = max((i for i, c in enumerate(held) if not c.optional), default=len(held))
+        lead = next((i + 1 for i, c in enumerate(held) if tag_of(c.sig) in HEADINGS), -1)
         for i, c in enumerate(held):
             tag = tag_of(c.sig)
-            if at is root and i > steady and _listing(c) or tag in CONTAINERS and _template(c):
+            if at is root and i > steady and _comments(c) and c.running <= TEMPLATE_SHARE * root.running:
+                lists.append([*here, c])
+                continue
+            if tag in CONTAINERS and i != lead and _template(c, FEW_INSIDE):
                 skips.append([*here, c])
                 continue
             if tag in DROPPABLE and not (tag == "#" and tag_of(at.sig) in TEXT_LEVEL) and c.same and _about(c.pages) >= SAME_PAGES:
                 drops.append([*here, c])
             todo.append([*here, c])
-    mass = sum(p[-1].running for p in skips if not _listing(p[-1])) + sum(sum(p[-1].same.values()) * p[-1].count for p in drops)
-    if mass <= TEMPLATE_SHARE * sum(c.running for c in root.children if c not in left):
-        for p in skips:
-            out.skip(p, [q[-1] for q in skips])
-        for p in drops:
-            out.add(p, DROP, p[-1].same)
+    mass = sum(p[-1].running for p in skips) + sum(sum(p[-1].same.values()) * p[-1].count for p in drops)
+    if mass > TEMPLATE_SHARE * sum(c.running for c in root.children if c not in left):
+        skips, drops = [], []
+    for p in [*skips, *lists]:
+        out.skip(p, [q[-1] for q in [*skips, *lists]])
+    for p in drops:
+        out.add(p, DROP, p[-1].same)
 
 
 def _descend(path: list[Part], without: list[Part]) -> tuple[list[Part], list[Part]]:
@@ -552,7 +597,7 @@ def _descend(path: list[Part], without: list[Part]) -> tuple[list[Part], list[Pa
 
         def beside(c: Part, few: list[Part] = few) -> bool:
             tag = tag_of(c.sig)
-            return tag == "header" or c.sig != "#" and tag not in TEXT_LEVEL and (not c.running or _listing(c) or c in few)
+            return tag == "header" or c.sig != "#" and tag not in TEXT_LEVEL and (not c.running or _comments(c) or c in few)
 
         sure = [i for i, c in enumerate(held) if not beside(c)]
         if sure:
@@ -660,29 +705,63 @@ def extract(page: str, decisions: list[list[list]] | None) -> str:
     return ""
 
 
-def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, Part] = {}
+FOLDED = "host string, outline long, wrapper string"
+
+
+def _emit(found: Iterable[tuple[str, int, Part]]) -> pa.RecordBatch:
+    rows = [(h, o, p.pack()) for h, o, p in found]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["host", "outline", "wrapper"])
 
-    def out() -> pa.RecordBatch:
-        rows = [(h, p.pack()) for h, p in found.items()]
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["host", "wrapper"])
 
+def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of equal host and outline become one part; several rows of one outline may leave a task."""
+    found: dict[tuple[str, int], Part] = {}
+    held = 0
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = page_part(page or "")
-            found[host] = merge(found[host], own) if host in found else own
-            if len(found) >= 5000:
-                yield out()
-    yield out()
-
-
-def _merge_group(rows: pa.Table) -> pa.Table:
-    whole: Part | None = None
-    for packed in sorted(rows.column("wrapper").to_pylist()):
-        part = Part.unpack(packed)
-        whole = part if whole is None else merge(whole, part)
-    return pa.table({"host": rows.column("host").slice(0, 1), "wrapper": pa.array([whole.pack()])})
+            key, size = (host, (said := own.outline())[0]), said[1]
+            if key in found:
+                merge(found[key], own)
+                continue
+            found[key] = own
+            held += size
+            if held >= HELD_PARTS:
+                yield _emit((h, o, p) for (h, o), p in found.items())
+                found.clear()
+                held = 0
+    yield _emit((h, o, p) for (h, o), p in found.items())
+
+
+def _fold_sorted(bits: int):
+    """Fold rows that arrive by host and outline, as long as the outlines' leading bits are the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, outline, same, whole = None, 0, None, None  # the branch's first outline; the parts of the present one
+        last = 0
+        done: list[tuple[str, int, Part]] = []
+        for batch in batches:
+            for h, o, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                part = Part.unpack(packed)
+                if same is not None and (h, o) == (host, last):
+                    merge(same, part)
+                    continue
+                if same is not None:
+                    whole = same if whole is None else merge(whole, same)
+                if whole is not None and (h != host or o >> (56 - bits) != outline >> (56 - bits)):
+                    done.append((host, outline, whole))
+                    whole = None
+                if whole is None:
+                    host, outline = h, o
+                last, same = o, part
+                if len(done) >= 1000:
+                    yield _emit(done)
+                    done = []
+        if same is not None:
+            done.append((host, outline, same if whole is None else merge(whole, same)))
+        yield _emit(done)
+
+    return run
 
 
 def _decide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -694,10 +773,11 @@ def _decide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper) of every host; the wrapper as JSON (see Part.pack)."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("host <> ''")
-    folded = rows.mapInArrow(_fold_pages, "host string, wrapper string")
-    salts = max(1, math.isqrt(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    some = folded.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).groupBy("host", "salt").applyInArrow(_merge_group, "host string, wrapper string")
-    return some.groupBy("host").applyInArrow(_merge_group, "host string, wrapper string")
+    folded = rows.mapInArrow(_fold_pages, FOLDED)
+    for bits in BRANCH_BITS:
+        branch = F.shiftrightunsigned("outline", 56 - bits)
+        folded = folded.repartition("host", branch).sortWithinPartitions("host", "outline").mapInArrow(_fold_sorted(bits), FOLDED)
+    return folded.select("host", "wrapper")
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

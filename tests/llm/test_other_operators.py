@@ -354,6 +354,73 @@ def test_options_and_repeats_decide():
         setattr(part, flag, True)
 
 
+def test_steps_and_leads_are_no_comments_and_adverts():
+    rng = random.Random(11)
+    body = [running(rng, 60) for _ in range(9)]
+    steps = [[running(rng, 12) for _ in range(3)] for _ in body]
+    lead = [running(rng, 9) for _ in range(3)]
+    shapes = {
+        "bare": lambda x: f"<div class=steps>{''.join(f'<div>{y}</div>' for y in x)}</div>",
+        "headed": lambda x: f"<section><h2>Steps</h2>{''.join(f'<div><p>{y}</p></div>' for y in x)}</section>",
+        "alone": lambda x: "".join(f"<div>{y}</div>" for y in x),
+    }
+    for name, shape in shapes.items():
+        for begin, end in (("<article>", "</article>"), ("<div class=c>", "</div>")):
+            pages = [f"<body><nav>n</nav>{begin}<h1>T {i}</h1><p>{b}</p>{shape(steps[i]) if i % 2 else ''}{end}</body>" for i, b in enumerate(body)]
+            want = ["\n".join([f"T {i}", b, *([*(["Steps"] if name == "headed" else []), *steps[i]] if i % 2 else [])]) for i, b in enumerate(body)]
+            assert texts_of(pages) == want, name
+    pages = [f"<body><article><h1>T {i}</h1><div class=lead>{lead[i % 3]}</div><p>{b}</p></article></body>" for i, b in enumerate(body)]
+    assert texts_of(pages) == [f"T {i}\n{lead[i % 3]}\n{b}" for i, b in enumerate(body)]
+    replies = lambda i: f"<section><h3>Comments</h3>{''.join(f'<div><p>{running(rng, 5)}</p><p>Reply</p></div>' for _ in range(1 + i % 3))}</section>"
+    pages = [f"<body><article><h1>T {i}</h1><p>{b}</p>{replies(i) if i % 2 else ''}</article></body>" for i, b in enumerate(body)]
+    assert texts_of(pages) == [f"T {i}\n{b}" for i, b in enumerate(body)]
+
+
+def random_page(rng, words):
+    """A page of random elements, few of which repeat from page to page."""
+    def level(deep):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "section", "p", "h2", "ul", "div class=a", "div class=b"])
+            inner = f"<li>{rng.choice(words)}" if tag == "ul" else level(deep + 1) if tag[0] in "ds" and deep < 3 and rng.random() < 0.7 else rng.choice(words)
+            out.append(f"<{tag}>{inner}</{tag.split()[0]}>")
+        return "".join(out)
+
+    return f"<body>{level(0)}</body>"
+
+
+def decisions_of(rows, held, monkeypatch):
+    """Host to decision, by the same steps without Spark; ``held``: parts that a task holds."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(html_text, "HELD_PARTS", held)
+    out = list(html_text._fold_pages(iter([pa.RecordBatch.from_arrays([pa.array([u for _, u, _ in rows]), pa.array([p for *_, p in rows])], names=["host", "html"])])))
+    for bits in html_text.BRANCH_BITS:
+        table = pa.Table.from_batches(out).sort_by([("host", "ascending"), ("outline", "ascending")])
+        out = list(html_text._fold_sorted(bits)(iter(table.to_batches(max_chunksize=7))))
+    return {h: html_text.decide(html_text.Part.unpack(w)) for b in out for h, _, w in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+
+
+def test_texts_do_not_depend_on_files_and_tasks(spark, monkeypatch):
+    """Hosts of random pages: any order, number of partitions and size of what a task holds."""
+    rng = random.Random(12)
+    words = [running(rng, rng.randint(1, 12)) for _ in range(12)]
+    rows = [(200 * h + i, f"http://r{h}.org/{i}", random_page(rng, words)) for h in range(40) for i in range(6)]
+    rows += [(10_000 + i, "http://hot.org/", random_page(rng, words)) for i in range(200)]
+    rows += [(20_000 + i, u, p) for i, (_, u, p) in enumerate(rows[::7])]
+    seen = []
+    known = decisions_of(rows, 100_000, monkeypatch)
+    assert len(known) == len({u for _, u, _ in rows})
+    for parts in (1, 5, 3):
+        rng.shuffle(rows)
+        assert decisions_of(rows, 30 * parts, monkeypatch) == known
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        seen.append({r.page_id: r.text for r in html_text.main_text(pages).collect()})
+        assert len(seen[-1]) == len(rows)
+    assert seen[0] == seen[1] == seen[2]
+    assert sum(map(bool, seen[0].values())) > 0.9 * len(rows)
+
+
 def test_class_names_have_no_meaning():
     rng = random.Random(5)
     a, b, c = (running(rng, 20) for _ in range(3))
