@@ -9,8 +9,10 @@ a recomputed task makes the same copies.
 
 Sizes by source are summed with partial aggregation, so a source that holds a
 third of all rows costs no more than others; documents meet their source's rate
-by a broadcast where the sources are few, and they are shuffled only once, to the
-partition that the leading bits of the order's hash name, so that partitions are even
+by a broadcast whose bytes are summed beforehand: of a table of probabilities for each
+source while all of them are small, else of the rates alone, with the number then
+inverted for each document, and a shuffled join where even those are too many.  They
+are shuffled only once more, to the partition that the leading bits of the order's hash name, so that partitions are even
 whatever the sources are and stand in the global order, without sampling.
 
 Defined results: a null text has size 0; a null source is a source of its own; a
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.scratch import Scratch, unused
 
-BROADCAST_SOURCES = 100_000
+#: What may be sent to every task.
+BROADCAST_BYTES = 16 << 20
 #: Up to this rate a source has a table of probabilities, as long as the rate.
 TABLE_RATE = 1000
 #: Copies of a document that are made at once, where rates are above that.
@@ -47,17 +50,37 @@ def hashed(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
+def _last(rate: Column) -> Column:
+    """Above this count nothing can be drawn."""
+    return F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+
+
+def _step(rate: Column, s: Column, k: Column) -> tuple[Column, Column]:
+    """log(k!) and P(count <= k) from those of k - 1."""
+    log_k = s["log_k"] + F.log(F.greatest(k, F.lit(1)).cast("double"))
+    return log_k, s["total"] + F.when(rate > 0, F.exp(k * F.log(rate) - rate - log_k)).otherwise(F.when(k == 0, 1.0).otherwise(0.0))
+
+
 def poisson_cdf(rate: Column) -> Column:
     """P(count <= k) for k = 0, 1, ... until nothing above can be drawn."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     start = F.struct(F.lit(0.0).alias("log_k"), F.lit(0.0).alias("total"), F.expr("cast(array() as array<double>)").alias("out"))
 
     def step(s: Column, k: Column) -> Column:
-        log_k = s["log_k"] + F.log(F.greatest(k, F.lit(1)).cast("double"))
-        total = s["total"] + F.when(rate > 0, F.exp(k * F.log(rate) - rate - log_k)).otherwise(F.when(k == 0, 1.0).otherwise(0.0))
+        log_k, total = _step(rate, s, k)
         return F.struct(log_k.alias("log_k"), total.alias("total"), F.concat(s["out"], F.array(total)).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: s["out"])
+    return F.aggregate(F.sequence(F.lit(0), _last(rate)), start, step, lambda s: s["out"])
+
+
+def small_count(rate: Column, draw: Column) -> Column:
+    """How many of poisson_cdf(rate) are at most ``draw``, without the table."""
+    start = F.struct(F.lit(0.0).alias("log_k"), F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+
+    def step(s: Column, k: Column) -> Column:
+        log_k, total = _step(rate, s, k)
+        return F.struct(log_k.alias("log_k"), total.alias("total"), (s["n"] + F.when(total <= draw, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(F.sequence(F.lit(0), _last(rate)), start, step, lambda s: s["n"])
 
 
 def poisson_count(rate: Column, draw: Column) -> Column:
@@ -103,8 +126,11 @@ def mix(
     """
     spark = docs.sparkSession
     table = rates(docs, weights, default_weight, epochs, source_col, text_col)
-    known = table.agg(F.count("*").alias("n"), F.max("rate").alias("most")).first()  # one row
-    few, high = known["n"] <= BROADCAST_SOURCES, (known["most"] or 0) > TABLE_RATE
+    named = F.coalesce(F.octet_length("source"), F.lit(0)).cast("long") + 64
+    entries = F.when(F.col("rate") <= TABLE_RATE, _last(F.col("rate")).cast("long") + 1).otherwise(0)
+    known = table.agg(F.sum(named).alias("named"), F.sum(8 * entries).alias("tables"), F.max("rate").alias("most")).first()  # one row
+    few, high = (known["named"] or 0) <= BROADCAST_BYTES, (known["most"] or 0) > TABLE_RATE
+    tables = (known["named"] or 0) + (known["tables"] or 0) <= BROADCAST_BYTES
     names = [*docs.columns]
 
     def new(name: str) -> str:
@@ -113,11 +139,11 @@ def mix(
 
     copy_no, order_key, of, rate, table_of, count, block, copy = map(new, (copy_col, order_col, "_of", "_rate", "_cdf", "_copies", "_block", "_copy"))
     cdf = poisson_cdf(F.col("rate"))
-    table = table.select(F.col("source").alias(of), F.col("rate").alias(rate), (F.when(F.col("rate") <= TABLE_RATE, cdf) if high else cdf).alias(table_of))
+    table = table.select(F.col("source").alias(of), F.col("rate").alias(rate), *([(F.when(F.col("rate") <= TABLE_RATE, cdf) if high else cdf).alias(table_of)] if tables else []))
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     draw = hashed(seed, "count", key) / F.lit(float(1 << 52))
     joined = docs.join(F.broadcast(table) if few else table, F.col(source_col).eqNullSafe(F.col(of)))
-    copies = F.size(F.filter(table_of, lambda c: c <= draw))
+    copies = F.size(F.filter(table_of, lambda c: c <= draw)) if tables else small_count(F.col(rate), draw)
     own = [F.col(c) for c in docs.columns]
     if high:
         copies = F.when(F.col(rate) <= TABLE_RATE, copies.cast("long")).otherwise(poisson_count(F.col(rate), draw))

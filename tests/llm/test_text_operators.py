@@ -389,6 +389,18 @@ def test_mixing_equals_plain_draws(spark):
     assert len(parts) == 4 and max(r["count"] for r in parts) < 2 * min(r["count"] for r in parts)
 
 
+def test_mixing_is_the_same_however_rates_reach_the_rows(spark, monkeypatch):
+    """Tables, rates alone and a shuffled join make the same copies."""
+    rows = [(i, "text " * (1 + i % 7), f"s{i % 40}" if i % 41 else None) for i in range(900)] + [(5000, "rare", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    for bound in (mixing.BROADCAST_BYTES, 6000, 100):
+        monkeypatch.setattr(mixing, "BROADCAST_BYTES", bound)
+        got = mixing.mix(docs, {"rare": 60.0, "s3": 0.0}, epochs=3.0, seed="t")
+        seen.append(collections.Counter((r.doc_id, r.copy_no, r.order_key) for r in got.collect()))
+    assert seen[0] == seen[1] == seen[2] and sum(k[0] == 5000 for k in seen[0]) > 1000
+
+
 def test_mixing_keeps_columns_of_any_name(spark):
     docs = frame(spark, [(i, "x" * 9) for i in range(50)])
     names = ["copy_no", "Order_Key", "_of", "_cdf", "_rate", "_copies", "_block", "_copy", "rate", "size", "name", "weight"]
