@@ -6,11 +6,11 @@ marker, and either a unigram model with its scores or a BPE model with merges in
 the order of the pieces' scores, with byte fallback.  Batches are encoded by the
 library's threads; decoding is its decoder.
 
-Every row's ids are decoded and compared with its text (``round_trip``).  Parity
-with the sentencepiece library is verified on a sample of whole rows: one in
-``verify_every``, chosen by a checksum of the text, is encoded by that library as it
-stands, and ``sample_parity`` says whether the ids are equal; it is null for the
-rows that were not chosen.  With ``verify_every`` 1 every row is.
+Every row's ids are decoded, as the bytes of their pieces, and compared with its
+text (``round_trip``).  Every row's whole text is also encoded by the sentencepiece
+library as it stands, and ``sample_parity`` says whether the ids are equal; the name
+is older than that.  Only where a caller asks for less, with ``verify_every`` other
+than 1, is it null for the rows that were not chosen, by a checksum of the text.
 
 Where no piece has the marker inside, a text may be cut before each run of
 markers without changing any result; that lets the library reuse words.  Runs
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -48,8 +49,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BLOCK_BYTES = 1 << 20
 WORDS_TOGETHER, WORDS_KEPT, IDS_KEPT = 2000, 400_000, 4_000_000
-#: One row in so many is encoded by the sentencepiece library as well.
-VERIFY_EVERY = 4
+#: One row in so many is encoded by the sentencepiece library as well: each.
+VERIFY_EVERY = 1
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -214,7 +215,8 @@ class Codec:
 
     Where texts may be cut into words, the ids of words already seen are kept, up
     to ``WORDS_KEPT``, under 64-bit hashes of the words; of two words of
-    one hash, a chance of 4e-9 for a full store, the later would get the ids of the first.
+    one hash, a chance of 4e-9 for a full store, the later would get the ids of the first,
+    and both checks of its row would be false.
     """
 
     def __init__(self, raw: bytes):
@@ -225,6 +227,9 @@ class Codec:
         m = self.model
         self.by_word = m.kind == "bpe" and m.cut and m.dummy_prefix and m.escape and not m.squeeze and not m.charsmap
         self.begins = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
+        spelt = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-Fa-f]{2}>", p) else p.replace(MARK, " ").encode() for p, _, _ in m.pieces]
+        self.letters, self.spelt_size = np.frombuffer(b"".join(spelt), np.uint8), np.array([len(x) for x in spelt], np.int64)
+        self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
         self._forget()
 
     def _forget(self) -> None:
@@ -286,14 +291,25 @@ class Codec:
         out = self.flat[np.repeat(self.at[entry] - ends[:-1], sizes) + np.arange(ends[-1])]
         return out, ends[np.searchsorted(start, offsets)]
 
+    def spelled(self, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, start and end of each text) that ids decode to; what ``decode`` gives, where that is UTF-8."""
+        size = self.spelt_size[flat]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        data = self.letters[np.repeat(self.spelt_at[flat] - ends[:-1], size) + np.arange(ends[-1])]
+        start, stop = ends[first[:-1]], ends[first[1:]]
+        if self.model.dummy_prefix:
+            some = np.flatnonzero(start < stop)
+            start[some] += data[start[some]] == 32
+        return data, start, stop
+
     def checked(self, texts: list[str], flat: np.ndarray, first: np.ndarray, verify_every: int) -> tuple[list[bool], list[bool | None]]:
         """(whether each text decodes to itself, parity of each or null) of whole texts."""
-        ids = [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
-        same = [a == b for a, b in zip(self.decode(ids), texts, strict=True)]
+        data, start, stop = self.spelled(flat, first)
+        same = [data[a:b].tobytes() == t.encode() for a, b, t in zip(start, stop, texts, strict=True)]
         agree: list[bool | None] = [None] * len(texts)
         asked = [i for i, t in enumerate(texts) if chosen(t, verify_every)]
-        for i, own in zip(asked, _peer(self.raw).encode([texts[i] for i in asked], num_threads=1) if asked else (), strict=True):
-            agree[i] = own == ids[i]
+        for i, own in zip(asked, _peer(self.raw).encode_as_numpy([texts[i] for i in asked], num_threads=1) if asked else (), strict=True):
+            agree[i] = np.array_equal(own, flat[first[i] : first[i + 1]])
         return same, agree
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -301,8 +317,8 @@ class Codec:
 
 
 def chosen(text: str, verify_every: int) -> bool:
-    """Whether a text is in the sample of which parity is verified."""
-    return verify_every > 0 and zlib.crc32(text.encode("utf-8", "surrogatepass")) % verify_every == 0
+    """Whether a text is among those of which parity is verified."""
+    return verify_every == 1 or verify_every > 0 and zlib.crc32(text.encode("utf-8", "surrogatepass")) % verify_every == 0
 
 
 @lru_cache(2)
@@ -350,8 +366,9 @@ def encode(docs: DataFrame, model: bytes, verify_every: int = VERIFY_EVERY, id_c
     """(doc_id, n_tokens, ids, round_trip, sample_parity) for every row.
 
     ``round_trip``: decoding gave the text; ``sample_parity``: the sentencepiece
-    library has the same ids for the whole text, null outside the sample
-    (``verify_every`` 0 chooses none).  The model, under a MB, goes with the task.
+    library has the same ids for the whole text, asked for every row; only a
+    ``verify_every`` other than 1 leaves nulls (0 asks for none).  The model, under a
+    MB, goes with the task.
     """
     lean(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

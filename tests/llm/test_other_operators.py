@@ -8,10 +8,12 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import html_text, neighbours, pieces, shards, url_rules
+from graphloom.llm.queries import op4_sentencepiece
 from graphloom.llm.scratch import Scratch
 from tests.llm.data import documents, frame
 
@@ -183,6 +185,33 @@ def test_pieces_of_long_texts_and_runs(spark):
     assert all(r.round_trip and r.sample_parity for r in pieces.encode(rows, raw, verify_every=1).select("round_trip", "sample_parity").collect())
 
 
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="needs the public model file")
+def test_pieces_ask_sentencepiece_about_every_row(spark, tmp_path):
+    frame(spark, documents()).drop("kept", "score").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op4_sentencepiece(spark, str(tmp_path)).collect()
+    assert len(got) == len(documents()) and all(r.sample_parity is True for r in got)
+    codec = pieces.Codec(pieces.read_model(spark, MODEL))
+    texts = [t or "" for _, t in documents()] + ["", "a"]
+    flat, first = codec.encode(texts)
+    assert all(codec.checked(texts, flat, first, pieces.VERIFY_EVERY)[1])
+    wrong = flat.copy()
+    wrong[first[:-1][np.diff(first) > 0]] = codec.model.unknown  # the first id of each text
+    same, agree = codec.checked(texts, wrong, first, pieces.VERIFY_EVERY)
+    assert same == agree == [not t for t in texts] and not all(same)
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="needs the public model file")
+def test_pieces_spelled_as_decoded(spark):
+    codec = pieces.Codec(pieces.read_model(spark, MODEL))
+    rng = random.Random(11)
+    ids = [[i] for i in range(len(codec.model.pieces))] + [[rng.randrange(259, len(codec.model.pieces)) for _ in range(rng.randint(0, 9))] for _ in range(300)]
+    texts = ["", " ", "  a", "日本語 😀", "<0x41>", "<s></s><unk>", "▁▁", "\ufffd", "\0\x7f"] + [t or "" for _, t in documents()]
+    flat, first = codec.encode(texts)
+    ids += [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+    data, start, stop = codec.spelled(np.array([i for x in ids for i in x], np.int32), np.cumsum([0, *map(len, ids)]))
+    assert [data[a:b].tobytes().decode(errors="replace") for a, b in zip(start, stop, strict=True)] == codec.decode(ids)
+
+
 def message(*parts):
     """A protobuf message of (field, value): bytes, floats or whole numbers."""
     import struct
