@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the checks of decoding and parity."""
+    """Token ids of every document, each with the checks of decoding and of parity with the sentencepiece library."""
     return pieces.encode(docs, sentencepiece_model(spark))
 
 

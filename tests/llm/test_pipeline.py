@@ -69,3 +69,11 @@ def test_every_stage_equals_plain_python(spark, tmp_path):
     assert collections.Counter((r.doc_id, tuple(r.ids)) for r in got) == +coded and all(r.sample_parity is not False and r.round_trip for r in got) and any(r.sample_parity for r in got)
 
     assert collections.Counter((r.doc_id, tuple(r.ids)) for r in P.run(spark, str(tmp_path)).collect()) == +coded
+
+
+def test_last_stage_asks_sentencepiece_about_every_row(spark):
+    import corpus_pipeline as P
+
+    docs = frame(spark, documents()).drop("kept", "score")
+    got = P.STAGES[-1][1](spark, docs, "").collect()
+    assert len(got) == len(documents()) and all(r.sample_parity is True for r in got)
