@@ -268,6 +268,23 @@ def union(a: Solutions, b: Solutions, reference: bool = False) -> Solutions:
     return Solutions(x.df.unionByName(right), kinds)
 
 
+#: Rows that one row's count is cut into.
+MOST_REPEATS = 1 << 16
+
+
+def repeated(x: Solutions, n: str) -> Solutions:
+    """Each row as often as its count ``n`` says, which goes.
+
+    Counts are cut and their parts dealt to all tasks before rows are repeated, a row at a time; so neither few rows of
+    large counts nor one such row makes a task's whole work.
+    """
+    c, kinds = x.col(n), {v: k for v, k in x.kinds.items() if v != n}
+    parts = x.df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((c - 1) / MOST_REPEATS))))
+    dealt = parts.repartition(int(x.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_part", *(x.col(v) for v in kinds))
+    rows = dealt.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(MOST_REPEATS), c - F.col("_part") * MOST_REPEATS))))
+    return Solutions(rows.select(*(x.col(v) for v in kinds)), kinds)
+
+
 def join_all(parts: list[Solutions], spark) -> Solutions:
     """Join connected parts before others, so that no product is made where none is asked for."""
     if not parts:

@@ -22,7 +22,7 @@ from graphloom.functions import values as V
 from graphloom.functions.terms import BNode, Term, Var
 from graphloom.functions.values import Kind
 from graphloom.operators import solutions as S
-from graphloom.operators.closure import AT, TO, Paths, renamed, swapped
+from graphloom.operators.closure import AT, TO, N, Paths, renamed, repeats, swapped
 from graphloom.operators.solutions import Solutions, column
 from graphloom.plans import algebra as A
 
@@ -61,9 +61,12 @@ class Compiler:
             self.memo[key] = self.data.bgp(n.triples, self.spark)
         return self.memo[key]
 
-    def n_path(self, n: A.Path, other: Solutions | None = None) -> Solutions:
-        """The pairs of a path, from the end that is a constant or that ``other`` binds."""
-        paths, names = Paths(self.spark, self.data), {AT: "_path_s", TO: "_path_o"}
+    def n_path(self, n: A.Path) -> Solutions:
+        return S.repeated(x, N) if N in (x := self._path(n)).kinds else x
+
+    def _path(self, n: A.Path, other: Solutions | None = None) -> Solutions:
+        """The pairs of a path, from the end that is a constant or that ``other`` binds; counted where they can repeat."""
+        paths, names = Paths(self.spark, self.data), {AT: "_path_s", TO: "_path_o"} | ({N: N} if repeats(n.way) else {})
 
         def bound(x: Term) -> Solutions | None:
             if not isinstance(x, Var):
@@ -86,7 +89,8 @@ class Compiler:
                 out = Solutions(out.df.filter(E.equal((out.col(name), out.kinds[name]), E.constant(x))), out.kinds)
         if n.s == n.o:
             out = Solutions(out.df.filter(V.as_term(out.col(names[AT]), out.kinds[names[AT]]) == V.as_term(out.col(names[TO]), out.kinds[names[TO]])), out.kinds)
-        return renamed(out, {name: x.name for x, name in ((n.s, names[AT]), (n.o, names[TO])) if isinstance(x, Var) and not (x == n.s and name == names[TO])})
+        kept = {name: x.name for x, name in ((n.s, names[AT]), (n.o, names[TO])) if isinstance(x, Var) and not (x == n.s and name == names[TO])}
+        return renamed(out, kept | ({N: N} if N in names else {}))
 
     def _like_data(self, s: Solutions) -> Solutions:
         from graphloom.sources.mapping import Mapping
@@ -122,7 +126,8 @@ class Compiler:
     def n_join(self, n: A.Join) -> Solutions:
         if isinstance(n.right, A.Path):
             left = self.compile(n.left)
-            return S.join(left, self.n_path(n.right, left))
+            out = S.join(left, self._path(n.right, left))
+            return S.repeated(out, N) if N in out.kinds else out
         if not self.reference:
             for given, other in ((n.right, n.left), (n.left, n.right)):
                 if isinstance(given, A.Values) and len(parts := _by_bound(given)) > 1:
