@@ -2,8 +2,9 @@
 
 What a crawler does one resource after the other is a chain of joins here: the
 seeds are a table, following a property is an equi-join with its pairs, and a
-cycle is a loop over the newly reached keys until there are none.  A long chain
-along functional properties is reached by pointer doubling, in as many rounds as its length has binary digits.
+cycle is a loop over the newly reached keys until there are none.  On its way through a tree or
+cycle a resource goes on once from each place, whatever led there; over tables, rows that are
+resources of their own are passed in one scan, without their keys.  A long chain along functional properties is reached by pointer doubling, in as many rounds as its length has binary digits.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ from graphloom.sources.store import checkpoint
 AT, TO = "at", "to"
 #: Rounds of a cycle before doubling is tried, and between two rewrites of what was reached.
 PATIENCE = 8
+#: Bytes of keys that are broadcast to the joins of a step.
+LIGHT_BYTES = 16_000_000
+
+#: The steps from a place to the root: (classes that take a step, or None for any; its property, or two that lead through a row).
+Route = tuple[tuple[frozenset[str] | None, tuple[str, ...]], ...]
 
 
 def _one(s: Solutions, var: str, name: str) -> Solutions:
@@ -108,42 +114,153 @@ class Traversal:
         fits = Solutions(typed.df.filter(V.as_term(typed.col(TO), typed.kinds[TO])["lex"].isin(*sorted(wide))), typed.kinds)
         return S.union(S.semi(at, _one(fits, AT, AT)), S.semi(at, _one(typed, AT, AT), anti=True))
 
+    # Routes
+
+    def _begin(self, prop: str) -> set[str] | None:
+        """Classes of tables whose resources can have a property; None if that is not known."""
+        out: set[str] = set()
+        for t in map(self.data.direct, self._ways(prop)):
+            tables = self.data.having(t.p.value)
+            if t.s == Var(AT):
+                out |= {c.iri for c in tables}
+                continue
+            targets = {c.links[t.p.value][1] for c in tables if t.p.value in c.links}
+            if not targets <= set(self.data.classes):
+                return None
+            out |= targets
+        return out
+
+    def _through(self, first: str, types: frozenset[str], then: str) -> bool:
+        """Whether two steps lead through rows of one table that are resources of their own."""
+        ways = [*self._ways(first), *self._ways(then)]
+        back = self.data.direct(ways[0])
+        tables = self.data.having(back.p.value)
+        if len(ways) != 2 or back.s != Var(TO) or self.data.direct(ways[1]) != ways[1] or len(tables) != 1:
+            return False
+        c = tables[0]
+        wide = types | {s for t in types for s in self.vocab.facts.subtypes(t)}
+        return c.rowwise and back.p.value in c.links and then in c.links and (not types or c.iri in wide)
+
+    def _route(self, steps: list[tuple[frozenset[str], str]]) -> Route:
+        """Steps by the places between them; a gate that keeps out only what has not the property is left out."""
+        from graphloom.sources.mapping import Mapping
+
+        if not isinstance(self.data, Mapping):
+            return tuple((types or None, (p,)) for types, p in steps)
+        out: list[tuple[frozenset[str] | None, tuple[str, ...]]] = []
+        i = 0
+        while i < len(steps):
+            types, p = steps[i]
+            wide = types | {s for t in types for s in self.vocab.facts.subtypes(t)}
+            can = self._begin(p)
+            n = 2 if i + 1 < len(steps) and self._through(p, *steps[i + 1]) else 1
+            out.append((types if types and (can is None or not can <= wide) else None, tuple(q for _, q in steps[i : i + n])))
+            i += n
+        return tuple(out)
+
+    def _light(self, x: Solutions, n: int) -> Solutions:
+        """A saved set of n keys, broadcast if it is small."""
+        from graphloom.sources.mapping import Mapping
+
+        k = x.kinds[AT]
+        wide = 16 if k.name == "iri" and k.key in ("tinyint", "smallint", "int", "bigint") else 128
+        return Solutions(F.broadcast(x.df), x.kinds) if isinstance(self.data, Mapping) and n * wide <= LIGHT_BYTES else x
+
+    def _hop(self, at: Solutions, hop: tuple[str, ...], after: str | None = None, known: Solutions | None = None, last: bool = False) -> Solutions:
+        """What a step of a route leads to: over tables only what can go on by ``after`` and is not ``known``; the last step's is no set yet."""
+        from graphloom.sources.mapping import Mapping
+
+        if not isinstance(self.data, Mapping):
+            return self.follow(at, hop[0])
+        if len(hop) == 2:
+            link = self.data.direct(self._ways(hop[0])[0]).p
+            patterns = [(Triple(Var("row"), link, Var(AT)), Triple(Var("row"), Iri(hop[1]), Var(TO)))]
+        else:
+            patterns = [(t,) for t in self._ways(hop[0])]
+        own = {c.iri for c in self.data.classes.values() if at.kinds[AT].prefix and c.prefix == at.kinds[AT].prefix}
+        can = self._begin(after) if after else None
+        found = []
+        for triples in patterns:
+            t = self.data.direct(triples[0])
+            tables = {c.iri for c in self.data.having(t.p.value)}
+            only = own if t.s == Var(AT) else can & tables if t.s == Var(TO) and can else set()
+            if len(only) == 1 and len(tables) > 1 and len(hop) == 1:
+                triples = (*triples, Triple(t.s, Iri(RDF_TYPE), Iri(*only)))
+            pairs = self.data.bgp(triples, self.spark)
+            if known is not None:
+                pairs = S.semi(pairs, _renamed(known, {AT: TO}), anti=True)
+            out = _renamed(_part(S.semi(_part(pairs, AT, TO), at), TO), {TO: AT})
+            found.append(out)
+        out = reduce(S.union, found)
+        return out if last else out.distinct()
+
+    def _walk(self, at: Solutions, route: Route, known: dict[Route, tuple[Solutions, int]], first: Solutions | None = None) -> Solutions | None:
+        """Where a route leads; at each place only what has not stood there yet goes on.  ``first``: what its first step leads to, where that is saved."""
+        for i, (types, hop) in enumerate(route):
+            if i == 0 and types:
+                at = self.gate(at, types)
+            rest = route[i + 1 :]
+            seen, n = known.get(rest, (None, 0))
+            if i == 0 and first is not None:
+                step = first
+            else:
+                light = self._light(seen, n) if seen is not None else None
+                step = self._hop(at, hop, rest[0][1][0] if rest else None, light if light is not seen else None, not rest)
+            if not step.kinds:  # the property leads nowhere in this data
+                return None
+            if not rest:
+                return step
+            step = self.gate(step, rest[0][0] or frozenset())
+            if seen is not None:
+                kind = V.meet(step.kinds[AT], seen.kinds[AT])
+                step, seen = (x if x.kinds[AT].like(kind) else x.to({AT: kind}) for x in (step, seen))
+                step = Solutions(step.df.join(seen.df, S.column(AT), "left_anti"), step.kinds)
+            new = Solutions(checkpoint(step.df), step.kinds)
+            more = new.df.count()
+            if not more:
+                return None
+            known[rest] = (new if seen is None else Solutions(seen.df.unionByName(new.df), new.kinds), n + more)
+            at = self._light(new, more)
+        return at
+
     def reach(self, *trees: Tree, types: frozenset[str] = frozenset()) -> Solutions:
         """All resources in the place of a root, by trees that share it and its cycles.
 
         On the way only resources of the class that a step expects are followed; ``types`` are the root's own.
         """
-        found = []
-        for tree in trees:
-            at = self.seeds(tree)
-            for expected, prop in tree.steps:
-                at = self.follow(self.gate(at, frozenset((expected,))), prop)
-            found.append(at)
+        known: dict[Route, tuple[Solutions, int]] = {}
+        found = [self._walk(self.seeds(tree), self._route([(frozenset((c,)), p) for c, p in tree.steps]), known) for tree in trees]
+        found = [f for f in found if f is not None]
+        if not found:
+            return S.nothing([AT], self.spark)
         at = reduce(S.union, found)
-        cycles = trees[0].cycles
-        return self.gate(self.fixpoint(at, *([p for _, p in c] for c in cycles)) if cycles else at, types).distinct()
+        if not trees[0].cycles:
+            return self.gate(at, types).distinct()
+        return self.gate(self._closed(at, [[p for _, p in c] for c in trees[0].cycles], known), types)
 
     def fixpoint(self, at: Solutions, *cycles: list[str]) -> Solutions:
         """Follow each list of properties until nothing new is reached; each round is one job that cuts the lineage.
 
         More rounds than ``most_rounds``, where it is set, are an error.
         """
+        return self._closed(at, list(cycles), {})
+
+    def _closed(self, at: Solutions, cycles: list[list[str]], known: dict[Route, tuple[Solutions, int]]) -> Solutions:
         seen = Solutions(checkpoint(at.df.distinct()), at.kinds)
+        routes = [self._route([(frozenset(), p) for p in props]) for props in cycles]
+        # Through a row and back by the same link leads to where it began.
+        routes = [r for r in routes if not all(len(hop) == 2 and self.data.inverses.get(hop[0]) == hop[1] for _, hop in r)]
+        shared = {r[0][1] for r in routes if sum(r[0][1] == q[0][1] and len(q) > 1 for q in routes) > 1}
         frontier, parts = seen, 1
+        if any(len(r) > 1 for r in routes):
+            frontier = self._light(seen, seen.df.count())
         for done in count():
             if done == self.most_rounds:
                 raise RuntimeError(f"no end of the cycle after {done} rounds")
             if done == PATIENCE and (pairs := self._functional(cycles, seen.kinds[AT])) is not None:
                 return self._doubled(seen, pairs)
-            ends = []
-            for props in cycles:
-                step = frontier
-                for p in props:
-                    step = self.follow(step, p)
-                    if not step.kinds:  # the property leads nowhere in this data
-                        break
-                else:
-                    ends.append(step)
+            firsts = {hop: self._saved(self._hop(frontier, hop)) for hop in sorted(shared)}
+            ends = [x for r in routes if (x := self._walk(frontier, r, known, firsts.get(r[0][1]) if len(r) > 1 else None)) is not None]
             if not ends:
                 self.rounds.append(0)
                 return seen
@@ -151,12 +268,12 @@ class Traversal:
             if not step.kinds[AT].like(seen.kinds[AT]):
                 kind = V.meet(step.kinds[AT], seen.kinds[AT])
                 step, seen = step.to({AT: kind}), seen.to({AT: kind})
-            new = checkpoint(step.df.join(seen.df, S.column(AT), "left_anti").distinct())
+            new = checkpoint(step.df.distinct().join(seen.df, S.column(AT), "left_anti"))
             n = new.count()
             self.rounds.append(n)
             if not n:
                 return seen
-            frontier, parts = Solutions(new, seen.kinds), parts + 1
+            frontier, parts = self._light(Solutions(new, seen.kinds), n), parts + 1
             both = seen.df.unionByName(new)  # of tables that are cut already; only the frontier is written
             seen = Solutions(checkpoint(both) if parts % PATIENCE == 0 else both, seen.kinds)
 
@@ -205,8 +322,10 @@ class Traversal:
                 for t in space.trees:
                     if t.root == root:
                         groups.setdefault(t.cycles, []).append(t)
-                found = [_one(self.reach(*g, types=space.types.get(root, frozenset())), AT, root.name) for g in groups.values()]
-                out[root.name] = reduce(S.union, found).distinct() if found else S.nothing([root.name], self.spark)
+                found = [_renamed(self.reach(*g, types=space.types.get(root, frozenset())), {AT: root.name}) for g in groups.values()]
+                if len(found) > 1:
+                    found = [reduce(S.union, found).distinct()]
+                out[root.name] = found[0] if found else S.nothing([root.name], self.spark)
         return out
 
     # Fragments
@@ -291,6 +410,10 @@ def _renamed(x: Solutions, names: dict[str, str]) -> Solutions:
     return Solutions(x.df.select(*(x.col(v).alias(S.column(names.get(v, v))) for v in x.kinds)), kinds)
 
 
+def _part(x: Solutions, *names: str) -> Solutions:
+    return Solutions(x.df.select(*(x.col(v) for v in names)), {v: x.kinds[v] for v in names})
+
+
 def _const(x: Iri | Literal):
     from graphloom.functions.terms import lit
 

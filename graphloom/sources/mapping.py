@@ -25,7 +25,10 @@ from graphloom.plans.algebra import Triple
 
 @dataclass(frozen=True)
 class TableClass:
-    """``key``: SQL expression of the subject's key; ``links``: property → (key expression, class)."""
+    """``key``: SQL expression of the subject's key; ``links``: property → (key expression, class).
+
+    ``rowwise``: each row is a resource of its own, whose key is made of all its links, so that rows of one key have the same ones.
+    """
 
     iri: str
     table: str
@@ -33,6 +36,7 @@ class TableClass:
     prefix: str
     properties: dict[str, str] = field(default_factory=dict)
     links: dict[str, tuple[str, str]] = field(default_factory=dict)
+    rowwise: bool = False
 
 
 @dataclass

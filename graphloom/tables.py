@@ -45,7 +45,7 @@ def mapping(spark: SparkSession, sf_dir: str, read=None) -> Mapping:
     classes = {}
     for name, (source, key, columns, links) in _CLASSES.items():
         iri = NS + name
-        classes[iri] = TableClass(iri, source, key, f"{DATA}{source}/", {NS + c: c for c in columns.split()}, {NS + p: (k, NS + c) for p, (k, c) in links.items()})
+        classes[iri] = TableClass(iri, source, key, f"{DATA}{source}/", {NS + c: c for c in columns.split()}, {NS + p: (k, NS + c) for p, (k, c) in links.items()}, key == _ROW)
     return Mapping(classes, read or table, {NS + a: NS + b for a, b in INVERSES.items()}, {NS + "Party": (NS + "Customer", NS + "Supplier")})
 
 
