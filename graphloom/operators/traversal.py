@@ -311,12 +311,44 @@ class Traversal:
             on = jump.select(F.col(a).alias(b), F.col(b).alias("next"))
             jump = checkpoint(jump.join(on, b).select(a, F.col("next").alias(b)))
 
-    def roots(self, plan: Plan) -> dict[str, Solutions]:
-        """Root variable → what is reached in its place; a plan without trees reaches nothing."""
+    def _sure(self, space: Space, root: Var) -> bool:
+        """Whether the patterns themselves lead from a seed to this root, by the steps of a tree: then all their answers are reached."""
+        from graphloom.sources.mapping import Mapping
+
+        def wide(types: frozenset[str]) -> set[str]:
+            return types | {s for t in types for s in self.vocab.facts.subtypes(t)}
+
+        def back(prop: str, at: Term) -> list[tuple[Term, bool]]:
+            """Nodes from which a pattern leads to this one by the property, and whether the root's classes allow what it leads to."""
+            out = []
+            for way in map(self.data.direct, self._ways(prop)):
+                for t in map(self.data.direct, space.agp.patterns):
+                    if t.p == way.p and (t.o if way.s == Var(AT) else t.s) == at:
+                        ends = {c.links[t.p.value][1] for c in self.data.having(t.p.value) if t.p.value in c.links} if way.s == Var(AT) else {c.iri for c in self.data.having(t.p.value)}
+                        out.append((t.s if way.s == Var(AT) else t.o, ends <= set(self.data.classes) and (not types or ends <= wide(types))))
+            return out
+
+        def leads(at: Term, steps: tuple, tree: Tree) -> bool:
+            if not steps:
+                return isinstance(at, Iri) and at.value in tree.seeds and any(at.value.startswith(c.prefix) for c in self.data.of_class(tree.from_type))
+            expected, prop = steps[-1]
+            can = self._begin(prop)
+            if can is None or not can <= wide(frozenset((expected,))):
+                return False
+            return any((fits or at != root) and leads(x, steps[:-1], tree) for x, fits in back(prop, at))
+
+        types = space.types.get(root, frozenset())
+        return isinstance(self.data, Mapping) and any(t.steps and t.root == root and leads(root, t.steps, t) for t in space.trees)
+
+    def roots(self, plan: Plan, answers: bool = False) -> dict[str, Solutions]:
+        """Root variable → what is reached in its place; a plan without trees reaches nothing.
+
+        ``answers``: only roots that restrict answers to the whole pattern.
+        """
         out: dict[str, Solutions] = {}
         for space in plan.spaces:
             for root in space.agp.roots():
-                if not isinstance(root, Var):
+                if not isinstance(root, Var) or answers and self._sure(space, root):
                     continue
                 groups: dict[tuple, list[Tree]] = {}
                 for t in space.trees:

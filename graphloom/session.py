@@ -116,7 +116,7 @@ class Session:
                 return None
             plan = self.planner.plan(from_bgp(n), seeds)
             out = compiler.data.bgp(n.triples, self.spark)
-            for reached in Traversal(self.spark, compiler.data, self.vocab).roots(plan).values():
+            for reached in Traversal(self.spark, compiler.data, self.vocab).roots(plan, answers=True).values():
                 out = S.semi(out, reached)
             return out
 

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from graphloom import linked_queries
+from graphloom import linked_queries, queries
+from graphloom import tables as mapped
 from graphloom.functions.terms import Iri
 from graphloom.operators import traversal
 from graphloom.operators.traversal import Traversal
@@ -76,3 +77,25 @@ def test_rows_are_passed_without_their_keys(spark, monkeypatch):
     monkeypatch.setattr(traversal, "checkpoint", saved)
     assert linked_queries.reach_orders(spark, SF).count() and plans
     assert not [p for p in plans if "md5" in p]
+
+
+def region(spark, ask):
+    return mapped.session(spark, SF, {"Region": ["urn:data:region/2"]}).sparql(ask, scope="reachable")
+
+
+def test_answers_tied_to_a_seed_need_no_traversal(spark, monkeypatch):
+    monkeypatch.setattr(traversal, "checkpoint", lambda df: pytest.fail("nothing is to be traversed"))
+    tied = queries.reach_seed_region(spark, SF)
+    monkeypatch.undo()
+    with monkeypatch.context() as m:
+        m.setattr(Traversal, "_sure", lambda *_: False)
+        assert sorted(queries.reach_seed_region(spark, SF).collect()) == sorted(tied.collect()) != []
+
+
+@pytest.mark.parametrize("ask", ["{ ?c t:c_custkey ?k ; t:inNation ?n . ?n t:inRegion <urn:data:region/1> }", "{ ?c t:c_custkey ?k ; t:inNation ?n . ?n t:inRegion ?r }"])
+def test_answers_not_tied_to_a_seed_are_traversed(spark, ask, monkeypatch):
+    found = []
+    sure = Traversal._sure
+    monkeypatch.setattr(Traversal, "_sure", lambda *a: found.append(sure(*a)) or found[-1])
+    region(spark, f"SELECT ?k WHERE {ask}")
+    assert found == [False]
