@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from graphloom.functions import values as V
 from graphloom.functions.terms import RDF_TYPE, Iri, Literal, Term, Var
 from graphloom.functions.values import Kind
+from graphloom.operators import chains
 from graphloom.operators import solutions as S
 from graphloom.operators.solutions import Solutions
 from graphloom.operators.vocabulary import Vocabulary
 from graphloom.plans import algebra as A
 from graphloom.plans.algebra import Triple
 from graphloom.plans.planner import Plan, Space, Tree
-from graphloom.sources.store import checkpoint
+from graphloom.sources.store import Rounds, checkpoint
 
 AT, TO = "at", "to"
 #: Rounds of a cycle before doubling is tried, and between two rewrites of what was reached.
@@ -296,20 +297,30 @@ class Traversal:
         return pairs if more.isEmpty() else None
 
     def _doubled(self, seen: Solutions, pairs: Solutions) -> Solutions:
-        """After k rounds the pairs lead 2^k turns on, and all within 2^k turns of the start is reached."""
-        a, b = S.column(AT), S.column(TO)
+        """All that a functional relation leads to; over whole-numbered keys in order, blocks of keys are walked in one task and only what leads out of them is doubled."""
         kind = pairs.kinds[AT]
-        reached, jump = checkpoint(seen.to({AT: kind}).df), pairs.df
-        while True:
+        tables, starts = Rounds(self.spark), seen.to({AT: kind}).df.dropna()
+        pairs = Solutions(pairs.df.dropna(), pairs.kinds)
+        if kind.name != "iri" or kind.key not in ("int", "bigint") or not chains.dense(pairs.df):
+            return Solutions(self._jumped(starts, pairs.df, tables), {AT: kind})
+        jump = tables.save(chains.across(pairs.df, chains.entries(pairs.df, starts)))
+        return Solutions(tables.save(chains.within(pairs.df, self._jumped(starts, jump, tables))), {AT: kind})
+
+    def _jumped(self, reached: DataFrame, jump: DataFrame, tables: Rounds) -> DataFrame:
+        """After k rounds the pairs lead 2^k turns on, and all within 2^k turns of the start is reached."""
+        a, b = jump.columns
+        reached = tables.save(reached)
+        for done in count(1):
             step = jump.join(reached, a, "left_semi").select(F.col(b).alias(a))
-            new = checkpoint(step.join(reached, a, "left_anti").distinct())
+            new = tables.save(step.distinct().join(reached, a, "left_anti"))
             n = new.count()
             self.rounds.append(n)
             if not n:
-                return Solutions(reached, {AT: kind})
-            reached = checkpoint(reached.unionByName(new))
+                return reached
+            both = reached.unionByName(new)
+            reached = tables.save(both, both) if done % PATIENCE == 0 else both
             on = jump.select(F.col(a).alias(b), F.col(b).alias("next"))
-            jump = checkpoint(jump.join(on, b).select(a, F.col("next").alias(b)))
+            jump = tables.save(jump.join(on, b).select(a, F.col("next").alias(b)), jump)
 
     def _sure(self, space: Space, root: Var) -> bool:
         """Whether the patterns themselves lead from a seed to this root, by the steps of a tree: then all their answers are reached."""

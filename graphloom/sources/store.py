@@ -6,6 +6,8 @@ of this machine is made and set only if all executors are on it (local mode).
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -35,6 +37,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _gone(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        delete(spark, path)
+
+
+class Rounds:
+    """Tables of a loop as Parquet files in the shared folder.
+
+    Spark takes a checkpoint to be as large as what it was made of, and a join as the product of its sides: a table that is
+    joined with itself round after round gets a size whose digits double, until the driver has no room for the number. Files have
+    the size they have. Tables go when they are replaced, the rest when Python ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.made = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", 0
+        atexit.register(_gone, spark, self.base)
+
+    def save(self, df: DataFrame, *instead: DataFrame) -> DataFrame:
+        """Write a table; those it replaces, which nothing reads from then on, are deleted."""
+        self.made += 1
+        path = f"{self.base}/{self.made}"
+        df.write.parquet(path)
+        for old in instead:
+            for f in {x.rpartition("/")[0] for x in old.inputFiles() if f"/{self.base.rpartition('/')[2]}/" in x}:
+                delete(self.spark, f)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
